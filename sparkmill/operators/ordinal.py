@@ -13,27 +13,38 @@ Instead (two passes):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_ROWS = 1 << 20
 
 
+def _bucket_offsets(staged: DataFrame, value_col: str) -> DataFrame:
+    totals = staged.groupBy("__bucket").agg(F.sum(value_col).alias("__tot"))
+    before = F.sum("__tot").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return totals.select("__bucket", "__tot", F.coalesce(before, F.lit(0)).alias("__off"))
+
+
 def running_total(df: DataFrame, order_col: str, value_col: str, *, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-                  before: str = "cum_before", after: str = "cum_after") -> DataFrame:
+                  before: str = "cum_before", after: str = "cum_after",
+                  keep_buckets: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Add exclusive/inclusive running sums of ``value_col`` in ``order_col`` order.
 
-    ``order_col`` must be an integral, unique key.
+    ``order_col`` must be an integral, unique key.  ``keep_buckets(offset,
+    total)`` may restrict the second pass to the ranges that matter (the
+    offsets are joined before the per-row window, so other rows are dropped
+    before any sort).
     """
     b = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("bigint")
     staged = df.withColumn("__bucket", b)
-    totals = staged.groupBy("__bucket").agg(F.sum(value_col).alias("__tot"))
-    offsets = totals.select("__bucket", F.coalesce(
-        F.sum("__tot").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("__off"))
+    offsets = _bucket_offsets(staged, value_col)
+    if keep_buckets is not None:
+        offsets = offsets.filter(keep_buckets(F.col("__off"), F.col("__tot")))
+    joined = staged.join(offsets.select("__bucket", "__off"), "__bucket")
     w = Window.partitionBy("__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    inside = staged.withColumn("__run", F.sum(value_col).over(w))
-    out = inside.join(offsets, "__bucket")
+    out = joined.withColumn("__run", F.sum(value_col).over(w))
     return (out.withColumn(after, (F.col("__off") + F.col("__run")).cast("bigint"))
             .withColumn(before, (F.col(after) - F.col(value_col)).cast("bigint"))
             .drop("__bucket", "__run", "__off"))
@@ -75,3 +86,23 @@ def pack_summary(packed: DataFrame, tokens_col: str, *, context_length: int = 20
     hi = F.least(F.col("token_end"), (F.col("pack_id") + 1) * L)
     return (seg.groupBy("pack_id").agg(F.sum(hi - lo).cast("bigint").alias("n_tokens"),
                                        F.count(F.lit(1)).alias("n_segments")))
+
+
+def preview_page(df: DataFrame, order_col: str, *, page: int = 1, page_size: int = 50,
+                 bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+    """Page ``page`` (1-based) of ``page_size`` rows in ``order_col`` order, with the total.
+
+    Pass one counts rows per key range (a partial aggregate over the key
+    column only); pass two keeps just the ranges overlapping the page, so only
+    those rows are ever sorted.  The total is the sum of the range counts.
+    """
+    if page < 1 or page_size < 1:
+        raise ValueError("page and page_size must be positive")
+    lo, hi = (page - 1) * page_size, page * page_size
+    staged = df.withColumn("__one", F.lit(1).cast("bigint"))
+    rows = running_total(staged, order_col, "__one", bucket_rows=bucket_rows, before="row_ord", after="__incl",
+                         keep_buckets=lambda off, tot: (off < hi) & (off + tot > lo))
+    rows = rows.filter((F.col("row_ord") >= lo) & (F.col("row_ord") < hi)).drop("__one", "__incl")
+    total = staged.agg(F.count(F.lit(1)).alias("total")).withColumn("__k", F.lit(1))
+    # ``total`` is one row: broadcasting it is bounded by construction.
+    return rows.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k").drop("__k")

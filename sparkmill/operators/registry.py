@@ -327,7 +327,7 @@ def upsert_registry(current: DataFrame, changes: DataFrame, *, key: str = "id")
 
 
 def page_by_group(df: DataFrame, group_col: str | None, *, ts: str = "created_at", id_col: str = "id",
-                  offset: int = 0, limit: int = 50, newest_first: bool = True) -> DataFrame:
+                  offset: int = 0, limit: int | None = 50, newest_first: bool = True) -> DataFrame:
     """Page ``(offset, offset + limit]`` of each group, newest first, ties by id.
 
     With no group it is a global top-k.  Per group it is ``row_number() <= k``,
@@ -340,5 +340,7 @@ def page_by_group(df: DataFrame, group_col: str | None, *, ts: str = "created_at
         top = df.orderBy(*order).limit(offset + limit)
         return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") > offset)
     w = Window.partitionBy(group_col).orderBy(*order)
-    return (df.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= offset + limit).filter(F.col("rank") > offset))
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    if limit is None:  # the whole group in order (no page)
+        return ranked.filter(F.col("rank") > offset)
+    return ranked.filter(F.col("rank") <= offset + limit).filter(F.col("rank") > offset)

@@ -91,12 +91,10 @@ def bpe_count(c: str | Column, encoder: str = "byte_bpe_50k") -> Column:
     def _count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = get_encoder(encoder)
         for s in batches:
-            mask = s.notna()
-            out = pd.Series(pd.NA, index=s.index, dtype="Int64")
-            if mask.any():
-                toks = enc.encode_ordinary_batch(s[mask].astype(str).tolist())
-                out[mask] = [len(t) for t in toks]
-            yield out
+            present = s.notna().to_numpy()
+            texts = s[present].astype(str).tolist()
+            lengths = iter(len(t) for t in enc.encode_ordinary_batch(texts)) if texts else iter(())
+            yield pd.Series([next(lengths) if p else None for p in present], index=s.index, dtype="Int64")
 
     return _count(c)
 

@@ -339,3 +339,445 @@ def q_register(spark, sf):
        "SELECT id, project_id, name, original_filename, file_size_bytes, status FROM datasets_t")
 def q_registry_scan(spark, sf):
     return FX.datasets(spark, sf).select("id", "project_id", "name", "original_filename", "file_size_bytes", "status")
+
+
+# ================================================================ registry: projections and gates
+
+
+@query("estimate_cost", D.with_(D.RUNS) + f"""SELECT id, round(
+  CAST(coalesce({D.case_map('gpu_type', registry.GPU_CREDITS_PER_HOUR)}, {registry.DEFAULT_GPU_CREDITS}) AS DOUBLE)
+  * CASE WHEN max_steps = -1 THEN CAST(num_epochs * 2 AS DOUBLE) ELSE CAST(max_steps AS DOUBLE) / 500 END
+  * CAST(gpu_count AS DOUBLE), 2) AS estimated_cost FROM runs_t""")
+def q_cost(spark, sf):
+    return registry.estimate_cost(FX.training_runs(spark, sf)).select("id", "estimated_cost")
+
+
+@query("effective_batch_size", D.with_(D.RUNS) +
+       "SELECT id, CAST(batch_size * gradient_accumulation_steps * gpu_count AS BIGINT) AS effective_batch_size FROM runs_t")
+def q_batch(spark, sf):
+    r = FX.training_runs(spark, sf)
+    return r.select("id", registry.effective_batch_size(F.col("batch_size"), F.col("gradient_accumulation_steps"),
+                                                        F.col("gpu_count")).alias("effective_batch_size"))
+
+
+@query("model_register", D.with_(D.RUNS) + """SELECT id AS run_id, CAST(project_id AS BIGINT) AS project_id,
+  CASE WHEN length(experiment_name) > 0 THEN experiment_name ELSE 'model' END || '-' || CAST(id AS VARCHAR)[1:8] AS name,
+  base_model, coalesce(method, 'lora') AS training_method,
+  'models/' || CAST(project_id AS VARCHAR) || '/' || CAST(id AS VARCHAR) || '/final' AS s3_path
+FROM runs_t WHERE status = 'completed'""")
+def q_model_register(spark, sf):
+    return registry.model_register(FX.training_runs(spark, sf))
+
+
+@query("run_config_split", D.with_(D.RUNS) + """SELECT id,
+  to_json(struct_pack(base_model := base_model, method := method, lora_config := NULL)) AS model_config_json,
+  to_json(struct_pack(learning_rate := NULL, scheduler := NULL, batch_size := batch_size,
+     gradient_accumulation_steps := gradient_accumulation_steps, warmup_steps := NULL, weight_decay := NULL,
+     max_steps := max_steps, num_epochs := num_epochs, context_length := NULL, mixed_precision := NULL,
+     checkpoint_steps := NULL, max_checkpoints := NULL, resume_from_checkpoint := NULL)) AS training_config_json
+FROM runs_t""")
+def q_config_split(spark, sf):
+    s = registry.run_config_split(FX.training_runs(spark, sf))
+    opts = {"ignoreNullFields": "false"}
+    return s.select("id", F.to_json("model_config", opts).alias("model_config_json"),
+                    F.to_json("training_config", opts).alias("training_config_json"))
+
+
+@query("resume_config", D.with_(D.RUNS, D.CHECKPOINTS) + """, latest AS (
+  SELECT run_id, s3_path FROM ckpt_t
+  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY is_best DESC, step DESC, id DESC) = 1)
+SELECT r.id, r.base_model, r.method, r.max_steps, r.num_epochs, l.s3_path AS resume_checkpoint_path
+FROM runs_t r JOIN latest l ON l.run_id = r.id WHERE r.status IN ('paused', 'failed')""")
+def q_resume(spark, sf):
+    runs = FX.training_runs(spark, sf).filter(F.col("status").isin("paused", "failed"))
+    latest = registry.latest_checkpoint(FX.checkpoints(spark, sf)).select(
+        F.col("run_id").alias("id"), F.col("s3_path").alias("checkpoint_path"))
+    merged = registry.resume_config(registry.run_config_split(runs, keep=["id"]).join(latest, "id"))
+    return merged.select("id", "config.base_model", "config.method", "config.max_steps", "config.num_epochs",
+                         "config.resume_checkpoint_path")
+
+
+@query("iso_timestamps", """SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts_iso FROM events""")
+def q_iso(spark, sf):
+    return table(spark, sf, "events").select("event_id", iso_timestamp("ts").alias("ts_iso"))
+
+
+@query("client_key", D.with_(D.REQUESTS) + f"""SELECT event_id,
+  CASE WHEN starts_with(coalesce(auth_header, ''), 'Bearer ') THEN substring(auth_header, 8, 13)
+       WHEN coalesce(forwarded_for, '') <> '' THEN {D.strip("split_part(forwarded_for, ',', 1)")}
+       ELSE coalesce(host, 'unknown') END AS client_key FROM requests_t""")
+def q_client_key(spark, sf):
+    r = FX.requests(spark, sf)
+    return r.select("event_id", registry.client_key(F.col("auth_header"), F.col("forwarded_for"),
+                                                    F.col("host")).alias("client_key"))
+
+
+@query("api_key_hash", "SELECT s_suppkey AS endpoint_id, sha256(s_name) AS key_hash FROM supplier")
+def q_api_key_hash(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("endpoint_id"),
+                                               sha256_hex("s_name").alias("key_hash"))
+
+
+@query("dataset_ready_gate", D.with_(D.RUNS, D.DATASETS) + """SELECT r.id AS run_id, r.dataset_id,
+  CASE WHEN d.id IS NULL THEN 'not_found' WHEN d.status IS NOT NULL AND d.status <> 'ready' THEN 'not_ready'
+       ELSE 'ok' END AS verdict
+FROM runs_t r LEFT JOIN datasets_t d ON d.id = r.dataset_id""")
+def q_gate(spark, sf):
+    return registry.dataset_ready_gate(FX.training_runs(spark, sf), FX.datasets(spark, sf))
+
+
+_ACTIONS = ["pause", "resume", "cancel"]
+
+
+@query("status_transition_guard", D.with_(D.RUNS, D.ENDPOINTS) + f"""SELECT id, action, status,
+  CASE action WHEN 'pause' THEN status = 'training' WHEN 'resume' THEN status = 'paused'
+    WHEN 'cancel' THEN status NOT IN ('completed', 'cancelled', 'failed')
+    WHEN 'stop' THEN status NOT IN ('stopped', 'failed') ELSE false END AS allowed,
+  CASE WHEN CASE action WHEN 'pause' THEN status = 'training' WHEN 'resume' THEN status = 'paused'
+    WHEN 'cancel' THEN status NOT IN ('completed', 'cancelled', 'failed')
+    WHEN 'stop' THEN status NOT IN ('stopped', 'failed') ELSE false END THEN 'ok' ELSE 'bad_status' END AS verdict
+FROM (SELECT 'run' AS kind, id, {D.lst(_ACTIONS)}[project_id % 3 + 1] AS action, status FROM runs_t
+      UNION ALL SELECT 'endpoint', id, 'stop', status FROM endpoints_t)""")
+def q_guard(spark, sf):
+    runs = FX.training_runs(spark, sf)
+    run_req = runs.select("id", F.get(F.array(*[F.lit(a) for a in _ACTIONS]), (F.col("project_id") % 3).cast("int"))
+                          .alias("action"))
+    eps = FX.endpoints(spark, sf)
+    ep_req = eps.select("id", F.lit("stop").alias("action"))
+    a = registry.status_transition_guard(run_req, runs.select("id", "status"))
+    b = registry.status_transition_guard(ep_req, eps.select("id", "status"))
+    return a.unionByName(b)
+
+
+# ================================================================ metrics and logs
+
+
+@query("metrics_step_range", D.with_(D.RUNS, D.METRICS) + """SELECT m.run_id, CAST(m.step AS BIGINT) AS step, m.loss, m.val_loss
+FROM metrics_t m JOIN runs_t r ON r.id = m.run_id
+WHERE m.step >= 20 + (r.id % 3) * 10 AND (r.id % 2 = 0 OR m.step <= 60)""")
+def q_metric_range(spark, sf):
+    runs = FX.training_runs(spark, sf)
+    ranges = runs.select(F.col("id").alias("run_id"), (20 + (F.col("id") % 3) * 10).alias("from_step"),
+                         F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(60)).alias("to_step"))
+    m = FX.run_metrics(spark, sf)
+    return registry.metrics_step_range(m, ranges).select("run_id", "step", "loss", "val_loss")
+
+
+@query("run_log_lines", D.with_(D.METRICS) + f"""SELECT run_id, CAST(step AS BIGINT) AS step,
+  'Step ' || CAST(step AS VARCHAR) || ' — loss: ' || {D.fixed4('loss')} ||
+  CASE WHEN val_loss IS NOT NULL AND val_loss <> 0 THEN ', val_loss: ' || {D.fixed4('val_loss')} ELSE '' END AS message
+FROM metrics_t WHERE loss IS NOT NULL""")
+def q_log_lines(spark, sf):
+    return registry.run_log_lines(FX.run_metrics(spark, sf))
+
+
+# ================================================================ joins
+
+
+@query("resolve_endpoint", D.with_(D.ENDPOINTS, D.MODELS) + """, top AS (
+  SELECT * FROM endpoints_t ORDER BY created_at DESC, id DESC LIMIT 50),
+cand AS (SELECT t.id AS endpoint_id, t.model_id, t.created_at AS ts, m.name, CAST(m.id AS VARCHAR) AS mid, m.base_model
+         FROM top t JOIN models_t m ON m.id = t.model_id WHERE t.status = 'running'),
+keys AS (SELECT DISTINCT endpoint_id, model_id, ts, k FROM (
+           SELECT endpoint_id, model_id, ts, name AS k FROM cand UNION ALL
+           SELECT endpoint_id, model_id, ts, mid FROM cand UNION ALL
+           SELECT endpoint_id, model_id, ts, base_model FROM cand) WHERE k IS NOT NULL),
+req AS (SELECT p_partkey AS request_id,
+          CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE CAST(p_partkey AS VARCHAR) END AS model
+        FROM part)
+SELECT request_id, model, endpoint_id, model_id FROM (
+  SELECT r.request_id, r.model, k.endpoint_id, k.model_id,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY k.ts DESC NULLS LAST, k.endpoint_id DESC NULLS LAST) AS rn
+  FROM req r LEFT JOIN keys k ON k.k = r.model) WHERE rn = 1""")
+def q_resolve(spark, sf):
+    p = table(spark, sf, "part")
+    req = p.select(F.col("p_partkey").alias("request_id"),
+                   F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.col("p_type"))
+                   .otherwise(F.col("p_partkey").cast("string")).alias("model"))
+    return registry.resolve_endpoint(req, FX.endpoints(spark, sf), FX.models(spark, sf))
+
+
+@query("model_endpoint_lookup", D.with_(D.ENDPOINTS) + """SELECT model_id, id AS endpoint_id FROM (
+  SELECT * FROM endpoints_t ORDER BY created_at DESC, id DESC LIMIT 50)
+QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY created_at DESC, id DESC) = 1""")
+def q_model_endpoint(spark, sf):
+    return registry.model_endpoint_lookup(FX.endpoints(spark, sf))
+
+
+@query("verify_api_key", D.with_(D.API_KEYS) + """, req AS (
+  SELECT s_suppkey AS request_id, s_suppkey AS endpoint_id,
+         CASE WHEN s_suppkey % 3 = 0 THEN 'wrong-' || s_name ELSE s_name END AS api_key FROM supplier)
+SELECT r.request_id, r.endpoint_id, EXISTS (SELECT 1 FROM api_keys_t k WHERE k.endpoint_id = r.endpoint_id
+  AND k.key_hash = sha256(r.api_key) AND k.revoked_at IS NULL) AS valid FROM req r""")
+def q_verify(spark, sf):
+    s = table(spark, sf, "supplier")
+    req = s.select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("endpoint_id"),
+                   F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("wrong-"), F.col("s_name")))
+                   .otherwise(F.col("s_name")).alias("api_key"))
+    return registry.verify_api_key(req, FX.api_keys(spark, sf))
+
+
+@query("run_detail", D.with_(D.RUNS, D.CHECKPOINTS) + """SELECT r.id, r.status, c.id AS checkpoint_id,
+  CAST(c.step AS BIGINT) AS checkpoint_step FROM runs_t r LEFT JOIN ckpt_t c ON c.run_id = r.id""")
+def q_run_detail(spark, sf):
+    return registry.run_detail(FX.training_runs(spark, sf), FX.checkpoints(spark, sf)).select(
+        "id", "status", "checkpoint_id", "checkpoint_step")
+
+
+@query("cascade_delete", D.with_(D.RUNS, D.CHECKPOINTS) + """SELECT c.id, c.run_id, CAST(c.step AS BIGINT) AS step
+FROM ckpt_t c WHERE c.run_id NOT IN (SELECT id FROM runs_t WHERE status = 'failed')""")
+def q_cascade(spark, sf):
+    deleted = FX.training_runs(spark, sf).filter(F.col("status") == "failed")
+    return registry.cascade_delete(FX.checkpoints(spark, sf), deleted, fk="run_id").select("id", "run_id", "step")
+
+
+@query("cascade_delete_metrics", D.with_(D.RUNS, D.METRICS) + """SELECT m.run_id, CAST(m.step AS BIGINT) AS step
+FROM metrics_t m WHERE m.run_id NOT IN (SELECT id FROM runs_t WHERE status = 'failed')""")
+def q_cascade_metrics(spark, sf):
+    deleted = FX.training_runs(spark, sf).filter(F.col("status") == "failed")
+    return registry.cascade_delete(FX.run_metrics(spark, sf), deleted, fk="run_id").select("run_id", "step")
+
+
+@query("delete_restrict", D.with_(D.RUNS, D.DATASETS) + """SELECT d.id FROM datasets_t d
+WHERE d.status = 'failed' AND EXISTS (SELECT 1 FROM runs_t r WHERE r.dataset_id = d.id)""")
+def q_restrict(spark, sf):
+    deleted = FX.datasets(spark, sf).filter(F.col("status") == "failed")
+    return registry.delete_restrict(deleted, FX.training_runs(spark, sf), fk="dataset_id").select("id")
+
+
+@query("upsert_registry", D.with_(D.DATASETS) + """, changes AS (
+  SELECT id, project_id, name, 'ready' AS status FROM datasets_t WHERE status = 'failed'
+  UNION ALL SELECT 1000000000 + s_suppkey, CAST(s_nationkey AS BIGINT), s_name, 'uploading' FROM supplier)
+SELECT id, project_id, name, status FROM datasets_t WHERE id NOT IN (SELECT id FROM changes)
+UNION ALL SELECT * FROM changes""")
+def q_upsert(spark, sf):
+    cur = FX.datasets(spark, sf).select("id", F.col("project_id").cast("bigint").alias("project_id"), "name", "status")
+    fixed = cur.filter(F.col("status") == "failed").withColumn("status", F.lit("ready"))
+    s = table(spark, sf, "supplier")
+    new = s.select((F.lit(1_000_000_000) + F.col("s_suppkey")).alias("id"),
+                   F.col("s_nationkey").cast("bigint").alias("project_id"), F.col("s_name").alias("name"),
+                   F.lit("uploading").alias("status"))
+    return registry.upsert_registry(cur, fixed.unionByName(new))
+
+
+# ================================================================ state folds
+
+
+@query("run_current_state", D.with_(D.RUN_EVENTS) + """SELECT run_id,
+  arg_max(status, ord) FILTER (WHERE status IS NOT NULL) AS status,
+  arg_max(error_message, ord) FILTER (WHERE error_message IS NOT NULL) AS error_message,
+  CAST(arg_max(current_step, ord) FILTER (WHERE current_step IS NOT NULL) AS BIGINT) AS current_step,
+  CAST(arg_max(total_steps, ord) FILTER (WHERE total_steps IS NOT NULL) AS BIGINT) AS total_steps,
+  epoch_us(min(ts) FILTER (WHERE status = 'training')) AS started_us,
+  epoch_us(max(ts) FILTER (WHERE status IN ('completed', 'failed', 'cancelled'))) AS finished_us,
+  epoch_us(max(ts)) AS updated_us
+FROM rse_t GROUP BY run_id""")
+def q_run_state(spark, sf):
+    s = registry.run_current_state(FX.run_status_events(spark, sf))
+    return s.select("run_id", "status", "error_message", "current_step", "total_steps",
+                    F.unix_micros("started_at").alias("started_us"), F.unix_micros("finished_at").alias("finished_us"),
+                    F.unix_micros("updated_at").alias("updated_us"))
+
+
+@query("dataset_current_state", D.with_(D.DATASET_EVENTS) + """SELECT dataset_id,
+  arg_max(status, ord) FILTER (WHERE status IS NOT NULL) AS status,
+  arg_max(row_count, ord) FILTER (WHERE row_count IS NOT NULL) AS row_count,
+  arg_max_null(error_message, ord) FILTER (WHERE error_message IS NOT NULL OR kind = 'status') AS error_message,
+  epoch_us(max(ts)) AS updated_us
+FROM dsu_t GROUP BY dataset_id""")
+def q_dataset_state(spark, sf):
+    s = registry.dataset_current_state(FX.dataset_updates(spark, sf))
+    return s.select("dataset_id", "status", "row_count", "error_message", F.unix_micros("updated_at").alias("updated_us"))
+
+
+# ================================================================ checkpoints and listings
+
+
+@query("latest_checkpoint", D.with_(D.CHECKPOINTS) + """SELECT run_id, id, CAST(step AS BIGINT) AS step, is_best FROM ckpt_t
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY is_best DESC, step DESC, id DESC) = 1""")
+def q_latest_ckpt(spark, sf):
+    return registry.latest_checkpoint(FX.checkpoints(spark, sf)).select("run_id", "id", "step", "is_best")
+
+
+@query("checkpoint_retention", D.with_(D.CHECKPOINTS) + """SELECT run_id, id, CAST(step AS BIGINT) AS step FROM ckpt_t
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step DESC, id DESC) <= 3""")
+def q_retention(spark, sf):
+    return registry.checkpoint_retention(FX.checkpoints(spark, sf), 3).select("run_id", "id", "step")
+
+
+@query("best_checkpoint", D.with_(D.CHECKPOINTS) + """SELECT run_id, id, CAST(step AS BIGINT) AS step FROM ckpt_t
+WHERE is_best QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step, id) = 1""")
+def q_best(spark, sf):
+    return registry.best_checkpoint(FX.checkpoints(spark, sf)).select("run_id", "id", "step")
+
+
+@query("list_checkpoints", D.with_(D.CHECKPOINTS) + """SELECT run_id, id, CAST(step AS BIGINT) AS step,
+  row_number() OVER (PARTITION BY run_id ORDER BY step, id) AS rank FROM ckpt_t""")
+def q_list_ckpt(spark, sf):
+    c = FX.checkpoints(spark, sf)
+    return registry.page_by_group(c, "run_id", ts="step", offset=0, limit=None, newest_first=False).select(
+        "run_id", "id", "step", "rank")
+
+
+@query("list_datasets", D.with_(D.DATASETS) + """SELECT project_id, id, rank FROM (
+  SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank
+  FROM datasets_t) WHERE rank <= 50""")
+def q_list_datasets(spark, sf):
+    return registry.page_by_group(FX.datasets(spark, sf), "project_id", offset=0, limit=50).select(
+        "project_id", "id", "rank")
+
+
+@query("list_training_runs", D.with_(D.RUNS) + """SELECT CAST(project_id AS BIGINT) AS project_id, id, rank FROM (
+  SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank
+  FROM runs_t WHERE status = 'completed') WHERE rank > 20 AND rank <= 40""")
+def q_list_runs(spark, sf):
+    runs = FX.training_runs(spark, sf).filter(F.col("status") == "completed")
+    page, limit = 2, 20
+    return registry.page_by_group(runs, "project_id", offset=(page - 1) * limit, limit=limit).select(
+        "project_id", "id", "rank")
+
+
+@query("list_models", D.with_(D.MODELS) + """SELECT CAST(project_id AS BIGINT) AS project_id, id, rank FROM (
+  SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank
+  FROM models_t) WHERE rank <= 50""")
+def q_list_models(spark, sf):
+    return registry.page_by_group(FX.models(spark, sf), "project_id", offset=0, limit=50).select(
+        "project_id", "id", "rank")
+
+
+@query("list_endpoints", D.with_(D.ENDPOINTS) + """SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS rank
+FROM endpoints_t ORDER BY created_at DESC, id DESC LIMIT 50""")
+def q_list_endpoints(spark, sf):
+    return registry.page_by_group(FX.endpoints(spark, sf), None, offset=0, limit=50).select("id", "rank")
+
+
+# ================================================================ rate limits
+
+# Test-scale limits (the real 30/min never triggers on this data): 2 per 6 h, then 4 per 48 h.
+W1_US, W1_MAX = 6 * 3600 * 1_000_000, 2
+W2_US, W2_MAX = 48 * 3600 * 1_000_000, 4
+
+_RL_SQL = D.with_(D.REQUESTS) + f""", m AS (
+  SELECT event_id, client, us,
+         count(*) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN {W1_US - 1} PRECEDING AND CURRENT ROW) - 1 AS m_prior,
+         min(us) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN {W1_US - 1} PRECEDING AND CURRENT ROW) AS m_oldest
+  FROM requests_t),
+h AS (
+  SELECT event_id, client, us,
+         count(*) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN {W2_US - 1} PRECEDING AND CURRENT ROW) - 1 AS h_prior,
+         min(us) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN {W2_US - 1} PRECEDING AND CURRENT ROW) AS h_oldest
+  FROM m WHERE m_prior < {W1_MAX}),
+v AS (
+  SELECT event_id, 'minute' AS verdict, greatest(CAST(floor(({W1_US} - (us - m_oldest)) / 1000000) AS BIGINT), 1) AS retry_after
+  FROM m WHERE m_prior >= {W1_MAX}
+  UNION ALL
+  SELECT event_id, CASE WHEN h_prior < {W2_MAX} THEN 'ok' ELSE 'hour' END,
+         CASE WHEN h_prior >= {W2_MAX} THEN greatest(CAST(floor(({W2_US} - (us - h_oldest)) / 1000000) AS BIGINT), 1) END
+  FROM h)
+"""
+
+
+def _two_tier(spark, sf):
+    r = FX.requests(spark, sf).select("event_id", "client", "us")
+    return limits.rate_limit_two_tier(r, minute_us=W1_US, per_minute=W1_MAX, hour_us=W2_US, per_hour=W2_MAX)
+
+
+@query("rate_limit_window", D.with_(D.REQUESTS) + f"""SELECT event_id,
+  count(*) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN {W1_US - 1} PRECEDING AND CURRENT ROW) - 1 AS prior_count,
+  count(*) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN {W1_US - 1} PRECEDING AND CURRENT ROW) - 1 < {W1_MAX} AS allowed
+FROM requests_t""")
+def q_rl_window(spark, sf):
+    r = FX.requests(spark, sf).select("event_id", "client", "us")
+    return limits.rate_limit_window(r, window_us=W1_US, max_requests=W1_MAX).select("event_id", "prior_count", "allowed")
+
+
+@query("rate_limit_two_tier", _RL_SQL + "SELECT event_id, verdict FROM v")
+def q_rl_two_tier(spark, sf):
+    return _two_tier(spark, sf).select("event_id", "verdict")
+
+
+@query("rate_limit_retry_after", _RL_SQL + "SELECT event_id, verdict, retry_after FROM v WHERE verdict <> 'ok'")
+def q_rl_retry(spark, sf):
+    return _two_tier(spark, sf).filter(F.col("verdict") != "ok").select("event_id", "verdict", "retry_after")
+
+
+# ================================================================ formatting and tokens
+
+
+@query("instruction_format", D.with_(D.PAIRS) + """SELECT conv_id, turn, system, "user", assistant FROM pairs_t
+WHERE length("user") > 0 AND length(assistant) > 0""")
+def q_instruction(spark, sf):
+    pairs = FX.instruction_rows(spark, sf)
+    return formatting.instruction_format(pairs, system_column="system", user_column="user",
+                                         assistant_column="assistant", keep=["conv_id", "turn"])
+
+
+@query("chat_template_render", D.with_(D.PAIRS) + """SELECT conv_id, turn,
+  concat_ws(chr(10), CASE WHEN system IS NOT NULL THEN '<|system|>' || chr(10) || system END,
+            '<|user|>' || chr(10) || "user", '<|assistant|>' || chr(10) || assistant || '<|end|>') AS text
+FROM pairs_t WHERE length("user") > 0 AND length(assistant) > 0""")
+def q_render(spark, sf):
+    rows = formatting.instruction_format(FX.instruction_rows(spark, sf), system_column="system",
+                                         user_column="user", assistant_column="assistant", keep=["conv_id", "turn"])
+    return formatting.chat_template_render(rows, keep=["conv_id", "turn"])
+
+
+@query("token_estimate_dataset", """SELECT CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS total_chars,
+  CAST(floor((sum(length(text)) + count(*) - 1) / 4) AS BIGINT) AS est_tokens FROM documents""")
+def q_tok_dataset(spark, sf):
+    return tokens.token_estimate_dataset(docs(spark, sf), "text")
+
+
+@query("token_estimate_values", D.with_(D.PAIRS) + """SELECT CAST(sum(coalesce(floor(length(system) / 4), 0)
+  + floor(length("user") / 4) + floor(length(assistant) / 4)) AS BIGINT) AS est_tokens
+FROM pairs_t WHERE length("user") > 0 AND length(assistant) > 0""")
+def q_tok_values(spark, sf):
+    rows = formatting.instruction_format(FX.instruction_rows(spark, sf), system_column="system",
+                                         user_column="user", assistant_column="assistant")
+    return tokens.token_estimate_values(rows, ["system", "user", "assistant"])
+
+
+@query("token_count_bpe")
+def q_tok_bpe(spark, sf):
+    rows = formatting.instruction_format(FX.instruction_rows(spark, sf), system_column="system",
+                                         user_column="user", assistant_column="assistant")
+    return tokens.token_count_bpe(rows, ["system", "user", "assistant"], encoder="byte_bpe_50k")
+
+
+# ================================================================ packing and preview
+
+
+@query("sequence_packing", """WITH t AS (SELECT doc_id, CAST(floor(length(text) / 4) AS BIGINT) AS n_tokens FROM documents),
+c AS (SELECT doc_id, n_tokens, CAST(sum(n_tokens) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS token_end FROM t)
+SELECT doc_id, n_tokens, token_end - n_tokens AS token_start, token_end,
+  CAST(floor((token_end - n_tokens) / 2048) AS BIGINT) AS first_pack,
+  CAST(CASE WHEN n_tokens > 0 THEN floor((token_end - 1) / 2048) ELSE floor((token_end - n_tokens) / 2048) END AS BIGINT) AS last_pack
+FROM c""")
+def q_packing(spark, sf):
+    d = docs(spark, sf).select("doc_id", tokens.value_estimate("text").alias("n_tokens"))
+    return ordinal.sequence_packing(d, "doc_id", "n_tokens", context_length=2048).select(
+        "doc_id", "n_tokens", "token_start", "token_end", "first_pack", "last_pack")
+
+
+@query("pack_summary", """WITH t AS (SELECT doc_id, CAST(floor(length(text) / 4) AS BIGINT) AS n_tokens FROM documents),
+c AS (SELECT doc_id, n_tokens, sum(n_tokens) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n_tokens AS s FROM t WHERE TRUE),
+seg AS (SELECT s, s + n_tokens AS e, p FROM c, range(CAST(floor(s / 2048) AS BIGINT), CAST(floor((s + n_tokens - 1) / 2048) AS BIGINT) + 1) r(p)
+        WHERE n_tokens > 0)
+SELECT p AS pack_id, CAST(sum(least(e, (p + 1) * 2048) - greatest(s, p * 2048)) AS BIGINT) AS n_tokens,
+       count(*) AS n_segments FROM seg GROUP BY p""")
+def q_pack_summary(spark, sf):
+    d = docs(spark, sf).select("doc_id", tokens.value_estimate("text").alias("n_tokens"))
+    packed = ordinal.sequence_packing(d, "doc_id", "n_tokens", context_length=2048)
+    return ordinal.pack_summary(packed, "n_tokens", context_length=2048)
+
+
+PREVIEW_PAGE, PREVIEW_SIZE = 2, 50
+
+
+@query("preview_page", _FLAGSHIP_SQL + f""", cleaned AS (SELECT doc_id FROM r WHERE {D.ascii_ratio('text')} > 0.85),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_ord, count(*) OVER () AS total FROM cleaned)
+SELECT row_ord, doc_id, total FROM o WHERE row_ord >= {(PREVIEW_PAGE - 1) * PREVIEW_SIZE} AND row_ord < {PREVIEW_PAGE * PREVIEW_SIZE}""")
+def q_preview(spark, sf):
+    cleaned = flagship(spark, sf).select("doc_id")
+    return ordinal.preview_page(cleaned, "doc_id", page=PREVIEW_PAGE, page_size=PREVIEW_SIZE)

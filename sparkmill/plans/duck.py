@@ -157,7 +157,7 @@ API_KEYS = f"""api_keys_t AS (
 
 REQUESTS = """requests_t AS (
   SELECT event_id, user_id AS client, epoch_us(ts) AS us, ts, event_type,
-         CASE WHEN event_type = 'click' THEN 'Bearer sk-' || lpad(CAST(user_id AS VARCHAR), 16, '0') END AS authorization,
+         CASE WHEN event_type = 'click' THEN 'Bearer sk-' || lpad(CAST(user_id AS VARCHAR), 16, '0') END AS auth_header,
          CASE WHEN event_type IN ('view', 'purchase') THEN ' 10.0.' || CAST(user_id AS VARCHAR) || '.' ||
               CAST(event_id % 256 AS VARCHAR) || ' , 192.168.0.1' END AS forwarded_for,
          CASE WHEN event_type <> 'error' THEN '172.16.0.' || CAST(user_id AS VARCHAR) END AS host

@@ -178,7 +178,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(
         F.col("event_id"), F.col("user_id").alias("client"), F.unix_micros(F.col("ts")).alias("us"),
         F.col("ts"), et,
-        F.when(et == "click", F.concat(F.lit("Bearer sk-"), F.lpad(uid, 16, "0"))).alias("authorization"),
+        F.when(et == "click", F.concat(F.lit("Bearer sk-"), F.lpad(uid, 16, "0"))).alias("auth_header"),
         F.when(et.isin("view", "purchase"), F.concat(F.lit(" 10.0."), uid, F.lit("."),
                                                      (F.col("event_id") % 256).cast("string"),
                                                      F.lit(" , 192.168.0.1"))).alias("forwarded_for"),
