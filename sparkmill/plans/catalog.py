@@ -781,3 +781,111 @@ SELECT row_ord, doc_id, total FROM o WHERE row_ord >= {(PREVIEW_PAGE - 1) * PREV
 def q_preview(spark, sf):
     cleaned = flagship(spark, sf).select("doc_id")
     return ordinal.preview_page(cleaned, "doc_id", page=PREVIEW_PAGE, page_size=PREVIEW_SIZE)
+
+
+# ================================================================ streaming
+# Inputs are written by Spark from the tables into the shared scratch folder
+# as several files; streams read them one file per micro-batch.
+
+from ..streaming import cleaning as stream_cleaning  # noqa: E402
+from ..streaming import limiter as stream_limiter  # noqa: E402
+from ..streaming import metrics as stream_metrics  # noqa: E402
+from ..streaming.runner import read_stream, run_append, write_stream_files  # noqa: E402
+
+
+def _metric_envelopes(spark, sf) -> DataFrame:
+    """Published messages: log/evaluation JSON, plus a plain-text note where a step logged no loss."""
+    m = FX.run_metrics(spark, sf).withColumn("total_steps", F.when(F.col("run_id") % 2 == 0, F.lit(70)).otherwise(F.lit(0)))
+    msgs = stream_metrics.metric_messages(m)
+    notes = m.filter(F.col("loss").isNull()).select(
+        stream_metrics.channel_of(F.col("run_id")).alias("channel"), (F.col("step") * 2 + 1000).cast("bigint").alias("seq"),
+        F.concat(F.lit("step "), F.col("step").cast("string"), F.lit(" produced no loss")).alias("payload"))
+    return msgs.unionByName(notes)
+
+
+def _metric_stream(spark, sf) -> DataFrame:
+    path = write_stream_files(_metric_envelopes(spark, sf), "metric-msgs", files=5, order_col="seq")
+    return stream_metrics.parse_messages(read_stream(spark, path, stream_metrics.ENVELOPE_SCHEMA))
+
+
+_MSG_SQL = D.with_(D.METRICS) + """, msgs AS (
+  SELECT 'training:' || CAST(run_id AS VARCHAR) || ':metrics' AS channel, CAST(step * 2 AS BIGINT) AS seq, 'log' AS kind,
+         run_id, CAST(step AS BIGINT) AS step, loss, CAST(NULL AS DOUBLE) AS val_loss FROM metrics_t
+  UNION ALL
+  SELECT 'training:' || CAST(run_id AS VARCHAR) || ':metrics', CAST(step * 2 + 1 AS BIGINT), 'evaluation',
+         run_id, CAST(step AS BIGINT), NULL, val_loss FROM metrics_t WHERE val_loss IS NOT NULL
+  UNION ALL
+  SELECT 'training:' || CAST(run_id AS VARCHAR) || ':metrics', CAST(step * 2 + 1000 AS BIGINT), 'text',
+         NULL, NULL, NULL, NULL FROM metrics_t WHERE loss IS NULL)
+"""
+
+
+@query("metric_stream", _MSG_SQL + "SELECT channel, seq, kind, run_id, step, loss, val_loss FROM msgs")
+def q_metric_stream(spark, sf):
+    out = run_append(_metric_stream(spark, sf), "metric-stream-out")
+    return out.select("channel", "seq", "kind", "run_id", "step", "loss", "val_loss")
+
+
+@query("metric_stream_per_run", D.with_(D.RUNS) + "," + _MSG_SQL.removeprefix("WITH ") + """SELECT r.id AS subscriber, m.seq, m.kind
+FROM msgs m JOIN runs_t r ON m.channel = 'training:' || CAST(r.id AS VARCHAR) || ':metrics'
+WHERE r.status IN ('training', 'paused')""")
+def q_metric_per_run(spark, sf):
+    subs = FX.training_runs(spark, sf).filter(F.col("status").isin("training", "paused")).select(
+        F.col("id").alias("subscriber"), stream_metrics.channel_of(F.col("id")).alias("channel"))
+    routed = _metric_stream(spark, sf).join(subs, "channel")  # stream-static equi-join
+    return run_append(routed.select("subscriber", "seq", "kind"), "metric-per-run-out")
+
+
+@query("metric_sink", D.with_(D.METRICS) + "SELECT run_id, CAST(step AS BIGINT) AS step, loss FROM metrics_t")
+def q_metric_sink(spark, sf):
+    out = stream_metrics.persist_log_metrics(_metric_stream(spark, sf), "metric-sink")
+    return spark.read.parquet(out).select("run_id", "step", "loss")
+
+
+@query("run_progress_stream", D.with_(D.METRICS) + """SELECT run_id, CAST(max(step) AS BIGINT) AS current_step,
+  CAST(CASE WHEN run_id % 2 = 0 THEN 70 END AS BIGINT) AS total_steps FROM metrics_t GROUP BY run_id""")
+def q_run_progress(spark, sf):
+    return stream_metrics.run_progress(_metric_stream(spark, sf), "run-progress").select(
+        "run_id", "current_step", "total_steps")
+
+
+def _controls(spark, sf) -> DataFrame:
+    runs = FX.training_runs(spark, sf).filter(F.col("status").isin("training", "paused", "cancelled"))
+    first = runs.select(F.col("id").alias("run_id"), F.lit(1).cast("bigint").alias("seq"), F.lit("pause").alias("action"))
+    second = runs.filter(F.col("status") != "paused").select(
+        F.col("id").alias("run_id"), F.lit(2).cast("bigint").alias("seq"),
+        F.when(F.col("status") == "cancelled", "cancel").otherwise("resume").alias("action"))
+    both = first.unionByName(second)
+    return both.withColumn("ts", F.timestamp_seconds(F.lit(FX.EPOCH_2024) + F.col("run_id") * 10 + F.col("seq")))
+
+
+@query("control_events", D.with_(D.RUNS) + """SELECT id AS run_id,
+  CASE status WHEN 'training' THEN 'training' WHEN 'paused' THEN 'paused' ELSE 'cancelled' END AS status
+FROM runs_t WHERE status IN ('training', 'paused', 'cancelled')""")
+def q_control(spark, sf):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+    schema = StructType([StructField("run_id", LongType()), StructField("seq", LongType()),
+                         StructField("action", StringType()), StructField("ts", TimestampType())])
+    path = write_stream_files(_controls(spark, sf), "controls", files=4, order_col="seq")
+    state = stream_metrics.control_state_stream(read_stream(spark, path, schema), "control-state")
+    return state.select("run_id", "status")
+
+
+@query("rate_limit_stream", _RL_SQL + "SELECT event_id, verdict, retry_after FROM v")
+def q_rl_stream(spark, sf):
+    from pyspark.sql.types import LongType, StructField, StructType
+    r = FX.requests(spark, sf).select("event_id", "client", "us")
+    schema = StructType([StructField("event_id", LongType()), StructField("client", LongType()),
+                         StructField("us", LongType())])
+    path = write_stream_files(r, "requests", files=5, order_col="us", in_order=True)
+    s = stream_limiter.rate_limit_stream(read_stream(spark, path, schema), minute_us=W1_US, per_minute=W1_MAX,
+                                         hour_us=W2_US, per_hour=W2_MAX)
+    return run_append(s, "rate-limit-out").select("event_id", "verdict", "retry_after")
+
+
+@query("cleaning_stream", _FLAGSHIP_SQL + f"SELECT text FROM r WHERE {D.ascii_ratio('text')} > 0.85")
+def q_cleaning_stream(spark, sf):
+    d = docs(spark, sf).select("doc_id", "lang", "text")
+    path = write_stream_files(d, "docs-stream", files=5, order_col="doc_id")
+    out = stream_cleaning.run_stream_pipeline(read_stream(spark, path, d.schema), FLAGSHIP_NODES)
+    return run_append(out, "cleaning-stream-out").select("text")
