@@ -94,15 +94,22 @@ def preview_page(df: DataFrame, order_col: str, *, page: int = 1, page_size: int
 
     Pass one counts rows per key range (a partial aggregate over the key
     column only); pass two keeps just the ranges overlapping the page, so only
-    those rows are ever sorted.  The total is the sum of the range counts.
+    those rows are ever sorted.  The total is the sum of the same range counts
+    (one shared exchange).
     """
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size must be positive")
     lo, hi = (page - 1) * page_size, page * page_size
-    staged = df.withColumn("__one", F.lit(1).cast("bigint"))
-    rows = running_total(staged, order_col, "__one", bucket_rows=bucket_rows, before="row_ord", after="__incl",
-                         keep_buckets=lambda off, tot: (off < hi) & (off + tot > lo))
-    rows = rows.filter((F.col("row_ord") >= lo) & (F.col("row_ord") < hi)).drop("__one", "__incl")
-    total = staged.agg(F.count(F.lit(1)).alias("total")).withColumn("__k", F.lit(1))
+    staged = df.withColumn("__bucket", F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("bigint")) \
+        .withColumn("__one", F.lit(1).cast("bigint"))
+    offsets = _bucket_offsets(staged, "__one")
+    wanted = offsets.filter((F.col("__off") < hi) & (F.col("__off") + F.col("__tot") > lo))
+    # One row per key range: bounded by (key span / bucket_rows), so a broadcast is safe.
+    joined = staged.join(F.broadcast(wanted.select("__bucket", "__off")), "__bucket")
+    w = Window.partitionBy("__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    rows = (joined.withColumn("row_ord", (F.col("__off") + F.sum("__one").over(w) - 1).cast("bigint"))
+            .filter((F.col("row_ord") >= lo) & (F.col("row_ord") < hi))
+            .drop("__bucket", "__one", "__off"))
+    total = offsets.agg(F.sum("__tot").cast("bigint").alias("total")).withColumn("__k", F.lit(1))
     # ``total`` is one row: broadcasting it is bounded by construction.
     return rows.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k").drop("__k")

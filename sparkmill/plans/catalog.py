@@ -779,7 +779,12 @@ PREVIEW_PAGE, PREVIEW_SIZE = 2, 50
 o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_ord, count(*) OVER () AS total FROM cleaned)
 SELECT row_ord, doc_id, total FROM o WHERE row_ord >= {(PREVIEW_PAGE - 1) * PREVIEW_SIZE} AND row_ord < {PREVIEW_PAGE * PREVIEW_SIZE}""")
 def q_preview(spark, sf):
-    cleaned = flagship(spark, sf).select("doc_id")
+    # As in the reference, the preview reads the stored (cleaned) dataset: the
+    # pipeline output is written once to the shared folder, then paged.
+    from ..session import scratch_path
+    path = scratch_path(spark, "cleaned")
+    flagship(spark, sf).write.parquet(path)
+    cleaned = spark.read.parquet(path).select("doc_id")
     return ordinal.preview_page(cleaned, "doc_id", page=PREVIEW_PAGE, page_size=PREVIEW_SIZE)
 
 

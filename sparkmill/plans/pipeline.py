@@ -41,18 +41,43 @@ def _resolve(node: dict) -> tuple[NodeFn, dict]:
     return fn, dict(node.get("params") or {})
 
 
+# Nodes whose output columns are expensive to recompute.  Catalyst pushes a
+# later row filter through a projection by inlining the projected expression,
+# so a language filter after redaction would run the whole regex chain once per
+# reference (three times per row).  A non-deterministic marker column stops
+# that pushdown: later filters then read the redacted text as a computed
+# column.  The marker never reaches a dedup (it would join the row identity)
+# and is dropped at the end.
+EXPENSIVE_NODES = {"pii_redact"}
+_FENCE = "__fence"
+
+
+def _fence(df: DataFrame) -> DataFrame:
+    return df if _FENCE in df.columns else df.withColumn(_FENCE, F.spark_partition_id())
+
+
+def _unfence(df: DataFrame) -> DataFrame:
+    # The marker must stay referenced up to here, or column pruning removes
+    # it before predicate pushdown runs; the partition id is never negative.
+    return df.filter(F.col(_FENCE) >= 0).drop(_FENCE) if _FENCE in df.columns else df
+
+
 def run_pipeline(df: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> DataFrame:
     """Apply the nodes in order; unknown node types raise, extra params are ignored."""
-    steps = [_resolve(n) for n in nodes]  # validate everything before building
-    return reduce(lambda d, s: s[0](d, order_col=order_col, **s[1]), steps, df)
+    steps = [(n.get("node_type", ""),) + _resolve(n) for n in nodes]  # validate everything before building
+    out = df
+    for node_type, fn, params in steps:
+        if node_type == "dedup":
+            out = _unfence(out)
+        out = fn(out, order_col=order_col, **params)
+        if node_type in EXPENSIVE_NODES:
+            out = _fence(out)
+    return _unfence(out)
 
 
 def pipeline_stages(df: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> list[DataFrame]:
     """The frame after each node (index 0 is the input)."""
-    out = [df]
-    for fn, params in (_resolve(n) for n in nodes):
-        out.append(fn(out[-1], order_col=order_col, **params))
-    return out
+    return [run_pipeline(df, nodes[:i], order_col=order_col) for i in range(len(nodes) + 1)]
 
 
 def cleaning_report(df: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> DataFrame:

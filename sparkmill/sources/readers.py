@@ -43,24 +43,33 @@ def parse_json_lines(lines: DataFrame, line_col: str = "line", *, flatten_arrays
     """Lines to JSON-object records (``record`` VARIANT); everything else is dropped.
 
     With ``flatten_arrays`` a line holding a JSON array contributes each of its
-    object elements as a record (``elem`` gives the position, 0 for non-array
-    lines).  Blank, malformed, scalar, ``NaN`` and duplicate-key lines yield no
-    record.
+    object elements as a record (``elem`` gives the element's position, 0 for
+    non-array lines).  Blank, malformed, scalar, ``NaN`` and duplicate-key lines
+    yield no record.
+
+    Parsing and dropping happen in one generator: each line becomes an array
+    of 0..n records that is exploded.  (A ``filter`` on the parsed value would
+    be pushed below the projection and parse every line twice.)
     """
     s = py_strip(F.col(line_col))
     others = [c for c in lines.columns if c != line_col]
-    parsed = lines.select(*others, s.alias("__s"), F.try_parse_json(s).alias("__v"))
-    if not flatten_arrays:
-        # A line that parses and starts with "{" is an object: no need to
-        # compute the value's schema.
-        return (parsed.filter(F.col("__v").isNotNull() & F.col("__s").startswith("{"))
-                .select(*others, F.col("__v").alias("record")))
-    is_array = F.col("__s").startswith("[")
-    elems = F.when(is_array, F.expr("cast(__v as array<variant>)")).otherwise(F.array(F.col("__v")))
-    exploded = (parsed.filter(F.col("__v").isNotNull() & (F.col("__s").startswith("{") | is_array))
-                .select(*others, is_array.alias("__arr"), F.posexplode(elems).alias("elem", "record")))
-    keep = F.when(F.col("__arr"), F.schema_of_variant(F.col("record")).startswith("OBJECT")).otherwise(True)
-    return exploded.filter(F.col("record").isNotNull() & keep).drop("__arr")
+    cell = F.array(F.struct(s.alias("s"), F.try_parse_json(s).alias("v")))
+    empty = F.array().cast("array<struct<elem:int,record:variant>>")
+
+    def records(x):
+        single = F.array(F.struct(F.lit(0).alias("elem"), x["v"].alias("record")))
+        out = F.when(x["v"].isNull(), empty).when(x["s"].startswith("{"), single)
+        if flatten_arrays:
+            elems = F.transform(x["v"].cast("array<variant>"),
+                                lambda e, i: F.struct(i.alias("elem"), e.alias("record")))
+            objects = F.filter(elems, lambda t: F.schema_of_variant(t["record"]).startswith("OBJECT"))
+            out = out.when(x["s"].startswith("["), objects)
+        return out.otherwise(empty)
+
+    recs = F.flatten(F.transform(cell, records))
+    exploded = lines.select(*others, F.explode(recs).alias("__r"))
+    cols = [*others, "__r.elem", "__r.record"] if flatten_arrays else [*others, "__r.record"]
+    return exploded.select(*cols)
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
