@@ -894,3 +894,60 @@ def q_cleaning_stream(spark, sf):
     path = write_stream_files(d, "docs-stream", files=5, order_col="doc_id")
     out = stream_cleaning.run_stream_pipeline(read_stream(spark, path, d.schema), FLAGSHIP_NODES)
     return run_append(out, "cleaning-stream-out").select("text")
+
+
+# ================================================================ whole files and inventories
+
+
+def _docs_as_files(spark, sf) -> str:
+    """Spark writes the documents as text files, one folder (and file) per source."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "doc-files")
+    (docs(spark, sf).select("source", "text").repartition("source")
+     .write.partitionBy("source").option("lineSep", "\n").text(path))
+    return path
+
+
+def _source_of_path(c: str) -> F.Column:
+    return F.regexp_extract(F.col(c), r"/source=([^/]+)/", 1)
+
+
+@query("read_whole_text", "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars "
+                          "FROM documents GROUP BY source")
+def q_whole_text(spark, sf):
+    whole = spark.read.text(_docs_as_files(spark, sf), wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    # A file holds its source's documents, each followed by the writer's line separator.
+    return whole.groupBy(_source_of_path("path").alias("source")).agg(
+        F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+
+
+@query("read_document_text", "SELECT source, CAST(sum(length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) + 1) "
+                             "AS BIGINT) AS n_chars FROM documents GROUP BY source")
+def q_document_text(spark, sf):
+    d = readers.read_document_text(spark, _docs_as_files(spark, sf), with_path=True)
+    return d.groupBy(_source_of_path("path").alias("source")).agg(
+        F.sum(F.length("content")).cast("bigint").alias("n_chars"))
+
+
+@query("artifact_inventory", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY source")
+def q_inventory(spark, sf):
+    inv = readers.artifact_inventory(spark, _docs_as_files(spark, sf))
+    return inv.groupBy(F.regexp_extract("relative_path", r"^source=([^/]+)/", 1).alias("source")).agg(
+        F.sum("size").cast("bigint").alias("n_bytes"))
+
+
+@query("resume_checkpoint", D.with_(D.RUNS, D.CHECKPOINTS) + """SELECT r.id AS run_id, c.s3_path AS resume_from FROM runs_t r
+LEFT JOIN (SELECT run_id, s3_path FROM ckpt_t
+           QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY is_best DESC, step DESC, id DESC) = 1) c
+  ON c.run_id = r.id
+WHERE r.status = 'paused'""")
+def q_resume_ckpt(spark, sf):
+    paused = FX.training_runs(spark, sf).filter(F.col("status") == "paused").select(F.col("id").alias("run_id"))
+    latest = registry.latest_checkpoint(FX.checkpoints(spark, sf)).select("run_id", F.col("s3_path").alias("resume_from"))
+    return paused.join(latest, "run_id", "left")
+
+
+@query("row_count", _FLAGSHIP_SQL + f"SELECT count(*) AS row_count FROM r WHERE {D.ascii_ratio('text')} > 0.85")
+def q_row_count(spark, sf):
+    return flagship(spark, sf).agg(F.count(F.lit(1)).alias("row_count"))

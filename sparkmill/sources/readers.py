@@ -134,19 +134,23 @@ def read_txt_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select("ord", py_strip(F.col("line")).alias("text")).filter(F.col("text") != "")
 
 
-def read_whole_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Each file as one record ``(source, text)``.
+def read_whole_text(spark: SparkSession, path: str | list[str], *, with_path: bool = False) -> DataFrame:
+    """Each file as one record ``(source, text)`` (``path`` too on request).
 
     The ``wholetext`` flag goes to ``text()`` itself: set only as an option it
     is reset by the method's own default.
     """
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
+    cols = [F.col("_metadata.file_name").alias("source"), F.col("value").alias("text")]
+    if with_path:
+        cols.append(F.col("_metadata.file_path").alias("path"))
+    return spark.read.text(path, wholetext=True).select(*cols)
 
 
-def read_document_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_document_text(spark: SparkSession, path: str | list[str], *, with_path: bool = False) -> DataFrame:
     """Plain-text/Markdown documents: whole file, universal newlines."""
-    return read_whole_text(spark, path).select("source", normalize_newlines(F.col("text")).alias("content"))
+    extra = ["path"] if with_path else []
+    return read_whole_text(spark, path, with_path=with_path).select(
+        "source", normalize_newlines(F.col("text")).alias("content"), *extra)
 
 
 # ---------------------------------------------------------------- dispatch
