@@ -44,8 +44,9 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+def docs(spark: SparkSession, sf: str, narrow: bool = False) -> DataFrame:
+    """The documents table; ``narrow`` for queries whose first stage is per-row text work."""
+    return table(spark, sf, "documents", narrow_work=narrow)
 
 
 # ================================================================ cleaning pipeline
@@ -105,7 +106,7 @@ def q_dedup_by_key(spark, sf):
 
 @query("length_filter", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 200 AND 5000")
 def q_length_filter(spark, sf):
-    return cleaning.length_filter(docs(spark, sf), min_length=200, max_length=5000).select("doc_id")
+    return cleaning.length_filter(docs(spark, sf, narrow=True), min_length=200, max_length=5000).select("doc_id")
 
 
 INCLUDE_PATTERN = "licen[cs]e|token"
@@ -115,28 +116,28 @@ EXCLUDE_PATTERN = "(mit|apache) license"
 @query("regex_filter_include",
        f"SELECT doc_id FROM documents WHERE regexp_matches(text, {D.q(INCLUDE_PATTERN)}, 'i')")
 def q_regex_include(spark, sf):
-    return cleaning.regex_filter(docs(spark, sf), pattern=INCLUDE_PATTERN, mode="include").select("doc_id")
+    return cleaning.regex_filter(docs(spark, sf, narrow=True), pattern=INCLUDE_PATTERN, mode="include").select("doc_id")
 
 
 @query("regex_filter_exclude",
        f"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, {D.q(EXCLUDE_PATTERN)}, 'i')")
 def q_regex_exclude(spark, sf):
-    return cleaning.regex_filter(docs(spark, sf), pattern=EXCLUDE_PATTERN, mode="exclude").select("doc_id")
+    return cleaning.regex_filter(docs(spark, sf, narrow=True), pattern=EXCLUDE_PATTERN, mode="exclude").select("doc_id")
 
 
 @query("language_filter_en", f"SELECT doc_id, lang FROM documents WHERE {D.ascii_ratio('text')} > 0.85")
 def q_language_en(spark, sf):
-    return cleaning.language_filter(docs(spark, sf), languages=["en"]).select("doc_id", "lang")
+    return cleaning.language_filter(docs(spark, sf, narrow=True), languages=["en"]).select("doc_id", "lang")
 
 
 @query("language_filter_passthrough", "SELECT doc_id FROM documents")
 def q_language_passthrough(spark, sf):
-    return cleaning.language_filter(docs(spark, sf), languages=["fr", "de"]).select("doc_id")
+    return cleaning.language_filter(docs(spark, sf, narrow=True), languages=["fr", "de"]).select("doc_id")
 
 
 @query("pii_redact", f"SELECT doc_id, {D.redact('text')} AS text FROM documents")
 def q_pii(spark, sf):
-    return cleaning.pii_redact(docs(spark, sf).select("doc_id", "text"), fields=["text"])
+    return cleaning.pii_redact(docs(spark, sf, narrow=True).select("doc_id", "text"), fields=["text"])
 
 
 # ================================================================ sections
@@ -147,7 +148,7 @@ _LINES_SQL = ("SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, x AS raw FROM do
 
 @query("page_text_cleanup", f"SELECT doc_id, {D.page_cleanup('text')} AS text FROM documents")
 def q_page_cleanup(spark, sf):
-    return docs(spark, sf).select("doc_id", sections.page_text_cleanup("text").alias("text"))
+    return docs(spark, sf, narrow=True).select("doc_id", sections.page_text_cleanup("text").alias("text"))
 
 
 def _chunk_sql(sep_regex: str, size: int) -> str:
@@ -169,12 +170,12 @@ SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, text, length(text) AS char_count
 
 @query("paragraph_chunk", _chunk_sql(sections.PARAGRAPH_BREAK, 1000))
 def q_chunk(spark, sf):
-    return sections.paragraph_chunk(docs(spark, sf).select("doc_id", "text"), chunk_size=1000)
+    return sections.paragraph_chunk(docs(spark, sf, narrow=True).select("doc_id", "text"), chunk_size=1000)
 
 
 @query("paragraph_chunk_lines", _chunk_sql("\n", 200))
 def q_chunk_lines(spark, sf):
-    return sections.paragraph_chunk(docs(spark, sf).select("doc_id", "text"), chunk_size=200, separator="\n")
+    return sections.paragraph_chunk(docs(spark, sf, narrow=True).select("doc_id", "text"), chunk_size=200, separator="\n")
 
 
 @query("heading_sections", f"""WITH l AS ({_LINES_SQL}),
@@ -190,7 +191,7 @@ SELECT b.doc_id, CAST(row_number() OVER (PARTITION BY b.doc_id ORDER BY b.grp) -
        coalesce(h.heading, 'Document') AS heading, b.text, length(b.text) AS char_count
 FROM bodies b LEFT JOIN heads h ON h.doc_id = b.doc_id AND h.grp = b.grp""")
 def q_headings(spark, sf):
-    return sections.heading_sections(docs(spark, sf).select("doc_id", "text"))
+    return sections.heading_sections(docs(spark, sf, narrow=True).select("doc_id", "text"))
 
 
 @query("table_rows_to_text", f"""WITH l AS ({_LINES_SQL}),
@@ -207,7 +208,7 @@ t AS (SELECT doc_id, tbl, string_agg(row_text, chr(10) ORDER BY line_no) AS text
       FROM cells GROUP BY doc_id, tbl)
 SELECT doc_id, CAST(tbl - 1 AS BIGINT) AS table_index, text, row_count, length(text) AS char_count FROM t""")
 def q_tables(spark, sf):
-    return sections.table_rows_to_text(docs(spark, sf).select("doc_id", "text"))
+    return sections.table_rows_to_text(docs(spark, sf, narrow=True).select("doc_id", "text"))
 
 
 @query("page_records", f"""WITH l AS ({_LINES_SQL}),
@@ -216,7 +217,7 @@ SELECT l.doc_id, l.line_no + 1 AS page, n.total_pages, {D.page_cleanup(D.strip('
        length({D.page_cleanup(D.strip('l.raw'))}) AS char_count
 FROM l JOIN n ON n.doc_id = l.doc_id WHERE {D.strip('l.raw')} <> ''""")
 def q_pages(spark, sf):
-    pages = sections.lines_as_pages(docs(spark, sf), "doc_id")
+    pages = sections.lines_as_pages(docs(spark, sf, narrow=True), "doc_id")
     return sections.page_records(pages, "doc_id", "page", "text", total_col="total_pages")
 
 
@@ -226,14 +227,14 @@ def q_pages(spark, sf):
 @query("read_txt_lines", f"""WITH l AS ({_LINES_SQL})
 SELECT doc_id, line_no, {D.strip('raw')} AS text FROM l WHERE {D.strip('raw')} <> ''""")
 def q_txt_lines(spark, sf):
-    return readers.text_lines(docs(spark, sf).select("doc_id", "text"))
+    return readers.text_lines(docs(spark, sf, narrow=True).select("doc_id", "text"))
 
 
 def _json_lines(spark, sf) -> DataFrame:
     """JSON text from events (one object per line) mixed with document lines (not JSON)."""
     ev = table(spark, sf, "events").select(F.lit("event").alias("src"), F.col("event_id").alias("ord"),
                                            F.lit(0).cast("bigint").alias("line_no"), F.col("props").alias("line"))
-    dl = docs(spark, sf).select(F.lit("doc").alias("src"), F.col("doc_id").alias("ord"),
+    dl = docs(spark, sf, narrow=True).select(F.lit("doc").alias("src"), F.col("doc_id").alias("ord"),
                                 F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return ev.unionByName(dl.withColumn("line_no", F.col("line_no").cast("bigint")))
 
@@ -279,7 +280,7 @@ def q_read_json_array_lines(spark, sf):
 def q_write_jsonl(spark, sf):
     from ..session import scratch_path
     path = scratch_path(spark, "docs-jsonl")
-    sinks.write_jsonl(docs(spark, sf).select("doc_id", "lang", "text"), path)
+    sinks.write_jsonl(docs(spark, sf, narrow=True).select("doc_id", "lang", "text"), path)
     recs = readers.read_jsonl(spark, path)
     return readers.records_as_columns(recs, {"doc_id": "bigint", "lang": "string", "text": "string"}).drop("ord")
 
@@ -288,7 +289,7 @@ def q_write_jsonl(spark, sf):
 def q_read_csv(spark, sf):
     from ..session import scratch_path
     path = scratch_path(spark, "docs-csv")
-    sinks.write_csv(docs(spark, sf).select("doc_id", "lang", "text"), path)
+    sinks.write_csv(docs(spark, sf, narrow=True).select("doc_id", "lang", "text"), path)
     return readers.read_csv(spark, path).drop("ord")
 
 
@@ -296,7 +297,7 @@ def q_read_csv(spark, sf):
 def q_convert_format(spark, sf):
     from ..session import scratch_path
     path = scratch_path(spark, "docs-csv")
-    sinks.write_csv(docs(spark, sf).select("doc_id", "lang", "text"), path)
+    sinks.write_csv(docs(spark, sf, narrow=True).select("doc_id", "lang", "text"), path)
     recs = readers.convert_format(spark, path, "csv")
     return readers.conversion_stats(recs).select("row_count")
 
@@ -308,7 +309,7 @@ SELECT k AS key, CASE json_type(j, '$.' || k) WHEN 'VARCHAR' THEN 'str' WHEN 'BI
   WHEN 'NULL' THEN 'NoneType' END AS type_name
 FROM f, unnest(json_keys(j)) AS t(k)""")
 def q_first_record_schema(spark, sf):
-    d = docs(spark, sf)
+    d = docs(spark, sf, narrow=True)
     lines = d.select(F.col("doc_id").alias("ord"),
                      F.to_json(F.struct("doc_id", "lang", "n_chars", "text")).alias("line"))
     return readers.first_record_schema(readers.parse_json_lines(lines))
@@ -809,7 +810,7 @@ def _metric_envelopes(spark, sf) -> DataFrame:
 
 
 def _metric_stream(spark, sf) -> DataFrame:
-    path = write_stream_files(_metric_envelopes(spark, sf), "metric-msgs", files=5, order_col="seq")
+    path = write_stream_files(_metric_envelopes(spark, sf), "metric-msgs", batches=5)
     return stream_metrics.parse_messages(read_stream(spark, path, stream_metrics.ENVELOPE_SCHEMA))
 
 
@@ -871,7 +872,7 @@ def q_control(spark, sf):
     from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
     schema = StructType([StructField("run_id", LongType()), StructField("seq", LongType()),
                          StructField("action", StringType()), StructField("ts", TimestampType())])
-    path = write_stream_files(_controls(spark, sf), "controls", files=4, order_col="seq")
+    path = write_stream_files(_controls(spark, sf), "controls", batches=2, order_col="seq", in_order=True)
     state = stream_metrics.control_state_stream(read_stream(spark, path, schema), "control-state")
     return state.select("run_id", "status")
 
@@ -882,7 +883,7 @@ def q_rl_stream(spark, sf):
     r = FX.requests(spark, sf).select("event_id", "client", "us")
     schema = StructType([StructField("event_id", LongType()), StructField("client", LongType()),
                          StructField("us", LongType())])
-    path = write_stream_files(r, "requests", files=5, order_col="us", in_order=True)
+    path = write_stream_files(r, "requests", batches=5, order_col="us", in_order=True)
     s = stream_limiter.rate_limit_stream(read_stream(spark, path, schema), minute_us=W1_US, per_minute=W1_MAX,
                                          hour_us=W2_US, per_hour=W2_MAX)
     return run_append(s, "rate-limit-out").select("event_id", "verdict", "retry_after")
@@ -891,7 +892,7 @@ def q_rl_stream(spark, sf):
 @query("cleaning_stream", _FLAGSHIP_SQL + f"SELECT text FROM r WHERE {D.ascii_ratio('text')} > 0.85")
 def q_cleaning_stream(spark, sf):
     d = docs(spark, sf).select("doc_id", "lang", "text")
-    path = write_stream_files(d, "docs-stream", files=5, order_col="doc_id")
+    path = write_stream_files(d, "docs-stream", batches=5, order_col="doc_id", in_order=True)
     out = stream_cleaning.run_stream_pipeline(read_stream(spark, path, d.schema), FLAGSHIP_NODES)
     return run_append(out, "cleaning-stream-out").select("text")
 

@@ -16,33 +16,37 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
-def write_stream_files(df: DataFrame, name: str, *, files: int = 5, order_col: str | None = None,
-                       in_order: bool = False) -> str:
-    """Spark writes ``df`` as several Parquet files (the stream's input), in ``order_col`` ranges.
+# A micro-batch reads this many files, so its tasks run in parallel.
+FILES_PER_BATCH = 8
+
+
+def write_stream_files(df: DataFrame, name: str, *, batches: int = 5, order_col: str | None = None,
+                       in_order: bool = False, files_per_batch: int = FILES_PER_BATCH) -> str:
+    """Spark writes ``df`` as the stream's input: ``batches`` × ``files_per_batch`` Parquet files.
 
     The file source replays files by modification time.  With ``in_order`` the
-    ranges are appended one job after another, so micro-batches arrive in
-    ``order_col`` order (needed by consumers that assume time-ordered input).
+    input is cut into ``batches`` ranges of ``order_col`` appended one job after
+    another, so micro-batches arrive in ``order_col`` order (for consumers that
+    assume time-ordered input); otherwise rows are spread round-robin.
     """
     path = scratch_path(df.sparkSession, name)
     if not in_order or order_col is None:
-        out = df.repartitionByRange(files, order_col) if order_col else df.repartition(files)
-        out.write.parquet(path)
+        df.repartition(batches * files_per_batch).write.parquet(path)
         return path
     bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()  # two scalars
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
         df.limit(0).write.parquet(path)
         return path
-    step = (hi - lo) // files + 1
-    for i in range(files):
+    step = (hi - lo) // batches + 1
+    for i in range(batches):
         part = df.filter((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
-        part.repartitionByRange(1, order_col).write.mode("append").parquet(path)
+        part.repartitionByRange(files_per_batch, order_col).write.mode("append").parquet(path)
     return path
 
 
-def read_stream(spark: SparkSession, path: str, schema, *, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+def read_stream(spark: SparkSession, path: str, schema, *, files_per_trigger: int = FILES_PER_BATCH) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:

@@ -17,8 +17,8 @@ def test_limiter_stream_equals_batch(spark):
     w1, w2 = 6 * 3600 * 1_000_000, 48 * 3600 * 1_000_000
     batch = limits.rate_limit_two_tier(req, minute_us=w1, per_minute=2, hour_us=w2, per_hour=4)
     schema = StructType([StructField(c, LongType()) for c in ("event_id", "client", "us")])
-    path = write_stream_files(req, "t-req", files=7, order_col="us", in_order=True)
-    s = limiter.rate_limit_stream(read_stream(spark, path, schema), minute_us=w1, per_minute=2, hour_us=w2, per_hour=4)
+    path = write_stream_files(req, "t-req", batches=7, order_col="us", in_order=True, files_per_batch=3)
+    s = limiter.rate_limit_stream(read_stream(spark, path, schema, files_per_trigger=3), minute_us=w1, per_minute=2, hour_us=w2, per_hour=4)
     got = run_append(s, "t-limiter")
     assert rows(got, "event_id", "verdict", "retry_after") == rows(batch, "event_id", "verdict", "retry_after")
 
