@@ -36,13 +36,20 @@ def dedup(df: DataFrame, *, key: str | None = None, order_col: str = "ord", **_k
                 .select(*cols))
     # One aggregation for both branches: (tag, key text, full row) is the
     # grouping key; keyed rows leave the full-row part null, unkeyed rows the key.
+    # ``min_by`` over a row with strings is a sort-based aggregate; a leading
+    # 64-bit hash of the identity (a function of it, so groups are unchanged)
+    # lets the sort's fixed-width prefix decide almost every comparison instead
+    # of comparing long, near-identical texts.
     k = F.col(key)
     has_key = k.isNotNull()
     row_struct = F.struct(*[F.col(c) for c in data_cols])
+    key_text = F.when(has_key, k.cast(StringType()))
+    row_part = F.when(~has_key, row_struct)
     grouped = df.groupBy(
+        F.xxhash64(key_text, row_part).alias("__h"),
         has_key.alias("__keyed"),
-        F.when(has_key, k.cast(StringType())).alias("__k"),
-        F.when(~has_key, row_struct).alias("__row"),
+        key_text.alias("__k"),
+        row_part.alias("__row"),
     ).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("__first"))
     return grouped.select("__first.*")
 

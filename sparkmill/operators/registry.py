@@ -262,8 +262,10 @@ def resolve_endpoint(requests: DataFrame, endpoints: DataFrame, models: DataFram
     base model equals it, among the newest ``search_limit`` endpoints.
 
     The OR becomes an equi-join: each candidate model is exploded into its
-    distinct match keys.  The candidate side has at most ``search_limit`` ×
-    3 rows by construction, so broadcasting it is safe at any data size.
+    distinct match keys, and each key keeps only its best (newest) endpoint.
+    That table has at most ``search_limit`` × 3 rows by construction, so it is
+    broadcast and each request meets at most one row: the requests are never
+    shuffled.
     """
     top = newest(endpoints, search_limit).filter(F.col("status") == "running")
     m = models.select(F.col("id").alias("__mid"), "name", "base_model")
@@ -271,11 +273,11 @@ def resolve_endpoint(requests: DataFrame, endpoints: DataFrame, models: DataFram
         .join(m, F.col("model_id") == F.col("__mid"))
     keys = cand.select("endpoint_id", "model_id", "__ts", F.explode(F.array_distinct(F.array(
         F.col("name").cast("string"), F.col("__mid").cast("string"), F.col("base_model").cast("string")))).alias("__key"))
-    keys = keys.filter(F.col("__key").isNotNull())
+    best = Window.partitionBy("__key").orderBy(F.col("__ts").desc(), F.col("endpoint_id").desc())
+    keys = (keys.filter(F.col("__key").isNotNull()).withColumn("__rn", F.row_number().over(best))
+            .filter(F.col("__rn") == 1).select("__key", "endpoint_id", "model_id"))
     j = requests.join(F.broadcast(keys), requests["model"] == keys["__key"], "left")
-    w = Window.partitionBy("request_id").orderBy(F.col("__ts").desc_nulls_last(), F.col("endpoint_id").desc_nulls_last())
-    return (j.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1)
-            .select("request_id", "model", "endpoint_id", "model_id"))
+    return j.select("request_id", "model", "endpoint_id", "model_id")
 
 
 def model_endpoint_lookup(endpoints: DataFrame, *, search_limit: int = 50) -> DataFrame:

@@ -20,7 +20,7 @@ from ..sources import readers, sinks
 from ..sources.tables import table
 from . import duck as D
 from . import fixtures as FX
-from .pipeline import cleaning_report, run_pipeline
+from .pipeline import observed_report, run_pipeline, run_pipeline_observed
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -89,7 +89,13 @@ query("run_pipeline", _FLAGSHIP_SQL + f"SELECT doc_id, lang, text FROM r WHERE {
       "SELECT 3, 'regex_filter', count(*) FROM s3 UNION ALL SELECT 4, 'pii_redact', count(*) FROM s4 UNION ALL "
       "SELECT 5, 'language_filter', count(*) FROM s5")
 def q_cleaning_report(spark, sf):
-    return cleaning_report(docs(spark, sf).select("doc_id", "lang", "text"), FLAGSHIP_NODES, order_col="doc_id")
+    # One pass: the cleaned dataset is written once (as the reference stores
+    # its cleaned file) and every stage's row count is observed on the way.
+    from ..session import scratch_path
+    out, observed = run_pipeline_observed(docs(spark, sf).select("doc_id", "lang", "text"), FLAGSHIP_NODES,
+                                          order_col="doc_id")
+    out.write.parquet(scratch_path(spark, "cleaned"))
+    return observed_report(spark, observed)
 
 
 @query("dedup_exact", "SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY lang, text")

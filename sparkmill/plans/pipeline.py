@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning
@@ -93,3 +93,35 @@ def cleaning_report(df: DataFrame, nodes: list[dict], *, order_col: str = "ord")
              .select(F.lit(i).alias("stage"), F.lit(names[i]).alias("node_type"), "rows")
              for i, s in enumerate(stages)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def run_pipeline_observed(df: DataFrame, nodes: list[dict], *, order_col: str = "ord"
+                          ) -> tuple[DataFrame, list[tuple[str, Observation]]]:
+    """The pipeline with a row count observed after the input and after every node.
+
+    The counts are filled in by whatever single action runs the returned plan
+    (typically writing the cleaned dataset): one pass, no extra jobs.
+    """
+    steps = [(n.get("node_type", ""),) + _resolve(n) for n in nodes]
+    observed: list[tuple[str, Observation]] = []
+
+    def watch(d: DataFrame, name: str) -> DataFrame:
+        o = Observation(f"stage_{len(observed)}")
+        observed.append((name, o))
+        return d.observe(o, F.count(F.lit(1)).alias("rows"))
+
+    out = watch(df, "input")
+    for node_type, fn, params in steps:
+        if node_type == "dedup":
+            out = _unfence(out)
+        out = fn(out, order_col=order_col, **params)
+        if node_type in EXPENSIVE_NODES:
+            out = _fence(out)
+        out = watch(out, node_type)
+    return _unfence(out), observed
+
+
+def observed_report(spark: SparkSession, observed: list[tuple[str, Observation]]) -> DataFrame:
+    """Per-stage counts of a finished observed run (one small row per node)."""
+    rows = [(i, name, int(o.get["rows"])) for i, (name, o) in enumerate(observed)]
+    return spark.createDataFrame(rows, "stage bigint, node_type string, rows bigint")

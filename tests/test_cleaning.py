@@ -176,3 +176,18 @@ def test_filter_pushed_below_full_row_dedup(spark):
     plan = cleaning.length_filter(cleaning.dedup(df), min_length=2)._jdf.queryExecution().optimizedPlan().toString()
     # The filter sits under the aggregate (Catalyst pushes it through the grouping columns).
     assert plan.index("Aggregate") < plan.index("Filter")
+
+
+def test_observed_report_equals_stage_counts(spark, tmpdir_fresh):
+    import os
+
+    from sparkmill.plans.pipeline import observed_report, run_pipeline_observed
+    df = texts(spark, ["hello", "hello", "hi", "x", "mail a@b.co now", "ééééé"])
+    nodes = [{"node_type": "dedup"}, {"node_type": "length_filter", "params": {"min_length": 2}},
+             {"node_type": "pii_redact", "params": {"fields": ["text"]}},
+             {"node_type": "language_filter", "params": {"languages": ["en"]}}]
+    out, observed = run_pipeline_observed(df, nodes)
+    out.write.parquet(os.path.join(tmpdir_fresh, "cleaned"))
+    got = rows(observed_report(spark, observed), "stage", "node_type", "rows")
+    assert got == rows(cleaning_report(df, nodes), "stage", "node_type", "rows")
+    assert [r[2] for r in got] == [6, 5, 4, 4, 3]
