@@ -35,9 +35,15 @@ def _bigint_ints(df: DataFrame) -> DataFrame:
                        else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def _run(fn: QueryFn, spark: SparkSession, sf: str) -> DataFrame:
+    # Timestamps in the test data are zone-less; they are read as UTC instants.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _bigint_ints(fn(spark, sf))
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = lambda spark, sf, _fn=fn: _bigint_ints(_fn(spark, sf))
+        QUERIES[name] = lambda spark, sf, _fn=fn: _run(_fn, spark, sf)
         if sql is not None:
             ORACLE[name] = sql
         return fn
