@@ -28,18 +28,30 @@ HOUR_US = 3600 * 1_000_000
 
 
 def window_counts(requests: DataFrame, *, client_col: str, us_col: str, window_us: int,
-                  prefix: str = "w") -> DataFrame:
-    """Add ``{prefix}_prior`` (requests in ``(t-w, t)`` plus same-instant peers)
-    and ``{prefix}_oldest_us`` (oldest request in the window, self included)."""
+                  prefix: str = "w", recorded: str | None = None) -> DataFrame:
+    """Add ``{prefix}_prior`` (recorded requests in ``(t-w, t]`` other than this
+    one) and ``{prefix}_oldest_us`` (oldest recorded request in the window).
+
+    ``recorded`` names a boolean column: only those requests are in the window
+    (all requests when omitted).  Each row is emitted into its own time range
+    and, as read-only context, into the next one (one ``explode``: a single
+    scan), then one window per ``(client, range)``.
+    """
     rng = F.floor(F.col(us_col) / F.lit(window_us)).cast("bigint")
-    own = requests.withColumn("__range", rng).withColumn("__own", F.lit(True))
-    ctx = requests.withColumn("__range", rng + 1).withColumn("__own", F.lit(False))
-    both = own.unionByName(ctx)
-    w = (Window.partitionBy(client_col, "__range").orderBy(F.col(us_col))
+    copies = F.array(F.struct(rng.alias("r"), F.lit(True).alias("own")),
+                     F.struct((rng + 1).alias("r"), F.lit(False).alias("own")))
+    # Plain columns for the range and the tag: a nested field in the window
+    # spec would be re-aliased per window function and cost one shuffle each.
+    both = (requests.select("*", F.explode(copies).alias("__c"))
+            .select("*", F.col("__c.r").alias("__r"), F.col("__c.own").alias("__own")).drop("__c"))
+    w = (Window.partitionBy(client_col, "__r").orderBy(F.col(us_col))
          .rangeBetween(-(window_us - 1), 0))
-    return (both.withColumn(f"{prefix}_prior", (F.count(F.lit(1)).over(w) - 1).cast("bigint"))
-            .withColumn(f"{prefix}_oldest_us", F.min(us_col).over(w))
-            .filter(F.col("__own")).drop("__range", "__own"))
+    rec = F.lit(True) if recorded is None else F.col(recorded)
+    in_window = F.count(F.when(rec, F.lit(1))).over(w)
+    self_counted = F.when(rec, F.lit(1)).otherwise(F.lit(0))
+    return (both.withColumn(f"{prefix}_prior", (in_window - self_counted).cast("bigint"))
+            .withColumn(f"{prefix}_oldest_us", F.min(F.when(rec, F.col(us_col))).over(w))
+            .filter(F.col("__own")).drop("__r", "__own"))
 
 
 def _retry_after(us_col: str, oldest_col: str, window_us: int):
@@ -62,18 +74,15 @@ def rate_limit_two_tier(requests: DataFrame, *, client_col: str = "client", us_c
                         hour_us: int = HOUR_US, per_hour: int = INFERENCE_LIMITS[1]) -> DataFrame:
     """Two stacked windows; ``verdict`` is ``ok``, ``minute`` or ``hour``.
 
-    No join: the minute-rejected rows and the hour-evaluated rows are two
-    disjoint branches of one union.
+    Every request is recorded in the minute window; only requests that pass
+    the minute check are recorded in the hour window, so the hour tier is a
+    conditional count over the same rows.  One pipeline: scan, two windows.
     """
     m = window_counts(requests, client_col=client_col, us_col=us_col, window_us=minute_us, prefix="m")
-    m_ok = F.col("m_prior") < per_minute
-    rejected_m = (m.filter(~m_ok)
-                  .withColumn("verdict", F.lit("minute"))
-                  .withColumn("retry_after", _retry_after(us_col, "m_oldest_us", minute_us)))
-    passed = m.filter(m_ok)
-    h = window_counts(passed, client_col=client_col, us_col=us_col, window_us=hour_us, prefix="h")
-    h_ok = F.col("h_prior") < per_hour
-    hour_checked = (h.withColumn("verdict", F.when(h_ok, "ok").otherwise("hour"))
-                    .withColumn("retry_after", F.when(~h_ok, _retry_after(us_col, "h_oldest_us", hour_us))))
-    cols = requests.columns + ["verdict", "retry_after"]
-    return rejected_m.select(*cols).unionByName(hour_checked.select(*cols))
+    m = m.withColumn("__passed", F.col("m_prior") < per_minute)
+    h = window_counts(m, client_col=client_col, us_col=us_col, window_us=hour_us, prefix="h", recorded="__passed")
+    hour_hit = F.col("h_prior") >= per_hour
+    verdict = F.when(~F.col("__passed"), "minute").when(hour_hit, "hour").otherwise("ok")
+    retry = (F.when(~F.col("__passed"), _retry_after(us_col, "m_oldest_us", minute_us))
+             .when(hour_hit, _retry_after(us_col, "h_oldest_us", hour_us)))
+    return h.select(*requests.columns, verdict.alias("verdict"), retry.alias("retry_after"))
