@@ -241,11 +241,18 @@ def run_detail(runs: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
     A run without checkpoints keeps one row with null checkpoint columns (the
     empty list).  Rows, not a collected list: a run's checkpoints never have to
-    fit in one value.
+    fit in one value.  Written as inner join ∪ anti join rather than a left
+    join: AQE can split a skewed partition on either side of an inner join,
+    while a left join cannot split its right side (a run holding a third of
+    all checkpoints).
     """
     c = checkpoints.select(F.col("run_id").alias("__rid"), F.col("id").alias("checkpoint_id"),
                            F.col("step").alias("checkpoint_step"))
-    return runs.join(c, runs["id"] == c["__rid"], "left").drop("__rid")
+    with_ckpt = runs.join(c, runs["id"] == c["__rid"]).drop("__rid")
+    without = (runs.join(c.select("__rid"), runs["id"] == c["__rid"], "left_anti")
+               .withColumn("checkpoint_id", F.lit(None).cast(c.schema["checkpoint_id"].dataType))
+               .withColumn("checkpoint_step", F.lit(None).cast(c.schema["checkpoint_step"].dataType)))
+    return with_ckpt.unionByName(without)
 
 
 # ---------------------------------------------------------------- endpoints
@@ -311,8 +318,12 @@ def cascade_delete(children: DataFrame, deleted_parents: DataFrame, *, fk: str,
 
 
 def delete_restrict(deleted_parents: DataFrame, referencing: DataFrame, *, fk: str, parent_key: str = "id") -> DataFrame:
-    """Parents that cannot be deleted because rows still reference them (semi-join)."""
-    r = referencing.select(F.col(fk).alias("__fk"))
+    """Parents that cannot be deleted because rows still reference them (semi-join).
+
+    The referencing keys are de-duplicated first (partial aggregate), so a
+    parent referenced by a third of all rows is one row before the join.
+    """
+    r = referencing.select(F.col(fk).alias("__fk")).distinct()
     return deleted_parents.join(r, deleted_parents[parent_key] == r["__fk"], "left_semi")
 
 
