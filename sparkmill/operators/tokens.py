@@ -75,21 +75,30 @@ register_encoder("byte_bpe_multi_50k", _rank_file_encoder("byte_bpe_multi_50k.ti
 register_encoder("cl100k_base", _tiktoken_named("cl100k_base"))
 
 
-def get_encoder(name: str):
+def get_encoder(name: str, factory: EncoderFactory | None = None):
+    """The encoder named ``name``, built once per Python process."""
     if name not in _LOADED:
-        if name not in ENCODERS:
+        factory = factory or ENCODERS.get(name)
+        if factory is None:
             raise ValueError(f"Unknown encoder: {name}")
-        _LOADED[name] = ENCODERS[name]()
+        _LOADED[name] = factory()
     return _LOADED[name]
 
 
 def bpe_count(c: str | Column, encoder: str = "byte_bpe_50k") -> Column:
-    """Token count of each value (null stays null), Arrow batch at a time."""
+    """Token count of each value (null stays null), Arrow batch at a time.
+
+    The factory is resolved on the driver and shipped with the function, so an
+    encoder registered at run time is known to every executor.
+    """
     c = F.col(c) if isinstance(c, str) else c
+    if encoder not in ENCODERS:
+        raise ValueError(f"Unknown encoder: {encoder}")
+    factory = ENCODERS[encoder]
 
     @F.pandas_udf(LongType())
     def _count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = get_encoder(encoder)
+        enc = get_encoder(encoder, factory)
         for s in batches:
             present = s.notna().to_numpy()
             texts = s[present].astype(str).tolist()

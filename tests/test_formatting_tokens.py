@@ -80,3 +80,16 @@ def test_preview_page(spark):
     assert got == [(20 + i, 3 * (20 + i), 334) for i in range(10)]
     with pytest.raises(ValueError):
         ordinal.preview_page(d, "k", page=0)
+
+
+def test_custom_encoder_registry(spark):
+    class Words:
+        def encode_ordinary_batch(self, texts):
+            return [t.split() for t in texts]
+
+    tokens.register_encoder("words", Words)
+    try:
+        df = spark.createDataFrame([("a b c", "d"), (None, "e f")], "x string, y string")
+        assert tokens.token_count_bpe(df, ["x", "y"], encoder="words").first()["bpe_tokens"] == 6
+    finally:
+        tokens.ENCODERS.pop("words")

@@ -39,3 +39,13 @@ def test_cleaning_stream_equals_batch_texts(spark):
     stream_texts = rows(catalog.QUERIES["cleaning_stream"](spark, SF001), "text")
     batch_texts = rows(catalog.QUERIES["run_pipeline"](spark, SF001), "text")
     assert stream_texts == batch_texts
+
+
+def test_control_fold_and_per_run_routing(spark):
+    state = dict(rows(catalog.QUERIES["control_events"](spark, SF001), "run_id", "status"))
+    runs = {r["id"]: r["status"] for r in FX.training_runs(spark, SF001).collect()}
+    want = {k: v for k, v in runs.items() if v in ("training", "paused", "cancelled")}
+    assert state == want
+    routed = catalog.QUERIES["metric_stream_per_run"](spark, SF001)
+    subs = {k for k, v in runs.items() if v in ("training", "paused")}
+    assert {r["subscriber"] for r in routed.select("subscriber").distinct().collect()} <= subs
