@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, VariantType
 
 from ..functions.pii import DEFAULT_FIELDS, DEFAULT_REPLACEMENT, redact
 from ..functions.text import ascii_ratio, py_search
@@ -30,10 +30,19 @@ def dedup(df: DataFrame, *, key: str | None = None, order_col: str = "ord", **_k
     """
     cols = df.columns
     data_cols = [c for c in cols if c != order_col]
-    if not key or key not in cols:
+    variant = {f.name for f in df.schema.fields if isinstance(f.dataType, VariantType)}
+    if (not key or key not in cols) and not variant:
         return (df.groupBy(*data_cols)
                 .agg(F.min(order_col).alias(order_col))
                 .select(*cols))
+    if not key or key not in cols:
+        # VARIANT values cannot be grouped: their JSON text is the identity
+        # (keys sorted, numbers normalised: documented divergence), and whole
+        # rows are kept with ``min_by``.
+        ident = [F.to_json(F.col(c)) if c in variant else F.col(c) for c in data_cols]
+        return (df.groupBy(F.xxhash64(*ident).alias("__h"), *[e.alias(f"__i{i}") for i, e in enumerate(ident)])
+                .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("__first"))
+                .select("__first.*"))
     # One aggregation for both branches: (tag, key text, full row) is the
     # grouping key; keyed rows leave the full-row part null, unkeyed rows the key.
     # ``min_by`` over a row with strings is a sort-based aggregate; a leading
@@ -42,8 +51,8 @@ def dedup(df: DataFrame, *, key: str | None = None, order_col: str = "ord", **_k
     # of comparing long, near-identical texts.
     k = F.col(key)
     has_key = k.isNotNull()
-    row_struct = F.struct(*[F.col(c) for c in data_cols])
-    key_text = F.when(has_key, k.cast(StringType()))
+    row_struct = F.struct(*[F.to_json(F.col(c)).alias(c) if c in variant else F.col(c) for c in data_cols])
+    key_text = F.when(has_key, F.to_json(k) if key in variant else k.cast(StringType()))
     row_part = F.when(~has_key, row_struct)
     grouped = df.groupBy(
         F.xxhash64(key_text, row_part).alias("__h"),

@@ -120,3 +120,14 @@ def test_artifact_inventory(spark, tmpdir_fresh):
     write(os.path.join(tmpdir_fresh, "sub"), "b.bin", "1")
     got = rows(readers.artifact_inventory(spark, tmpdir_fresh), "relative_path", "size")
     assert got == [("a.bin", 5), ("sub/b.bin", 1)]
+
+
+def test_dedup_on_variant_records(spark, tmpdir_fresh):
+    from sparkmill.operators import cleaning
+    p = write(tmpdir_fresh, "d.jsonl", '{"a":1,"t":"x"}\n{"a":2}\n{"t":"x","a":1}\n{"a":2}\n')
+    recs = readers.read_jsonl(spark, p)
+    out = cleaning.dedup(recs)
+    got = sorted(r["j"] for r in out.select(F.to_json("record").alias("j")).collect())
+    assert got == ['{"a":1,"t":"x"}', '{"a":2}']
+    keyed = readers.records_as_columns(recs, {"a": "bigint"})
+    assert cleaning.dedup(keyed.drop("record"), key="a").count() == 2
