@@ -62,9 +62,54 @@ def _unfence(df: DataFrame) -> DataFrame:
     return df.filter(F.col(_FENCE) >= 0).drop(_FENCE) if _FENCE in df.columns else df
 
 
-def run_pipeline(df: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> DataFrame:
-    """Apply the nodes in order; unknown node types raise, extra params are ignored."""
+# Row filters that read one field (``field``, default ``text``) and nothing else.
+FIELD_FILTERS = {"length_filter", "regex_filter", "language_filter"}
+
+
+def _filter_field(node_type: str, params: dict) -> str | None:
+    return params.get("field", "text") if node_type in FIELD_FILTERS else None
+
+
+def hoist_filters(steps: list[tuple[str, NodeFn, dict]]) -> list[tuple[str, NodeFn, dict]]:
+    """Move row filters that directly follow a dedup in front of it when valid.
+
+    Valid when every row of a dedup group gets the same verdict: for a keyed
+    dedup, a filter that reads only the key field (a group shares its key
+    value; key-less rows form full-row groups whose key is null in every row);
+    for a full-row dedup, any such filter (copies are identical).  Filtering
+    first shrinks the dedup's shuffle.  A redaction in between stops the move
+    (it rewrites the field), so only an unbroken run of filters moves.
+    """
+    out = list(steps)
+    i = 0
+    while i < len(out):
+        node_type, _fn, params = out[i]
+        if node_type != "dedup":
+            i += 1
+            continue
+        key = params.get("key")
+        j = i + 1
+        moved = []
+        while j < len(out):
+            field = _filter_field(out[j][0], out[j][2])
+            if field is None or (key and field != key):
+                break
+            moved.append(out[j])
+            j += 1
+        out[i:j] = moved + [out[i]]
+        i += len(moved) + 1
+    return out
+
+
+def run_pipeline(df: DataFrame, nodes: list[dict], *, order_col: str = "ord", optimize: bool = True) -> DataFrame:
+    """Apply the nodes in order; unknown node types raise, extra params are ignored.
+
+    With ``optimize`` the result is the same but key-only filters run before
+    the dedup they follow (``hoist_filters``).
+    """
     steps = [(n.get("node_type", ""),) + _resolve(n) for n in nodes]  # validate everything before building
+    if optimize:
+        steps = hoist_filters(steps)
     out = df
     for node_type, fn, params in steps:
         if node_type == "dedup":
@@ -77,7 +122,7 @@ def run_pipeline(df: DataFrame, nodes: list[dict], *, order_col: str = "ord") ->
 
 def pipeline_stages(df: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> list[DataFrame]:
     """The frame after each node (index 0 is the input)."""
-    return [run_pipeline(df, nodes[:i], order_col=order_col) for i in range(len(nodes) + 1)]
+    return [run_pipeline(df, nodes[:i], order_col=order_col, optimize=False) for i in range(len(nodes) + 1)]
 
 
 def cleaning_report(df: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> DataFrame:

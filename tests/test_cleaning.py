@@ -191,3 +191,21 @@ def test_observed_report_equals_stage_counts(spark, tmpdir_fresh):
     got = rows(observed_report(spark, observed), "stage", "node_type", "rows")
     assert got == rows(cleaning_report(df, nodes), "stage", "node_type", "rows")
     assert [r[2] for r in got] == [6, 5, 4, 4, 3]
+
+
+def test_hoisted_filters_same_result(spark):
+    from sparkmill.plans.pipeline import hoist_filters, _resolve
+    df = spark.createDataFrame([(0, "k1", "short"), (1, "k1", "a much longer text here"), (2, "k2", "tiny"),
+                                (3, None, "no key but long enough"), (4, None, "no key but long enough")],
+                               "ord long, id string, text string")
+    for key in ("text", "id", None):
+        nodes = [{"node_type": "dedup", "params": {"key": key} if key else {}},
+                 {"node_type": "length_filter", "params": {"min_length": 6}},
+                 {"node_type": "regex_filter", "params": {"pattern": "tiny", "mode": "exclude"}}]
+        assert rows(run_pipeline(df, nodes), "ord") == rows(run_pipeline(df, nodes, optimize=False), "ord")
+    steps = [(n["node_type"],) + _resolve(n) for n in [
+        {"node_type": "dedup", "params": {"key": "id"}}, {"node_type": "length_filter"},
+        {"node_type": "dedup", "params": {"key": "text"}}, {"node_type": "length_filter"},
+        {"node_type": "pii_redact"}, {"node_type": "language_filter", "params": {"languages": ["en"]}}]]
+    assert [s[0] for s in hoist_filters(steps)] == ["dedup", "length_filter", "length_filter", "dedup",
+                                                     "pii_redact", "language_filter"]
