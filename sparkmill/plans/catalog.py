@@ -50,6 +50,18 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+_DERIVED: dict[tuple[str, str, str], str] = {}
+
+
+def derived_files(spark: SparkSession, name: str, sf: str, build: Callable[[], str]) -> str:
+    """Files Spark derives from the tables (stream inputs, document files), built once per
+    application and table folder, then shared by the queries that read them."""
+    key = (spark.sparkContext.applicationId, name, sf)
+    if key not in _DERIVED:
+        _DERIVED[key] = build()
+    return _DERIVED[key]
+
+
 def docs(spark: SparkSession, sf: str, narrow: bool = False) -> DataFrame:
     """The documents table; ``narrow`` for queries whose first stage is per-row text work."""
     return table(spark, sf, "documents", narrow_work=narrow)
@@ -822,7 +834,8 @@ def _metric_envelopes(spark, sf) -> DataFrame:
 
 
 def _metric_stream(spark, sf) -> DataFrame:
-    path = write_stream_files(_metric_envelopes(spark, sf), "metric-msgs", batches=5)
+    path = derived_files(spark, "metric-msgs", sf,
+                         lambda: write_stream_files(_metric_envelopes(spark, sf), "metric-msgs", batches=5))
     return stream_metrics.parse_messages(read_stream(spark, path, stream_metrics.ENVELOPE_SCHEMA))
 
 
@@ -904,7 +917,9 @@ def q_rl_stream(spark, sf):
 @query("cleaning_stream", _FLAGSHIP_SQL + f"SELECT text FROM r WHERE {D.ascii_ratio('text')} > 0.85")
 def q_cleaning_stream(spark, sf):
     d = docs(spark, sf).select("doc_id", "lang", "text")
-    path = write_stream_files(d, "docs-stream", batches=5, order_col="doc_id", in_order=True)
+    # Arrival order cannot change the output (copies share their text and the
+    # filters read only the text), so the input needs no ordering.
+    path = write_stream_files(d, "docs-stream", batches=5)
     out = stream_cleaning.run_stream_pipeline(read_stream(spark, path, d.schema), FLAGSHIP_NODES)
     return run_append(out, "cleaning-stream-out").select("text")
 
@@ -915,10 +930,13 @@ def q_cleaning_stream(spark, sf):
 def _docs_as_files(spark, sf) -> str:
     """Spark writes the documents as text files, one folder (and file) per source."""
     from ..session import scratch_path
-    path = scratch_path(spark, "doc-files")
-    (docs(spark, sf).select("source", "text").repartition("source")
-     .write.partitionBy("source").option("lineSep", "\n").text(path))
-    return path
+
+    def build():
+        path = scratch_path(spark, "doc-files")
+        (docs(spark, sf).select("source", "text").repartition("source")
+         .write.partitionBy("source").option("lineSep", "\n").text(path))
+        return path
+    return derived_files(spark, "doc-files", sf, build)
 
 
 def _source_of_path(c: str) -> F.Column:
