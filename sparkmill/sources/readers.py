@@ -82,9 +82,10 @@ def read_json_array_lines(spark: SparkSession, path: str | list[str]) -> DataFra
     return parse_json_lines(_read_lines(spark, path), flatten_arrays=True)
 
 
-def records_as_columns(records: DataFrame, fields: dict[str, str], record_col: str = "record") -> DataFrame:
+def records_as_columns(records: DataFrame, fields: dict[str, str], record_col: str = "record",
+                       keep_record: bool = False) -> DataFrame:
     """Project typed columns out of a VARIANT record (missing or mistyped → null)."""
-    others = [c for c in records.columns if c != record_col]
+    others = [c for c in records.columns if c != record_col or keep_record]
     return records.select(*others, *[F.try_variant_get(F.col(record_col), f"$.{name}", typ).alias(name)
                                      for name, typ in fields.items()])
 
