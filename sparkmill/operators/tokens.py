@@ -91,6 +91,8 @@ def bpe_count(c: str | Column, encoder: str = "byte_bpe_50k") -> Column:
     The factory is resolved on the driver and shipped with the function, so an
     encoder registered at run time is known to every executor.
     """
+    from ..session import ship_package
+    ship_package()
     c = F.col(c) if isinstance(c, str) else c
     if encoder not in ENCODERS:
         raise ValueError(f"Unknown encoder: {encoder}")

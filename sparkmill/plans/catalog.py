@@ -36,8 +36,10 @@ def _bigint_ints(df: DataFrame) -> DataFrame:
 
 
 def _run(fn: QueryFn, spark: SparkSession, sf: str) -> DataFrame:
+    from ..session import ship_package
     # Timestamps in the test data are zone-less; they are read as UTC instants.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return _bigint_ints(fn(spark, sf))
 
 

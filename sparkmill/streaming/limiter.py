@@ -72,6 +72,8 @@ def make_limiter(minute_us: int, per_minute: int, hour_us: int, per_hour: int):
 def rate_limit_stream(requests: DataFrame, *, minute_us: int = MINUTE_US, per_minute: int = INFERENCE_LIMITS[0],
                       hour_us: int = HOUR_US, per_hour: int = INFERENCE_LIMITS[1]) -> DataFrame:
     """Streaming ``(event_id, client, us)`` → verdict per request, append mode."""
+    from ..session import ship_package
+    ship_package(requests.sparkSession)
     return (requests.select("event_id", "client", "us").groupBy("client")
             .applyInPandasWithState(make_limiter(minute_us, per_minute, hour_us, per_hour), OUTPUT_SCHEMA,
                                     STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
