@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from ..functions.fmt import iso_timestamp, sha256_hex
-from ..functions.text import py_strip
 from ..operators import cleaning, formatting, limits, ordinal, registry, sections, tokens
 from ..sources import readers, sinks
 from ..sources.tables import table
