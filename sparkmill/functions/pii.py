@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import UNICODE, col_of, java_replacement
+from .text import col_of, java_replacement, py_regex, python_regex_column
 
 # Fixed values (must equal the reference for equal results): the five
 # personal-data patterns, applied in this order, the default replacement and
@@ -36,10 +36,15 @@ def ordered_patterns(strict: bool = False) -> list[tuple[str, str]]:
 def redact(c: str | Column, replacement: str = DEFAULT_REPLACEMENT, strict: bool = False) -> Column:
     """Apply every pattern in order, each replacing all matches.
 
-    ``(?U)`` gives ``\\b \\d \\s`` the Unicode meaning Python's ``re`` uses.
+    Patterns are Python ``re`` patterns; ``py_regex`` spells ``\\b \\d \\s``
+    the way Python defines them for Java's engine.
     """
-    out = col_of(c)
     rep = java_replacement(replacement)
-    for _name, pat in ordered_patterns(strict):
-        out = F.regexp_replace(out, UNICODE + pat, rep)
-    return out
+    patterns = ordered_patterns(strict)
+
+    def chain(text: Column, exact: bool) -> Column:
+        for _name, pat in patterns:
+            text = F.regexp_replace(text, py_regex(pat, exact_words=exact), rep)
+        return text
+
+    return python_regex_column(c, chain)

@@ -6,6 +6,8 @@ inside whole-stage codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,9 +43,93 @@ def py_strip(c: str | Column) -> Column:
     return F.call_function("btrim", col_of(c), F.lit(PY_WHITESPACE))
 
 
+_WORD_SET = r"\p{L}\p{N}_"
+_WS_SET = WS_CLASS[1:-1]
+_WORD = "[" + _WORD_SET + "]"
+# Python's \b and \B, written with lookaround over Python's word class.
+_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_NOT_BOUNDARY = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
+# How each class escape reads outside and inside a character class.  The
+# whitespace set always differs (Python counts \x1c-\x1f); the word escapes
+# differ only around the characters of WORD_DIFFERENCE.
+_OUTSIDE_ALWAYS = {"s": WS_CLASS, "S": "[^" + _WS_SET + "]", "Z": r"\z"}
+_INSIDE_ALWAYS = {"s": _WS_SET, "S": "[^" + _WS_SET + "]"}
+_OUTSIDE_WORDS = {"w": _WORD, "W": "[^" + _WORD_SET + "]", "b": _BOUNDARY, "B": _NOT_BOUNDARY}
+_INSIDE_WORDS = {"w": _WORD_SET, "W": "[^" + _WORD_SET + "]"}
+
+# Characters whose word-ness differs between Java's Unicode ``\w`` and Python's:
+# combining marks, connector punctuation other than "_", other numerics
+# (superscripts, fractions), the zero-width joiners and alphabetic symbols
+# (circled letters).  ``\d`` is the decimal digits in both.
+WORD_DIFFERENCE = (r"[\p{M}[\p{Pc}&&[^_]]\p{No}\x{200C}\x{200D}[\p{So}&&\p{IsAlphabetic}]]")
+
+
+def java_pattern(pattern: str, *, exact_words: bool = True) -> str:
+    """Spell a Python ``re`` pattern (str semantics) for Java's engine.
+
+    ``\\s``/``\\S`` become the ``str.isspace`` set and ``\\Z`` end of input; named
+    groups ``(?P<n>...)``/``(?P=n)`` take Java's spelling.  With
+    ``exact_words`` the word escapes ``\\w \\W \\b \\B`` are written out as Python
+    defines them (lookarounds: slower); without, Java's own Unicode versions are
+    kept, which agree on every text free of ``WORD_DIFFERENCE`` characters.
+    """
+    p = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
+    p = re.sub(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>", p)
+    out, i, depth, n = [], 0, 0, len(p)
+    while i < n:
+        ch = p[i]
+        if ch == "\\" and i + 1 < n:
+            nxt = p[i + 1]
+            table = dict(_INSIDE_ALWAYS if depth else _OUTSIDE_ALWAYS)
+            if exact_words:
+                table.update(_INSIDE_WORDS if depth else _OUTSIDE_WORDS)
+            out.append(table.get(nxt, ch + nxt))
+            i += 2
+            continue
+        if ch == "[":
+            out.append(ch)
+            i += 1
+            if depth == 0:  # a "]" right after "[" or "[^" is a literal
+                if i < n and p[i] == "^":
+                    out.append("^")
+                    i += 1
+                if i < n and p[i] == "]":
+                    out.append("\\]")
+                    i += 1
+            depth += 1
+            continue
+        if ch == "]" and depth:
+            depth -= 1
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
+def py_regex(pattern: str, ignore_case: bool = False, *, exact_words: bool = True) -> str:
+    """A Python pattern ready for ``rlike``/``regexp_replace``: Java spelling plus
+    flags (Unicode classes and case folding, only ``\\n`` ends a line)."""
+    return ("(?idU)" if ignore_case else "(?dU)") + java_pattern(pattern, exact_words=exact_words)
+
+
+def has_word_difference(c: str | Column) -> Column:
+    """True where the text holds a character on which Java's and Python's ``\\w`` disagree."""
+    return col_of(c).rlike(WORD_DIFFERENCE)
+
+
+def python_regex_column(c: str | Column, build) -> Column:
+    """Evaluate ``build(text, exact_words)`` exactly as Python ``re`` would.
+
+    Rows free of ``WORD_DIFFERENCE`` characters (nearly all) use Java's native
+    word escapes; the rest use the written-out Python definitions.  Both paths
+    are compiled once; the choice is one character-class scan per row.
+    """
+    c = col_of(c)
+    return F.when(has_word_difference(c), build(c, True)).otherwise(build(c, False))
+
+
 def py_search(c: str | Column, pattern: str, ignore_case: bool = True) -> Column:
     """``re.search(pattern, s, re.IGNORECASE)`` as a boolean column (null on null)."""
-    return col_of(c).rlike((UNICODE_NOCASE if ignore_case else UNICODE) + pattern)
+    return python_regex_column(c, lambda t, exact: t.rlike(py_regex(pattern, ignore_case, exact_words=exact)))
 
 
 def java_replacement(s: str) -> str:
