@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DIGIT_CLASS, WORD_CLASS, WS_CLASS, col_of, py_strip
+from ..functions.text import DIGIT_CLASS, WORD_CLASS, WS_CLASS, col_of, py_regex, py_strip
 
 # ---------------------------------------------------------------- page cleanup
 
@@ -38,11 +38,12 @@ def page_text_cleanup(c: str | Column) -> Column:
 
 # ---------------------------------------------------------------- paragraph chunks
 
-PARAGRAPH_BREAK = "\n" + WS_CLASS + "*\n"
+# Fixed value: paragraphs are separated by a blank line (Python ``re`` syntax).
+PARAGRAPH_BREAK = r"\n\s*\n"
 
 
 def _paragraphs(text: Column, separator: str) -> Column:
-    parts = F.split(text, separator, -1)
+    parts = F.split(text, py_regex(separator), -1)
     return F.filter(F.transform(parts, lambda p: py_strip(p)), lambda p: p != "")
 
 
@@ -72,7 +73,7 @@ def paragraph_chunk(df: DataFrame, text_col: str = "text", *, chunk_size: int =
     """Paragraph chunks ``(…keep, chunk, text, char_count)``; chunk index 0-based.
 
     An oversized paragraph stays whole in its own chunk.  ``separator`` is a
-    Java regex (default: a blank line, possibly holding whitespace).
+    Python ``re`` pattern (default: a blank line, possibly holding whitespace).
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text_col]
     paras = _paragraphs(F.col(text_col), separator)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from ..functions.fmt import iso_timestamp, sha256_hex
+from ..functions.text import WS_CLASS
 from ..operators import cleaning, formatting, limits, ordinal, registry, sections, tokens
 from ..sources import readers, sinks
 from ..sources.tables import table
@@ -193,7 +194,7 @@ agg AS (SELECT w.doc_id, w.chunk, string_agg(p.p, chr(10) || chr(10) ORDER BY p.
 SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, text, length(text) AS char_count FROM agg"""
 
 
-@query("paragraph_chunk", _chunk_sql(sections.PARAGRAPH_BREAK, 1000))
+@query("paragraph_chunk", _chunk_sql("\n" + WS_CLASS + "*\n", 1000))
 def q_chunk(spark, sf):
     return sections.paragraph_chunk(docs(spark, sf, narrow=True).select("doc_id", "text"), chunk_size=1000)
 
