@@ -58,7 +58,7 @@ _DERIVED: dict[tuple[str, str, str], str] = {}
 def derived_files(spark: SparkSession, name: str, sf: str, build: Callable[[], str]) -> str:
     """Files Spark derives from the tables (stream inputs, document files), built once per
     application and table folder, then shared by the queries that read them."""
-    key = (spark.sparkContext.applicationId, name, sf)
+    key = (spark.conf.get("spark.app.id", ""), name, sf)
     if key not in _DERIVED:
         _DERIVED[key] = build()
     return _DERIVED[key]

@@ -36,5 +36,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     read).  On large inputs (many more splits than cores) this is a no-op, so
     it never adds a shuffle at scale.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Spark Connect session): leave the scan as is
+        return df
+    return df.repartition(want) if splits < want else df
