@@ -72,9 +72,21 @@ def parse_json_lines(lines: DataFrame, line_col: str = "line", *, flatten_arrays
     return exploded.select(*cols)
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSONL file(s) → ``(ord, record VARIANT)``; malformed lines skipped."""
-    return parse_json_lines(_read_lines(spark, path))
+def read_jsonl(spark: SparkSession, path: str | list[str], *, multiline: bool = False) -> DataFrame:
+    """JSONL file(s) → ``(ord, record VARIANT)``; malformed lines skipped.
+
+    ``multiline=True`` reads each file as one JSON document instead (pretty-
+    printed JSON): an object is one record, an array its object elements.
+    """
+    if not multiline:
+        return parse_json_lines(_read_lines(spark, path))
+    whole = spark.read.text(path, wholetext=True).select(
+        F.col("value").alias("line"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("bigint").alias("block"),
+                 F.lit(0).cast("bigint").alias("pos")).alias("doc"))
+    recs = parse_json_lines(whole, flatten_arrays=True)
+    return recs.select(F.struct(F.col("doc.file").alias("file"), F.col("elem").cast("bigint").alias("block"),
+                                F.lit(0).cast("bigint").alias("pos")).alias("ord"), "record")
 
 
 def read_json_array_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -131,3 +131,12 @@ def test_dedup_on_variant_records(spark, tmpdir_fresh):
     assert got == ['{"a":1,"t":"x"}', '{"a":2}']
     keyed = readers.records_as_columns(recs, {"a": "bigint"})
     assert cleaning.dedup(keyed.drop("record"), key="a").count() == 2
+
+
+def test_read_pretty_printed_json(spark, tmpdir_fresh):
+    write(tmpdir_fresh, "a.json", json.dumps({"a": 1, "b": [1, 2]}, indent=2))
+    write(tmpdir_fresh, "b.json", json.dumps([{"a": 2}, 3, {"a": 4}], indent=2))
+    # Line by line (the default, as the reference does) loses pretty-printed records.
+    assert readers.read_jsonl(spark, tmpdir_fresh).count() == 0
+    recs = readers.records_as_columns(readers.read_jsonl(spark, tmpdir_fresh, multiline=True), {"a": "bigint"})
+    assert [r["a"] for r in recs.orderBy("ord").collect()] == [1, 2, 4]
