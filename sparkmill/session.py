@@ -113,7 +113,14 @@ def ship_package(spark: SparkSession | None = None) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    zpath = os.path.join(tempfile.mkdtemp(prefix="sparkmill-pkg-"), "sparkmill.zip")
+    # The zip goes under the session's shared folder when Python can write
+    # there (a local or file: path); on a remote filesystem it is built on the
+    # driver and ``addPyFile`` itself uploads it to every executor.
+    base = checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else (None if "://" in base else base)
+    folder = os.path.join(local, f"pkg-{uuid.uuid4().hex[:12]}") if local else tempfile.mkdtemp(prefix="sparkmill-pkg-")
+    os.makedirs(folder, exist_ok=True)
+    zpath = os.path.join(folder, "sparkmill.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _dirs, files in os.walk(pkg_dir):
             for f in files:
