@@ -37,7 +37,7 @@ def py_type_name(schema_text: Column) -> Column:
             .when(s.startswith("ARRAY"), "list")
             .when(s == "STRING", "str")
             .when(s == "BOOLEAN", "bool")
-            .when(s == "BIGINT", "int")
+            .when((s == "BIGINT") | (s.startswith("DECIMAL") & s.endswith(",0)")), "int")
             .when(s.startswith("DECIMAL") | (s == "DOUBLE"), "float")
             .when(s == "VOID", "NoneType")
             .otherwise(s))

@@ -42,10 +42,11 @@ def test_jsonl_order_follows_file(spark, tmpdir_fresh):
 
 def test_first_record_schema(spark, tmpdir_fresh):
     p = write(tmpdir_fresh, "d.jsonl",
-              '{"s":"x","i":1,"f":1.5,"e":1e3,"b":true,"l":[1],"d":{"k":1},"n":null}\n{"other":1}\n')
+              '{"s":"x","i":1,"f":1.5,"e":1e3,"b":true,"l":[1],"d":{"k":1},"n":null,'
+              '"big":123456789012345678901234}\n{"other":1}\n')
     got = dict(rows(readers.first_record_schema(readers.read_jsonl(spark, p)), "key", "type_name"))
     assert got == {"s": "str", "i": "int", "f": "float", "e": "float", "b": "bool", "l": "list", "d": "dict",
-                   "n": "NoneType"}
+                   "n": "NoneType", "big": "int"}
 
 
 def test_read_csv_quotes_newlines_and_blank_rows(spark, tmpdir_fresh):
