@@ -35,11 +35,7 @@ def _norm(v):
     return "<null>" if v is None else str(v)
 
 
-FAST = ["run_pipeline", "dedup_by_key", "pii_redact", "paragraph_chunk_lines", "heading_sections", "read_jsonl",
-        "run_current_state", "resolve_endpoint", "rate_limit_two_tier", "sequence_packing", "chat_template_render"]
-
-
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle_sf0001(spark, duck, name):
     sdf = E.queries()[name](spark, SF001)
     cols = sorted(sdf.columns)
