@@ -4,7 +4,8 @@
 window (the minute set holds every request, the hour set only those that
 passed the minute check).  Entries older than the window are dropped on every
 call, so a client's state is bounded by its requests per window, not by its
-history.  Requests are processed in timestamp order within a micro-batch;
+history, and an event-time timer removes it once the client has been quiet
+for a whole window.  Requests are processed in timestamp order within a micro-batch;
 requests must arrive in time order across micro-batches (a late request would
 change verdicts already emitted).
 """
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.limits import HOUR_US, INFERENCE_LIMITS, MINUTE_US
@@ -42,6 +44,10 @@ def _retry(window_us: int, now: np.ndarray, oldest: np.ndarray) -> np.ndarray:
 
 def make_limiter(minute_us: int, per_minute: int, hour_us: int, per_hour: int):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            # Quiet for a whole hour window: nothing in the state can count again.
+            state.remove()
+            return
         if state.exists:
             s_min, s_hour = (np.asarray(x, dtype=np.int64) for x in state.get)
         else:
@@ -61,6 +67,9 @@ def make_limiter(minute_us: int, per_minute: int, hour_us: int, per_hour: int):
         retry[idx] = np.where(hour_reject, _retry(hour_us, us[passed], oldest_h), -1)
         last = us[-1] if len(us) else 0
         state.update((all_min[all_min > last - minute_us].tolist(), all_hour[all_hour > last - hour_us].tolist()))
+        # Event-time timer (ms): drop the state once the watermark passes the
+        # end of the longest window after this client's last request.
+        state.setTimeoutTimestamp(int((last + max(minute_us, hour_us)) // 1000) + 1)
         out = pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "client": pdf["client"].to_numpy(), "us": us,
                             "verdict": verdict, "retry_after": pd.array(np.where(retry < 0, 0, retry), dtype="Int64")})
         out.loc[retry < 0, "retry_after"] = pd.NA
@@ -70,10 +79,22 @@ def make_limiter(minute_us: int, per_minute: int, hour_us: int, per_hour: int):
 
 
 def rate_limit_stream(requests: DataFrame, *, minute_us: int = MINUTE_US, per_minute: int = INFERENCE_LIMITS[0],
-                      hour_us: int = HOUR_US, per_hour: int = INFERENCE_LIMITS[1]) -> DataFrame:
-    """Streaming ``(event_id, client, us)`` → verdict per request, append mode."""
+                      hour_us: int = HOUR_US, per_hour: int = INFERENCE_LIMITS[1],
+                      lateness: str = "10 minutes") -> DataFrame:
+    """Streaming ``(event_id, client, us)`` → verdict per request, append mode.
+
+    A watermark on the request time (``lateness`` behind the newest request)
+    drives event-time timers, so a client's state is removed one window after
+    its last request: state is bounded by the clients active within a window.
+    Requests are stamped on arrival, so they come in time order up to jitter;
+    one arriving more than ``lateness`` behind the newest request is dropped
+    by the watermark (it could not be judged after later verdicts were
+    emitted).  The batch limiter has no such limit.
+    """
     from ..session import ship_package
     ship_package(requests.sparkSession)
-    return (requests.select("event_id", "client", "us").groupBy("client")
+    timed = (requests.select("event_id", "client", "us")
+             .withColumn("__ts", F.timestamp_micros("us")).withWatermark("__ts", lateness))
+    return (timed.groupBy("client")
             .applyInPandasWithState(make_limiter(minute_us, per_minute, hour_us, per_hour), OUTPUT_SCHEMA,
-                                    STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+                                    STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
