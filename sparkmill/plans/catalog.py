@@ -948,8 +948,7 @@ def _source_of_path(c: str) -> F.Column:
 @query("read_whole_text", "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars "
                           "FROM documents GROUP BY source")
 def q_whole_text(spark, sf):
-    whole = spark.read.text(_docs_as_files(spark, sf), wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    whole = readers.read_whole_text(spark, _docs_as_files(spark, sf), with_path=True)
     # A file holds its source's documents, each followed by the writer's line separator.
     return whole.groupBy(_source_of_path("path").alias("source")).agg(
         F.sum(F.length("text")).cast("bigint").alias("n_chars"))
