@@ -128,3 +128,28 @@ def test_api_key_verification(spark):
     keys = keys.withColumn("key_hash", F.sha2("raw", 256))
     req = spark.createDataFrame([(1, 1, "k1"), (2, 2, "k2"), (3, 1, "nope")], "request_id long, endpoint_id long, api_key string")
     assert rows(registry.verify_api_key(req, keys), "request_id", "valid") == [(1, True), (2, False), (3, False)]
+
+
+def test_iso_timestamps(spark):
+    from sparkmill.functions.fmt import iso_timestamp
+    df = spark.createDataFrame([(0,), (1_500_000,), (None,)], "us long").select(
+        iso_timestamp(F.timestamp_micros("us")).alias("iso"))
+    assert [r["iso"] for r in df.collect()] == ["1970-01-01T00:00:00", "1970-01-01T00:00:01.500000", None]
+
+
+def test_model_register_and_config_merge(spark):
+    runs = spark.createDataFrame([(123456789012, 3, "completed", "", "m", None, 10, 2),
+                                  (5, 1, "completed", "exp", "m", "qlora", -1, 1),
+                                  (6, 1, "failed", "exp", "m", "sft", 7, 1)],
+                                 "id long, project_id long, status string, experiment_name string, base_model string, "
+                                 "method string, max_steps int, num_epochs int")
+    got = rows(registry.model_register(runs), "run_id", "name", "training_method", "s3_path")
+    assert got == [(5, "exp-5", "qlora", "models/1/5/final"), (123456789012, "model-12345678", "lora",
+                                                               "models/3/123456789012/final")]
+    split = registry.run_config_split(runs)
+    r = split.filter("id = 5").first()
+    assert r["model_config"]["method"] == "qlora" and r["training_config"]["max_steps"] == -1
+    assert r["training_config"]["learning_rate"] is None
+    merged = registry.resume_config(split.withColumn("checkpoint_path", F.lit("ck/5")))
+    c = merged.filter("id = 5").first()["config"]
+    assert (c["base_model"], c["max_steps"], c["resume_checkpoint_path"]) == ("m", -1, "ck/5")
