@@ -922,7 +922,7 @@ def q_cleaning_stream(spark, sf):
     # Arrival order cannot change the output (copies share their text and the
     # filters read only the text), so the input needs no ordering.
     path = write_stream_files(d, "docs-stream", batches=5)
-    out = stream_cleaning.run_stream_pipeline(read_stream(spark, path, d.schema), FLAGSHIP_NODES)
+    out = stream_cleaning.run_stream_pipeline(read_stream(spark, path, d.schema), FLAGSHIP_NODES, order_col="doc_id")
     return run_append(out, "cleaning-stream-out").select("text")
 
 

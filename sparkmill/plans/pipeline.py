@@ -101,13 +101,17 @@ def hoist_filters(steps: list[tuple[str, NodeFn, dict]]) -> list[tuple[str, Node
     return out
 
 
-def run_pipeline(df: DataFrame, nodes: list[dict], *, order_col: str = "ord", optimize: bool = True) -> DataFrame:
+def run_pipeline(df: DataFrame, nodes: list[dict], *, order_col: str = "ord", optimize: bool = True,
+                 dedup: NodeFn | None = None) -> DataFrame:
     """Apply the nodes in order; unknown node types raise, extra params are ignored.
 
     With ``optimize`` the result is the same but key-only filters run before
-    the dedup they follow (``hoist_filters``).
+    the dedup they follow (``hoist_filters``).  ``dedup`` replaces the dedup
+    node's implementation (the streaming form keeps state across batches).
     """
     steps = [(n.get("node_type", ""),) + _resolve(n) for n in nodes]  # validate everything before building
+    if dedup is not None:
+        steps = [(t, dedup if t == "dedup" else fn, p) for t, fn, p in steps]
     if optimize:
         steps = hoist_filters(steps)
     out = df

@@ -13,25 +13,36 @@ time.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
-from ..plans.pipeline import NODE_REGISTRY
+from ..plans.pipeline import run_pipeline
 
 
-def stream_dedup(df: DataFrame, *, key: str | None = None, **_kwargs) -> DataFrame:
-    cols = [key] if key and key in df.columns else [c for c in df.columns if c not in ("ord",)]
-    return df.dropDuplicates(cols)
+def stream_identity(df: DataFrame, key: str | None, order_col: str = "ord"):
+    """SHA-256 fingerprint of a record's identity: the key's text, or (key
+    missing) the whole row as JSON; tagged so the two kinds never meet.
 
+    State keeps the 32-byte fingerprint instead of the text itself, so its size
+    does not grow with document length.
+    """
+    cols = [c for c in df.columns if c != order_col]
+    row = F.to_json(F.struct(*[F.to_json(F.col(c)).alias(c) if isinstance(df.schema[c].dataType, VariantType)
+                               else F.col(c) for c in cols]))
+    if key and key in df.columns:
+        k = F.col(key)
+        text = F.when(k.isNotNull(), F.concat(F.lit("k:"), k.cast("string"))).otherwise(F.concat(F.lit("r:"), row))
+    else:
+        text = F.concat(F.lit("r:"), row)
+    return F.sha2(text, 256)
 
-def run_stream_pipeline(stream: DataFrame, nodes: list[dict]) -> DataFrame:
-    out = stream
-    for node in nodes:
-        t = node.get("node_type", "")
-        params = dict(node.get("params") or {})
-        if t == "dedup":
-            out = stream_dedup(out, **params)
-            continue
-        fn = NODE_REGISTRY.get(t)
-        if fn is None:
-            raise ValueError(f"Unknown cleaning node type: {t}")
-        out = fn(out, **params)
-    return out
+
+def stream_dedup(df: DataFrame, *, key: str | None = None, order_col: str = "ord", **_kwargs) -> DataFrame:
+    """First arrival of each identity survives (state: one fingerprint per identity)."""
+    return df.withColumn("__id", stream_identity(df, key, order_col)).dropDuplicates(["__id"]).drop("__id")
+
+
+def run_stream_pipeline(stream: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> DataFrame:
+    """The batch compiler (filter hoisting, single evaluation of redaction) with
+    the stateful dedup: filters hoisted before a dedup also shrink its state."""
+    return run_pipeline(stream, nodes, order_col=order_col, dedup=stream_dedup)

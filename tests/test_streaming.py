@@ -49,3 +49,17 @@ def test_control_fold_and_per_run_routing(spark):
     routed = catalog.QUERIES["metric_stream_per_run"](spark, SF001)
     subs = {k for k, v in runs.items() if v in ("training", "paused")}
     assert {r["subscriber"] for r in routed.select("subscriber").distinct().collect()} <= subs
+
+
+def test_stream_dedup_keyless_rows_use_full_row_identity(spark):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from sparkmill.streaming.cleaning import run_stream_pipeline
+    rows_in = [(0, None, "a"), (1, None, "a"), (2, None, "b"), (3, "k", "x"), (4, "k", "y")]
+    df = spark.createDataFrame(rows_in, "ord long, id string, text string")
+    path = write_stream_files(df, "t-dedup", batches=2, order_col="ord", in_order=True, files_per_batch=1)
+    schema = StructType([StructField("ord", LongType()), StructField("id", StringType()), StructField("text", StringType())])
+    out = run_append(run_stream_pipeline(read_stream(spark, path, schema, files_per_trigger=1),
+                                         [{"node_type": "dedup", "params": {"key": "id"}}]), "t-dedup-out")
+    got = rows(out, "id", "text")
+    assert got == [(None, "a"), (None, "b"), ("k", "x")]
