@@ -87,6 +87,7 @@ def format_dataset(spark: SparkSession, path: str, dest: str, *, user_column: st
     counted = rows.withColumn("__tokens", per_row)
     observed = counted.observe(stats, F.count(F.lit(1)).alias("n"), F.sum("__tokens").alias("t"))
     present = [F.col(c) for c in values if c != "system" or system_column]
-    sinks.write_jsonl(observed.select(*present), dest)
+    # A row without a system prompt has no "system" key, as in the reference's output.
+    sinks.write_jsonl(observed.select(*present), dest, keep_nulls=False)
     got = stats.get
     return spark.createDataFrame([(int(got["n"]), int(got["t"] or 0))], "formatted_rows bigint, total_tokens bigint")

@@ -13,18 +13,22 @@ def derived_key(key: str, suffix: str = "") -> str:
     return f"{base}{suffix}.jsonl"
 
 
-def to_json_line(df: DataFrame) -> DataFrame:
-    """One JSON object per row (nulls written as ``null``); a single VARIANT column is written as is."""
+def to_json_line(df: DataFrame, keep_nulls: bool = True) -> DataFrame:
+    """One JSON object per row; a single VARIANT column is written as is.
+
+    ``keep_nulls`` writes null fields as ``null``; otherwise they are left out
+    (for records whose keys are optional, like an absent system prompt).
+    """
     fields = df.schema.fields
     if len(fields) == 1 and isinstance(fields[0].dataType, VariantType):
         return df.select(F.to_json(F.col(fields[0].name)).alias("value"))
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
-                               {"ignoreNullFields": "false"}).alias("value"))
+                               {"ignoreNullFields": "false" if keep_nulls else "true"}).alias("value"))
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", keep_nulls: bool = True) -> None:
     """Write JSONL.  Never point ``path`` at the input being read."""
-    to_json_line(df).write.mode(mode).option("lineSep", "\n").text(path)
+    to_json_line(df, keep_nulls).write.mode(mode).option("lineSep", "\n").text(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

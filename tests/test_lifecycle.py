@@ -49,3 +49,14 @@ def test_ingest_clean_format(spark, tmpdir_fresh):
     bpe = lifecycle.format_dataset(spark, cleaned, os.path.join(tmpdir_fresh, "b.jsonl"), user_column="question",
                                    assistant_column="answer", tokenizer="byte_bpe_50k").first()
     assert bpe["formatted_rows"] == 2 and bpe["total_tokens"] > 0
+
+
+def test_format_omits_absent_system(spark, tmpdir_fresh):
+    src = os.path.join(tmpdir_fresh, "in.jsonl")
+    with open(src, "w", encoding="utf-8") as fh:
+        fh.write('{"s": "be brief", "q": "hi", "a": "hello"}\n{"q": "yo", "a": "hey"}\n{"q": "", "a": "x"}\n')
+    out = os.path.join(tmpdir_fresh, "out.jsonl")
+    res = lifecycle.format_dataset(spark, src, out, user_column="q", assistant_column="a", system_column="s").first()
+    assert res["formatted_rows"] == 2
+    recs = sorted(lines(out), key=lambda r: r["user"])
+    assert recs == [{"system": "be brief", "user": "hi", "assistant": "hello"}, {"user": "yo", "assistant": "hey"}]
