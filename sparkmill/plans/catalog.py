@@ -913,7 +913,7 @@ def q_rl_stream(spark, sf):
     path = write_stream_files(r, "requests", batches=5, order_col="us", in_order=True)
     s = stream_limiter.rate_limit_stream(read_stream(spark, path, schema), minute_us=W1_US, per_minute=W1_MAX,
                                          hour_us=W2_US, per_hour=W2_MAX)
-    return run_append(s, "rate-limit-out").select("event_id", "verdict", "retry_after")
+    return run_append(s, "rate-limit-out", conf=stream_limiter.QUERY_CONF).select("event_id", "verdict", "retry_after")
 
 
 @query("cleaning_stream", _FLAGSHIP_SQL + f"SELECT text FROM r WHERE {D.ascii_ratio('text')} > 0.85")

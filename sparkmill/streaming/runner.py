@@ -49,12 +49,29 @@ def read_stream(spark: SparkSession, path: str, schema, *, files_per_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+def _start_with(spark: SparkSession, conf: dict | None, start: Callable):
+    """Start a query with ``conf`` applied to it alone: a streaming query keeps
+    the session settings it starts with, so they are restored right after."""
+    old = {k: spark.conf.get(k, None) for k in (conf or {})}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        return start()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def run_append(stream: DataFrame, name: str, conf: dict | None = None) -> DataFrame:
     """Append-mode stream → Parquet files; returns the files as a batch DataFrame."""
     spark = stream.sparkSession
     out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
-    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
+    writer = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+              .outputMode("append").trigger(availableNow=True))
+    q = _start_with(spark, conf, writer.start)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
