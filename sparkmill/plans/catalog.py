@@ -860,10 +860,10 @@ def q_metric_stream(spark, sf):
 
 
 @query("metric_stream_per_run", D.with_(D.RUNS) + "," + _MSG_SQL.removeprefix("WITH ") + """SELECT r.id AS subscriber, m.seq, m.kind
-FROM msgs m JOIN runs_t r ON m.channel = 'training:' || CAST(r.id AS VARCHAR) || ':metrics'
-WHERE r.status IN ('training', 'paused')""")
+FROM msgs m JOIN runs_t r ON m.channel = 'training:' || CAST(r.id AS VARCHAR) || ':metrics'""")
 def q_metric_per_run(spark, sf):
-    subs = FX.training_runs(spark, sf).filter(F.col("status").isin("training", "paused")).select(
+    # Every run has a watcher; each sees exactly its own channel, text messages included.
+    subs = FX.training_runs(spark, sf).select(
         F.col("id").alias("subscriber"), stream_metrics.channel_of(F.col("id")).alias("channel"))
     routed = _metric_stream(spark, sf).join(subs, "channel")  # stream-static equi-join
     return run_append(routed.select("subscriber", "seq", "kind"), "metric-per-run-out")
