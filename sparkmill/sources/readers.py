@@ -213,9 +213,11 @@ def convert_format(spark: SparkSession, path: str | list[str], source_format: st
 
 
 def conversion_stats(records: DataFrame) -> DataFrame:
-    """Row count and first-record schema (as JSON text) in one aggregation pass."""
-    return records.agg(F.count(F.lit(1)).alias("row_count"),
-                       F.min_by(F.schema_of_variant(F.col("record")), F.col("ord")).alias("first_schema"))
+    """Row count and first-record schema in one aggregation pass (the schema is
+    computed once, for the record that wins, not for every record)."""
+    first = records.agg(F.count(F.lit(1)).alias("row_count"),
+                        F.min_by(F.col("record"), F.col("ord")).alias("__first"))
+    return first.select("row_count", F.schema_of_variant(F.col("__first")).alias("first_schema"))
 
 
 def artifact_inventory(spark: SparkSession, prefix: str) -> DataFrame:
