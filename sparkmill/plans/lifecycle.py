@@ -17,21 +17,34 @@ from .pipeline import observed_report, run_pipeline_observed
 
 
 def ingest(spark: SparkSession, path: str, source_format: str, dest: str) -> DataFrame:
-    """Upload → JSONL at ``dest``; returns ``(row_count, schema_json)``.
+    """Upload → JSONL at ``dest``; returns ``(row_count, schema_json, rejected_lines)``.
 
-    ``schema_json`` is ``{key: python type name}`` of the first record, as text.
+    ``schema_json`` is ``{key: python type name}`` of the first record, as text;
+    ``rejected_lines`` counts JSON lines that yield no record (malformed,
+    scalar, ``NaN``), observed on the same pass.
     """
-    recs = readers.convert_format(spark, path, source_format)
+    census = Observation("ingest_lines")
+    if source_format in ("jsonl", "json"):
+        lines = readers.read_lines(spark, path)
+        s = readers.py_strip(F.col("line"))
+        ok = F.try_parse_json(s).isNotNull() & (s.startswith("{") | s.startswith("["))
+        lines = lines.observe(census, F.count(F.when((s != "") & ~ok, 1)).alias("rejected"))
+        recs = readers.parse_json_lines(lines, flatten_arrays=True).select("ord", "record")
+    else:
+        recs = readers.convert_format(spark, path, source_format)
+        census = None
     stats = Observation("ingest")
     first = F.min_by(F.col("record"), F.col("ord"))
     observed = recs.observe(stats, F.count(F.lit(1)).alias("row_count"), first.alias("first"))
     sinks.write_jsonl(observed.select("record"), dest)
     got = stats.get
+    rejected = int(census.get["rejected"]) if census is not None else 0
     first_json = None if got["first"] is None else got["first"].toJson()
-    row = spark.createDataFrame([(int(got["row_count"]), first_json)], "row_count bigint, first string")
-    kv = row.select("row_count", F.explode_outer(F.expr("try_cast(parse_json(first) AS map<string, variant>)"))
-                    .alias("k", "v"))
-    return kv.groupBy("row_count").agg(
+    row = spark.createDataFrame([(int(got["row_count"]), first_json, rejected)],
+                                "row_count bigint, first string, rejected_lines bigint")
+    kv = row.select("row_count", "rejected_lines",
+                    F.explode_outer(F.expr("try_cast(parse_json(first) AS map<string, variant>)")).alias("k", "v"))
+    return kv.groupBy("row_count", "rejected_lines").agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("k", py_type_name(F.schema_of_variant("v"))))))
         .alias("schema_json"))
 

@@ -29,9 +29,12 @@ def file_ordinal() -> Column:
                     F.monotonically_increasing_id().alias("pos"))
 
 
-def _read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    # Only "\n" ends a line, as ``str.split("\n")`` does; "\r" stays in the
-    # line and is removed by the strip.
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Raw lines ``(line, ord)`` of text files, in file order.
+
+    Only "\n" ends a line, as ``str.split("\n")`` does; "\r" stays in the line
+    and is removed by the later strip.
+    """
     return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"),
                                                                 file_ordinal().alias("ord"))
 
@@ -72,6 +75,25 @@ def parse_json_lines(lines: DataFrame, line_col: str = "line", *, flatten_arrays
     return exploded.select(*cols)
 
 
+def json_line_stats(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """Census of JSON lines in one aggregation: total, blank, object, array and
+    rejected (malformed, scalar, ``NaN``, duplicate-key) lines."""
+    s = py_strip(F.col(line_col))
+    parsed = F.try_parse_json(s).isNotNull()
+    blank = s == ""
+    obj = parsed & s.startswith("{")
+    arr = parsed & s.startswith("[")
+    return lines.agg(F.count(F.lit(1)).alias("lines"),
+                     F.count(F.when(blank, 1)).alias("blank_lines"),
+                     F.count(F.when(obj, 1)).alias("object_lines"),
+                     F.count(F.when(arr, 1)).alias("array_lines"),
+                     F.count(F.when(~blank & ~obj & ~arr, 1)).alias("rejected_lines"))
+
+
+def read_json_line_stats(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return json_line_stats(read_lines(spark, path))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], *, multiline: bool = False) -> DataFrame:
     """JSONL file(s) → ``(ord, record VARIANT)``; malformed lines skipped.
 
@@ -79,7 +101,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], *, multiline: bool =
     printed JSON): an object is one record, an array its object elements.
     """
     if not multiline:
-        return parse_json_lines(_read_lines(spark, path))
+        return parse_json_lines(read_lines(spark, path))
     whole = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("line"),
         F.struct(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("bigint").alias("block"),
@@ -91,7 +113,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], *, multiline: bool =
 
 def read_json_array_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """As ``read_jsonl``; a line holding an array is flattened into its objects."""
-    return parse_json_lines(_read_lines(spark, path), flatten_arrays=True)
+    return parse_json_lines(read_lines(spark, path), flatten_arrays=True)
 
 
 def records_as_columns(records: DataFrame, fields: dict[str, str], record_col: str = "record",
@@ -143,7 +165,7 @@ def text_lines(df: DataFrame, text_col: str = "text", keep: list[str] | None = N
 
 def read_txt_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text file → one ``{text}`` record per non-blank stripped line."""
-    lines = _read_lines(spark, path)
+    lines = read_lines(spark, path)
     return lines.select("ord", py_strip(F.col("line")).alias("text")).filter(F.col("text") != "")
 
 

@@ -60,3 +60,12 @@ def test_format_omits_absent_system(spark, tmpdir_fresh):
     assert res["formatted_rows"] == 2
     recs = sorted(lines(out), key=lambda r: r["user"])
     assert recs == [{"system": "be brief", "user": "hi", "assistant": "hello"}, {"user": "yo", "assistant": "hey"}]
+
+
+def test_ingest_jsonl_counts_rejected(spark, tmpdir_fresh):
+    src = os.path.join(tmpdir_fresh, "in.jsonl")
+    with open(src, "w", encoding="utf-8") as fh:
+        fh.write('{"a": 1}\n[{"a": 2}, {"a": 3}]\nbad\n5\n\n{"a": NaN}\n')
+    r = lifecycle.ingest(spark, src, "jsonl", os.path.join(tmpdir_fresh, "out.jsonl")).first()
+    assert (r["row_count"], r["rejected_lines"]) == (3, 3)
+    assert json.loads(r["schema_json"]) == {"a": "int"}

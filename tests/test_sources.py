@@ -141,3 +141,11 @@ def test_read_pretty_printed_json(spark, tmpdir_fresh):
     assert readers.read_jsonl(spark, tmpdir_fresh).count() == 0
     recs = readers.records_as_columns(readers.read_jsonl(spark, tmpdir_fresh, multiline=True), {"a": "bigint"})
     assert [r["a"] for r in recs.orderBy("ord").collect()] == [1, 2, 4]
+
+
+def test_json_line_census(spark, tmpdir_fresh):
+    p = write(tmpdir_fresh, "d.jsonl", "\n".join(JSONL_LINES) + "\n")
+    r = readers.read_json_line_stats(spark, p).first()
+    # '{"a":1,"b":null}', '  {"a":{"x":[1,2]}}  ' are objects; one array; "", trailing "" blank;
+    # "bad", '{"a":NaN}' and the scalar "5" are rejected.
+    assert (r["lines"], r["blank_lines"], r["object_lines"], r["array_lines"], r["rejected_lines"]) == (7, 1, 2, 1, 3)
