@@ -32,8 +32,8 @@ def file_ordinal() -> Column:
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw lines ``(line, ord)`` of text files, in file order.
 
-    Only "\n" ends a line, as ``str.split("\n")`` does; "\r" stays in the line
-    and is removed by the later strip.
+    Only ``"\\n"`` ends a line, as ``str.split("\\n")`` does; ``"\\r"`` stays in
+    the line and is removed by the later strip.
     """
     return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"),
                                                                 file_ordinal().alias("ord"))
