@@ -21,7 +21,8 @@ def ingest(spark: SparkSession, path: str, source_format: str, dest: str) -> Dat
 
     ``schema_json`` is ``{key: python type name}`` of the first record, as text;
     ``rejected_lines`` counts JSON lines that yield no record (malformed,
-    scalar, ``NaN``), observed on the same pass.
+    scalar, ``NaN``) or CSV rows with cells beyond the header (kept, extras
+    left out), observed on the same pass.
     """
     census = Observation("ingest_lines")
     if source_format in ("jsonl", "json"):
@@ -30,6 +31,11 @@ def ingest(spark: SparkSession, path: str, source_format: str, dest: str) -> Dat
         ok = F.try_parse_json(s).isNotNull() & (s.startswith("{") | s.startswith("["))
         lines = lines.observe(census, F.count(F.when((s != "") & ~ok, 1)).alias("rejected"))
         recs = readers.parse_json_lines(lines, flatten_arrays=True).select("ord", "record")
+    elif source_format == "csv":
+        rows = readers.read_csv(spark, path, flag_extra_cells=True)
+        rows = rows.observe(census, F.count(F.when(F.col("_extra_cells"), 1)).alias("rejected"))
+        cols = [c for c in rows.columns if c not in ("ord", "_extra_cells")]
+        recs = rows.select("ord", F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("record"))
     else:
         recs = readers.convert_format(spark, path, source_format)
         census = None

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.fmt import py_type_name
 from ..functions.text import normalize_newlines, py_strip, split_lines
@@ -138,18 +139,31 @@ def first_record_schema(records: DataFrame, order_col: str = "ord", record_col:
 # ---------------------------------------------------------------- CSV / text
 
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _csv_reader(spark: SparkSession):
+    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .option("inferSchema", False).option("mode", "PERMISSIVE"))
+
+
+def read_csv(spark: SparkSession, path: str | list[str], *, flag_extra_cells: bool = False) -> DataFrame:
     """Header CSV, every value a string, quoted newlines and doubled quotes.
 
     Empty and missing cells both come back as ``''`` (the reference gives
     ``''`` and ``None``: documented divergence); cells beyond the header are
-    dropped.
+    left out.  ``flag_extra_cells`` adds ``_extra_cells`` (the row had cells
+    beyond the header), from Spark's malformed-record column in the same scan.
     """
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
-    cols = df.columns
+    cols = _csv_reader(spark).csv(path).columns  # header only: reads the first line
+    if not flag_extra_cells:
+        df = _csv_reader(spark).csv(path)
+        return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cols],
+                         file_ordinal().alias("ord"))
+    schema = StructType([StructField(c, StringType()) for c in cols] + [StructField("_malformed", StringType())])
+    df = _csv_reader(spark).schema(schema).option("columnNameOfCorruptRecord", "_malformed").csv(path)
+    # A row with the wrong number of cells is "malformed"; with its last header
+    # cell present it had more cells than the header, not fewer.
+    extra = F.col("_malformed").isNotNull() & F.col(f"`{cols[-1]}`").isNotNull()
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cols],
-                     file_ordinal().alias("ord"))
+                     file_ordinal().alias("ord"), extra.alias("_extra_cells"))
 
 
 def text_lines(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

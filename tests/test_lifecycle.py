@@ -69,3 +69,11 @@ def test_ingest_jsonl_counts_rejected(spark, tmpdir_fresh):
     r = lifecycle.ingest(spark, src, "jsonl", os.path.join(tmpdir_fresh, "out.jsonl")).first()
     assert (r["row_count"], r["rejected_lines"]) == (3, 3)
     assert json.loads(r["schema_json"]) == {"a": "int"}
+
+
+def test_ingest_csv_counts_rows_with_extra_cells(spark, tmpdir_fresh):
+    src = os.path.join(tmpdir_fresh, "in.csv")
+    with open(src, "w", encoding="utf-8") as fh:
+        fh.write('a,b\n1,2\n3,4,5\n"x\ny",6,7,8\n9\n')
+    r = lifecycle.ingest(spark, src, "csv", os.path.join(tmpdir_fresh, "out.jsonl")).first()
+    assert (r["row_count"], r["rejected_lines"]) == (4, 2)
