@@ -37,9 +37,21 @@ def stream_identity(df: DataFrame, key: str | None, order_col: str = "ord"):
     return F.sha2(text, 256)
 
 
-def stream_dedup(df: DataFrame, *, key: str | None = None, order_col: str = "ord", **_kwargs) -> DataFrame:
-    """First arrival of each identity survives (state: one fingerprint per identity)."""
-    return df.withColumn("__id", stream_identity(df, key, order_col)).dropDuplicates(["__id"]).drop("__id")
+def stream_dedup(df: DataFrame, *, key: str | None = None, order_col: str = "ord",
+                 event_time: str | None = None, within: str | None = None, **_kwargs) -> DataFrame:
+    """First arrival of each identity survives (state: one fingerprint per identity).
+
+    With ``event_time`` and ``within`` (e.g. ``"1 hour"``) copies are
+    recognised at least while they arrive within that horizon of the first
+    one; the state expires behind the watermark (evicted at the end of the
+    next batch): bounded state for streams whose duplicates arrive close in
+    time.  Without them the state lives as long as
+    the query (exact dedup over the whole stream).
+    """
+    tagged = df.withColumn("__id", stream_identity(df, key, order_col))
+    if event_time and within:
+        return tagged.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["__id"]).drop("__id")
+    return tagged.dropDuplicates(["__id"]).drop("__id")
 
 
 def run_stream_pipeline(stream: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> DataFrame:
