@@ -104,7 +104,8 @@ def preview_page(df: DataFrame, order_col: str, *, page: int = 1, page_size: int
         .withColumn("__one", F.lit(1).cast("bigint"))
     offsets = _bucket_offsets(staged, "__one")
     wanted = offsets.filter((F.col("__off") < hi) & (F.col("__off") + F.col("__tot") > lo))
-    # One row per key range: bounded by (key span / bucket_rows), so a broadcast is safe.
+    # Only ranges overlapping the page: each holds at least one row, so there are
+    # at most page_size + 1 of them whatever the data size; a broadcast is safe.
     joined = staged.join(F.broadcast(wanted.select("__bucket", "__off")), "__bucket")
     w = Window.partitionBy("__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     rows = (joined.withColumn("row_ord", (F.col("__off") + F.sum("__one").over(w) - 1).cast("bigint"))
