@@ -1,0 +1 @@
+"""Operators: each a DataFrame -> DataFrame (or Column) building block."""

@@ -1,0 +1 @@
+"""Readers, writers and the parquet tables of a scale-factor folder."""

@@ -1,0 +1 @@
+"""Structured Streaming jobs: metric and control streams, limiter, cleaning stream."""
