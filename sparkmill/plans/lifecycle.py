@@ -101,7 +101,7 @@ def format_dataset(spark: SparkSession, path: str, dest: str, *, user_column: st
                                          system_column=system_column)
     values = ["system", "user", "assistant"]
     per_row = (sum((tokens.value_estimate(c) for c in values), F.lit(0).cast("bigint")) if tokenizer == "estimate"
-               else sum((F.coalesce(tokens.bpe_count(c, tokenizer), F.lit(0)) for c in values), F.lit(0).cast("bigint")))
+               else tokens.bpe_count_row(values, tokenizer))
     stats = Observation("format")
     counted = rows.withColumn("__tokens", per_row)
     observed = counted.observe(stats, F.count(F.lit(1)).alias("n"), F.sum("__tokens").alias("t"))
