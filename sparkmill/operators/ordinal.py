@@ -1,72 +1,92 @@
-"""Ordered prefix sums without a global window: dense ordinals and sequence packing.
+"""Ordered prefix sums without a global window: dense ordinals, packing, paging.
 
 A running total over the whole table would need one task to see every row.
-Instead (two passes):
-1. cut the order key into fixed ranges (``bucket = ord div bucket_rows``) and
-   total each range with a partial aggregate;
-2. a cumulative sum over the per-range totals (one row per range, tiny);
-3. join the range offsets back (broadcast by AQE: the table has one row per
-   range) and add a running sum *within* each range, a window partitioned by
-   range.  A range holds at most ``bucket_rows`` rows because the key is unique,
-   so no task can receive a hot group.
+Instead:
+1. ``repartitionByRange(P, key)`` cuts the data into P contiguous key ranges of
+   about equal size (sampled boundaries, so sparse or clustered keys are fine
+   and no range can be hot: each holds about N / P rows);
+2. each range is totalled (a partial aggregate over P partitions) and a
+   cumulative sum over those P rows gives every range its offset;
+3. the offsets (P rows: bounded by construction) are broadcast back, which
+   keeps the data's partitioning, and each partition, sorted by key, adds its
+   running sum to its offset in one Arrow-batched pass (numpy ``cumsum``).
+Two exchanges in all (the range shuffle and the tiny totals), whatever the key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-DEFAULT_BUCKET_ROWS = 1 << 20
 
+def _ranges(df: DataFrame, ranges: int | None) -> int:
+    if ranges:
+        return int(ranges)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
-def _bucket_offsets(staged: DataFrame, value_col: str) -> DataFrame:
-    totals = staged.groupBy("__bucket").agg(F.sum(value_col).alias("__tot"))
-    before = F.sum("__tot").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    return totals.select("__bucket", "__tot", F.coalesce(before, F.lit(0)).alias("__off"))
 
-
-def running_total(df: DataFrame, order_col: str, value_col: str, *, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-                  before: str = "cum_before", after: str = "cum_after",
-                  keep_buckets: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def running_total(df: DataFrame, order_col: str, value_col: str, *, ranges: int | None = None,
+                  before: str = "cum_before", after: str = "cum_after") -> DataFrame:
     """Add exclusive/inclusive running sums of ``value_col`` in ``order_col`` order.
 
-    ``order_col`` must be an integral, unique key.  ``keep_buckets(offset,
-    total)`` may restrict the second pass to the ranges that matter (the
-    offsets are joined before the per-row window, so other rows are dropped
-    before any sort).
+    ``order_col`` must be unique (ties would make the order ambiguous); any
+    orderable type works.  ``ranges`` is the number of key ranges (default:
+    the session's shuffle partitions).
     """
-    b = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("bigint")
-    staged = df.withColumn("__bucket", b)
-    offsets = _bucket_offsets(staged, value_col)
-    if keep_buckets is not None:
-        offsets = offsets.filter(keep_buckets(F.col("__off"), F.col("__tot")))
-    joined = staged.join(offsets.select("__bucket", "__off"), "__bucket")
-    w = Window.partitionBy("__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.withColumn("__run", F.sum(value_col).over(w))
-    return (out.withColumn(after, (F.col("__off") + F.col("__run")).cast("bigint"))
-            .withColumn(before, (F.col(after) - F.col(value_col)).cast("bigint"))
-            .drop("__bucket", "__run", "__off"))
-
-
-def dense_ordinal(df: DataFrame, order_col: str, *, out: str = "row_ord",
-                  bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+    from ..session import ship_package
+    ship_package(df.sparkSession)
+    staged = (df.repartitionByRange(_ranges(df, ranges), F.col(order_col))
+              .withColumn("__range", F.spark_partition_id()))
+    totals = staged.groupBy("__range").agg(F.sum(value_col).cast("bigint").alias("__tot"))
+    prior = F.sum("__tot").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("__range", F.coalesce(prior, F.lit(0)).cast("bigint").alias("__off"))
+    # One row per range: bounded by the range count, so broadcasting it is safe,
+    # and a broadcast join keeps each partition's rows in place.  The local sort
+    # comes after the join (a sort beneath a join may be optimised away).
+    joined = staged.join(F.broadcast(offsets), "__range").sortWithinPartitions(order_col)
+    cols = joined.columns
+    out_schema = StructType([f for f in joined.schema.fields] + [StructField(after, LongType())])
+    v_idx = cols.index(value_col)
+
+    def add_running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carried: dict[int, int] = {}
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf.assign(**{after: pd.Series(dtype="int64")})
+                continue
+            vals = pdf.iloc[:, v_idx].fillna(0).to_numpy(dtype=np.int64)
+            rng = int(pdf["__range"].iloc[0])
+            base = carried.get(rng, int(pdf["__off"].iloc[0]))
+            run = base + np.cumsum(vals)
+            carried[rng] = int(run[-1])
+            yield pdf.assign(**{after: run})
+
+    out = joined.mapInPandas(add_running, out_schema)
+    return (out.withColumn(before, (F.col(after) - F.coalesce(F.col(value_col), F.lit(0))).cast("bigint"))
+            .drop("__range", "__off"))
+
+
+def dense_ordinal(df: DataFrame, order_col: str, *, out: str = "row_ord", ranges: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_col`` order (two-pass count)."""
     staged = df.withColumn("__one", F.lit(1).cast("bigint"))
-    r = running_total(staged, order_col, "__one", bucket_rows=bucket_rows, before=out, after="__incl")
+    r = running_total(staged, order_col, "__one", ranges=ranges, before=out, after="__incl")
     return r.drop("__one", "__incl")
 
 
 def sequence_packing(df: DataFrame, order_col: str, tokens_col: str, *, context_length: int = 2048,
-                     bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+                     ranges: int | None = None) -> DataFrame:
     """Concatenate every row's tokens in order and cut into ``context_length`` packs.
 
     Adds ``token_start``/``token_end`` (half-open range in the stream) and
     ``first_pack``/``last_pack`` (inclusive; a row with no tokens reports the
     pack its position falls in).
     """
-    r = running_total(df, order_col, tokens_col, bucket_rows=bucket_rows, before="token_start", after="token_end")
+    r = running_total(df, order_col, tokens_col, ranges=ranges, before="token_start", after="token_end")
     L = F.lit(context_length)
     return (r.withColumn("first_pack", F.floor(F.col("token_start") / L).cast("bigint"))
             .withColumn("last_pack", F.when(F.col(tokens_col) > 0, F.floor((F.col("token_end") - 1) / L))
@@ -89,28 +109,18 @@ def pack_summary(packed: DataFrame, tokens_col: str, *, context_length: int = 20
 
 
 def preview_page(df: DataFrame, order_col: str, *, page: int = 1, page_size: int = 50,
-                 bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """Page ``page`` (1-based) of ``page_size`` rows in ``order_col`` order, with the total.
 
-    Pass one counts rows per key range (a partial aggregate over the key
-    column only); pass two keeps just the ranges overlapping the page, so only
-    those rows are ever sorted.  The total is the sum of the same range counts
-    (one shared exchange).
+    Dense row positions come from the range-partitioned prefix count; the page
+    is a filter on them and the total is the last position plus one.
     """
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size must be positive")
     lo, hi = (page - 1) * page_size, page * page_size
-    staged = df.withColumn("__bucket", F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("bigint")) \
-        .withColumn("__one", F.lit(1).cast("bigint"))
-    offsets = _bucket_offsets(staged, "__one")
-    wanted = offsets.filter((F.col("__off") < hi) & (F.col("__off") + F.col("__tot") > lo))
-    # Only ranges overlapping the page: each holds at least one row, so there are
-    # at most page_size + 1 of them whatever the data size; a broadcast is safe.
-    joined = staged.join(F.broadcast(wanted.select("__bucket", "__off")), "__bucket")
-    w = Window.partitionBy("__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (joined.withColumn("row_ord", (F.col("__off") + F.sum("__one").over(w) - 1).cast("bigint"))
-            .filter((F.col("row_ord") >= lo) & (F.col("row_ord") < hi))
-            .drop("__bucket", "__one", "__off"))
-    total = offsets.agg(F.sum("__tot").cast("bigint").alias("total")).withColumn("__k", F.lit(1))
+    staged = df.withColumn("__one", F.lit(1).cast("bigint"))
+    rows = running_total(staged, order_col, "__one", ranges=ranges, before="row_ord", after="__incl")
+    page_rows = rows.filter((F.col("row_ord") >= lo) & (F.col("row_ord") < hi)).drop("__one", "__incl")
+    total = staged.agg(F.count(F.lit(1)).alias("total")).withColumn("__k", F.lit(1))
     # ``total`` is one row: broadcasting it is bounded by construction.
-    return rows.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k").drop("__k")
+    return page_rows.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k").drop("__k")

@@ -64,7 +64,7 @@ def test_sequence_packing_small_buckets(spark):
     d = table(spark, SF01, "documents").select("doc_id", tokens.value_estimate("text").alias("n"))
     # A tiny bucket size forces many ranges: the result must not depend on it.
     a = rows(ordinal.sequence_packing(d, "doc_id", "n"), "doc_id", "token_start", "token_end", "first_pack", "last_pack")
-    b = rows(ordinal.sequence_packing(d, "doc_id", "n", bucket_rows=7), "doc_id", "token_start", "token_end",
+    b = rows(ordinal.sequence_packing(d, "doc_id", "n", ranges=7), "doc_id", "token_start", "token_end",
              "first_pack", "last_pack")
     assert a == b
     total = sum(r[2] - r[1] for r in a)
@@ -76,7 +76,7 @@ def test_sequence_packing_small_buckets(spark):
 
 def test_preview_page(spark):
     d = spark.range(0, 1000, 3).withColumnRenamed("id", "k")  # sparse keys
-    got = rows(ordinal.preview_page(d, "k", page=3, page_size=10, bucket_rows=16), "row_ord", "k", "total")
+    got = rows(ordinal.preview_page(d, "k", page=3, page_size=10, ranges=16), "row_ord", "k", "total")
     assert got == [(20 + i, 3 * (20 + i), 334) for i in range(10)]
     with pytest.raises(ValueError):
         ordinal.preview_page(d, "k", page=0)
@@ -93,3 +93,19 @@ def test_custom_encoder_registry(spark):
         assert tokens.token_count_bpe(df, ["x", "y"], encoder="words").first()["bpe_tokens"] == 6
     finally:
         tokens.ENCODERS.pop("words")
+
+
+def test_running_total_sparse_and_string_keys(spark):
+    import random
+    rnd = random.Random(5)
+    keys = sorted(rnd.sample(range(1, 2**62), 3000))
+    vals = [rnd.randint(0, 9) for _ in keys]
+    df = spark.createDataFrame(list(zip(keys, vals)), "k long, v long")
+    got = {r["k"]: (r["cum_before"], r["cum_after"]) for r in ordinal.running_total(df, "k", "v", ranges=9).collect()}
+    acc = 0
+    for k, v in zip(keys, vals):
+        assert got[k] == (acc, acc + v)
+        acc += v
+    names = spark.createDataFrame([(f"doc-{i:05d}",) for i in range(500)], "name string")
+    ords = {r["name"]: r["row_ord"] for r in ordinal.dense_ordinal(names, "name", ranges=4).collect()}
+    assert ords == {f"doc-{i:05d}": i for i in range(500)}
