@@ -1,27 +1,28 @@
 """Ordered prefix sums without a global window: dense ordinals, packing, paging.
 
 A running total over the whole table would need one task to see every row.
-Instead:
-1. ``repartitionByRange(P, key)`` cuts the data into P contiguous key ranges of
-   about equal size (sampled boundaries, so sparse or clustered keys are fine
-   and no range can be hot: each holds about N / P rows);
-2. each range is totalled (a partial aggregate over P partitions) and a
-   cumulative sum over those P rows gives every range its offset;
-3. the offsets (P rows: bounded by construction) are broadcast back, which
-   keeps the data's partitioning, and each partition, sorted by key, adds its
-   running sum to its offset in one Arrow-batched pass (numpy ``cumsum``).
-Two exchanges in all (the range shuffle and the tiny totals), whatever the key.
+Instead the rows are cut into groups of consecutive keys, each group is
+totalled (a partial aggregate), a cumulative sum over the group totals gives
+every group its offset, the offsets are broadcast back (one row per group) and
+a window partitioned by group adds the running sum inside it.  How the groups
+are cut depends on the key:
+* dense integral keys (row ordinals, document ids): ``(key - min) div
+  bucket_rows`` — at most ``bucket_rows`` rows per group, no sampling pass;
+* anything else (sparse or clustered ids, strings, structs):
+  ``repartitionByRange`` — sampled, equal-depth ranges, so no group is hot.
+The choice costs one aggregate over the key column alone (three scalars).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+
+
+DEFAULT_BUCKET_ROWS = 1 << 20
+# Integral keys with at most this many key values per row are "dense".
+DENSE_FACTOR = 4
 
 
 def _ranges(df: DataFrame, ranges: int | None) -> int:
@@ -30,63 +31,72 @@ def _ranges(df: DataFrame, ranges: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
 
+def _running_in_groups(staged: DataFrame, order_col: str, value_col: str, offsets: DataFrame,
+                       before: str, after: str) -> DataFrame:
+    # ``offsets`` has one row per group, bounded as the caller explains: broadcast.
+    joined = staged.join(F.broadcast(offsets), "__grp")
+    w = Window.partitionBy("__grp").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    v = F.coalesce(F.col(value_col), F.lit(0))
+    out = joined.withColumn(after, (F.col("__off") + F.sum(v).over(w)).cast("bigint"))
+    return out.withColumn(before, (F.col(after) - v).cast("bigint")).drop("__grp", "__off")
+
+
+def _offsets(staged: DataFrame, value_col: str) -> DataFrame:
+    totals = staged.groupBy("__grp").agg(F.sum(value_col).cast("bigint").alias("__tot"))
+    prior = F.sum("__tot").over(Window.orderBy("__grp").rowsBetween(Window.unboundedPreceding, -1))
+    return totals.select("__grp", F.coalesce(prior, F.lit(0)).cast("bigint").alias("__off"))
+
+
+def _is_dense(df: DataFrame, order_col: str) -> tuple[bool, int]:
+    """Integral keys spanning at most DENSE_FACTOR values per row (three scalars, key column only)."""
+    if not isinstance(df.schema[order_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return False, 0
+    st = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"), F.count(order_col).alias("n")).first()
+    if not st["n"]:
+        return True, 0
+    return (st["hi"] - st["lo"] + 1) <= DENSE_FACTOR * st["n"], int(st["lo"])
+
+
 def running_total(df: DataFrame, order_col: str, value_col: str, *, ranges: int | None = None,
-                  before: str = "cum_before", after: str = "cum_after") -> DataFrame:
+                  bucket_rows: int = DEFAULT_BUCKET_ROWS, before: str = "cum_before",
+                  after: str = "cum_after") -> DataFrame:
     """Add exclusive/inclusive running sums of ``value_col`` in ``order_col`` order.
 
-    ``order_col`` must be unique (ties would make the order ambiguous); any
-    orderable type works.  ``ranges`` is the number of key ranges (default:
-    the session's shuffle partitions).
+    ``order_col`` must be unique.  Dense integral keys (row ordinals, document
+    ids) are grouped by ``(key - min) div bucket_rows``: each group holds at
+    most ``bucket_rows`` rows and there are at most ``DENSE_FACTOR × rows /
+    bucket_rows`` groups, with no sampling pass.  Any other key (sparse,
+    clustered, or not integral) is cut by ``repartitionByRange(ranges)`` into
+    sampled, equal-depth ranges, so no group can be hot and there are exactly
+    ``ranges`` groups.
     """
-    from ..session import ship_package
-    ship_package(df.sparkSession)
-    staged = (df.repartitionByRange(_ranges(df, ranges), F.col(order_col))
-              .withColumn("__range", F.spark_partition_id()))
-    totals = staged.groupBy("__range").agg(F.sum(value_col).cast("bigint").alias("__tot"))
-    prior = F.sum("__tot").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select("__range", F.coalesce(prior, F.lit(0)).cast("bigint").alias("__off"))
-    # One row per range: bounded by the range count, so broadcasting it is safe,
-    # and a broadcast join keeps each partition's rows in place.  The local sort
-    # comes after the join (a sort beneath a join may be optimised away).
-    joined = staged.join(F.broadcast(offsets), "__range").sortWithinPartitions(order_col)
-    cols = joined.columns
-    out_schema = StructType([f for f in joined.schema.fields] + [StructField(after, LongType())])
-    v_idx = cols.index(value_col)
-
-    def add_running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried: dict[int, int] = {}
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{after: pd.Series(dtype="int64")})
-                continue
-            vals = pdf.iloc[:, v_idx].fillna(0).to_numpy(dtype=np.int64)
-            rng = int(pdf["__range"].iloc[0])
-            base = carried.get(rng, int(pdf["__off"].iloc[0]))
-            run = base + np.cumsum(vals)
-            carried[rng] = int(run[-1])
-            yield pdf.assign(**{after: run})
-
-    out = joined.mapInPandas(add_running, out_schema)
-    return (out.withColumn(before, (F.col(after) - F.coalesce(F.col(value_col), F.lit(0))).cast("bigint"))
-            .drop("__range", "__off"))
-
-
-def dense_ordinal(df: DataFrame, order_col: str, *, out: str = "row_ord", ranges: int | None = None) -> DataFrame:
+    dense, lo = _is_dense(df, order_col)
+    if dense:
+        staged = df.withColumn("__grp", F.floor((F.col(order_col) - F.lit(lo)) / F.lit(bucket_rows)).cast("bigint"))
+    else:
+        staged = (df.repartitionByRange(_ranges(df, ranges), F.col(order_col))
+                  .withColumn("__grp", F.spark_partition_id()))
+    return _running_in_groups(staged, order_col, value_col, _offsets(staged, value_col), before, after)
+
+
+def dense_ordinal(df: DataFrame, order_col: str, *, out: str = "row_ord", ranges: int | None = None,
+                  bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """0-based position of each row in ``order_col`` order (two-pass count)."""
     staged = df.withColumn("__one", F.lit(1).cast("bigint"))
-    r = running_total(staged, order_col, "__one", ranges=ranges, before=out, after="__incl")
+    r = running_total(staged, order_col, "__one", ranges=ranges, bucket_rows=bucket_rows, before=out, after="__incl")
     return r.drop("__one", "__incl")
 
 
 def sequence_packing(df: DataFrame, order_col: str, tokens_col: str, *, context_length: int = 2048,
-                     ranges: int | None = None) -> DataFrame:
+                     ranges: int | None = None, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Concatenate every row's tokens in order and cut into ``context_length`` packs.
 
     Adds ``token_start``/``token_end`` (half-open range in the stream) and
     ``first_pack``/``last_pack`` (inclusive; a row with no tokens reports the
     pack its position falls in).
     """
-    r = running_total(df, order_col, tokens_col, ranges=ranges, before="token_start", after="token_end")
+    r = running_total(df, order_col, tokens_col, ranges=ranges, bucket_rows=bucket_rows,
+                      before="token_start", after="token_end")
     L = F.lit(context_length)
     return (r.withColumn("first_pack", F.floor(F.col("token_start") / L).cast("bigint"))
             .withColumn("last_pack", F.when(F.col(tokens_col) > 0, F.floor((F.col("token_end") - 1) / L))
@@ -109,7 +119,7 @@ def pack_summary(packed: DataFrame, tokens_col: str, *, context_length: int = 20
 
 
 def preview_page(df: DataFrame, order_col: str, *, page: int = 1, page_size: int = 50,
-                 ranges: int | None = None) -> DataFrame:
+                 ranges: int | None = None, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Page ``page`` (1-based) of ``page_size`` rows in ``order_col`` order, with the total.
 
     Dense row positions come from the range-partitioned prefix count; the page
@@ -119,7 +129,8 @@ def preview_page(df: DataFrame, order_col: str, *, page: int = 1, page_size: int
         raise ValueError("page and page_size must be positive")
     lo, hi = (page - 1) * page_size, page * page_size
     staged = df.withColumn("__one", F.lit(1).cast("bigint"))
-    rows = running_total(staged, order_col, "__one", ranges=ranges, before="row_ord", after="__incl")
+    rows = running_total(staged, order_col, "__one", ranges=ranges, bucket_rows=bucket_rows,
+                         before="row_ord", after="__incl")
     page_rows = rows.filter((F.col("row_ord") >= lo) & (F.col("row_ord") < hi)).drop("__one", "__incl")
     total = staged.agg(F.count(F.lit(1)).alias("total")).withColumn("__k", F.lit(1))
     # ``total`` is one row: broadcasting it is bounded by construction.

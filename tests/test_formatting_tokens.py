@@ -2,6 +2,8 @@
 
 import base64
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from sparkmill.operators import formatting, ordinal, tokens
@@ -64,7 +66,7 @@ def test_sequence_packing_small_buckets(spark):
     d = table(spark, SF01, "documents").select("doc_id", tokens.value_estimate("text").alias("n"))
     # A tiny bucket size forces many ranges: the result must not depend on it.
     a = rows(ordinal.sequence_packing(d, "doc_id", "n"), "doc_id", "token_start", "token_end", "first_pack", "last_pack")
-    b = rows(ordinal.sequence_packing(d, "doc_id", "n", ranges=7), "doc_id", "token_start", "token_end",
+    b = rows(ordinal.sequence_packing(d, "doc_id", "n", bucket_rows=7), "doc_id", "token_start", "token_end",
              "first_pack", "last_pack")
     assert a == b
     total = sum(r[2] - r[1] for r in a)
@@ -76,7 +78,7 @@ def test_sequence_packing_small_buckets(spark):
 
 def test_preview_page(spark):
     d = spark.range(0, 1000, 3).withColumnRenamed("id", "k")  # sparse keys
-    got = rows(ordinal.preview_page(d, "k", page=3, page_size=10, ranges=16), "row_ord", "k", "total")
+    got = rows(ordinal.preview_page(d, "k", page=3, page_size=10, bucket_rows=16), "row_ord", "k", "total")
     assert got == [(20 + i, 3 * (20 + i), 334) for i in range(10)]
     with pytest.raises(ValueError):
         ordinal.preview_page(d, "k", page=0)
@@ -109,3 +111,9 @@ def test_running_total_sparse_and_string_keys(spark):
     names = spark.createDataFrame([(f"doc-{i:05d}",) for i in range(500)], "name string")
     ords = {r["name"]: r["row_ord"] for r in ordinal.dense_ordinal(names, "name", ranges=4).collect()}
     assert ords == {f"doc-{i:05d}": i for i in range(500)}
+
+
+def test_preview_on_sparse_keys_uses_ranges(spark):
+    d = spark.range(0, 300).select((F.col("id") * 1_000_003 + 7).alias("k"))
+    got = rows(ordinal.preview_page(d, "k", page=2, page_size=5, ranges=6), "row_ord", "k", "total")
+    assert got == [(5 + i, (5 + i) * 1_000_003 + 7, 300) for i in range(5)]
