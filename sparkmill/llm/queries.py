@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkmill.llm import mixing, secrets, sharding
+from sparkmill.llm import mixing, secrets, sharding, warc_zip
 from sparkmill.llm.common import table
 
 QUERIES = {
+    "op2_zip_warc": lambda s, d: warc_zip.roundtrip_digest(table(s, d, "pages")),
     "op7_hypergeometric_shards": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
     "op8_secret_ledger": lambda s, d: secrets.secret_digest(table(s, d, "documents")),
     "op9_sainte_lague_mix": lambda s, d: mixing.mix_documents(table(s, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_zip_warc": warc_zip.SQL}
