@@ -22,12 +22,12 @@ bounded); executors need no copy of the file.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sparkmill.llm.common import ship
 
@@ -35,8 +35,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-#: Characters of text that a task encodes at a time, cells of the lattice held at a time, words and pairs remembered.
-BATCH_CHARS, CELLS, KEPT_WORDS, KEPT_PAIRS = 3_000_000, 400_000, 400_000, 2_000_000
+#: Characters of text that a task encodes at a time, cells of the lattice held at a time, words remembered.
+BATCH_CHARS, CELLS, KEPT_WORDS = 3_000_000, 250_000, 300_000
+#: Pairs of pieces are remembered in 2 ** PAIR_BITS slots, a new pair taking the place of the old one.
+PAIR_BITS = 21
 #: Words longer than this are walked one by one, their lattice still probed at once.
 LONG = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -69,8 +71,10 @@ class Model:
             order = np.argsort(h)
             self.keys.append(h[order])
             self.ids.append(np.array([self.known[p] for p in some], dtype=np.int32)[order] if some else np.zeros(0, np.int32))
-        self.lattice_words: dict[str, tuple] = {}
-        self.pairs = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.lattice_words: dict[str, bytes] = {}
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() if t in (_NORMAL, _USER) else None
+                    for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True))]
 
 
 def load(path: str = MODEL) -> Model:
@@ -118,22 +122,18 @@ def _stay_apart(model: Model, left: np.ndarray, right: np.ndarray) -> np.ndarray
     real = np.flatnonzero((left >= 0) & (right >= 0))
     if not len(real):
         return out
-    key, back = np.unique(left[real].astype(np.int64) * len(model.pieces) + right[real], return_inverse=True)
+    key = left[real].astype(np.int64) * len(model.pieces) + right[real]
+    slot = ((key.astype(np.uint64) * _MULT) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
     keys, vals = model.pairs
-    at = np.searchsorted(keys, key)
-    held = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key) if len(keys) else np.zeros(len(key), bool)
-    got = np.zeros(len(key), bool)
-    got[held] = vals[at[held]]
-    if (new := np.flatnonzero(~held)).size:
-        a, b = np.divmod(key[new], len(model.pieces))
-        p = model.pieces
-        got[new] = [merge(model, p[x] + p[y]) == [p[x], p[y]] for x, y in zip(a, b, strict=True)]
-        if len(keys) > KEPT_PAIRS:
-            keys, vals = keys[:0], vals[:0]
-        keys, vals = np.concatenate([keys, key[new]]), np.concatenate([vals, got[new]])
-        order = np.argsort(keys, kind="stable")
-        model.pairs = keys[order], vals[order]
-    out[real] = got[back]
+    got = vals[slot]
+    if (missed := np.flatnonzero(keys[slot] != key)).size:
+        new, back = np.unique(key[missed], return_inverse=True)
+        p, known = model.pieces, model.known
+        value = np.fromiter(((x := p[a]) + (y := p[b]) not in known and merge(model, x + y) == [x, y]
+                             for a, b in zip(*(v.tolist() for v in np.divmod(new, len(p))), strict=True)), bool, len(new))
+        got[missed] = value[back]
+        keys[slot[missed]], vals[slot[missed]] = key[missed], got[missed]  # of several keys in a slot the last stays
+    out[real] = got
     return out
 
 
@@ -224,10 +224,10 @@ def _walk(model: Model, word: str) -> list[int]:
     return ids[::-1]
 
 
-def _finish(model: Model, ids: list[int]) -> tuple[int, ...]:
-    """Unknown characters as their UTF-8 bytes, or as one unknown piece a run."""
+def _finish(model: Model, ids: list[int]) -> bytes:
+    """The ids as packed 32-bit integers; unknown characters as their UTF-8 bytes, or as one unknown piece a run."""
     if min(ids, default=0) >= 0:
-        return tuple(ids)
+        return array("i", ids).tobytes()
     out: list[int] = []
     for i in ids:
         if i >= 0:
@@ -236,7 +236,7 @@ def _finish(model: Model, ids: list[int]) -> tuple[int, ...]:
             out += [model.bytes_[b] for b in chr(-1 - i).encode()]
         elif not out or out[-1] != model.unknown:
             out.append(model.unknown)
-    return tuple(out)
+    return array("i", out).tobytes()
 
 
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -266,24 +266,33 @@ def encode_batch(model: Model, texts: list[str | None]) -> list[np.ndarray | Non
                 kept[w] = _finish(model, ids)
     out: list[np.ndarray | None] = []
     for t, words in zip(texts, cut, strict=True):
-        ids: list[int] = []
-        for w in words:
-            ids += kept[w]
-        out.append(None if t is None else np.array(_join_unknown(model, ids), dtype=np.int32))
+        ids = np.frombuffer(b"".join([kept[w] for w in words]), dtype=np.int32)
+        out.append(None if t is None else _join_unknown(model, ids))
     return out
 
 
-def _join_unknown(model: Model, ids: list[int]) -> list[int]:
-    if model.bytes_ or model.unknown not in ids:
+def _join_unknown(model: Model, ids: np.ndarray) -> np.ndarray:
+    """Runs of unknown pieces become one where a model has no byte pieces."""
+    if model.bytes_ or len(ids) < 2:
         return ids
-    return [i for k, i in enumerate(ids) if i != model.unknown or not k or ids[k - 1] != model.unknown]
+    return ids[np.r_[True, (ids[1:] != model.unknown) | (ids[:-1] != model.unknown)]]
 
 
 def decode_ids(model: Model, ids) -> str | None:
     """The text of piece ids: bytes joined to characters (each invalid byte as U+FFFD), the first space dropped."""
     if ids is None:
         return None
-    shown, byte_of, parts, raw = model.pieces, model.byte_of, [], bytearray()
+    ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
+    try:
+        text = b"".join([model.raw[i] for i in ids]).decode()
+    except (UnicodeDecodeError, TypeError):  # broken bytes, or pieces that stand for no text
+        text = _decode_broken(model, ids)
+    lead = next((i for i in ids if model.types[i] != _CONTROL), None)
+    return text[1:] if model.dummy_prefix and lead is not None and model.pieces[lead].startswith(SPACE) else text
+
+
+def _decode_broken(model: Model, ids: list[int]) -> str:
+    parts, raw = [], bytearray()
 
     def flush():
         while raw:
@@ -291,22 +300,17 @@ def decode_ids(model: Model, ids) -> str | None:
                 parts.append(raw.decode())
                 raw.clear()
             except UnicodeDecodeError as e:
-                parts.append(raw[:e.start].decode() + "�")
+                parts.append(raw[:e.start].decode() + "\ufffd")
                 del raw[:e.start + 1]
 
     for i in ids:
-        if i in byte_of:
-            raw.append(byte_of[i])
+        if i in model.byte_of:
+            raw.append(model.byte_of[i])
             continue
-        if raw:
-            flush()
-        kind = model.types[i]
-        parts.append(shown[i] if kind in (_NORMAL, _USER) else " ⁇ " if kind == _UNKNOWN else "")
+        flush()
+        parts.append(" \u2047 " if model.types[i] == _UNKNOWN else (model.raw[i] or b"").decode())
     flush()
-    text = "".join(parts)
-    if model.dummy_prefix and text.startswith(SPACE):
-        text = text[1:]
-    return text.replace(SPACE, " ")
+    return "".join(parts)
 
 
 _MODELS: dict[str, Model] = {}
@@ -380,8 +384,25 @@ def decode(rows: DataFrame, path: str = MODEL, column: str = "ids", into: str =
 def token_rows(documents: DataFrame, path: str = MODEL) -> DataFrame:
     """The result of the tokens query: ids of each whole text, their number, and whether decoding gives the text back.
 
-    The space mark itself decodes to a space, as in the public library.
+    The space mark itself decodes to a space, as in the public library.  A null
+    text has null ids and no tokens, and comes back as null.
     """
-    back = decode(encode(documents.select("doc_id", "text"), path), path)
-    same = F.replace("text", F.lit(SPACE), F.lit(" ")).eqNullSafe(F.col("decoded"))
-    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
+    ship(documents.sparkSession)
+    m = load(path)
+    state = (m.kind, m.pieces, m.scores, m.types, m.dummy_prefix)
+
+    def run(batches):
+        model = None
+        for b in batches:
+            model = model or _model(state)
+            done = 0
+            for texts in _groups(b.column(1).to_pylist()):
+                ids = encode_batch(model, texts)
+                same = [decode_ids(model, i) == (t if t is None else t.replace(SPACE, " ")) for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(done, len(texts)), pa.array([0 if i is None else len(i) for i in ids], pa.int64()),
+                     pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+                done += len(texts)
+
+    kind = dict(documents.dtypes)["doc_id"]
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>, round_trip boolean")
