@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from sparkmill.llm import mixing, quality, secrets, sentencepiece_viterbi, sharding, warc_zip
+from sparkmill.llm import curves, mixing, pivots, quality, secrets, sentencepiece_viterbi, sharding, warc_zip
 from sparkmill.llm.common import table
 
 QUERIES = {
     "op1_fourier_quality": lambda s, d: quality.score_documents(table(s, d, "documents"), table(s, d, "labels")),
     "op2_zip_warc": lambda s, d: warc_zip.roundtrip_digest(table(s, d, "pages")),
+    "op3_hilbert_neighbours": lambda s, d: curves.nearest_neighbours(table(s, d, "embeddings")),
     "op6_sentencepiece_viterbi": lambda s, d: sentencepiece_viterbi.token_rows(table(s, d, "documents")),
     "op7_hypergeometric_shards": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
     "op8_secret_ledger": lambda s, d: secrets.secret_digest(table(s, d, "documents")),
     "op9_sainte_lague_mix": lambda s, d: mixing.mix_documents(table(s, d, "documents")),
+    "op10_pivot_table": lambda s, d: pivots.top_products(table(s, d, "embeddings")),
 }
 
-ORACLE: dict[str, str] = {"op2_zip_warc": warc_zip.SQL}
+ORACLE: dict[str, str] = {"op2_zip_warc": warc_zip.SQL, "op10_pivot_table": pivots.SQL}
