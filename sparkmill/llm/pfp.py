@@ -1,6 +1,6 @@
 """Removal of repeated strings by prefix-free parsing.
 
-A rolling hash of 16 bytes triggers phrases: every 50-byte window has one
+A rolling hash of GRAM bytes triggers phrases: every 50-byte window has one
 trigger, its smallest hash (the leftmost of equals), and the windows that share a
 trigger form a phrase, which overlaps the next one by 49 bytes.  Triggers depend
 on the window alone, so equal windows of any two documents lie in phrases of
@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 
 from sparkmill.llm.common import ship, stage
 
-LENGTH, GRAM = 50, 16
-REACH = LENGTH - GRAM + 1  # 16-grams of a window
+LENGTH, GRAM = 50, 20
+REACH = LENGTH - GRAM + 1  # rolling hashes in a window
 #: Bytes of text worked on at a time; bytes of the corpus for each bucket and document group.
 BATCH, SHARE = 3_000_000, 12_000_000
 LEAST_PARTS = 61
+#: Bytes of a phrase's hash that are sent beside 32 bits of its trigger's and the bucket.
+TAG = 6
 ROWS = "to bigint, kind string, blob binary"
 
 _U = np.uint64
@@ -68,19 +70,20 @@ def parse(buf: np.ndarray, starts: np.ndarray):
     h4 = h2[:-2] * _M[1] + h2[2:]
     h8 = h4[:-4] * _M[2] + h4[4:]
     h16 = h8[:-8] * _M[3] + h8[8:]
-    del h1, h4, h8
+    tail = {16: None, 20: h4, 24: h8}[GRAM]
+    gram = _mix(h16 if tail is None else h16[:n - GRAM + 1] * _M[5] + tail[16:16 + n - GRAM + 1])
+    del h1, h4, h8, tail
     h32 = h16[:-16] * _M[4] + h16[16:]
     m = n - LENGTH + 1
     window = _mix((h32[:m] * _M[5] + h16[32:32 + m]) * _M[2] + h2[48:48 + m])
     del h32, h2
-    gram = _mix(h16)
-    low, at = gram, np.arange(len(gram), dtype=np.int32)
-    for step in (1, 2, 4, 8, 16):  # smallest of 32, the leftmost of equals
+    low, at, power = gram, np.arange(len(gram), dtype=np.int32), 1 << (REACH.bit_length() - 1)
+    for step in (1 << k for k in range(REACH.bit_length() - 1)):  # smallest of a power of two, the leftmost of equals
         less = low[step:] < low[:-step]
         at = np.where(less, at[step:], at[:-step])
         low = np.where(less, low[step:], low[:-step])
-    rest = REACH - 32
-    at = np.where(low[rest:] < low[:-rest], at[rest:], at[:-rest])
+    if rest := REACH - power:
+        at = np.where(low[rest:] < low[:-rest], at[rest:], at[:-rest])
     doc = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
     fit = np.flatnonzero(doc[:m] == doc[LENGTH - 1:])  # windows inside one document
     if not len(fit):
@@ -104,7 +107,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays behind their number of bytes, compressed together."""
     parts = [a.tobytes() if isinstance(a, np.ndarray) else a for a in arrays]
     head = np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
 def _unpack(blob: bytes) -> list[memoryview]:
@@ -117,18 +120,23 @@ def _unpack(blob: bytes) -> list[memoryview]:
     return out
 
 
-def _keyed(h: np.ndarray, tag: np.ndarray, ids: np.ndarray):
-    """Sorted by id, ids as differences: what a packed row of (hash, tag, id) holds."""
+def _keyed(h: np.ndarray, tag: np.ndarray, ids: np.ndarray, width: int):
+    """What a packed row of (32-bit hash, ``width`` bytes of tag, id) holds: sorted by id, ids as differences."""
     order = np.argsort(ids, kind="stable")
-    return _pack(h[order], tag[order], np.diff(ids[order], prepend=0))
+    tags = np.ascontiguousarray(tag[order].view(np.uint8).reshape(-1, 8)[:, :width])
+    return _pack(h[order], tags, np.diff(ids[order], prepend=0))
 
 
-def _entries(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [_unpack(b) for b in blobs]
-    if not parts:
-        return np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    return (np.concatenate([np.frombuffer(p[0], np.uint32) for p in parts]).astype(_U), np.concatenate([np.frombuffer(p[1], _U) for p in parts]),
-            np.concatenate([np.cumsum(np.frombuffer(p[2], np.int64)) for p in parts]))
+def _entries(blobs, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, tag, ids = [np.zeros(0, np.uint32)], [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for b in blobs:
+        x, y, z = _unpack(b)
+        wide = np.zeros((len(z) // 8, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(y, np.uint8).reshape(-1, width)
+        h.append(np.frombuffer(x, np.uint32))
+        tag.append(wide.view(_U)[:, 0])
+        ids.append(np.cumsum(np.frombuffer(z, np.int64)))
+    return np.concatenate(h).astype(_U), np.concatenate(tag), np.concatenate(ids)
 
 
 def _split(to: np.ndarray):
@@ -141,10 +149,10 @@ def _split(to: np.ndarray):
         at = e
 
 
-def _batches(ids, texts):
+def _batches(documents):
     """(ids, buffer, starts) of about BATCH bytes; a longer document is a batch of its own."""
     some, size = [], 0
-    for i, t in zip(ids, texts, strict=True):
+    for i, t in documents:
         raw = t if isinstance(t, (bytes, memoryview)) else (t or "").encode()
         if some and size + len(raw) > BATCH:
             yield _joined(some)
@@ -178,10 +186,14 @@ def _smallest(h: np.ndarray, tag: np.ndarray, ids: np.ndarray):
 
 def _documents(blobs):
     """Batches of the documents in packed rows."""
-    for b in blobs:
-        ids, sizes, raw = _unpack(b)
-        ids, at = np.frombuffer(ids, np.int64), np.cumsum([0, *np.frombuffer(sizes, np.int64)])
-        yield from _batches(ids.tolist(), [raw[at[i]:at[i + 1]] for i in range(len(ids))])
+    def each():
+        for b in blobs:
+            ids, sizes, raw = _unpack(b)
+            at = np.cumsum([0, *np.frombuffer(sizes, np.int64)]).tolist()
+            for k, i in enumerate(np.frombuffer(ids, np.int64).tolist()):
+                yield i, raw[at[k]:at[k + 1]]
+
+    yield from _batches(each())
 
 
 def _known(keys: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
@@ -214,7 +226,7 @@ def repeats(docs: DataFrame, share: int = SHARE) -> DataFrame:
         def run(batches):
             for b in batches:
                 out = []
-                for ids, buf, starts in _batches(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for ids, buf, starts in _batches(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                     doc, _, _, h, p, _ = parse(buf, starts)
                     order, first = _smallest(h, p, ids[doc])
                     least = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else order
@@ -226,14 +238,14 @@ def repeats(docs: DataFrame, share: int = SHARE) -> DataFrame:
                         out += [(g, "whole", _pack(keys[i])) for g, i in _split(owner % parts)]
                     else:
                         sent = order[first]
-                        out += [(g, "phrase", _keyed((h[s] // _U(parts)).astype(np.uint32), p[s], ids[doc[s]]))
+                        out += [(g, "phrase", _keyed((h[s] // _U(parts)).astype(np.uint32), p[s], ids[doc[s]], TAG))
                                 for g, s in ((g, sent[i]) for g, i in _split((h[sent] % _U(parts)).astype(np.int64)))]
                 yield _rows(out)
         return run
 
     def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["to"].iloc[0])
-        h, p, ids = _entries(pdf["blob"])
+        h, p, ids = _entries(pdf["blob"], TAG)
         order, first = _smallest(h, p, ids)
         h, p, ids = h[order], p[order], ids[order]
         begin = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
@@ -255,7 +267,7 @@ def repeats(docs: DataFrame, share: int = SHARE) -> DataFrame:
     def pack_documents(batches):
         for b in batches:
             out = []
-            for ids, buf, starts in _batches(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, buf, starts in _batches(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 for g, i in _split(ids % parts):
                     raw = b"".join(buf[starts[k]:starts[k + 1]].tobytes() for k in i)
                     out.append((g, "docs", _pack(ids[i], np.diff(starts)[i], raw)))
@@ -265,7 +277,7 @@ def repeats(docs: DataFrame, share: int = SHARE) -> DataFrame:
         return [np.frombuffer(_unpack(b)[0], _U) for b in pdf["blob"][pdf["kind"] == name]]
 
     def own_keys(ids, doc, h, p):
-        return _key(ids[doc], h // _U(parts) & _U(0xFFFFFFFF), h % _U(parts), p)
+        return _key(ids[doc], h // _U(parts) & _U(0xFFFFFFFF), h % _U(parts), p & _U((1 << 8 * TAG) - 1))
 
     def suffixes(first, last, some):
         """Window starts of the phrases ``some``, and the phrase of each."""
@@ -286,15 +298,17 @@ def repeats(docs: DataFrame, share: int = SHARE) -> DataFrame:
                 settled = order[owner[order] > owner[order[least]]]
                 out += [(g, "suffix", _pack(_key(owner[settled[i]], w[settled[i]]))) for g, i in _split(owner[settled] % parts)]
                 sent = order[new]
-                out += [(g, "window", _keyed(np.zeros(len(i), np.uint32), w[sent[i]], owner[sent[i]])) for g, i in _split((w[sent] % _U(parts)).astype(np.int64))]
+                out += [(g, "window", _keyed(np.zeros(0, np.uint32), w[sent[i]], owner[sent[i]], 8)) for g, i in _split((w[sent] % _U(parts)).astype(np.int64))]
         return _frame(out)
 
     def suffix_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, w, ids = _entries(pdf["blob"])
+        passed = pdf[pdf["kind"] == "suffix"]  # on their way to their documents
+        _, w, ids = _entries(pdf["blob"][pdf["kind"] == "window"], 8)
         order, first = _smallest(w, np.zeros(len(w), np.int8), ids)
         begin = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         again = order[ids[order] > ids[begin]]
-        return _frame([(g, "suffix", _pack(_key(ids[again[i]], w[again[i]]))) for g, i in _split(ids[again] % parts)])
+        made = _frame([(g, "suffix", _pack(_key(ids[again[i]], w[again[i]]))) for g, i in _split(ids[again] % parts)])
+        return pd.concat([passed[["to", "kind", "blob"]], made]) if len(passed) else made
 
     def remove(pdf: pd.DataFrame) -> pd.DataFrame:
         whole, opened, found = flags(pdf, "whole"), flags(pdf, "open"), flags(pdf, "suffix")
@@ -324,9 +338,9 @@ def repeats(docs: DataFrame, share: int = SHARE) -> DataFrame:
     marks = stage(table_of(base.mapInArrow(first_pass(False), ROWS)).applyInPandas(dictionary, ROWS), "pfp-marks")
     texts = base.mapInArrow(pack_documents, ROWS)
     opened = marks.filter("kind = 'open'")
-    windows = stage(table_of(texts.unionByName(opened)).applyInPandas(open_phrases, ROWS), "pfp-windows")
-    again = table_of(windows.filter("kind = 'window'")).applyInPandas(suffix_order, ROWS)
-    everything = texts.unionByName(settled).unionByName(marks).unionByName(windows.filter("kind = 'suffix'")).unionByName(again)
+    windows = table_of(texts.unionByName(opened)).applyInPandas(open_phrases, ROWS)
+    again = table_of(windows).applyInPandas(suffix_order, ROWS)
+    everything = texts.unionByName(settled).unionByName(marks).unionByName(again)
     out = table_of(everything).applyInPandas(remove, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
     return out.select(F.when(F.col("id") < 2**62, F.col("id")).cast(kind).alias("doc_id"), "n_bytes", "spans", "kept_sha256")
 
