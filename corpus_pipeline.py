@@ -1,14 +1,38 @@
-"""Corpus pipeline: quality, near duplicates, secrets, mixing, tokens, each a stage over `documents`."""
+"""Corpus pipeline: quality, near duplicates, secrets, mixing, tokens, each a stage over `documents`.
+
+Every stage takes whole rows with the columns of documents and hands on the same
+columns (the last one: tokens).  Rows of null doc_id pass through all stages;
+empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import mixing, secrets
+from sparkmill.llm import jaccard, mixing, quality, secrets, sentencepiece_viterbi
 from sparkmill.llm.common import stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The stage on word shingles: five words, similarity 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier rejects (score below 0.5) go; without labels all stay."""
+    docs = docs.select(COLUMNS)
+    labels = table(spark, sf_dir, "labels")
+    known = docs.join(labels.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    stats = stage(quality.document_statistics(known), "pipeline-stats")
+    return quality.accepted(docs, quality.train(stats, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of smallest doc_id stays; texts without words stay."""
+    docs = docs.select(COLUMNS)
+    found = jaccard.join(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +42,22 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return found.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("bigint").alias("n_chars"))
 
 
-STAGES = [("secrets", drop_secrets)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document occurs taken / size times, a fraction rounded up or down by its seeded hash, so sources keep their targets."""
+    docs = docs.select(COLUMNS)
+    mixed, _ = mixing.mix(docs)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + part)).otherwise(0)).alias("times"))
+    copies = docs.join(times.filter("times > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and whether the ids decode to the text, of each document."""
+    return sentencepiece_viterbi.token_rows(docs)
+
+
+STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("secrets", drop_secrets), ("mixing", mix_sources), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

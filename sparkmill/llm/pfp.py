@@ -124,7 +124,7 @@ def _keyed(h: np.ndarray, tag: np.ndarray, ids: np.ndarray, width: int):
     """What a packed row of (32-bit hash, ``width`` bytes of tag, id) holds: sorted by id, ids as differences."""
     order = np.argsort(ids, kind="stable")
     tags = np.ascontiguousarray(tag[order].view(np.uint8).reshape(-1, 8)[:, :width])
-    return _pack(h[order], tags, np.diff(ids[order], prepend=0))
+    return _pack(h[order] if len(h) else h, tags, np.diff(ids[order], prepend=0))
 
 
 def _entries(blobs, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -182,18 +182,35 @@ def remainder(key):
     return F.crc32(key.cast("string").cast("binary")) % 3
 
 
-def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The digest of the quality query.
+def train(stats: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of labelled statistics: rows with remainder 0 fit, rows with remainder 2 calibrate, the others are held out.
 
-    Rows with remainder 0 fit, rows with remainder 2 calibrate, rows with remainder
-    1 are held out.  Null labels and null ids teach nothing; a null id is scored
-    and not held out; a label given twice counts twice.
+    Null labels and null ids teach nothing; a label given twice counts twice.
     """
-    stats = stage(document_statistics(documents), "quality-stats")
     taught = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").alias("y"))
     rows = stats.join(taught, "doc_id").withColumn("_r", remainder(F.col("doc_id"))).filter("_r != 1")
     rows = stage(rows.select("x", "y", "_r"), "quality-rows")
-    model = fit(rows.filter("_r = 0"), rows.filter("_r = 2"))
-    scored = score(stats, model)
+    return fit(rows.filter("_r = 0"), rows.filter("_r = 2"))
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` (with a text) whose score is 0.5 or more; one pass, nothing is joined."""
+    ship(docs.sparkSession)
+    if model is None:
+        return docs
+
+    def keep(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text"))
+            x = np.array([statistics(t.as_py()) for t in texts]).reshape(b.num_rows, len(STATISTICS))
+            yield b.filter(pa.array(model.score(x) >= 0.5, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The digest of the quality query; a null id is scored and not held out."""
+    stats = stage(document_statistics(documents), "quality-stats")
+    scored = score(stats, train(stats, labels))
     held = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkmill.llm import curves, mixing, pfp, pivots, quality, secrets, sentencepiece_viterbi, sharding, warc_zip
+from sparkmill.llm import curves, jaccard, mixing, pfp, pivots, quality, secrets, sentencepiece_viterbi, sharding, warc_zip
 from sparkmill.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_zip_warc": lambda s, d: warc_zip.roundtrip_digest(table(s, d, "pages")),
     "op3_hilbert_neighbours": lambda s, d: curves.nearest_neighbours(table(s, d, "embeddings")),
     "op4_prefix_free_parse": lambda s, d: pfp.repeat_digest(table(s, d, "documents")),
+    "op5_token_group_jaccard": lambda s, d: jaccard.near_duplicates(table(s, d, "documents")),
     "op6_sentencepiece_viterbi": lambda s, d: sentencepiece_viterbi.token_rows(table(s, d, "documents")),
     "op7_hypergeometric_shards": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
     "op8_secret_ledger": lambda s, d: secrets.secret_digest(table(s, d, "documents")),
