@@ -56,7 +56,7 @@ def shingles(buf: np.ndarray, starts: np.ndarray, words: int = WORDS) -> tuple[n
     n = np.bincount(doc, minlength=len(starts) - 1)
     h = w.copy()
     whole = np.arange(len(w)) + words <= np.cumsum(n)[doc]
-    for k in range(1, words):
+    for k in range(1, min(words, len(w))):
         h[:len(w) - k] = _mix(h[:len(w) - k] * _M[4] + w[k:])
     d, h = doc[whole], h[whole]
     short = np.flatnonzero((n > 0) & (n < words))
