@@ -284,11 +284,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         named = large.join(part.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
         named = stage(named, "jaccard-named")
         top = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(
-            F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("rows"))
-        rest = join_by_key(named, stage(top, "jaccard-main"), "grp", "rows", F.col("id")).filter("component <> main")
-        asks = rest.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).filter("at <> blk and at <> 0")
-        asks = asks.select("grp", "at", F.col("id").alias("q"), F.col("tokens").alias("asked"), F.pmod(F.xxhash64("id"), F.lit(8)).alias("chunk"))
-        target = stage(named, "jaccard-targets").select("grp", F.col("blk").alias("at"), "id", "tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("chunk"))
+            F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("rows"), F.max("n").alias("joined"))
+        top = top.withColumn("chunks", F.ceil((F.col("rows") - F.col("joined")) / (8 * block))).filter("chunks > 0").drop("joined")
+        # groups that are one component already are done; of the others, documents outside the main one ask
+        rest = stage(join_by_key(named, stage(top, "jaccard-main"), "grp", "rows", F.col("id")).filter("chunks is not null"), "jaccard-rest")
+        asks = rest.filter("component <> main").withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).filter("at <> blk and at <> 0")
+        asks = asks.select("grp", "at", F.col("id").alias("q"), F.col("tokens").alias("asked"), F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
+        target = rest.filter("blk > 0").select(  # new names for all columns: both sides come from one table
+            F.col("grp").alias("grp"), F.col("blk").alias("at"), F.col("id").alias("id"), F.col("tokens").alias("tokens"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
 
         def open_block(group: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
             out = []
