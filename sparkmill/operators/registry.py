@@ -327,13 +327,18 @@ def delete_restrict(deleted_parents: DataFrame, referencing: DataFrame, *, fk: s
     return deleted_parents.join(r, deleted_parents[parent_key] == r["__fk"], "left_semi")
 
 
-def upsert_registry(current: DataFrame, changes: DataFrame, *, key: str = "id") -> DataFrame:
+def upsert_registry(current: DataFrame, changes: DataFrame, *, key: str = "id", order: str | None = None) -> DataFrame:
     """Apply a change set: rows whose key is in ``changes`` are replaced, new keys added.
 
-    ``current`` minus changed keys (anti-join) union the change set; never row at a time.
+    The last change of a key by ``order`` (ties, and without ``order`` all, by the whole
+    row) is the one that counts, so keys stay unique.  ``current`` minus changed keys
+    (anti-join) union the reduced change set; never row at a time.
     """
+    row = F.struct(*[F.col(f"`{c}`") for c in current.columns])
+    rank = F.struct(F.col(order), row) if order else row
+    last = changes.groupBy(F.col(key).alias("__key")).agg(F.max_by(row, rank).alias("__row")).select("__row.*")
     kept = current.join(changes.select(key), key, "left_anti")
-    return kept.unionByName(changes.select(*current.columns))
+    return kept.unionByName(last)
 
 
 # ---------------------------------------------------------------- listings

@@ -117,6 +117,8 @@ def test_upsert_and_deletes(spark):
     cur = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     ch = spark.createDataFrame([(2, "B"), (3, "c")], "id long, v string")
     assert rows(registry.upsert_registry(cur, ch)) == [(1, "a"), (2, "B"), (3, "c")]
+    twice = spark.createDataFrame([(2, "z", 1), (2, "m", 2)], [*cur.columns, "at"])
+    assert rows(registry.upsert_registry(cur, twice, order="at")) == [(1, "a"), (2, "m")]
     kids = spark.createDataFrame([(1, 1), (2, 2)], "id long, run_id long")
     assert rows(registry.cascade_delete(kids, cur.filter("id = 1"), fk="run_id"), "id") == [(2,)]
     assert rows(registry.delete_restrict(cur, kids, fk="run_id"), "id") == [(1,), (2,)]
