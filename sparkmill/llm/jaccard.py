@@ -1,10 +1,11 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
 Documents are sets of word shingles.  Similar documents are first partitioned
-into groups: the shingle space is cut into as many parts as two similar sets can
-differ in, plus one, so two sets that link agree on some whole part (a pigeonhole
-bound, exact at every size).  Documents that agree on a part join one group, so
-no link crosses groups.  A group is stored in blocks with the union of the
+into groups: two sets that link share a shingle among the rarest of each (the
+prefix bound, exact for any one order of the shingles), and documents that share
+one join one group, so no link crosses groups.  Rarity comes from a sketch of fixed
+size that counts all shingles of all documents; it only orders, so its collisions
+cost time and never a link.  A group is stored in blocks with the union of the
 block's shingles.  A query document opens a block only if its overlap with the
 union reaches the share that a link needs; inside an opened block overlaps are
 counted for all members at once.  Blocks first meet the group's first block; only
@@ -28,7 +29,10 @@ from sparkmill.llm.pfp import _BYTE, _M, _U, _batches, _entries, _keyed, _mix, _
 WORDS, PERCENT = 4, 85
 #: Documents of a block.
 BLOCK = 512
-#: Bytes of the corpus for each bucket of part signatures.
+#: Counters of the sketch: 2 ** SKETCH_BITS of them at every size of the corpus
+#: (8 MB on the driver and in a worker), sent in pieces of PIECE.
+SKETCH_BITS, PIECE = 21, 1 << 14
+#: Bytes of the corpus for each bucket of signatures.
 SHARE = 12_000_000
 LEAST_PARTS = 61
 _SPACE = np.zeros(256, bool)
@@ -77,53 +81,25 @@ def _fold(w: np.ndarray) -> np.ndarray:
     return h[0]
 
 
-def _scheme(percent: int, upto: int = 1 << 40):
-    """Size classes: (smallest size, parts, symmetric difference that links allow) of each."""
-    lows, low = [], 1
-    while low < upto:
-        lows.append(low)
-        low = max(low + 1, low * 13 // 10)
-    out = []
-    for c, low in enumerate(lows[:-1]):
-        d = (100 - percent) * 2 * (lows[c + 1] - 1) // (100 + percent)
-        out.append((low, d + 1 + (-(-(d + 1) * 3 // 100) if d else 0), d))
-    return tuple(np.array(x, dtype=np.int64) for x in zip(*out, strict=True))
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, scheme, percent: int):
+def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, seen: np.ndarray, percent: int):
     """(signature, document): two linking sets share one at least.
 
-    A set signs for its own size class, and for the next one if a partner can be
-    there.  Parts that are empty agree without saying anything; only a set with so
-    many empty parts that all agreeing parts could be empty signs those too (and
-    then so does every partner for which that happens).
+    ``doc`` and ``h`` are sorted by both, ``n`` counts the shingles of each document.
+    All sets are sorted by one total order of the shingles, rarest first by the
+    counts ``seen`` and then by hash.  Linking sets share at least ``percent`` of the
+    larger one, so both have a shared shingle among their first
+    n - ceil(percent / 100 * n) + 1.  Any total order is exact; a rare-first order
+    leaves passages of many documents out of most prefixes.
     """
-    lows, parts, slack = scheme
-    own = np.searchsorted(lows, n, side="right") - 1
-    up = (n > 0) & (own + 1 < len(lows)) & (n * 100 >= lows[np.minimum(own + 1, len(lows) - 1)] * percent)
-    sigs, docs = [], []
-    base = _mix(h)
-    for extra in (0, 1):
-        level = own + extra
-        use = up if extra else n > 0
-        keep = use[doc]
-        d, t = doc[keep], base[keep]
-        if not len(d):
-            continue
-        part = (_mix(t ^ _M[5]) % parts[level[d]].astype(_U)).astype(np.int64)
-        order = np.lexsort((part, d))
-        d, t, part = d[order], t[order], part[order]
-        heads = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(part) != 0)])
-        content = np.add.reduceat(t, heads)
-        where = _mix(level[d[heads]].astype(_U) * _M[0] + part[heads].astype(_U))
-        sigs.append(_mix(content * _M[3] + where))
-        docs.append(d[heads])
-        filled = np.bincount(d[heads], minlength=len(n))
-        for i in np.flatnonzero(use & (parts[level] - filled >= parts[level] - slack[level])):
-            void = np.setdiff1d(np.arange(parts[level[i]]), part[heads[d[heads] == i]])
-            sigs.append(_mix(_mix(level[i:i + 1].astype(_U) * _M[0] + void.astype(_U)) * _M[1] + _U(9)))
-            docs.append(np.full(len(void), i))
-    return (np.concatenate(sigs), np.concatenate(docs)) if sigs else (np.zeros(0, _U), np.zeros(0, np.int64))
+    order = np.lexsort((seen[_place(h)], doc))  # stable: ties keep the order by hash
+    d = doc[order]
+    place = np.arange(len(d)) - (np.cumsum(n) - n)[d]
+    keep = place < n[d] + 1 - -(-n[d] * percent // 100)
+    return h[order[keep]], d[keep]
 
 
 def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
@@ -154,6 +130,12 @@ def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> lis
     return list(zip(*(x.tolist() for x in np.nonzero(ok)), strict=True))
 
 
+def _measured(rows: int, *columns) -> pa.RecordBatch:
+    types = [pa.int64()] * 5 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                      ["id", "n", "s1", "s2", "piece", "seen"])
+
+
 def _spanning(pairs, ids) -> list[tuple[int, int]]:
     """Enough of the pairs to keep what they connect."""
     root: dict[int, int] = {}
@@ -185,7 +167,6 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
     """
     spark = docs.sparkSession
     ship(spark)
-    scheme = _scheme(percent)
     base = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_PARTS, int(total // share) | 1)
@@ -194,6 +175,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         yield from _batches(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
 
     def measure(batches):
+        seen = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             for ids, buf, starts in _batches(zip(range(b.num_rows), b.column(1).to_pylist(), strict=True)):
                 doc, h = shingles(buf, starts, words)
@@ -202,10 +184,27 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
                 heads = np.flatnonzero(np.r_[True, np.diff(doc) != 0]) if len(doc) else []
                 if len(doc):
                     s1[doc[heads]], s2[doc[heads]] = np.add.reduceat(_mix(h), heads), np.add.reduceat(_mix(h ^ _M[1]), heads)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(ids[0]), len(ids)), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))],
-                                                 ["id", "n", "s1", "s2"])
-
-    sets = stage(base.mapInArrow(measure, "id bigint, n bigint, s1 bigint, s2 bigint"), "jaccard-sets")
+                    seen += np.bincount(_place(h), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                yield _measured(len(ids), b.column(0).slice(int(ids[0]), len(ids)), n, s1.view(np.int64), s2.view(np.int64), None, None)
+        filled = [k for k in range(len(seen) // PIECE) if seen[k * PIECE:][:PIECE].any()]
+        yield _measured(len(filled), None, None, None, None, filled, [seen[k * PIECE:][:PIECE].tobytes() for k in filled])
+
+    def add(batches):
+        """Counters of each piece, summed as they come."""
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(blob, np.uint32).astype(np.uint64)
+        top = np.uint64(0xFFFFFFFF)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(x, top).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["piece", "seen"])
+
+    measured = stage(base.mapInArrow(measure, "id bigint, n bigint, s1 bigint, s2 bigint, piece bigint, seen binary"), "jaccard-sets")
+    sets = measured.filter("piece is null").select("id", "n", "s1", "s2")
+    pieces = measured.filter("piece is not null").select("piece", "seen").repartition(64, "piece").mapInArrow(add, "piece bigint, seen binary")
+    seen = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for piece, blob in pieces.collect():  # at most 2 ** SKETCH_BITS counters in all
+        seen[piece * PIECE:][:PIECE] = np.frombuffer(blob, np.uint32)
+    sketch = spark.sparkContext.broadcast(seen)
     classes = sets.filter("n > 0 and id is not null").groupBy(F.struct("n", "s1", "s2").alias("set")).agg(
         F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"))
     classes = stage(classes, "jaccard-classes")
@@ -215,7 +214,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
             to, kind, blob, low, high = [], [], [], [], []
             for ids, buf, starts in batches_of(b.filter(b.column(0).is_valid())):
                 doc, h = shingles(buf, starts, words)
-                sig, d = signatures(doc, h, np.bincount(doc, minlength=len(ids)), scheme, percent)
+                sig, d = signatures(doc, h, np.bincount(doc, minlength=len(ids)), sketch.value, percent)
                 owner = ids[d]
                 order, first = _smallest(sig, np.zeros(len(sig), np.int8), owner)
                 least = owner[order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]] if len(order) else owner

@@ -72,7 +72,7 @@ def test_many_blocks(spark):
 
 def test_two_linking_sets_share_a_signature():
     r = np.random.default_rng(0)
-    scheme = J._scheme(85)
+    seen = r.integers(0, 4, 1 << J.SKETCH_BITS).astype(np.uint32)
     for _ in range(400):
         n = int(r.integers(1, 400))
         a = r.integers(1, 2**63, n, dtype=np.uint64)
@@ -83,7 +83,7 @@ def test_two_linking_sets_share_a_signature():
         if not len(b) or 100 * inside < 85 * len(np.union1d(a, b)):
             continue
         doc, h = np.r_[np.zeros(len(a), int), np.ones(len(b), int)], np.r_[np.sort(a), np.sort(b)]
-        sig, d = J.signatures(doc, h, np.array([len(a), len(b)]), scheme, 85)
+        sig, d = J.signatures(doc, h, np.array([len(a), len(b)]), seen, 85)
         assert set(sig[d == 0].tolist()) & set(sig[d == 1].tolist())
 
 
