@@ -8,8 +8,10 @@ size that counts all shingles of all documents; it only orders, so its collision
 cost time and never a link.  A group is stored in blocks with the union of the
 block's shingles.  A query document opens a block only if its overlap with the
 union reaches the share that a link needs; inside an opened block overlaps are
-counted for all members at once.  Blocks first meet the group's first block; only
-documents left outside the group's main component then query the other blocks.
+counted for all members at once.  Blocks hold whole families where these are small,
+and first meet the group's first block; then only documents outside the group's main
+component query other blocks, and of these the ones that hold a document of another
+component with a shingle of their prefix.
 
 Equal sets are one class and are compared once.  No pairs inside a group are
 written: a task returns links that span what it found connected.
@@ -131,9 +133,9 @@ def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> lis
 
 
 def _measured(rows: int, *columns) -> pa.RecordBatch:
-    types = [pa.int64()] * 5 + [pa.binary()]
+    types = [pa.int64()] * 6 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                      ["id", "n", "s1", "s2", "piece", "seen"])
+                                      ["id", "n", "s1", "s2", "least", "piece", "seen"])
 
 
 def _spanning(pairs, ids) -> list[tuple[int, int]]:
@@ -180,14 +182,16 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
             for ids, buf, starts in _batches(zip(range(b.num_rows), b.column(1).to_pylist(), strict=True)):
                 doc, h = shingles(buf, starts, words)
                 n = np.bincount(doc, minlength=len(ids))
-                s1, s2 = np.zeros(len(ids), _U), np.zeros(len(ids), _U)
+                s1, s2, least = np.zeros(len(ids), _U), np.zeros(len(ids), _U), np.zeros(len(ids), _U)
                 heads = np.flatnonzero(np.r_[True, np.diff(doc) != 0]) if len(doc) else []
                 if len(doc):
-                    s1[doc[heads]], s2[doc[heads]] = np.add.reduceat(_mix(h), heads), np.add.reduceat(_mix(h ^ _M[1]), heads)
+                    mixed = _mix(h)
+                    s1[doc[heads]], s2[doc[heads]] = np.add.reduceat(mixed, heads), np.add.reduceat(_mix(h ^ _M[1]), heads)
+                    least[doc[heads]] = np.minimum.reduceat(mixed, heads)
                     seen += np.bincount(_place(h), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                yield _measured(len(ids), b.column(0).slice(int(ids[0]), len(ids)), n, s1.view(np.int64), s2.view(np.int64), None, None)
+                yield _measured(len(ids), b.column(0).slice(int(ids[0]), len(ids)), n, s1.view(np.int64), s2.view(np.int64), least.view(np.int64), None, None)
         filled = [k for k in range(len(seen) // PIECE) if seen[k * PIECE:][:PIECE].any()]
-        yield _measured(len(filled), None, None, None, None, filled, [seen[k * PIECE:][:PIECE].tobytes() for k in filled])
+        yield _measured(len(filled), None, None, None, None, None, filled, [seen[k * PIECE:][:PIECE].tobytes() for k in filled])
 
     def add(batches):
         """Counters of each piece, summed as they come."""
@@ -198,15 +202,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         top = np.uint64(0xFFFFFFFF)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(x, top).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["piece", "seen"])
 
-    measured = stage(base.mapInArrow(measure, "id bigint, n bigint, s1 bigint, s2 bigint, piece bigint, seen binary"), "jaccard-sets")
-    sets = measured.filter("piece is null").select("id", "n", "s1", "s2")
+    measured = stage(base.mapInArrow(measure, "id bigint, n bigint, s1 bigint, s2 bigint, least bigint, piece bigint, seen binary"), "jaccard-sets")
+    sets = measured.filter("piece is null").select("id", "n", "s1", "s2", "least")
     pieces = measured.filter("piece is not null").select("piece", "seen").repartition(64, "piece").mapInArrow(add, "piece bigint, seen binary")
     seen = np.zeros(1 << SKETCH_BITS, np.uint32)
     for piece, blob in pieces.collect():  # at most 2 ** SKETCH_BITS counters in all
         seen[piece * PIECE:][:PIECE] = np.frombuffer(blob, np.uint32)
     sketch = spark.sparkContext.broadcast(seen)
     classes = sets.filter("n > 0 and id is not null").groupBy(F.struct("n", "s1", "s2").alias("set")).agg(
-        F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"))
+        F.min("id").alias("first"), F.min("least").alias("least"), F.count(F.lit(1)).alias("rows"))
     classes = stage(classes, "jaccard-classes")
 
     def sign(batches):
@@ -241,12 +245,16 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
     near = signed.filter("to >= 0").select("to", "blob").groupBy("to").applyInPandas(meet, "a bigint, b bigint")
     groups = components(near.unionByName(signed.filter("to < 0").select("a", "b")))
     # members of a group: one document of each class
-    members = groups.join(classes.select(F.col("first").alias("node")), "node").select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    members = groups.join(classes.select(F.col("first").alias("node"), "least"), "node").select(F.col("node").alias("id"), F.col("component").alias("grp"), "least")
     members = stage(members, "jaccard-members")
     counts = members.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
     counts = stage(counts, "jaccard-groups")
     placed = join_by_key(members, counts.withColumn("blocks", F.ceil(F.col("rows") / block)), "grp", "rows", F.col("id")).filter("blocks is not null")
-    placed = placed.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # a block takes whole families (sets of one minimum hash); families of over half a block are spread
+    placed = placed.withColumn("family", F.struct("grp", "least"))
+    wide = placed.filter("blocks > 1").groupBy("family").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > block // 2)
+    placed = join_by_key(placed, stage(wide.withColumn("wide", F.lit(True)), "jaccard-wide"), "family", "rows", F.col("id"))
+    placed = placed.withColumn("blk", F.pmod(F.when(F.col("wide"), F.xxhash64("id")).otherwise(F.xxhash64("least")), F.col("blocks"))).drop("family", "least", "wide")
 
     def sets_of(batches):
         for b in batches:
@@ -284,13 +292,31 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         named = stage(named, "jaccard-named")
         top = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(
             F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("rows"), F.max("n").alias("joined"))
-        top = top.withColumn("chunks", F.ceil((F.col("rows") - F.col("joined")) / (8 * block))).filter("chunks > 0").drop("joined")
         # groups that are one component already are done; of the others, documents outside the main one ask
-        rest = stage(join_by_key(named, stage(top, "jaccard-main"), "grp", "rows", F.col("id")).filter("chunks is not null"), "jaccard-rest")
-        asks = rest.filter("component <> main").withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).filter("at <> blk and at <> 0")
-        asks = asks.select("grp", "at", F.col("id").alias("q"), F.col("tokens").alias("asked"), F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
-        target = rest.filter("blk > 0").select(  # new names for all columns: both sides come from one table
-            F.col("grp").alias("grp"), F.col("blk").alias("at"), F.col("id").alias("id"), F.col("tokens").alias("tokens"),
+        top = top.filter("joined < rows").drop("joined")
+        rest = stage(join_by_key(named, stage(top, "jaccard-main"), "grp", "rows", F.col("id")).filter("main is not null"), "jaccard-rest")
+
+        def sign_again(batches):
+            for b in batches:
+                n = np.diff(b.column(5).offsets.to_numpy()) if b.num_rows else np.zeros(0, np.int64)
+                h = b.column(5).flatten().to_numpy(zero_copy_only=False).view(_U)
+                sig, d = signatures(np.repeat(np.arange(b.num_rows), n), h, n, sketch.value, percent)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(d)) for i in range(5)), pa.array(sig.view(np.int64))], ["grp", "id", "blk", "component", "main", "sig"])
+
+        # the blocks that hold a document of another component with the same signature
+        shared = stage(rest.select("grp", "id", "blk", "component", "main", "tokens").mapInArrow(sign_again, "grp bigint, id bigint, blk bigint, component bigint, main bigint, sig bigint"), "jaccard-shared")
+        met = shared.groupBy("grp", "sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_set("blk")).alias("blks"), F.count(F.lit(1)).alias("rows"))
+        met = stage(met.filter("lo < hi").select(F.struct("grp", "sig").alias("key"), "blks", "rows"), "jaccard-met")
+        asking = shared.filter("component <> main").select("id", "blk", F.struct("grp", "sig").alias("key"), "grp")
+        asks = join_by_key(asking, met, "key", "rows", F.col("id")).filter("blks is not null").select("grp", "id", "blk", "blks").distinct()
+        asks = asks.withColumn("at", F.explode("blks")).filter("at <> blk and at <> 0").select("grp", "at", "id").distinct()
+        asks = stage(asks, "jaccard-asks")
+        chunks = asks.groupBy("grp", "at").agg(F.ceil(F.count(F.lit(1)) / (8 * block)).alias("chunks"))
+        chunks = stage(chunks, "jaccard-chunks")
+        asks = asks.join(chunks, ["grp", "at"]).join(rest.select("id", F.col("tokens").alias("asked")), "id")
+        asks = asks.select("grp", "at", F.col("id").alias("q"), "asked", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
+        target = rest.select("grp", F.col("blk").alias("at"), "id", "tokens").join(chunks, ["grp", "at"]).select(  # new names for all columns: both sides come from one table
+            F.col("grp").alias("grp"), F.col("at").alias("at"), F.col("id").alias("id"), F.col("tokens").alias("tokens"),
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
 
         def open_block(group: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
