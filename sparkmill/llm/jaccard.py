@@ -254,18 +254,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
     placed = placed.withColumn("family", F.struct("grp", "least"))
     wide = placed.filter("blocks > 1").groupBy("family").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > block // 2)
     placed = join_by_key(placed, stage(wide.withColumn("wide", F.lit(True)), "jaccard-wide"), "family", "rows", F.col("id"))
-    placed = placed.withColumn("blk", F.pmod(F.when(F.col("wide"), F.xxhash64("id")).otherwise(F.xxhash64("least")), F.col("blocks"))).drop("family", "least", "wide")
+    placed = placed.withColumn("blk", F.pmod(F.when(F.col("wide"), F.xxhash64("id")).otherwise(F.xxhash64("least")), F.col("blocks"))).withColumn("wide", F.col("wide").isNotNull()).drop("family", "least")
 
     def sets_of(batches):
         for b in batches:
             for ids, buf, starts in _batches(zip(range(b.num_rows), b.column(3).to_pylist(), strict=True)):
                 doc, h = shingles(buf, starts, words)
-                rows = np.split(h.view(np.int64), np.cumsum(np.bincount(doc, minlength=len(ids)))[:-1])
+                n = np.bincount(doc, minlength=len(ids))
+                sig, d = signatures(doc, h, n, sketch.value, percent)
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k)], pa.int32()), pa.array(x.view(np.int64)))
+                         for k, x in ((n, h), (np.bincount(d, minlength=len(ids)), sig))]
                 part = b.slice(int(ids[0]), len(ids))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 2, 4)), pa.array(rows, pa.list_(pa.int64()))], ["id", "grp", "blk", "blocks", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 2, 4, 5)), *lists], ["id", "grp", "blk", "blocks", "wide", "tokens", "prefix"])
 
-    texts = base.join(placed, "id").select("id", "grp", "blk", "text", "blocks")
-    stored = texts.mapInArrow(sets_of, "id bigint, grp bigint, blk bigint, blocks bigint, tokens array<bigint>")
+    texts = base.join(placed, "id").select("id", "grp", "blk", "text", "blocks", "wide")
+    stored = texts.mapInArrow(sets_of, "id bigint, grp bigint, blk bigint, blocks bigint, wide boolean, tokens array<bigint>, prefix array<bigint>")
     stored = stage(stored, "jaccard-blocks").filter(F.size("tokens") > 0)
     kinds = "a bigint, b bigint"
 
@@ -278,14 +281,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
                 out += _spanning(_links([np.asarray(t).view(_U) for t in g["tokens"]], None, percent), ids)
         return pd.DataFrame(out, columns=["a", "b"])
 
-    # the first block of a group stands in every block of it; small groups share a task
-    every = F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array("blk")))
-    shared = stored.withColumn("at", every)
+    # what the first block holds of spread families stands in every block; small groups share a task
+    every = F.explode(F.when(F.col("wide") & (F.col("blk") == 0), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array("blk")))
+    shared = stored.drop("prefix").withColumn("at", every)
     n_bins = max(1, int((members.count()) // 300))
     shared = shared.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(n_bins))).otherwise(-1 - F.pmod(F.xxhash64("grp", "at"), F.lit(1 << 40))))
     found = stage(shared.groupBy("bin").applyInPandas(own_block, kinds), "jaccard-links")
 
-    large = stored.filter("blocks > 1")
+    large = stored.filter("blocks > 1").select("id", "grp", "blk").distinct()
     if not large.isEmpty():
         part = components(found)
         named = large.join(part.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -293,39 +296,32 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         top = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(
             F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("rows"), F.max("n").alias("joined"))
         # groups that are one component already are done; of the others, documents outside the main one ask
-        top = top.filter("joined < rows").drop("joined")
-        rest = stage(join_by_key(named, stage(top, "jaccard-main"), "grp", "rows", F.col("id")).filter("main is not null"), "jaccard-rest")
-
-        def sign_again(batches):
-            for b in batches:
-                n = np.diff(b.column(5).offsets.to_numpy()) if b.num_rows else np.zeros(0, np.int64)
-                h = b.column(5).flatten().to_numpy(zero_copy_only=False).view(_U)
-                sig, d = signatures(np.repeat(np.arange(b.num_rows), n), h, n, sketch.value, percent)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(d)) for i in range(5)), pa.array(sig.view(np.int64))], ["grp", "id", "blk", "component", "main", "sig"])
-
+        top = stage(top.filter("joined < rows").drop("joined"), "jaccard-main")
+        rest = join_by_key(named, top, "grp", "rows", F.col("id")).filter("main is not null").select("grp", "id", "blk", "component", (F.col("component") != F.col("main")).alias("outside"))
+        signed = rest.join(stored.select("id", "prefix"), "id").select("grp", "id", "blk", "component", "outside", F.explode("prefix").alias("sig"))
+        signed = stage(signed.distinct(), "jaccard-prefixes")
         # the blocks that hold a document of another component with the same signature
-        shared = stage(rest.select("grp", "id", "blk", "component", "main", "tokens").mapInArrow(sign_again, "grp bigint, id bigint, blk bigint, component bigint, main bigint, sig bigint"), "jaccard-shared")
-        met = shared.groupBy("grp", "sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_set("blk")).alias("blks"), F.count(F.lit(1)).alias("rows"))
+        met = signed.groupBy("grp", "sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_set("blk")).alias("blks"), F.count(F.lit(1)).alias("rows"))
         met = stage(met.filter("lo < hi").select(F.struct("grp", "sig").alias("key"), "blks", "rows"), "jaccard-met")
-        asking = shared.filter("component <> main").select("id", "blk", F.struct("grp", "sig").alias("key"), "grp")
-        asks = join_by_key(asking, met, "key", "rows", F.col("id")).filter("blks is not null").select("grp", "id", "blk", "blks").distinct()
-        asks = asks.withColumn("at", F.explode("blks")).filter("at <> blk and at <> 0").select("grp", "at", "id").distinct()
+        hits = join_by_key(signed.withColumn("key", F.struct("grp", "sig")), met, "key", "rows", F.col("id")).filter("blks is not null")
+        hits = stage(hits.select("grp", "id", "blk", "outside", "blks").distinct(), "jaccard-hits")
+        asks = hits.filter("outside").withColumn("at", F.explode("blks")).filter("at <> blk").select("grp", "at", "id").distinct()
         asks = stage(asks, "jaccard-asks")
         chunks = asks.groupBy("grp", "at").agg(F.ceil(F.count(F.lit(1)) / (8 * block)).alias("chunks"))
         chunks = stage(chunks, "jaccard-chunks")
-        asks = asks.join(chunks, ["grp", "at"]).join(rest.select("id", F.col("tokens").alias("asked")), "id")
-        asks = asks.select("grp", "at", F.col("id").alias("q"), "asked", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
-        target = rest.select("grp", F.col("blk").alias("at"), "id", "tokens").join(chunks, ["grp", "at"]).select(  # new names for all columns: both sides come from one table
-            F.col("grp").alias("grp"), F.col("at").alias("at"), F.col("id").alias("id"), F.col("tokens").alias("tokens"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
+        sent = asks.join(chunks, ["grp", "at"]).select("id", "grp", "at", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"))
+        sent = sent.unionByName(hits.select("id", "grp", F.col("blk").alias("at")).distinct().join(chunks, ["grp", "at"]).select("id", "grp", "at", every.alias("chunk"), F.lit(False).alias("asks")))
+        sent = sent.join(stored.select("id", "tokens"), "id")
 
-        def open_block(group: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        def open_block(pdf: pd.DataFrame) -> pd.DataFrame:
             out = []
+            some, group = (x.drop_duplicates("id") for x in (pdf[pdf["asks"]], pdf[~pdf["asks"]]))
             if len(group) and len(some):
                 members_, ids = [np.asarray(t).view(_U) for t in group["tokens"]], group["id"].tolist()
                 union = np.unique(np.concatenate(members_))
-                queries = [np.asarray(t).view(_U) for t in some["asked"]]
-                names = some["q"].tolist()
+                queries = [np.asarray(t).view(_U) for t in some["tokens"]]
+                names = some["id"].tolist()
                 # a link needs |q & s| >= percent/100 * |q | s| >= percent/100 * |q|, and q & s lies in the union
                 bound = [100 * int(np.isin(q, union, assume_unique=True).sum()) >= percent * len(q) for q in queries]
                 opened = [i for i, ok in enumerate(bound) if ok]
@@ -335,8 +331,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
                     out += _spanning([(a, len(part_) + b) for a, b in pairs], [names[k] for k in part_] + ids)
             return pd.DataFrame(out, columns=["a", "b"])
 
-        keys = ("grp", "at", "chunk")
-        later = target.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(open_block, kinds)
+        later = sent.groupBy("grp", "at", "chunk").applyInPandas(open_block, kinds)
         found = found.unionByName(stage(later, "jaccard-later"))
 
     linked = components(found).withColumnsRenamed({"node": "first"})
