@@ -31,6 +31,8 @@ from sparkmill.llm.pfp import _BYTE, _M, _U, _batches, _entries, _keyed, _mix, _
 WORDS, PERCENT = 4, 85
 #: Documents of a block.
 BLOCK = 512
+#: Up to so many sets share a shingle before a matrix product is cheaper than their pairs.
+FEW = 24
 #: Counters of the sketch: 2 ** SKETCH_BITS of them at every size of the corpus
 #: (8 MB on the driver and in a worker), sent in pieces of PIECE.
 SKETCH_BITS, PIECE = 21, 1 << 14
@@ -110,18 +112,30 @@ def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> lis
     sizes = np.array([len(s) for s in sets])
     tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    # a shingle of one set alone adds to no overlap
-    used = np.flatnonzero(np.bincount(at, minlength=len(tokens)) > 1)
+    # a shingle of one set alone adds to no overlap; one of few sets adds pair by pair, the others by a matrix product
+    width = len(sets) - len(a) if b is not None else len(a)
+    overlap = np.zeros((len(a), width), np.float32)  # counts below 2 ** 24 are exact in single precision
+    order = np.argsort(at, kind="stable")  # sets ascend within a shingle
+    owner, held = owner[order], np.bincount(at, minlength=len(tokens))
+    first = np.cumsum(held) - held
+    for k in range(2, FEW + 1):
+        mine = owner[first[held == k][:, None] + np.arange(k)]
+        for i in range(k - 1 if len(mine) else 0):
+            left, right = np.repeat(mine[:, i], k - 1 - i), mine[:, i + 1:].ravel()
+            if b is not None:
+                across = (left < len(a)) & (right >= len(a))
+                left, right = left[across], right[across] - len(a)
+            if len(left):
+                overlap += np.bincount(left * width + right, minlength=overlap.size).reshape(overlap.shape)
+    used = np.flatnonzero(held > FEW)
     column = np.full(len(tokens), -1)
     column[used] = np.arange(len(used))
-    keep = column[at] >= 0
-    overlap = np.zeros((len(a), len(sets) - len(a) if b is not None else len(a)), np.float32)
-    row, col = owner[keep], column[at[keep]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for low in range(0, len(used), 8192):  # counts below 2 ** 24 are exact in single precision
-        lo, hi = np.searchsorted(col, [low, low + 8192])
-        m = np.zeros((len(sets), min(8192, len(used) - low)), np.float32)
+    col = np.repeat(column, held)
+    keep = col >= 0
+    row, col = owner[keep], col[keep]
+    for low in range(0, len(used), 4096):
+        lo, hi = np.searchsorted(col, [low, low + 4096])
+        m = np.zeros((len(sets), min(4096, len(used) - low)), np.float32)
         m[row[lo:hi], col[lo:hi] - low] = 1
         overlap += m[:len(a)] @ (m[len(a):] if b is not None else m).T
     left, right = sizes[:len(a)], sizes[len(a):] if b is not None else sizes
