@@ -39,6 +39,8 @@ SKETCH_BITS, PIECE = 21, 1 << 14
 #: Bytes of the corpus for each bucket of signatures.
 SHARE = 12_000_000
 LEAST_PARTS = 61
+#: Bytes of text of which a task holds the shingles at a time.
+AT_ONCE = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -188,12 +190,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
     buckets = max(LEAST_PARTS, int(total // share) | 1)
 
     def batches_of(b):
-        yield from _batches(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield from _batches(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), AT_ONCE)
 
     def measure(batches):
         seen = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            for ids, buf, starts in _batches(zip(range(b.num_rows), b.column(1).to_pylist(), strict=True)):
+            for ids, buf, starts in _batches(zip(range(b.num_rows), b.column(1).to_pylist(), strict=True), AT_ONCE):
                 doc, h = shingles(buf, starts, words)
                 n = np.bincount(doc, minlength=len(ids))
                 s1, s2, least = np.zeros(len(ids), _U), np.zeros(len(ids), _U), np.zeros(len(ids), _U)
@@ -272,7 +274,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
 
     def sets_of(batches):
         for b in batches:
-            for ids, buf, starts in _batches(zip(range(b.num_rows), b.column(3).to_pylist(), strict=True)):
+            for ids, buf, starts in _batches(zip(range(b.num_rows), b.column(3).to_pylist(), strict=True), AT_ONCE):
                 doc, h = shingles(buf, starts, words)
                 n = np.bincount(doc, minlength=len(ids))
                 sig, d = signatures(doc, h, n, sketch.value, percent)

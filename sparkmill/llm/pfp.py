@@ -149,12 +149,12 @@ def _split(to: np.ndarray):
         at = e
 
 
-def _batches(documents):
-    """(ids, buffer, starts) of about BATCH bytes; a longer document is a batch of its own."""
+def _batches(documents, limit: int = BATCH):
+    """(ids, buffer, starts) of about ``limit`` bytes; a longer document is a batch of its own."""
     some, size = [], 0
     for i, t in documents:
         raw = t if isinstance(t, (bytes, memoryview)) else (t or "").encode()
-        if some and size + len(raw) > BATCH:
+        if some and size + len(raw) > limit:
             yield _joined(some)
             some, size = [], 0
         some.append((i, raw))
