@@ -9,7 +9,8 @@ are cut depends on the key:
 * dense integral keys (row ordinals, document ids): ``(key - min) div
   bucket_rows`` — at most ``bucket_rows`` rows per group, no sampling pass;
 * anything else (sparse or clustered ids, strings, structs):
-  ``repartitionByRange`` — sampled, equal-depth ranges, so no group is hot.
+  ``repartitionByRange`` — sampled, equal-depth ranges, written once to the
+  checkpoint folder, so totals and rows see the same groups.
 The choice costs one aggregate over the key column alone (three scalars).
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
+from ..session import cut_lineage
 
 DEFAULT_BUCKET_ROWS = 1 << 20
 # Integral keys with at most this many key values per row are "dense".
@@ -72,10 +74,13 @@ def running_total(df: DataFrame, order_col: str, value_col: str, *, ranges: int
     """
     dense, lo = _is_dense(df, order_col)
     if dense:
-        staged = df.withColumn("__grp", F.floor((F.col(order_col) - F.lit(lo)) / F.lit(bucket_rows)).cast("bigint"))
+        group = F.floor((F.col(order_col) - F.lit(lo)) / F.lit(bucket_rows)).cast("bigint")
+        staged = df.withColumn("__grp", F.coalesce(group, F.lit(-1)))  # null keys come first
     else:
-        staged = (df.repartitionByRange(_ranges(df, ranges), F.col(order_col))
-                  .withColumn("__grp", F.spark_partition_id()))
+        # Range bounds are sampled each time the plan runs, so the cut is written once:
+        # offsets and rows must come from the same groups.
+        staged = cut_lineage(df.repartitionByRange(_ranges(df, ranges), F.col(order_col))
+                             .withColumn("__grp", F.spark_partition_id()))
     return _running_in_groups(staged, order_col, value_col, _offsets(staged, value_col), before, after)
 
 

@@ -117,3 +117,20 @@ def test_preview_on_sparse_keys_uses_ranges(spark):
     d = spark.range(0, 300).select((F.col("id") * 1_000_003 + 7).alias("k"))
     got = rows(ordinal.preview_page(d, "k", page=2, page_size=5, ranges=6), "row_ord", "k", "total")
     assert got == [(5 + i, (5 + i) * 1_000_003 + 7, 300) for i in range(5)]
+
+
+def test_running_total_string_keys_with_payload_read_back(spark, tmp_path):
+    """Many rows in several files with a payload column: totals and rows share one cut."""
+    n = 300_000
+    spark.range(n).select(F.sha1(F.col("id").cast("string")).alias("k"), (F.col("id") % 11).alias("v"),
+                          F.concat(F.lit("payload "), F.col("id")).alias("p")).repartition(6).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = ordinal.running_total(df, "k", "v", ranges=9).select("k", "v", "cum_before", "cum_after").toPandas().sort_values("k")
+    total = got["v"].cumsum()
+    assert len(got) == n and (got["cum_after"] == total).all() and (got["cum_before"] == total - got["v"]).all()
+
+
+def test_running_total_keeps_the_null_key(spark):
+    df = spark.createDataFrame([(None, 5), (1, 1), (2, 2), (3, 4)], "k bigint, v bigint")
+    got = sorted(((r["k"], r["cum_before"], r["cum_after"]) for r in ordinal.running_total(df, "k", "v", bucket_rows=2).collect()), key=str)
+    assert got == [(1, 5, 6), (2, 6, 8), (3, 8, 12), (None, 0, 5)]
