@@ -354,6 +354,8 @@ def page_by_group(df: DataFrame, group_col: str | None, *, ts: str = "created_at
     """
     order = [F.col(ts).desc(), F.col(id_col).desc()] if newest_first else [F.col(ts).asc(), F.col(id_col).asc()]
     if group_col is None:
+        if limit is None:  # ranking a whole table would run in one task
+            raise ValueError("a listing without a group needs a limit")
         w = Window.orderBy(*order)
         top = df.orderBy(*order).limit(offset + limit)
         return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") > offset)

@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkmill.operators import limits, registry
@@ -155,3 +156,10 @@ def test_model_register_and_config_merge(spark):
     merged = registry.resume_config(split.withColumn("checkpoint_path", F.lit("ck/5")))
     c = merged.filter("id = 5").first()["config"]
     assert (c["base_model"], c["max_steps"], c["resume_checkpoint_path"]) == ("m", -1, "ck/5")
+
+
+def test_global_listing_needs_a_limit(spark):
+    df = spark.createDataFrame([(1, 1)], "id bigint, created_at bigint")
+    with pytest.raises(ValueError):
+        registry.page_by_group(df, None, limit=None)
+    assert registry.page_by_group(df, None, limit=1).count() == 1
