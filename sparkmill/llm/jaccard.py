@@ -2,8 +2,10 @@
 
 Documents are sets of word shingles.  Similar documents are first partitioned
 into groups: two sets that link share a shingle among the rarest of each (the
-prefix bound, exact for any one order of the shingles), and documents that share
-one join one group, so no link crosses groups.  Rarity comes from a sketch of fixed
+prefix bound, exact for any one order of the shingles), and their sizes differ by
+the ratio of the threshold at most.  Documents that share such a shingle and are
+joined by a chain of sizes without a wider step form one group, so no link crosses
+groups.  Rarity comes from a sketch of fixed
 size that counts all shingles of all documents; it only orders, so its collisions
 cost time and never a link.  A group is stored in blocks with the union of the
 block's shingles.  A query document opens a block only if its overlap with the
@@ -13,20 +15,24 @@ and first meet the group's first block; then only documents outside the group's
 component query other blocks, and of these the ones that hold a document of another
 component with a shingle of their prefix.
 
-Equal sets are one class and are compared once.  No pairs inside a group are
+Texts travel compressed, and a task makes the shingles of what it got: a text takes
+less room than its set.  Equal sets are one class and are compared once.  No pairs inside a group are
 written: a task returns links that span what it found connected.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.llm.common import components, join_by_key, ship, stage
-from sparkmill.llm.pfp import _BYTE, _M, _U, _batches, _entries, _keyed, _mix, _smallest, _split
+from sparkmill.llm.pfp import _BYTE, _M, _U, _batches, _entries, _keyed, _mix, _split
 
 WORDS, PERCENT = 4, 85
 #: Documents of a block.
@@ -39,6 +45,10 @@ SKETCH_BITS, PIECE = 21, 1 << 14
 #: Bytes of the corpus for each bucket of signatures.
 SHARE = 12_000_000
 LEAST_PARTS = 61
+#: Bytes of a signature that are sent beside its bucket: equal ones by chance make a group larger, no link is lost.
+TAG = 5
+#: Sizes are told apart by 1 / LEVELS of their logarithm.
+LEVELS = 64
 #: Bytes of text of which a task holds the shingles at a time.
 AT_ONCE = 1_000_000
 _SPACE = np.zeros(256, bool)
@@ -108,6 +118,55 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, seen: np.ndarray,
     return h[order[keep]], d[keep]
 
 
+def levels(n: np.ndarray) -> np.ndarray:
+    """Sizes on a logarithmic scale, below 2 ** 16."""
+    return (np.log(np.maximum(n, 1)) * LEVELS).astype(np.int64)
+
+
+def gap(percent: int) -> int:
+    """Levels of two linking sets differ by so much at most (with room for rounding)."""
+    return math.ceil(LEVELS * math.log(100 / percent)) + 1
+
+
+def chains(sig: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray, percent: int):
+    """Order of the entries, the chain of each, and ((lo, hi, owner, first entry) of each chain).
+
+    An entry holds levels from ``lo`` to ``hi`` without a step wider than the gap.
+    Entries of one signature whose levels are joined without such a step are a chain.
+    """
+    order = np.lexsort((owner, lo, sig))
+    if not len(order):
+        return order, order, (order, order, order, order)
+    rank = np.cumsum(np.r_[0, np.diff(sig[order]) != 0])
+    reach = np.maximum.accumulate((rank << 20) + hi[order])  # the highest level so far of the same signature
+    first = np.r_[True, (rank[1:] << 20) + lo[order][1:] > reach[:-1] + gap(percent)]
+    heads = np.flatnonzero(first)
+    last = np.r_[heads[1:], len(order)] - 1
+    return order, np.cumsum(first) - 1, (lo[order][heads], reach[last] - (rank[last] << 20), owner[order][heads], order[heads])
+
+
+def _met(order: np.ndarray, chain: np.ndarray, heads: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (first document of the chain, other document)."""
+    a, b = heads[chain], owner[order]
+    a, b = a[a != b], b[a != b]
+    at = np.lexsort((b, a))
+    a, b = a[at], b[at]
+    new = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)][:len(a)]
+    return a[new], b[new]
+
+
+def _sets(blobs, words: int) -> list[np.ndarray]:
+    """The shingles of each compressed text."""
+    out: list = [np.zeros(0, _U)] * len(blobs)
+    z = zstandard.ZstdDecompressor()
+    for ids, buf, starts in _batches(((i, z.decompress(b)) for i, b in enumerate(blobs)), AT_ONCE):
+        doc, h = shingles(buf, starts, words)
+        cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
+        for k, i in enumerate(ids):
+            out[i] = h[cuts[k]:cuts[k + 1]]
+    return out
+
+
 def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Positions (i, j) of linking sets: all in ``a`` with i < j, or those between ``a`` and ``b``, by overlap counts."""
     sets = a + (b or [])
@@ -120,7 +179,7 @@ def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> lis
     order = np.argsort(at, kind="stable")  # sets ascend within a shingle
     owner, held = owner[order], np.bincount(at, minlength=len(tokens))
     first = np.cumsum(held) - held
-    for k in range(2, FEW + 1):
+    for k in range(2, min(FEW, len(sets)) + 1):
         mine = owner[first[held == k][:, None] + np.arange(k)]
         for i in range(k - 1 if len(mine) else 0):
             left, right = np.repeat(mine[:, i], k - 1 - i), mine[:, i + 1:].ravel()
@@ -207,14 +266,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
                     seen += np.bincount(_place(h), minlength=1 << SKETCH_BITS).astype(np.uint32)
                 yield _measured(len(ids), b.column(0).slice(int(ids[0]), len(ids)), n, s1.view(np.int64), s2.view(np.int64), least.view(np.int64), None, None)
         filled = [k for k in range(len(seen) // PIECE) if seen[k * PIECE:][:PIECE].any()]
-        yield _measured(len(filled), None, None, None, None, None, filled, [seen[k * PIECE:][:PIECE].tobytes() for k in filled])
+        yield _measured(len(filled), None, None, None, None, None, filled, [zstandard.compress(seen[k * PIECE:][:PIECE].tobytes()) for k in filled])
 
     def add(batches):
         """Counters of each piece, summed as they come."""
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(blob, np.uint32).astype(np.uint64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.decompress(blob), np.uint32).astype(np.uint64)
         top = np.uint64(0xFFFFFFFF)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(x, top).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["piece", "seen"])
 
@@ -231,35 +290,34 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
 
     def sign(batches):
         for b in batches:
-            to, kind, blob, low, high = [], [], [], [], []
+            to, blob, low, high = [], [], [], []
             for ids, buf, starts in batches_of(b.filter(b.column(0).is_valid())):
                 doc, h = shingles(buf, starts, words)
-                sig, d = signatures(doc, h, np.bincount(doc, minlength=len(ids)), sketch.value, percent)
-                owner = ids[d]
-                order, first = _smallest(sig, np.zeros(len(sig), np.int8), owner)
-                least = owner[order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]] if len(order) else owner
-                pairs = np.unique(np.stack([least, owner[order]], 1)[least != owner[order]], axis=0)  # met inside the batch
-                sent = order[first]
-                for g, i in _split((sig[sent] % _U(buckets)).astype(np.int64)):
-                    to.append(g), blob.append(_keyed(np.zeros(0, np.uint32), sig[sent[i]], owner[sent[i]], 8)), low.append(None), high.append(None)
-                to += [-1] * len(pairs)
-                blob += [None] * len(pairs)
-                low += pairs[:, 0].tolist()
-                high += pairs[:, 1].tolist()
+                n = np.bincount(doc, minlength=len(ids))
+                sig, d = signatures(doc, h, n, sketch.value, percent)
+                owner, level = ids[d], levels(n)[d]
+                order, chain, (lo, hi, head, at) = chains(sig, level, level, owner, percent)
+                one, other = _met(order, chain, head, owner)  # met inside the batch
+                for g, i in _split((sig[at] % _U(buckets)).astype(np.int64)):
+                    to.append(g), blob.append(_keyed((lo[i] << 16 | hi[i]).astype(np.uint32), sig[at[i]], head[i], TAG)), low.append(None), high.append(None)
+                to += (one % buckets).tolist()
+                blob += [None] * len(one)
+                low += one.tolist()
+                high += other.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blob, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
                                              ["to", "blob", "a", "b"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, sig, ids = _entries(pdf["blob"], 8)
-        order, first = _smallest(sig, np.zeros(len(sig), np.int8), ids)
-        least = ids[order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]]
-        pairs = np.unique(np.stack([least, ids[order]], 1)[least != ids[order]], axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        span, sig, ids = _entries(pdf["blob"].dropna(), TAG)
+        span = span.astype(np.int64)
+        order, chain, (_, _, head, _) = chains(sig, span >> 16, span & 0xFFFF, ids, percent)
+        one, other = _met(order, chain, head, ids)
+        known = pdf[pdf["blob"].isna()]
+        return pd.DataFrame({"a": np.r_[one, known["a"].astype(np.int64)], "b": np.r_[other, known["b"].astype(np.int64)]})
 
     signed = base.mapInArrow(sign, "to bigint, blob binary, a bigint, b bigint")
-    signed = stage(signed, "jaccard-parts")
-    near = signed.filter("to >= 0").select("to", "blob").groupBy("to").applyInPandas(meet, "a bigint, b bigint")
-    groups = components(near.unionByName(signed.filter("to < 0").select("a", "b")))
+    near = signed.groupBy("to").applyInPandas(meet, "a bigint, b bigint")
+    groups = components(near)
     # members of a group: one document of each class
     members = groups.join(classes.select(F.col("first").alias("node"), "least"), "node").select(F.col("node").alias("id"), F.col("component").alias("grp"), "least")
     members = stage(members, "jaccard-members")
@@ -272,34 +330,26 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
     placed = join_by_key(placed, stage(wide.withColumn("wide", F.lit(True)), "jaccard-wide"), "family", "rows", F.col("id"))
     placed = placed.withColumn("blk", F.pmod(F.when(F.col("wide"), F.xxhash64("id")).otherwise(F.xxhash64("least")), F.col("blocks"))).withColumn("wide", F.col("wide").isNotNull()).drop("family", "least")
 
-    def sets_of(batches):
+    def press(batches):
+        z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            for ids, buf, starts in _batches(zip(range(b.num_rows), b.column(3).to_pylist(), strict=True), AT_ONCE):
-                doc, h = shingles(buf, starts, words)
-                n = np.bincount(doc, minlength=len(ids))
-                sig, d = signatures(doc, h, n, sketch.value, percent)
-                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k)], pa.int32()), pa.array(x.view(np.int64)))
-                         for k, x in ((n, h), (np.bincount(d, minlength=len(ids)), sig))]
-                part = b.slice(int(ids[0]), len(ids))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 2, 4, 5)), *lists], ["id", "grp", "blk", "blocks", "wide", "tokens", "prefix"])
-
-    texts = base.join(placed, "id").select("id", "grp", "blk", "text", "blocks", "wide")
-    stored = texts.mapInArrow(sets_of, "id bigint, grp bigint, blk bigint, blocks bigint, wide boolean, tokens array<bigint>, prefix array<bigint>")
-    stored = stage(stored, "jaccard-blocks").filter(F.size("tokens") > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.as_py().encode()) for t in b.column(1)], pa.binary())], ["id", "blob"])
+
+    pressed = base.filter("id is not null and text is not null").mapInArrow(press, "id bigint, blob binary")
+    stored = stage(pressed.join(placed, "id").select("id", "grp", "blk", "blocks", "wide", "blob"), "jaccard-blocks")
     kinds = "a bigint, b bigint"
 
     def own_block(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in pdf.groupby(["grp", "at"]):
-            g = g.drop_duplicates("id")
+            g = g.drop_duplicates(["id", "blob"])
             if len(g) > 1:
-                ids = g["id"].tolist()
-                out += _spanning(_links([np.asarray(t).view(_U) for t in g["tokens"]], None, percent), ids)
+                out += _spanning(_links(_sets(g["blob"].tolist(), words), None, percent), g["id"].tolist())
         return pd.DataFrame(out, columns=["a", "b"])
 
     # what the first block holds of spread families stands in every block; small groups share a task
     every = F.explode(F.when(F.col("wide") & (F.col("blk") == 0), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array("blk")))
-    shared = stored.drop("prefix").withColumn("at", every)
+    shared = stored.withColumn("at", every)
     n_bins = max(1, int((members.count()) // 300))
     shared = shared.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(n_bins))).otherwise(-1 - F.pmod(F.xxhash64("grp", "at"), F.lit(1 << 40))))
     found = stage(shared.groupBy("bin").applyInPandas(own_block, kinds), "jaccard-links")
@@ -314,8 +364,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         # groups that are one component already are done; of the others, documents outside the main one ask
         top = stage(top.filter("joined < rows").drop("joined"), "jaccard-main")
         rest = join_by_key(named, top, "grp", "rows", F.col("id")).filter("main is not null").select("grp", "id", "blk", "component", (F.col("component") != F.col("main")).alias("outside"))
-        signed = rest.join(stored.select("id", "prefix"), "id").select("grp", "id", "blk", "component", "outside", F.explode("prefix").alias("sig"))
-        signed = stage(signed.distinct(), "jaccard-prefixes")
+
+        def prefixes(batches):
+            for b in batches:
+                z = zstandard.ZstdDecompressor()
+                for at, buf, starts in _batches(((i, z.decompress(x.as_py())) for i, x in enumerate(b.column(5))), AT_ONCE):
+                    doc, h = shingles(buf, starts, words)
+                    sig, d = signatures(doc, h, np.bincount(doc, minlength=len(at)), sketch.value, percent)
+                    rows = pa.array(at[d], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(5)), pa.array(sig.view(np.int64))], ["grp", "id", "blk", "component", "outside", "sig"])
+
+        signed = rest.join(stored.filter("blocks > 1").select("id", "blob"), "id").select("grp", "id", "blk", "component", "outside", "blob")
+        signed = stage(signed.mapInArrow(prefixes, "grp bigint, id bigint, blk bigint, component bigint, outside boolean, sig bigint"), "jaccard-prefixes")
         # the blocks that hold a document of another component with the same signature
         met = signed.groupBy("grp", "sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_set("blk")).alias("blks"), F.count(F.lit(1)).alias("rows"))
         met = stage(met.filter("lo < hi").select(F.struct("grp", "sig").alias("key"), "blks", "rows"), "jaccard-met")
@@ -328,15 +388,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
         sent = asks.join(chunks, ["grp", "at"]).select("id", "grp", "at", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"))
         sent = sent.unionByName(hits.select("id", "grp", F.col("blk").alias("at")).distinct().join(chunks, ["grp", "at"]).select("id", "grp", "at", every.alias("chunk"), F.lit(False).alias("asks")))
-        sent = sent.join(stored.select("id", "tokens"), "id")
+        sent = sent.join(stored.filter("blocks > 1").select("id", "blob"), "id")
 
         def open_block(pdf: pd.DataFrame) -> pd.DataFrame:
             out = []
-            some, group = (x.drop_duplicates("id") for x in (pdf[pdf["asks"]], pdf[~pdf["asks"]]))
+            some, group = (x.drop_duplicates(["id", "blob"]) for x in (pdf[pdf["asks"]], pdf[~pdf["asks"]]))
             if len(group) and len(some):
-                members_, ids = [np.asarray(t).view(_U) for t in group["tokens"]], group["id"].tolist()
+                members_, ids = _sets(group["blob"].tolist(), words), group["id"].tolist()
                 union = np.unique(np.concatenate(members_))
-                queries = [np.asarray(t).view(_U) for t in some["tokens"]]
+                queries = _sets(some["blob"].tolist(), words)
                 names = some["id"].tolist()
                 # a link needs |q & s| >= percent/100 * |q | s| >= percent/100 * |q|, and q & s lies in the union
                 bound = [100 * int(np.isin(q, union, assume_unique=True).sum()) >= percent * len(q) for q in queries]

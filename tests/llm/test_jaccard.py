@@ -90,3 +90,46 @@ def test_two_linking_sets_share_a_signature():
 def test_empty(spark):
     assert J.near_duplicates(frame(spark, [])).count() == 0
     assert [tuple(r) for r in J.near_duplicates(frame(spark, [(1, None)])).collect()] == [(1, 0, 1)]
+
+
+def test_chains_hold_all_pairs_of_near_size():
+    """Entries dealt over batches and chained in two steps, as in the join."""
+    r = np.random.default_rng(5)
+    gap = J.gap(85)
+    for _ in range(50):
+        sig = r.integers(0, 4, 200).astype(np.uint64)
+        level, owner = r.integers(0, 400, 200), np.arange(200)
+        batch = r.integers(0, 5, 200)
+        edges, sent = [], []
+        for k in range(5):
+            some = np.flatnonzero(batch == k)
+            order, chain, (lo, hi, head, at) = J.chains(sig[some], level[some], level[some], owner[some], 85)
+            edges += zip(*J._met(order, chain, head, owner[some]), strict=True)
+            sent.append((sig[some][at], lo, hi, head))
+        s, lo, hi, ids = (np.concatenate(x) for x in zip(*sent, strict=True))
+        order, chain, (_, _, head, _) = J.chains(s, lo, hi, ids, 85)
+        edges += zip(*J._met(order, chain, head, ids), strict=True)
+        root = {i: i for i in range(200)}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(int(a))] = find(int(b))
+        for i in range(200):
+            for j in np.flatnonzero((sig == sig[i]) & (abs(level - level[i]) <= gap)):
+                assert find(i) == find(int(j))
+
+
+def test_levels_of_linking_sizes():
+    n = np.arange(1, 5000)
+    for m in (1, 2, 7, 100, 4999):
+        near = n[(100 * np.minimum(n, m) >= 85 * np.maximum(n, m))]
+        assert (abs(J.levels(near) - J.levels(np.array([m]))) <= J.gap(85)).all()
+
+
+def test_one_id_with_two_sets(spark):
+    rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "a b c d e f"), (3, "p q r s t u"), (4, "p q r s t v"), (5, "p q r s t u")]
+    assert sorted((tuple(r) for r in J.near_duplicates(frame(spark, rows)).collect()), key=str) == brute(rows)
