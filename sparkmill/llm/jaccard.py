@@ -10,7 +10,8 @@ size that counts all shingles of all documents; it only orders, so its collision
 cost time and never a link.  A group is stored in blocks with the union of the
 block's shingles.  A query document opens a block only if its overlap with the
 union reaches the share that a link needs; inside an opened block overlaps are
-counted for all members at once.  Blocks hold whole families where these are small,
+counted for members that share a prefix shingle with the query, are near it in size
+and not yet connected with it.  Blocks hold whole families where these are small,
 and first meet the group's first block; then only documents outside the group's main
 component query other blocks, and of these the ones that hold a document of another
 component with a shingle of their prefix.
@@ -167,14 +168,16 @@ def _sets(blobs, words: int) -> list[np.ndarray]:
     return out
 
 
-def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Positions (i, j) of linking sets: all in ``a`` with i < j, or those between ``a`` and ``b``, by overlap counts."""
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """Overlap of each pair in ``a`` (of i < j), or of each of ``a`` with each of ``b``."""
     sets = a + (b or [])
-    sizes = np.array([len(s) for s in sets])
     tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    width = len(a) if b is None else len(b)
+    if b is not None:  # a shingle of one side alone adds to no overlap
+        both = np.bincount(at[owner < len(a)], minlength=len(tokens)).astype(bool) & np.bincount(at[owner >= len(a)], minlength=len(tokens)).astype(bool)
+        at, owner = at[both[at]], owner[both[at]]
     # a shingle of one set alone adds to no overlap; one of few sets adds pair by pair, the others by a matrix product
-    width = len(sets) - len(a) if b is not None else len(a)
     overlap = np.zeros((len(a), width), np.float32)  # counts below 2 ** 24 are exact in single precision
     order = np.argsort(at, kind="stable")  # sets ascend within a shingle
     owner, held = owner[order], np.bincount(at, minlength=len(tokens))
@@ -187,7 +190,8 @@ def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> lis
                 across = (left < len(a)) & (right >= len(a))
                 left, right = left[across], right[across] - len(a)
             if len(left):
-                overlap += np.bincount(left * width + right, minlength=overlap.size).reshape(overlap.shape)
+                cell, n = np.unique(left * width + right, return_counts=True)
+                overlap.ravel()[cell] += n
     used = np.flatnonzero(held > FEW)
     column = np.full(len(tokens), -1)
     column[used] = np.arange(len(used))
@@ -199,12 +203,54 @@ def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> lis
         m = np.zeros((len(sets), min(4096, len(used) - low)), np.float32)
         m[row[lo:hi], col[lo:hi] - low] = 1
         overlap += m[:len(a)] @ (m[len(a):] if b is not None else m).T
-    left, right = sizes[:len(a)], sizes[len(a):] if b is not None else sizes
-    inside = np.rint(overlap).astype(np.int64)
-    ok = (100 * inside >= percent * (left[:, None] + right[None] - inside)) & (inside > 0)
-    if b is None:
-        ok = np.triu(ok, 1)
-    return list(zip(*(x.tolist() for x in np.nonzero(ok)), strict=True))
+    return overlap
+
+
+def _links(a: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Positions (i, j), i < j, of linking sets by overlap counts."""
+    sizes = np.array([len(s) for s in a])
+    inside = np.rint(_overlaps(a, None)).astype(np.int64)
+    ok = (100 * inside >= percent * (sizes[:, None] + sizes[None] - inside)) & (inside > 0)
+    return list(zip(*(x.tolist() for x in np.nonzero(np.triu(ok, 1))), strict=True))
+
+
+def _joining(queries, query_of, members, member_of, seen: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions (query, member) of links that connect components, enough of them.
+
+    ``query_of`` and ``member_of`` name the components.  Candidates share a shingle
+    of their prefixes, are near in size and of different components; each is counted
+    exactly unless links found so far connect the two.
+    """
+    def prefixes(sets):
+        d, h = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        n = np.array([len(x) for x in sets])
+        sig, d = signatures(d, h, n, seen, percent)
+        return np.split(sig, np.cumsum(np.bincount(d, minlength=len(sets)))[:-1]), n
+
+    (qp, qn), (mp, mn) = prefixes(queries), prefixes(members)
+    near = 100 * np.minimum(qn[:, None], mn[None]) >= percent * np.maximum(qn[:, None], mn[None])
+    near &= np.asarray(query_of)[:, None] != np.asarray(member_of)[None]
+    near &= _overlaps(qp, mp) > 0
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        a, b = find(query_of[i]), find(member_of[j])
+        if a == b:
+            continue
+        small, large = sorted((queries[i], members[j]), key=len)
+        at = np.searchsorted(large, small)
+        inside = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+        if 100 * inside >= percent * (len(small) + len(large) - inside):
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
 
 
 def _measured(rows: int, *columns) -> pa.RecordBatch:
@@ -344,7 +390,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         for _, g in pdf.groupby(["grp", "at"]):
             g = g.drop_duplicates(["id", "blob"])
             if len(g) > 1:
-                out += _spanning(_links(_sets(g["blob"].tolist(), words), None, percent), g["id"].tolist())
+                out += _spanning(_links(_sets(g["blob"].tolist(), words), percent), g["id"].tolist())
         return pd.DataFrame(out, columns=["a", "b"])
 
     # what the first block holds of spread families stands in every block; small groups share a task
@@ -380,14 +426,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         met = signed.groupBy("grp", "sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_set("blk")).alias("blks"), F.count(F.lit(1)).alias("rows"))
         met = stage(met.filter("lo < hi").select(F.struct("grp", "sig").alias("key"), "blks", "rows"), "jaccard-met")
         hits = join_by_key(signed.withColumn("key", F.struct("grp", "sig")), met, "key", "rows", F.col("id")).filter("blks is not null")
-        hits = stage(hits.select("grp", "id", "blk", "outside", "blks").distinct(), "jaccard-hits")
-        asks = hits.filter("outside").withColumn("at", F.explode("blks")).filter("at <> blk").select("grp", "at", "id").distinct()
+        hits = stage(hits.select("grp", "id", "blk", "component", "outside", "blks").distinct(), "jaccard-hits")
+        asks = hits.filter("outside").withColumn("at", F.explode("blks")).filter("at <> blk").select("grp", "at", "id", "component").distinct()
         asks = stage(asks, "jaccard-asks")
         chunks = asks.groupBy("grp", "at").agg(F.ceil(F.count(F.lit(1)) / (8 * block)).alias("chunks"))
         chunks = stage(chunks, "jaccard-chunks")
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
-        sent = asks.join(chunks, ["grp", "at"]).select("id", "grp", "at", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"))
-        sent = sent.unionByName(hits.select("id", "grp", F.col("blk").alias("at")).distinct().join(chunks, ["grp", "at"]).select("id", "grp", "at", every.alias("chunk"), F.lit(False).alias("asks")))
+        sent = asks.join(chunks, ["grp", "at"]).select("id", "grp", "at", "component", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"))
+        sent = sent.unionByName(hits.select("id", "grp", F.col("blk").alias("at"), "component").distinct().join(chunks, ["grp", "at"]).select("id", "grp", "at", "component", every.alias("chunk"), F.lit(False).alias("asks")))
         sent = sent.join(stored.filter("blocks > 1").select("id", "blob"), "id")
 
         def open_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -401,10 +447,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
                 # a link needs |q & s| >= percent/100 * |q | s| >= percent/100 * |q|, and q & s lies in the union
                 bound = [100 * int(np.isin(q, union, assume_unique=True).sum()) >= percent * len(q) for q in queries]
                 opened = [i for i, ok in enumerate(bound) if ok]
+                parts, own = some["component"].tolist(), group["component"].tolist()
                 for i in range(0, len(opened), BLOCK):
-                    part_ = opened[i:i + BLOCK]
-                    pairs = _links([queries[k] for k in part_], members_, percent)
-                    out += _spanning([(a, len(part_) + b) for a, b in pairs], [names[k] for k in part_] + ids)
+                    part = opened[i:i + BLOCK]
+                    pairs = _joining([queries[k] for k in part], [parts[k] for k in part], members_, own, sketch.value, percent)
+                    out += [(names[part[x]], ids[y]) for x, y in pairs]
             return pd.DataFrame(out, columns=["a", "b"])
 
         later = sent.groupBy("grp", "at", "chunk").applyInPandas(open_block, kinds)

@@ -133,3 +133,23 @@ def test_levels_of_linking_sizes():
 def test_one_id_with_two_sets(spark):
     rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "a b c d e f"), (3, "p q r s t u"), (4, "p q r s t v"), (5, "p q r s t u")]
     assert sorted((tuple(r) for r in J.near_duplicates(frame(spark, rows)).collect()), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_joining_connects_what_all_links_connect(seed):
+    r = np.random.default_rng(seed)
+    bases = [np.sort(r.choice(1 << 40, int(r.integers(20, 90)), replace=False)) for _ in range(6)]
+    sets = [np.unique(np.r_[r.permutation(b)[:len(b) - r.integers(0, 9)], r.integers(1, 1 << 40, r.integers(0, 5))]).astype(np.uint64) << np.uint64(23) for b in bases for _ in range(12)]
+    q, m = list(range(0, 72, 2)), list(range(1, 72, 2))
+    seen = r.integers(0, 4, 1 << J.SKETCH_BITS).astype(np.uint32)
+    got = J._joining([sets[i] for i in q], q, [sets[j] for j in m], m, seen, 85)
+
+    def parts(pairs):
+        root = list(range(72))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    links = [(i, j) for i in q for j in m if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+    assert links and parts((q[i], m[j]) for i, j in got) == parts(links)
