@@ -27,12 +27,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.accepted(docs, quality.train(stats, labels))
 
 
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a unique ``_row``, written once so that every reader sees the same keys; a doc_id can repeat or be null."""
+    return stage(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest doc_id stays; texts without words stay."""
-    docs = docs.select(COLUMNS)
-    found = jaccard.join(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of linked rows one of the smallest doc_id stays; texts without words stay.
+
+    Rows are decided one by one: of equal rows one stays, and a row whose doc_id
+    also stands at another text goes only if its own text is a near duplicate.
+    """
+    docs = with_row_key(docs, "pipeline-near-rows")
+    known = docs.filter("doc_id is not null")
+    found = jaccard.join(docs.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    found = found.filter("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    found = stage(found.join(known.select("_row", "doc_id"), "_row"), "pipeline-near-found")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first._row")
+    gone = found.select("_row").join(first, "_row", "left_anti")
+    return docs.join(gone, "_row", "left_anti").select(COLUMNS)
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -457,10 +457,27 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         later = sent.groupBy("grp", "at", "chunk").applyInPandas(open_block, kinds)
         found = found.unionByName(stage(later, "jaccard-later"))
 
-    linked = components(found).withColumnsRenamed({"node": "first"})
-    answered = classes.join(linked, "first", "left").withColumn("component_id", F.coalesce("component", "first")).select("set", "component_id", "rows")
+    # one id under several sets is one node: the class of each of its sets is tied to it, and its rows without words are answered alike
+    filled = sets.filter("id is not null").select("id", "n", F.struct("n", "s1", "s2").alias("set"))
+    shared = filled.groupBy("id").agg(F.min("set").alias("lo"), F.max("set").alias("hi"), F.count(F.lit(1)).alias("rows"),
+                                      F.count_if(F.col("n") == 0).alias("blank")).filter("lo <> hi")
+    shared = stage(shared.select("id", "rows", "blank", F.lit(True).alias("shared")), "jaccard-shared")
+    repeats = not shared.isEmpty()
+    if repeats:
+        several = join_by_key(filled.filter("n > 0"), shared.drop("blank"), "id", "rows", F.xxhash64("set")).filter("shared")
+        several = stage(several.select("id", "set").distinct(), "jaccard-several")
+        firsts = several.groupBy("set").agg(F.count(F.lit(1)).alias("ids")).join(classes.select("set", "first"), "set")
+        tied = join_by_key(several, stage(firsts, "jaccard-firsts"), "set", "ids", F.col("id"))
+        found = found.unionByName(tied.select(F.col("first").alias("a"), F.col("id").alias("b")))
+
+    linked = components(found)
+    answered = classes.join(linked.withColumnRenamed("node", "first"), "first", "left").withColumn("component_id", F.coalesce("component", "first")).select("set", "component_id", "rows")
     out = sets.withColumn("set", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.struct("n", "s1", "s2")))
     out = join_by_key(out, stage(answered, "jaccard-answers"), "set", "rows", F.col("id"))
+    if repeats:
+        blank = shared.filter("blank > 0").select("id", "blank").join(linked.withColumnRenamed("node", "id"), "id")
+        empty = join_by_key(out.filter("n = 0"), stage(blank, "jaccard-blank"), "id", "blank", F.monotonically_increasing_id())
+        out = out.filter("n > 0").unionByName(empty.withColumn("component_id", F.col("component")).drop("component"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -153,3 +153,10 @@ def test_joining_connects_what_all_links_connect(seed):
 
     links = [(i, j) for i in q for j in m if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
     assert links and parts((q[i], m[j]) for i, j in got) == parts(links)
+
+
+def test_a_shared_id_that_is_not_the_smallest(spark):
+    a, b, c = "a b c d e f", "p q r s t u", "k l m n o p"
+    rows = [(3, a), (7, a), (7, b), (5, b), (9, b), (9, c), (8, c), (2, "x y z w v u"), (None, c), (7, None)]
+    got = sorted((tuple(r) for r in J.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(3, 3, 3), (7, 3, 3), (7, 3, 3), (5, 3, 3), (9, 3, 3), (9, 3, 3), (8, 3, 3), (2, 3, 2), (None, 3, None), (7, 0, 3)], key=str)

@@ -52,3 +52,14 @@ def test_empty_and_nulls(spark):
     assert sorted(str(r.text) for r in P.drop_secrets(spark, odd, SF).collect()) == ["", "None", "[assign]" + " word" * 300]
     assert secrets.find_secrets(None) == []
     assert {r.doc_id for r in P.mix_sources(spark, odd, SF).collect()} == {2}
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    a, b, c = "one two three four five six", "red green blue white black grey", "un deux trois quatre cinq six"
+    rows = [(3, a), (7, a), (7, b), (8, c), (8, c), (7, " "), (7, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA).repartition(3)
+    left = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(3, a), (7, b), (8, c), (7, " "), (7, None), (None, a), (None, a)], key=str)
