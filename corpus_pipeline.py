@@ -56,12 +56,15 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document occurs taken / size times, a fraction rounded up or down by its seeded hash, so sources keep their targets."""
-    docs = docs.select(COLUMNS)
-    mixed, _ = mixing.mix(docs)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + part)).otherwise(0)).alias("times"))
-    copies = docs.join(times.filter("times > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    """A row occurs taken / size times, a fraction rounded up or down by its seeded hash, so sources keep their targets.
+
+    Each row has its own ``taken`` and its own rounding, also where doc_ids repeat or are null.
+    """
+    docs = with_row_key(docs, "pipeline-mix-rows")
+    mixed, _ = mixing.mix(docs, key="_row")
+    part = F.pmod(F.xxhash64("doc_id", "first_word", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = mixed.filter("size > 0").select("_row", F.floor(F.col("taken") / F.col("size") + part).alias("times"))
+    copies = docs.join(times.filter("times > 0"), "_row")
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select(COLUMNS)
 
 

@@ -118,7 +118,7 @@ MAX_BROADCAST_SOURCES = 10_000
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS, seed: int = 29,
-        shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+        shards: int = SHARDS, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with what the mix takes, plan per source).
 
     ``docs`` needs doc_id, source and text.  Documents come back with ``size``
@@ -128,10 +128,15 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS,
     own, last; an empty table gives empty results.  Per-source totals, one row a
     source, are the only rows that reach the driver.  Equal rows (doc_id, size) lie
     next to each other in either order, which changes no sum.  The text isn't kept.
+
+    ``key`` names a unique bigint column, for tables whose doc_ids repeat or are null:
+    it settles the order of equal rows, spreads rows of null doc_id and comes back
+    with ``first_word``, the row's place on its source's line.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    rows = stage(rows.withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn(
+    keys = [key] if key else []
+    rows = docs.select("doc_id", "source", *keys, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    rows = stage(rows.withColumn("_at", F.xxhash64(F.lit(seed), F.coalesce("doc_id", *keys), "size")).withColumn(
         "_bucket", F.pmod(F.shiftright("_at", 40), F.lit(BUCKETS)).cast("int")), "mix-rows")
     sums = stage(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")), "mix-sums")
     totals = sorted(((r[0], r[1]) for r in sums.groupBy("source").agg(F.sum("_words")).collect()),
@@ -140,7 +145,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS,
     starts = sums.withColumn("_start", F.sum("_words").over(
         Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select(
         F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce("_start", F.lit(0)).alias("_start"))
-    within = Window.partitionBy("source", "_bucket").orderBy("_at", "doc_id", "size").rowsBetween(
+    within = Window.partitionBy("source", "_bucket").orderBy("_at", "doc_id", "size", *keys).rowsBetween(
         Window.unboundedPreceding, -1)
     small = len(totals) <= MAX_BROADCAST_SOURCES
     bounded = F.broadcast if small else lambda x: x
@@ -161,7 +166,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS,
         F.sequence(first.cast("bigint"), last.cast("bigint")), F.lit(0).cast("bigint"), lambda a, k: a + taken_of(k))).otherwise(
         F.lit(0).cast("bigint"))
     out = at.select("doc_id", "source", "size", "source_size", "target",
-                    (F.col("passes") * F.col("size") + part).cast("bigint").alias("taken"))
+                    (F.col("passes") * F.col("size") + part).cast("bigint").alias("taken"),
+                    *([key, F.col("_from").cast("bigint").alias("first_word")] if key else []))
     return out, plans
 
 

@@ -63,3 +63,21 @@ def test_near_duplicates_are_decided_by_row(spark):
     docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA).repartition(3)
     left = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, SF).collect()]
     assert sorted(left, key=str) == sorted([(3, a), (7, b), (8, c), (7, " "), (7, None), (None, a), (None, a)], key=str)
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None, "word " * 20 + f"n{k}", "abcd"[k % 4]) for k in range(400)] + [(None, " ", "a"), (None, None, "b")]
+    rows += [(5, f"five {k} " * 10, "abcd"[k % 4]) for k in range(400)] + [(6, "", "a"), (6, "six and more", "c")]
+    docs = spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], SCHEMA).repartition(3)
+    words, size, target = Counter(), {}, {}
+    for r in mixing.mix(docs)[0].collect():
+        size[r.source], target[r.source] = r.source_size, r.target
+    times = Counter((r.doc_id, r.text, r.source) for r in P.mix_sources(spark, docs, SF).collect())
+    assert set(times) <= set(rows) and all(t and t.strip() for _, t, _ in times)
+    for (_, t, s), n in times.items():
+        words[s] += n * len(t.split())
+    for i in (None, 5):  # each row of one id has its own number of copies, around target / size of its source
+        for s in "abcd":
+            n = sum(v for (j, _, x), v in times.items() if (j, x) == (i, s)) / 100
+            assert abs(n - target[s] / size[s]) < 0.25, (i, s, n)
+    assert all(abs(words[s] - target[s]) < 0.15 * target[s] for s in "abcd")
