@@ -929,14 +929,26 @@ def q_cleaning_stream(spark, sf):
 # ================================================================ whole files and inventories
 
 
+#: Documents of a file at most, and bytes above which a document is long.  A file holds no more than their
+#: product (1 GB) or one document, however large its source is, so its whole-file value stays below Spark's limit.
+DOCS_PER_FILE, LONG_DOC = 10_000, 100_000
+
+
 def _docs_as_files(spark, sf) -> str:
-    """Spark writes the documents as text files, one folder (and file) per source."""
+    """Spark writes the documents as text files: a folder per source, in it the files of every task that holds some of it."""
     from ..session import scratch_path
 
     def build():
         path = scratch_path(spark, "doc-files")
-        (docs(spark, sf).select("source", "text").repartition("source")
-         .write.partitionBy("source").option("lineSep", "\n").text(path))
+        d, size = docs(spark, sf).select("source", "text"), F.coalesce(F.octet_length("text"), F.lit(0))
+
+        def write(some, most):
+            some.write.mode("append").partitionBy("source").option("maxRecordsPerFile", most).option("lineSep", "\n").text(path)
+
+        write(d.filter(size <= LONG_DOC), DOCS_PER_FILE)
+        longest = d.agg(F.max(size)).first()[0] or 0
+        if longest > LONG_DOC:
+            write(d.filter(size > LONG_DOC), max(1, DOCS_PER_FILE * LONG_DOC // longest))
         return path
     return derived_files(spark, "doc-files", sf, build)
 

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkmill.sources import readers, sinks
@@ -149,3 +150,22 @@ def test_json_line_census(spark, tmpdir_fresh):
     # '{"a":1,"b":null}', '  {"a":{"x":[1,2]}}  ' are objects; one array; "", trailing "" blank;
     # "bad", '{"a":NaN}' and the scalar "5" are rejected.
     assert (r["lines"], r["blank_lines"], r["object_lines"], r["array_lines"], r["rejected_lines"]) == (7, 1, 2, 1, 3)
+
+
+@pytest.mark.parametrize(("most", "long"), [(10_000, 100_000), (1_000, 7)])
+def test_a_source_is_many_bounded_files(spark, tmp_path, monkeypatch, most, long):
+    from sparkmill.plans import catalog
+
+    monkeypatch.setattr(catalog, "DOCS_PER_FILE", most)
+    monkeypatch.setattr(catalog, "LONG_DOC", long)
+    n = 2 * most + 5
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("hot").alias("source"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    files = readers.read_whole_text(spark, catalog._docs_as_files(spark, str(tmp_path)))
+    found = files.select(F.regexp_count("text", F.lit("\n")), F.length("text")).collect()
+    assert sum(k for k, _ in found) == n and len(found) >= 3
+    assert all(k <= most and size - k <= most * long for k, size in found)
+    chars = docs.agg(F.sum(F.length("text") + 1)).first()[0]
+    assert [tuple(r) for r in catalog.q_whole_text(spark, str(tmp_path)).collect()] == [("hot", chars)]
+    assert [tuple(r) for r in catalog.q_document_text(spark, str(tmp_path)).collect()] == [("hot", chars)]
+    assert [tuple(r) for r in catalog.q_inventory(spark, str(tmp_path)).collect()] == [("hot", chars)]
