@@ -264,35 +264,33 @@ def newest(df: DataFrame, n: int, ts: str = "created_at", id_col: str = "id") ->
 
 
 def resolve_endpoint(requests: DataFrame, endpoints: DataFrame, models: DataFrame, *,
-                     search_limit: int = 50) -> DataFrame:
+                     search_limit: int | None = None) -> DataFrame:
     """Requested model string → newest running endpoint whose model's name, id or
-    base model equals it, among the newest ``search_limit`` endpoints.
+    base model equals it.
 
     The OR becomes an equi-join: each candidate model is exploded into its
-    distinct match keys, and each key keeps only its best (newest) endpoint.
-    That table has at most ``search_limit`` × 3 rows by construction, so it is
-    broadcast and each request meets at most one row: the requests are never
-    shuffled.
+    distinct match keys, and each key keeps only its best (newest) endpoint
+    (``max_by`` combines before the shuffle), so each request meets at most one row.
+    ``search_limit`` searches the newest so many endpoints only, running or not;
+    the key table then has at most ``search_limit`` × 3 rows and is broadcast.
     """
-    top = newest(endpoints, search_limit).filter(F.col("status") == "running")
+    some = endpoints if search_limit is None else newest(endpoints, search_limit)
     m = models.select(F.col("id").alias("__mid"), "name", "base_model")
-    cand = top.select(F.col("id").alias("endpoint_id"), F.col("model_id"), F.col("created_at").alias("__ts")) \
+    cand = some.filter(F.col("status") == "running") \
+        .select(F.col("id").alias("endpoint_id"), F.col("model_id"), F.col("created_at").alias("__ts")) \
         .join(m, F.col("model_id") == F.col("__mid"))
     keys = cand.select("endpoint_id", "model_id", "__ts", F.explode(F.array_distinct(F.array(
         F.col("name").cast("string"), F.col("__mid").cast("string"), F.col("base_model").cast("string")))).alias("__key"))
-    best = Window.partitionBy("__key").orderBy(F.col("__ts").desc(), F.col("endpoint_id").desc())
-    keys = (keys.filter(F.col("__key").isNotNull()).withColumn("__rn", F.row_number().over(best))
-            .filter(F.col("__rn") == 1).select("__key", "endpoint_id", "model_id"))
-    j = requests.join(F.broadcast(keys), requests["model"] == keys["__key"], "left")
+    best = F.max_by(F.struct("endpoint_id", "model_id"), F.struct("__ts", "endpoint_id"))
+    keys = keys.filter(F.col("__key").isNotNull()).groupBy("__key").agg(best.alias("__best")).select("__key", "__best.*")
+    j = requests.join(keys if search_limit is None else F.broadcast(keys), requests["model"] == keys["__key"], "left")
     return j.select("request_id", "model", "endpoint_id", "model_id")
 
 
-def model_endpoint_lookup(endpoints: DataFrame, *, search_limit: int = 50) -> DataFrame:
-    """For each model with an endpoint among the newest ``search_limit``: the newest one."""
-    top = newest(endpoints, search_limit)
-    w = Window.partitionBy("model_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return (top.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1)
-            .select("model_id", F.col("id").alias("endpoint_id")))
+def model_endpoint_lookup(endpoints: DataFrame, *, search_limit: int | None = None) -> DataFrame:
+    """For each model with an endpoint (among the newest ``search_limit``, if given): the newest one."""
+    some = endpoints if search_limit is None else newest(endpoints, search_limit)
+    return some.groupBy("model_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("endpoint_id"))
 
 
 def verify_api_key(requests: DataFrame, api_keys: DataFrame) -> DataFrame:

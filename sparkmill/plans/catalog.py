@@ -502,6 +502,10 @@ def q_log_lines(spark, sf):
 # ================================================================ joins
 
 
+#: The reference's listing default, which the SQL of the two queries repeats; the operators have no cap of their own.
+ENDPOINTS_LISTED = 50
+
+
 @query("resolve_endpoint", D.with_(D.ENDPOINTS, D.MODELS) + """, top AS (
   SELECT * FROM endpoints_t ORDER BY created_at DESC, id DESC LIMIT 50),
 cand AS (SELECT t.id AS endpoint_id, t.model_id, t.created_at AS ts, m.name, CAST(m.id AS VARCHAR) AS mid, m.base_model
@@ -522,14 +526,14 @@ def q_resolve(spark, sf):
     req = p.select(F.col("p_partkey").alias("request_id"),
                    F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.col("p_type"))
                    .otherwise(F.col("p_partkey").cast("string")).alias("model"))
-    return registry.resolve_endpoint(req, FX.endpoints(spark, sf), FX.models(spark, sf))
+    return registry.resolve_endpoint(req, FX.endpoints(spark, sf), FX.models(spark, sf), search_limit=ENDPOINTS_LISTED)
 
 
 @query("model_endpoint_lookup", D.with_(D.ENDPOINTS) + """SELECT model_id, id AS endpoint_id FROM (
   SELECT * FROM endpoints_t ORDER BY created_at DESC, id DESC LIMIT 50)
 QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY created_at DESC, id DESC) = 1""")
 def q_model_endpoint(spark, sf):
-    return registry.model_endpoint_lookup(FX.endpoints(spark, sf))
+    return registry.model_endpoint_lookup(FX.endpoints(spark, sf), search_limit=ENDPOINTS_LISTED)
 
 
 @query("verify_api_key", D.with_(D.API_KEYS) + """, req AS (

@@ -163,3 +163,14 @@ def test_global_listing_needs_a_limit(spark):
     with pytest.raises(ValueError):
         registry.page_by_group(df, None, limit=None)
     assert registry.page_by_group(df, None, limit=1).count() == 1
+
+
+def test_endpoints_beyond_the_newest_are_found(spark):
+    models = spark.createDataFrame([(1, "one", "base"), (2, "two", "base"), (3, "three", None)], "id long, name string, base_model string")
+    eps = [(1, 1, "running", 1), (2, 2, "running", 2), (3, 2, "running", 2)] + [(k, 3, "stopped", k) for k in range(10, 80)]
+    eps = spark.createDataFrame(eps, "id long, model_id long, status string, created_at long")
+    req = spark.createDataFrame([(1, "one"), (2, "2"), (3, "base"), (4, "three"), (5, None)], "request_id long, model string")
+    got = rows(registry.resolve_endpoint(req, eps, models), "request_id", "endpoint_id", "model_id")
+    assert got == [(1, 1, 1), (2, 3, 2), (3, 3, 2), (4, None, None), (5, None, None)]
+    assert rows(registry.model_endpoint_lookup(eps), "model_id", "endpoint_id") == [(1, 1), (2, 3), (3, 79)]
+    assert rows(registry.model_endpoint_lookup(eps, search_limit=50), "model_id", "endpoint_id") == [(3, 79)]
