@@ -35,15 +35,17 @@ def ship(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, n: str, spread: Column) -> DataFrame:
+def join_by_key(left: DataFrame, right: DataFrame, key: str, n: str, spread: Column, total: int | None = None) -> DataFrame:
     """Left join of ``left`` with ``right`` (one row per non-null ``key``, staged), hot keys salted.
 
     ``n`` is the column of ``right`` counting the rows of ``left`` with that key; it is
     dropped.  Keys holding 1/HOT_KEYS of the rows or more (so HOT_KEYS of them at
     most) are broadcast as a list; their rows are dealt into SALTS pieces by
-    ``spread`` and the one row of ``right`` is repeated for each piece.
+    ``spread`` and the one row of ``right`` is repeated for each piece.  A caller that
+    knows how many rows there are, or a bound of it, passes ``total``.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(n)).first()[0] or 0
     least = max(1000, total // HOT_KEYS + 1)
     hot = right.filter(F.col(n) >= least).select(F.col(key), F.lit(True).alias("_hot"))
     dealt = left.join(F.broadcast(hot), key, "left").withColumn(
@@ -59,29 +61,30 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternating large-star and small-star passes.  Each pass only keeps, for a
     node, links to the smallest neighbour, computed with map-side-combinable
-    minima, so a node with very many links is never gathered anywhere.  Every
-    pass is staged; the loop ends when a pass changes nothing.  Nulls are not
-    expected; no edges give no rows.
+    minima and joined back in salted pieces where a node has very many links, so
+    these are never gathered anywhere.  Every pass is staged; the loop ends when a
+    pass changes nothing.  Nulls are not expected; no edges give no rows.
     """
     e = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct()
     e = stage(e, "cc")
-    signature = None
+    signature, total = None, e.count()
     for _ in range(max_rounds):
         # large star: every neighbour larger than the node links to the node's smallest neighbour
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.filter("v > u").join(m, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        m = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).filter("n > 0")
+        larger = join_by_key(both.filter("v > u"), m.select("u", F.least("u", "m").alias("m"), "n"), "u", "n", F.col("v"), total)
+        e = stage(larger.select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "cc")
         # small star: smaller neighbours and the node itself link to the smallest of them
-        m = e.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = e.join(m, "hi")
+        m = e.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_by_key(e, m, "hi", "n", F.col("lo"), total)  # no more edges than before
         e = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).filter("lo < hi").unionByName(
             m.select(F.col("m").alias("lo"), "hi")).distinct()
         e = stage(e, "cc")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if signature == now:
             break
-        signature = now
+        signature, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(

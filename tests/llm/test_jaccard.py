@@ -160,3 +160,20 @@ def test_a_shared_id_that_is_not_the_smallest(spark):
     rows = [(3, a), (7, a), (7, b), (5, b), (9, b), (9, c), (8, c), (2, "x y z w v u"), (None, c), (7, None)]
     got = sorted((tuple(r) for r in J.near_duplicates(frame(spark, rows)).collect()), key=str)
     assert got == sorted([(3, 3, 3), (7, 3, 3), (7, 3, 3), (5, 3, 3), (9, 3, 3), (9, 3, 3), (8, 3, 3), (2, 3, 2), (None, 3, None), (7, 0, 3)], key=str)
+
+
+def test_components_of_a_hub_are_joined_in_pieces(spark, monkeypatch):
+    from sparkmill.llm import common
+
+    pieces, join = [], common.join_by_key
+
+    def spy(left, right, key, n, spread, total=None):
+        pieces.append(right.agg({n: "max"}).first()[0])
+        return join(left, right, key, n, spread, total)
+
+    monkeypatch.setattr(common, "join_by_key", spy)
+    star, tail = [(1, k) for k in range(2, 3002)], [(3001, 4000), (4000, 5000), (7000, 6000)]
+    edges = spark.createDataFrame(star + tail, "a bigint, b bigint")
+    got = {tuple(r) for r in common.components(edges).collect()}
+    assert got == {(k, 1) for k in [*range(1, 3002), 4000, 5000]} | {(6000, 6000), (7000, 6000)}
+    assert max(pieces) >= 3000  # the hub's links went through the salted join
