@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from sparkmill.llm import curves, jaccard, mixing, pfp, pivots, quality, secrets, sentencepiece_viterbi, sharding, warc_zip
+from sparkmill.llm import alignment, curves, jaccard, mixing, pfp, pivots, quality, secrets, sentencepiece_viterbi, sharding, warc_zip
 from sparkmill.llm.common import table
 
+#: Folder of the public vocabulary files at hand; operators take the files as arguments.
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES = {
     "op1_fourier_quality": lambda s, d: quality.score_documents(table(s, d, "documents"), table(s, d, "labels")),
     "op2_zip_warc": lambda s, d: warc_zip.roundtrip_digest(table(s, d, "pages")),
@@ -16,6 +19,8 @@ QUERIES = {
     "op8_secret_ledger": lambda s, d: secrets.secret_digest(table(s, d, "documents")),
     "op9_sainte_lague_mix": lambda s, d: mixing.mix_documents(table(s, d, "documents")),
     "op10_pivot_table": lambda s, d: pivots.top_products(table(s, d, "embeddings")),
+    "op11_spill_alignment": lambda s, d: alignment.align_documents(
+        table(s, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"),
 }
 
 ORACLE: dict[str, str] = {"op2_zip_warc": warc_zip.SQL, "op10_pivot_table": pivots.SQL}
