@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkmill.llm import alignment, curves, density, jaccard, mixing, pfp, pivots, quality, secrets, sentencepiece_viterbi, sharding, warc_zip
+from sparkmill.llm import alignment, collocations, curves, density, jaccard, mixing, pfp, pivots, quality, secrets, sentencepiece_viterbi, sharding, warc_zip
 from sparkmill.llm.common import table
 
 #: Folder of the public vocabulary files at hand; operators take the files as arguments.
@@ -22,6 +22,7 @@ QUERIES = {
     "op11_spill_alignment": lambda s, d: alignment.align_documents(
         table(s, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"),
     "op12_text_density": lambda s, d: density.extract(table(s, d, "pages")),
+    "op13_parsed_collocations": lambda s, d: collocations.collocations(table(s, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {"op2_zip_warc": warc_zip.SQL, "op10_pivot_table": pivots.SQL}
