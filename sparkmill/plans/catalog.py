@@ -723,6 +723,26 @@ def q_rl_window(spark, sf):
     return limits.rate_limit_window(r, window_us=W1_US, max_requests=W1_MAX).select("event_id", "prior_count", "allowed")
 
 
+# Times cut to hours, so that a client has several requests at an instant; few clients, so that windows are full.
+_TIED_CTE = f"""t AS (
+  SELECT event_id, client % 4 AS client, us - us % 3600000000 AS us FROM requests_t),
+members AS (SELECT DISTINCT client, us FROM t),
+seen AS (
+  SELECT client, us, count(*) OVER w - 1 AS before, min(us) OVER w AS oldest FROM members
+  WINDOW w AS (PARTITION BY client ORDER BY us RANGE BETWEEN {W1_US - 1} PRECEDING AND CURRENT ROW)),
+judged AS (
+  SELECT event_id, us, oldest, before + least(row_number() OVER (PARTITION BY client, us ORDER BY event_id) - 1, 1) AS prior_count
+  FROM t JOIN seen USING (client, us))
+"""
+
+
+@query("rate_limit_ties", D.with_(D.REQUESTS, _TIED_CTE) + f"""SELECT event_id, CAST(prior_count AS BIGINT) AS prior_count, prior_count < 5 AS allowed,
+  CASE WHEN prior_count >= 5 THEN greatest(CAST(floor(({W1_US} - (us - oldest)) / 1000000) AS BIGINT), 1) END AS retry_after FROM judged""")
+def q_rl_ties(spark, sf):
+    r = FX.requests(spark, sf).select("event_id", (F.col("client") % 4).alias("client"), (F.col("us") - F.col("us") % 3_600_000_000).alias("us"))
+    return limits.rate_limit_window(r, window_us=W1_US, max_requests=5).select("event_id", "prior_count", "allowed", "retry_after")
+
+
 @query("rate_limit_two_tier", _RL_SQL + "SELECT event_id, verdict FROM v")
 def q_rl_two_tier(spark, sf):
     return _two_tier(spark, sf).select("event_id", "verdict")
@@ -914,7 +934,10 @@ def q_rl_stream(spark, sf):
     r = FX.requests(spark, sf).select("event_id", "client", "us")
     schema = StructType([StructField("event_id", LongType()), StructField("client", LongType()),
                          StructField("us", LongType())])
-    path = write_stream_files(r, "requests", batches=5, order_col="us", in_order=True)
+    # Requests arrive up to eight minutes late, each by its own delay.
+    late = F.col("us") + F.pmod(F.xxhash64("event_id"), F.lit(480)) * 1_000_000
+    arrived = stream_limiter.with_heartbeat(r).withColumn("arrived", F.when(F.col("event_id").isNull(), F.col("us")).otherwise(late))
+    path = write_stream_files(arrived, "requests", batches=5, order_col="arrived", in_order=True)
     s = stream_limiter.rate_limit_stream(read_stream(spark, path, schema), minute_us=W1_US, per_minute=W1_MAX,
                                          hour_us=W2_US, per_hour=W2_MAX)
     return run_append(s, "rate-limit-out", conf=stream_limiter.QUERY_CONF).select("event_id", "verdict", "retry_after")

@@ -1,13 +1,18 @@
-"""Online two-tier sliding-window limiter: keyed state per client.
-
-``applyInPandasWithState`` keeps, per client, the timestamps still inside each
-window (the minute set holds every request, the hour set only those that
-passed the minute check).  Entries older than the window are dropped on every
-call, so a client's state is bounded by its requests per window, not by its
-history, and an event-time timer removes it once the client has been quiet
-for a whole window.  Requests are processed in timestamp order within a micro-batch;
-requests must arrive in time order across micro-batches (a late request would
-change verdicts already emitted).
+"""Online two-tier sliding-window limiter: sorted keyed state per client.
+
+A request that arrives late changes the counts of the requests after it, so a
+verdict is only final when the watermark has passed its request.  Each client keeps
+
+* *pending*: a list state of requests not yet judged, appended to as they arrive;
+* *members*: the sorted times still inside each window (the minute set holds
+  every request's time, the hour set those of requests that passed the minute check).
+
+An event-time timer stands at the earliest pending request.  When it fires, every
+pending request up to the watermark is judged in the order (time, id), at its own
+time, whenever it arrived; the verdicts equal those of the batch limiter for all
+requests that arrive no later than ``lateness`` after a newer one.  Members older than
+a window behind the watermark go, and a last timer removes the state of a quiet
+client: state holds a window and ``lateness`` of requests, not the history.
 """
 
 from __future__ import annotations
@@ -18,64 +23,103 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.limits import HOUR_US, INFERENCE_LIMITS, MINUTE_US
 
 OUTPUT_SCHEMA = "event_id long, client long, us long, verdict string, retry_after long"
-STATE_SCHEMA = "minute array<long>, hour array<long>"
+PENDING_SCHEMA = "us array<long>, id array<long>"
+MEMBERS_SCHEMA = "minute array<long>, hour array<long>"
 
 
-def _window_counts(state: np.ndarray, us: np.ndarray, window_us: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of earlier entries in ``(t - w, t)`` and the oldest entry in ``(t - w, t]``.
+def judge_tier(members: np.ndarray, us: np.ndarray, window_us: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(times recorded before each request in ``(t - w, t]``, the oldest there with its own, all members).
 
-    ``state`` holds earlier requests (all before the batch: in-order arrival),
-    ``us`` the batch's requests, sorted.  Returns (prior counts, oldest, merged).
+    ``members`` are sorted distinct times before every request, ``us`` the sorted times
+    of the requests; equal ones are one member, seen by all but the first of them.
     """
-    merged = np.concatenate([state, us])
-    pos = len(state) + np.arange(len(us))
-    first = np.searchsorted(merged, us - window_us, side="right")
-    return pos - first, merged[first], merged
+    times = np.union1d(members, us)
+    repeated = np.zeros(len(us), bool)
+    repeated[1:] = us[1:] == us[:-1]
+    first = np.searchsorted(times, us - window_us, side="right")
+    return np.searchsorted(times, us) - first + repeated, times[first], times
 
 
 def _retry(window_us: int, now: np.ndarray, oldest: np.ndarray) -> np.ndarray:
     return np.maximum((window_us - (now - oldest)) // 1_000_000, 1)
 
 
-def make_limiter(minute_us: int, per_minute: int, hour_us: int, per_hour: int):
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            # Quiet for a whole hour window: nothing in the state can count again.
-            state.remove()
+class Limiter(StatefulProcessor):
+    def __init__(self, minute_us: int, per_minute: int, hour_us: int, per_hour: int):
+        self.minute_us, self.per_minute, self.hour_us, self.per_hour = minute_us, per_minute, hour_us, per_hour
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", PENDING_SCHEMA)
+        self.members = handle.getValueState("members", MEMBERS_SCHEMA)
+
+    def _timer(self, us: int) -> None:
+        """The only timer of the client stands at ``us`` from now on, rounded up to milliseconds."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(int(-(-us // 1000)))
+
+    def _pending(self) -> tuple[np.ndarray, np.ndarray]:
+        parts = list(self.pending.get()) if self.pending.exists() else []
+        us, ids = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
+        order = np.lexsort((ids, us))
+        return us[order], ids[order]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        new = new[~new["beat"]]
+        if not len(new):
             return
-        if state.exists:
-            s_min, s_hour = (np.asarray(x, dtype=np.int64) for x in state.get)
+        us, ids = new["us"].to_numpy(np.int64), new["event_id"].to_numpy(np.int64)
+        waiting = [int(t) * 1000 for t in self.handle.listTimers()] if self.pending.exists() else []
+        self.pending.appendValue((us.tolist(), ids.tolist()))
+        if not waiting or us.min() < min(waiting):
+            self._timer(int(us.min()))
+        return
+        yield  # verdicts come from the timer
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        final = timerValues.getCurrentWatermarkInMs() * 1000
+        us, ids = self._pending()
+        n = int(np.searchsorted(us, final, side="right"))
+        minute, hour = (np.asarray(x, np.int64) for x in self.members.get()) if self.members.exists() else (np.empty(0, np.int64),) * 2
+        out, now = self._judge(int(key[0]) if key[1] else None, us[:n], ids[:n], minute, hour)
+        minute, hour = (x[x > final - w] for x, w in zip(now, (self.minute_us, self.hour_us), strict=True))
+        if n:
+            self.pending.clear()
+            if n < len(us):
+                self.pending.put([(us[n:].tolist(), ids[n:].tolist())])
+        if len(minute) or len(hour):
+            self.members.update((minute.tolist(), hour.tolist()))
         else:
-            s_min = s_hour = np.empty(0, dtype=np.int64)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
-        us = pdf["us"].to_numpy(dtype=np.int64)
-        # Minute tier: every request is recorded, so counts need no verdicts.
-        prior_m, oldest_m, all_min = _window_counts(s_min, us, minute_us)
-        passed = prior_m < per_minute
-        # Hour tier: only requests that passed the minute check are recorded.
-        prior_h, oldest_h, all_hour = _window_counts(s_hour, us[passed], hour_us)
+            self.members.clear()
+        if n < len(us):
+            self._timer(int(us[n]))
+        elif len(minute) or len(hour):
+            self._timer(max(int(x[-1]) + w for x, w in ((minute, self.minute_us), (hour, self.hour_us)) if len(x)))
+        yield out
+
+    def _judge(self, client: int | None, us: np.ndarray, ids: np.ndarray, minute: np.ndarray, hour: np.ndarray):
+        prior_m, oldest_m, all_minute = judge_tier(minute, us, self.minute_us)
+        passed = prior_m < self.per_minute
+        prior_h, oldest_h, all_hour = judge_tier(hour, us[passed], self.hour_us)
         verdict = np.where(passed, "ok", "minute").astype(object)
-        retry = np.where(passed, -1, _retry(minute_us, us, oldest_m))
-        hour_reject = prior_h >= per_hour
-        idx = np.flatnonzero(passed)
-        verdict[idx[hour_reject]] = "hour"
-        retry[idx] = np.where(hour_reject, _retry(hour_us, us[passed], oldest_h), -1)
-        last = us[-1] if len(us) else 0
-        state.update((all_min[all_min > last - minute_us].tolist(), all_hour[all_hour > last - hour_us].tolist()))
-        # Event-time timer (ms): drop the state once the watermark passes the
-        # end of the longest window after this client's last request.
-        state.setTimeoutTimestamp(int((last + max(minute_us, hour_us)) // 1000) + 1)
-        out = pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "client": pdf["client"].to_numpy(), "us": us,
-                            "verdict": verdict, "retry_after": pd.array(np.where(retry < 0, 0, retry), dtype="Int64")})
+        retry = np.where(passed, -1, _retry(self.minute_us, us, oldest_m))
+        at, rejected = np.flatnonzero(passed), prior_h >= self.per_hour
+        verdict[at[rejected]] = "hour"
+        retry[at] = np.where(rejected, _retry(self.hour_us, us[passed], oldest_h), -1)
+        out = pd.DataFrame({"event_id": ids, "client": pd.array([client] * len(us), dtype="Int64"), "us": us, "verdict": verdict,
+                            "retry_after": pd.array(np.where(retry < 0, 0, retry), dtype="Int64")})
         out.loc[retry < 0, "retry_after"] = pd.NA
-        yield out
+        return out, (all_minute, all_hour)
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def rate_limit_stream(requests: DataFrame, *, minute_us: int = MINUTE_US, per_minute: int = INFERENCE_LIMITS[0],
@@ -83,23 +127,31 @@ def rate_limit_stream(requests: DataFrame, *, minute_us: int = MINUTE_US, per_mi
                       lateness: str = "10 minutes") -> DataFrame:
     """Streaming ``(event_id, client, us)`` → verdict per request, append mode.
 
-    A watermark on the request time (``lateness`` behind the newest request)
-    drives event-time timers, so a client's state is removed one window after
-    its last request: state is bounded by the clients active within a window.
-    Requests are stamped on arrival, so they come in time order up to jitter;
-    one arriving more than ``lateness`` behind the newest request is dropped
-    by the watermark (it could not be judged after later verdicts were
-    emitted).  The batch limiter has no such limit.
+    Requests may arrive in any order up to ``lateness`` behind the newest one; later
+    ones are dropped by the watermark, since verdicts after them are out.  A verdict
+    follows when the watermark passes its request.  A row without event_id is a
+    heartbeat: it carries the watermark on and has no verdict, so a source that falls
+    silent sends one to have its last requests judged.
     """
     from ..session import ship_package
     ship_package(requests.sparkSession)
-    timed = (requests.select("event_id", "client", "us")
+    # A heartbeat is marked, not filtered: a filter would move below the watermark it is to carry on.
+    # No column of the processor's rows is null (whole columns would become floating point); ``known`` tells a null client.
+    timed = (requests.filter("us is not null")
+             .select(F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.col("event_id").isNull().alias("beat"),
+                     F.coalesce("client", F.lit(0)).alias("client"), F.col("client").isNotNull().alias("known"), "us")
              .withColumn("__ts", F.timestamp_micros("us")).withWatermark("__ts", lateness))
-    return (timed.groupBy("client")
-            .applyInPandasWithState(make_limiter(minute_us, per_minute, hour_us, per_hour), OUTPUT_SCHEMA,
-                                    STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+    return (timed.groupBy("client", "known")
+            .transformWithStateInPandas(Limiter(minute_us, per_minute, hour_us, per_hour), OUTPUT_SCHEMA, "append", "eventTime"))
+
+
+def with_heartbeat(requests: DataFrame, *, lateness_us: int = 600 * 1_000_000) -> DataFrame:
+    """``requests`` and one heartbeat behind the newest of them, for a finite input whose last requests are to be judged."""
+    after = requests.agg(F.max("us").alias("us")).filter("us is not null").select(
+        F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("client"), (F.col("us") + lateness_us + 2_000_000).alias("us"))
+    return requests.select("event_id", "client", "us").unionByName(after)
 
 
-# Timers also fire in every data micro-batch; an extra batch without data just
-# to fire them earlier is not needed for bounded state.
-QUERY_CONF = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+# The state store that keeps lists and timers apart; a last batch without data fires the timers of the last requests.
+QUERY_CONF = {"spark.sql.streaming.noDataMicroBatches.enabled": "true",
+              "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}

@@ -12,15 +12,28 @@ from sparkmill.streaming.runner import read_stream, run_append, write_stream_fil
 from .conftest import SF001, SF01, rows
 
 
-def test_limiter_stream_equals_batch(spark):
-    req = FX.requests(spark, SF01).select("event_id", "client", "us")
+def test_limiter_stream_with_late_requests_equals_batch(spark):
+    req = FX.requests(spark, SF01).select("event_id", F.nullif(F.col("client") % 30, F.lit(7)).alias("client"), (F.col("us") - F.col("us") % 600_000_000).alias("us"))
     w1, w2 = 6 * 3600 * 1_000_000, 48 * 3600 * 1_000_000
     batch = limits.rate_limit_two_tier(req, minute_us=w1, per_minute=2, hour_us=w2, per_hour=4)
     schema = StructType([StructField(c, LongType()) for c in ("event_id", "client", "us")])
-    path = write_stream_files(req, "t-req", batches=7, order_col="us", in_order=True, files_per_batch=3)
-    s = limiter.rate_limit_stream(read_stream(spark, path, schema, files_per_trigger=3), minute_us=w1, per_minute=2, hour_us=w2, per_hour=4)
-    got = run_append(s, "t-limiter")
-    assert rows(got, "event_id", "verdict", "retry_after") == rows(batch, "event_id", "verdict", "retry_after")
+    late = limiter.with_heartbeat(req, lateness_us=3 * 3600 * 1_000_000).withColumn(
+        "arrived", F.when(F.col("event_id").isNull(), F.col("us")).otherwise(F.col("us") + F.pmod(F.xxhash64("event_id"), F.lit(7200)) * 1_000_000))
+    path = write_stream_files(late, "t-req", batches=7, order_col="arrived", in_order=True, files_per_batch=3)
+    s = limiter.rate_limit_stream(read_stream(spark, path, schema, files_per_trigger=3), minute_us=w1, per_minute=2, hour_us=w2, per_hour=4, lateness="3 hours")
+    got = run_append(s, "t-limiter", conf=limiter.QUERY_CONF)
+    assert rows(got, "event_id", "client", "verdict", "retry_after") == rows(batch, "event_id", "client", "verdict", "retry_after")
+
+
+def test_stream_files_keep_their_order(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    path = write_stream_files(df, "t-order", batches=4, order_col="k", in_order=True, files_per_batch=2)
+    stream = read_stream(spark, path, "k long", files_per_trigger=2)
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda d, _: seen.append(d.agg(F.min("k"), F.max("k"), F.count("k")).first())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) == 4 and sum(x[2] for x in seen) == 1000
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1:], strict=False))
 
 
 def test_metric_sink_keeps_log_messages_only(spark):
