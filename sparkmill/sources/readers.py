@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.fmt import py_type_name
 from ..functions.text import normalize_newlines, py_strip, split_lines
+from .csv_ranges import csv_records
 
 # ---------------------------------------------------------------- ordinals
 
@@ -139,31 +139,33 @@ def first_record_schema(records: DataFrame, order_col: str = "ord", record_col:
 # ---------------------------------------------------------------- CSV / text
 
 
-def _csv_reader(spark: SparkSession):
+def _csv_header(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Column names of the first file: reads its header only."""
     return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("inferSchema", False).option("mode", "PERMISSIVE"))
+            .option("inferSchema", False).csv(path).columns)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], *, flag_extra_cells: bool = False) -> DataFrame:
-    """Header CSV, every value a string, quoted newlines and doubled quotes.
+def read_csv(spark: SparkSession, path: str | list[str], *, flag_extra_cells: bool = False, keep_extra: bool = False) -> DataFrame:
+    """Header CSV, every value a string, quoted newlines and doubled quotes; a file is read by as many tasks as it has ranges.
 
     Empty and missing cells both come back as ``''`` (the reference gives
-    ``''`` and ``None``: documented divergence); cells beyond the header are
-    left out.  ``flag_extra_cells`` adds ``_extra_cells`` (the row had cells
-    beyond the header), from Spark's malformed-record column in the same scan.
+    ``''`` and ``None``: documented divergence).  ``keep_extra`` adds ``_extra``, the
+    cells beyond the header (null where there are none), ``flag_extra_cells`` adds whether
+    there are any.  Records that are no CSV (a carriage return in an unquoted cell) are
+    left out here; ``read_csv_rejects`` has them.
     """
-    cols = _csv_reader(spark).csv(path).columns  # header only: reads the first line
-    if not flag_extra_cells:
-        df = _csv_reader(spark).csv(path)
-        return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cols],
-                         file_ordinal().alias("ord"))
-    schema = StructType([StructField(c, StringType()) for c in cols] + [StructField("_malformed", StringType())])
-    df = _csv_reader(spark).schema(schema).option("columnNameOfCorruptRecord", "_malformed").csv(path)
-    # A row with the wrong number of cells is "malformed"; with its last header
-    # cell present it had more cells than the header, not fewer.
-    extra = F.col("_malformed").isNotNull() & F.col(f"`{cols[-1]}`").isNotNull()
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cols],
-                     file_ordinal().alias("ord"), extra.alias("_extra_cells"))
+    cols = _csv_header(spark, path)
+    recs = csv_records(read_lines(spark, path)).filter("not bad and (block > 0 or pos > 0)")
+    cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(cols)]
+    more = F.size("cells") > len(cols)
+    extra = [F.when(more, F.slice("cells", len(cols) + 1, F.size("cells"))).alias("_extra")] if keep_extra else []
+    flag = [more.alias("_extra_cells")] if flag_extra_cells else []
+    return recs.select(*cells, F.struct("file", "block", "pos").alias("ord"), *extra, *flag)
+
+
+def read_csv_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(ord, text)`` of the records that are no CSV."""
+    return csv_records(read_lines(spark, path)).filter("bad").select(F.struct("file", "block", "pos").alias("ord"), "text")
 
 
 def text_lines(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
 """Readers and writers on files each test writes into its own fresh folder."""
 
+import csv
+import io
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +59,60 @@ def test_read_csv_quotes_newlines_and_blank_rows(spark, tmpdir_fresh):
     assert got == [("1", ""), ("4", ""), ('x, "y"\nz', "2")]
 
 
+CSV_BITS = ['a', '"', '""', ',', '\n', '"x\ny"', ',"', '",', 'b c', '\r\n', '\n"', '"\n', "'"]
+
+
+def csv_rows(text):
+    out = []
+    for cells in csv.reader(io.StringIO(text, newline="")):
+        if cells:
+            out.append(cells)
+    return out
+
+
+@pytest.mark.parametrize("split", [7, 40, 100_000])
+def test_csv_ranges_cut_anywhere_equal_the_library(spark, tmpdir_fresh, split):
+    # Byte ranges of 7 bytes: records begin, go on and end in different ranges, some ranges hold no record's end.
+    r = random.Random(split)
+    texts = ["h1,h2\n" + "".join(r.choice(CSV_BITS) for _ in range(r.randrange(0, 80))).replace("\r", "" if k % 2 else "\r") for k in range(40)]
+    texts += ['h1,h2\n"' + "long\n" * 200 + 'end",x\n1,2\n', 'h1,h2\n"never closed\n1,2\n', 'h1,h2', 'h1,h2\n5" pipe,6"\n"a"b"c,"d\ne"f\n']
+    want = []
+    for k, text in enumerate(texts):
+        try:
+            rows_ = csv_rows(text.removesuffix("\n"))  # the break that ends a file is no text, even inside an open quote
+        except csv.Error:
+            continue
+        write(tmpdir_fresh, f"{k:03}.csv", text)
+        want += [(f"{k:03}.csv", [*x[:2], *[""] * (2 - len(x))], x[2:] or None) for x in rows_[1:]]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        df = readers.read_csv(spark, tmpdir_fresh, keep_extra=True)
+        got = [(x["ord"]["file"].rsplit("/", 1)[1], [x["h1"], x["h2"]], x["_extra"]) for x in df.orderBy("ord").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want
+
+
+def test_csv_rejects_and_tasks(spark, tmpdir_fresh):
+    p = write(tmpdir_fresh, "d.csv", 'a,b\nx\ry,1\n2,3\n')
+    assert rows(readers.read_csv(spark, p), "a", "b") == [("2", "3")]
+    assert rows(readers.read_csv_rejects(spark, p), "text") == [("x\ry,1",)]
+    empty = write(tmpdir_fresh, "e.csv", "a,b\n")
+    assert readers.read_csv(spark, empty).count() == 0
+    big = write(tmpdir_fresh, "big.csv", "a,b\n" + '"1\n2",3\n' * 200_000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+        df = readers.read_csv(spark, big)
+        assert df.filter("a = '1\n2' and b = '3'").count() == 200_000 == df.count()
+        assert readers.read_lines(spark, big).rdd.getNumPartitions() > 4  # one file, many tasks
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_csv_round_trip_keeps_whitespace(spark, tmpdir_fresh):
     df = spark.createDataFrame([(1, '  padded "q" , x\nline2  ')], "id long, text string")
     out = os.path.join(tmpdir_fresh, "out")
