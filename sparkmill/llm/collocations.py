@@ -8,14 +8,12 @@ language are one entry of the dictionary, with its number of occurrences as weig
 
 Count.  Phrases are counted inside the distinct chunks only, with the chunk's weight;
 a phrase that begins among the overlapping words belongs to the next chunk, so each is
-counted once.  Lengths are counted one after the other: a phrase can only reach the
-least count if both phrases one word shorter do.  Those that did are kept as hashed
-bits in a filter of FILTER_BITS (a fixed size; too many entries only make it less
-selective, every count stays exact), and longer phrases that the filter refuses are
-never shuffled.
-
-Words that are counted, scored and compared are UTF-8 strings; hashes only ever
-refuse phrases that cannot reach the least count.
+counted once.  Lengths are counted one after the other, each twice: first by 64-bit
+hash, eight bytes a phrase, then as strings, for the hashes that reach the least count
+only.  A phrase can only reach it if both phrases one word shorter do; others are
+not even hashed out.  What reached it is kept as bits of a filter of FILTER_BITS, a fixed
+size: shared bits and equal hashes only let phrases through that the count of
+strings then refuses, so every count is exact.
 """
 
 from __future__ import annotations
@@ -34,7 +32,7 @@ from sparkmill.llm.common import ship, stage
 #: One word in TRIGGER begins a chunk; a chunk has MAX_OWN words of its own at most.
 TRIGGER, MAX_OWN = 16, 64
 #: Bits of the filter, a power of two; bytes of text or chunks that a task parses together.
-FILTER_BITS, PARSE_BYTES = 1 << 27, 24_000_000
+FILTER_BITS, PARSE_BYTES = 1 << 27, 6_000_000
 #: Pieces a language is dealt into before its phrases are ranked.
 RANK_PIECES = 64
 #: Classes of bytes: 0 word, 1 blank, 2 end of a piece; and A-Z in lower case.
@@ -166,68 +164,77 @@ def _mix(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _seed(langs: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in langs), np.uint64, len(langs))
+class Phrases:
+    """The phrases of ``length`` words that begin among the own words of chunks: first word, language and hash of each."""
 
+    def __init__(self, langs: pa.Array, chunks: pa.Array, own: np.ndarray, length: int):
+        self.words, coded = Words(chunks, lower=False), langs.dictionary_encode()
+        self.langs, self.lang_of, self.length = coded.dictionary, coded.indices.to_numpy().astype(np.int64), length
+        size = np.bincount(self.words.row, minlength=len(own))
+        place = np.arange(len(self.words.ids)) - np.repeat(np.cumsum(size) - size, size)
+        self.at = np.flatnonzero((place < own[self.words.row]) & (place + length <= size[self.words.row]))
+        self.hashes = self.words.hashes()
+        self.seed = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in self.langs.to_pylist()), np.uint64, len(self.langs))
 
-def phrase_filter(counts: DataFrame) -> bytes:
-    """FILTER_BITS bits, one set for the hash of each phrase of ``counts`` (lang, phrase): of fixed size, whatever the rows."""
-    bits = FILTER_BITS
+    def hash(self, shift: int, size: int) -> np.ndarray:
+        """Of each phrase, the hash of its language and of ``size`` words from its ``shift``-th on."""
+        value = self.seed[self.lang_of[self.words.row[self.at]]]
+        for k in range(size):
+            value = _mix(value, self.hashes[self.words.ids[self.at + shift + k]])
+        return value
+
+    def keep(self, known: np.ndarray, shift: int, size: int) -> None:
+        """Only phrases with the bit of these words set stay."""
+        bit = (self.hash(shift, size) & np.uint64(32 * len(known) - 1)).astype(np.int64)
+        self.at = self.at[(known[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1]
+
+
+def hash_counts(dictionary: DataFrame, length: int, shorter: bytes | None) -> DataFrame:
+    """(h, f) of the phrases of ``length`` words whose parts one word shorter pass ``shorter``, by hash."""
+    sent = None if shorter is None else dictionary.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches):
-        for b in batches:
-            words, langs = Words(b.column(1), lower=False), b.column(0).dictionary_encode()
-            h = words.hashes()[words.ids]
-            first = np.flatnonzero(np.diff(words.row, prepend=-1) > 0)
-            size = np.diff(np.append(first, len(words.row)))
-            value = _seed(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
-            for k in range(int(size.max()) if len(size) else 0):
-                more = size > k
-                value[more] = _mix(value[more], h[first[more] + k])
-            at = (value & np.uint64(bits - 1)).astype(np.int64)
-            yield pa.record_batch([pa.array(at >> 5), pa.array(np.left_shift(1, at & 31))], ["place", "bit"])
-
-    rows = counts.select("lang", "phrase").mapInArrow(run, "place bigint, bit bigint").groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 32, np.uint32)
+        for langs, chunks, own, n in _together(batches, 1, PARSE_BYTES):
+            found = Phrases(langs, chunks, own.to_numpy().astype(np.int64), length)
+            for shift in (0, 1) if sent is not None else ():
+                found.keep(np.frombuffer(sent.value, np.uint32), shift, length - 1)
+            value, back = np.unique(found.hash(0, length), return_inverse=True)
+            total = np.zeros(len(value), np.int64)
+            np.add.at(total, back, n.to_numpy()[found.words.row[found.at]])
+            yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(total)], ["h", "f"])
+
+    return dictionary.select("lang", "chunk", "own", "n").mapInArrow(run, "h bigint, f bigint").groupBy("h").agg(F.sum("f").alias("f"))
+
+
+def hash_filter(hashes: DataFrame) -> bytes:
+    """FILTER_BITS bits, one set for each ``h``: of fixed size, whatever the rows."""
+    bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    one = F.expr(f"shiftleft(1L, cast((h & {FILTER_BITS - 1}L) & 31 as int))")
+    rows = hashes.select(F.shiftright(bit, 5).alias("place"), one.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
     out[rows["place"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return out.tobytes()
 
 
-def count_phrases(dictionary: DataFrame, length: int, least: int, shorter: bytes | None) -> DataFrame:
-    """(lang, phrase, f) of the phrases of ``length`` words with f >= least, counted in the distinct chunks by weight."""
-    sent, bits = None if shorter is None else dictionary.sparkSession.sparkContext.broadcast(shorter), FILTER_BITS
-
-    def count(langs: pa.Array, chunks: pa.Array, own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        words, langs = Words(chunks, lower=False), langs.dictionary_encode()
-        lang_of = langs.indices.to_numpy().astype(np.int64)
-        size = np.bincount(words.row, minlength=len(own))
-        place = np.arange(len(words.ids)) - np.repeat(np.cumsum(size) - size, size)
-        at = np.flatnonzero((place < own[words.row]) & (place + length <= size[words.row]))
-        code, value = lang_of[words.row[at]], None
-        if sent is not None:  # both phrases one word shorter, if the filter knows them
-            h, known = words.hashes(), np.frombuffer(sent.value, np.uint32)
-            seed, keep = _seed(langs.dictionary.to_pylist()), np.ones(len(at), bool)
-            for shift in (0, 1):
-                value = seed[lang_of[words.row[at]]]
-                for k in range(length - 1):
-                    value = _mix(value, h[words.ids[at + shift + k]])
-                bit = (value & np.uint64(bits - 1)).astype(np.int64)
-                keep &= (known[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1
-            at, code = at[keep], code[keep]
-        first = np.arange(len(at))
-        back = first
-        for k in range(length):
-            code, first, back = np.unique(code * len(words.distinct) + words.ids[at + k], return_index=True, return_inverse=True)
-            code = back
-        total = np.zeros(len(first), np.int64)
-        np.add.at(total, back, n[words.row[at]])
-        begin = at[first]
-        phrase = join_words(words.distinct, words.ids[_positions(begin, np.full(len(begin), length))], np.arange(1, len(begin) + 1) * length)
-        return pa.record_batch([langs.dictionary.take(pa.array(lang_of[words.row[begin]])).cast(pa.string()), phrase.cast(pa.binary()), pa.array(total)], ["lang", "phrase", "f"])
+def count_phrases(dictionary: DataFrame, length: int, possible: bytes | None) -> DataFrame:
+    """(lang, phrase, f, words) of the phrases of ``length`` words that pass ``possible``, counted as strings in the distinct chunks by weight."""
+    sent = None if possible is None else dictionary.sparkSession.sparkContext.broadcast(possible)
 
     def run(batches):
         for langs, chunks, own, n in _together(batches, 1, PARSE_BYTES):
-            yield count(langs, chunks, own.to_numpy().astype(np.int64), n.to_numpy())
+            found = Phrases(langs, chunks, own.to_numpy().astype(np.int64), length)
+            if sent is not None:
+                found.keep(np.frombuffer(sent.value, np.uint32), 0, length)
+            words, at = found.words, found.at
+            code, first = found.lang_of[words.row[at]], np.arange(len(at))
+            for k in range(length):
+                _, first, code = np.unique(code * len(words.distinct) + words.ids[at + k], return_index=True, return_inverse=True)
+            total = np.zeros(len(first), np.int64)
+            np.add.at(total, code, n.to_numpy()[words.row[at]])
+            begin = at[first]
+            phrase = join_words(words.distinct, words.ids[_positions(begin, np.full(len(begin), length))], np.arange(1, len(begin) + 1) * length)
+            yield pa.record_batch([found.langs.take(pa.array(found.lang_of[words.row[begin]])).cast(pa.string()), phrase.cast(pa.binary()), pa.array(total)],
+                                  ["lang", "phrase", "f"])
 
     found = dictionary.select("lang", "chunk", "own", "n").mapInArrow(run, "lang string, phrase binary, f bigint")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("words", F.lit(length))
@@ -242,12 +249,14 @@ def candidates(docs: DataFrame, most: int = 3, least: int = 10, share: int = 50,
     100 * f(longer) >= share * a.
     """
     dictionary = parse(docs, most, lang, text)
-    every = stage(count_phrases(dictionary, 1, least, None), "colloc-words")
+    every = stage(count_phrases(dictionary, 1, None), "colloc-words")
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     levels, shorter = [every.filter(F.col("f") >= least)], None
-    for length in range(2, most + 1):
-        shorter = phrase_filter(levels[-1])
-        levels.append(stage(count_phrases(dictionary, length, least, shorter).filter(F.col("f") >= least), f"colloc-{length}"))
+    for length in range(1, most + 1):
+        possible = hash_filter(hash_counts(dictionary, length, shorter).filter(F.col("f") >= least))
+        if length > 1:
+            levels.append(stage(count_phrases(dictionary, length, possible).filter(F.col("f") >= least), f"colloc-{length}"))
+        shorter = possible
     counts = levels[0]
     for level in levels[1:]:
         counts = counts.unionByName(level)
