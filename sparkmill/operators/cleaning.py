@@ -8,7 +8,7 @@ null value is treated the same as a missing key (documented divergence).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, VariantType
 
@@ -25,8 +25,7 @@ def dedup(df: DataFrame, *, key: str | None = None, order_col: str = "ord", **_k
     plain hash aggregate with a map-side partial step: a hot duplicate group
     (even a third of all rows) collapses to one row per input partition before
     the shuffle.  Keyed identity compares ``str(value)``; rows lacking the key
-    fall back to full-row identity in a separate branch tag so the two kinds of
-    fingerprint never meet.
+    fall back to full-row identity, tagged so the two kinds of identity never meet.
     """
     cols = df.columns
     data_cols = [c for c in cols if c != order_col]
@@ -43,70 +42,80 @@ def dedup(df: DataFrame, *, key: str | None = None, order_col: str = "ord", **_k
         return (df.groupBy(F.xxhash64(*ident).alias("__h"), *[e.alias(f"__i{i}") for i, e in enumerate(ident)])
                 .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("__first"))
                 .select("__first.*"))
-    # One aggregation for both branches: (tag, key text, full row) is the
-    # grouping key; keyed rows leave the full-row part null, unkeyed rows the key.
-    # ``min_by`` over a row with strings is a sort-based aggregate; a leading
-    # 64-bit hash of the identity (a function of it, so groups are unchanged)
-    # lets the sort's fixed-width prefix decide almost every comparison instead
-    # of comparing long, near-identical texts.
-    k = F.col(key)
-    has_key = k.isNotNull()
-    row_struct = F.struct(*[F.to_json(F.col(c)).alias(c) if c in variant else F.col(c) for c in data_cols])
-    key_text = F.when(has_key, F.to_json(k) if key in variant else k.cast(StringType()))
-    row_part = F.when(~has_key, row_struct)
-    grouped = df.groupBy(
-        F.xxhash64(key_text, row_part).alias("__h"),
-        has_key.alias("__keyed"),
-        key_text.alias("__k"),
-        row_part.alias("__row"),
-    ).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("__first"))
-    return grouped.select("__first.*")
-
-
-def length_filter(df: DataFrame, *, field: str = "text", min_length: int = 0,
-                  max_length: int = 100_000, **_kwargs) -> DataFrame:
+    # Late materialisation: only (identity digest, ordinal) is aggregated, the winners' rows are joined back by ordinal.
+    firsts = first_ordinals(df, key, order_col)
+    rows = df.withColumn("__id", identity(df, key, order_col)).withColumn("__ord", F.col(order_col))
+    first = F.row_number().over(Window.partitionBy("__id", "__ord").orderBy("__ord"))  # equal identity and ordinal: one of them
+    return rows.join(firsts, ["__id", "__ord"]).withColumn("__n", first).filter("__n = 1").select(*[F.col(f"`{c}`") for c in cols])
+
+
+def identity(df: DataFrame, key: str | None, order_col: str) -> Column:
+    """128 bits (of SHA-256) that tell records apart: of the key's text, or of the whole row where there is no key."""
+    data_cols = [c for c in df.columns if c != order_col]
+    variant = {f.name for f in df.schema.fields if isinstance(f.dataType, VariantType)}
+    whole = F.to_json(F.struct(*[F.to_json(F.col(f"`{c}`")).alias(c) if c in variant else F.col(f"`{c}`") for c in data_cols]), {"ignoreNullFields": "false"})
+    if not key or key not in df.columns:
+        text = F.concat(F.lit("r"), whole)
+    else:
+        k = F.col(f"`{key}`")
+        keyed = F.to_json(k) if key in variant else k.cast(StringType())
+        text = F.when(k.isNotNull(), F.concat(F.lit("k"), keyed)).otherwise(F.concat(F.lit("r"), whole))
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def first_ordinals(df: DataFrame, key: str | None, order_col: str) -> DataFrame:
+    """(__id, __ord): the smallest ordinal of each identity.  Combined before the shuffle; no other column travels."""
+    return df.select(identity(df, key, order_col).alias("__id"), F.col(order_col).alias("__o")).groupBy("__id").agg(F.min("__o").alias("__ord"))
+
+
+def length_keep(columns: list[str], *, field: str = "text", min_length: int = 0, max_length: int = 100_000, **_kwargs) -> Column:
+    if field not in columns:
+        return F.lit(False)
+    return F.length(F.col(field).cast(StringType())).between(int(min_length), int(max_length))
+
+
+def length_filter(df: DataFrame, **params) -> DataFrame:
     """Keep rows with ``min_length <= len(field) <= max_length`` (code points)."""
-    if field not in df.columns:
-        return df.limit(0)
-    n = F.length(F.col(field).cast(StringType()))
-    return df.filter(n.between(int(min_length), int(max_length)))
+    return _filter(df, length_keep(df.columns, **params))
 
 
-def regex_filter(df: DataFrame, *, field: str = "text", pattern: str, mode: str = "include",
-                 **_kwargs) -> DataFrame:
+def regex_keep(columns: list[str], *, field: str = "text", pattern: str, mode: str = "include", **_kwargs) -> Column:
+    present = field in columns
+    if mode == "include":
+        return py_search(F.col(field).cast(StringType()), pattern) if present else F.lit(False)
+    return F.coalesce(~py_search(F.col(field).cast(StringType()), pattern), F.lit(True)) if present else F.lit(True)
+
+
+def regex_filter(df: DataFrame, **params) -> DataFrame:
     """Case-insensitive search; ``include`` keeps matches, any other mode drops them.
 
     Include drops rows without the field; exclude keeps them.
     """
-    present = field in df.columns
-    if mode == "include":
-        if not present:
-            return df.limit(0)
-        return df.filter(py_search(F.col(field).cast(StringType()), pattern))
-    if not present:
-        return df
-    return df.filter(F.coalesce(~py_search(F.col(field).cast(StringType()), pattern), F.lit(True)))
+    return _filter(df, regex_keep(df.columns, **params))
 
 
-def pii_redact(df: DataFrame, *, fields: list[str] | None = None,
-               replacement: str = DEFAULT_REPLACEMENT, strict: bool = False, **_kwargs) -> DataFrame:
-    """Replace e-mail, phone, SSN, IP and card patterns in string fields; never drops rows."""
-    targets = fields or DEFAULT_FIELDS
+def _filter(df: DataFrame, keep: Column) -> DataFrame:
+    return df.filter(keep)
+
+
+def redactions(df: DataFrame, *, fields: list[str] | None = None, replacement: str = DEFAULT_REPLACEMENT,
+               strict: bool = False, **_kwargs) -> dict[str, Column]:
+    """The string fields that are redacted, with their redacted values."""
     types = dict(df.dtypes)
-    out = df
-    for f in targets:
-        if f in types and types[f] == "string":
-            out = out.withColumn(f, redact(F.col(f), replacement, strict))
-    return out
+    return {f: redact(F.col(f), replacement, strict) for f in fields or DEFAULT_FIELDS if types.get(f) == "string"}
+
+
+def pii_redact(df: DataFrame, **params) -> DataFrame:
+    """Replace e-mail, phone, SSN, IP and card patterns in string fields; never drops rows."""
+    return df.withColumns(redactions(df, **params))
+
+
+def language_keep(columns: list[str], *, field: str = "text", languages: list[str] | None = None, **_kwargs) -> Column:
+    if not languages or "en" not in {lang.lower() for lang in languages}:
+        return F.lit(True)
+    return ascii_ratio(F.col(field).cast(StringType())) > ENGLISH_ASCII_THRESHOLD if field in columns else F.lit(False)
 
 
-def language_filter(df: DataFrame, *, field: str = "text", languages: list[str] | None = None,
-                    **_kwargs) -> DataFrame:
+def language_filter(df: DataFrame, **params) -> DataFrame:
     """ASCII-ratio heuristic: with ``en`` requested keep ratio > 0.85; else pass through."""
-    if not languages:
-        return df
-    if "en" not in {lang.lower() for lang in languages}:
-        return df
-    if field not in df.columns:
-        return df.limit(0)
-    return df.filter(ascii_ratio(F.col(field).cast(StringType())) > ENGLISH_ASCII_THRESHOLD)
+    return _filter(df, language_keep(df.columns, **params))

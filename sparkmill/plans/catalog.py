@@ -16,11 +16,12 @@ from pyspark.sql.types import ByteType, IntegerType, ShortType
 from ..functions.fmt import iso_timestamp, sha256_hex
 from ..functions.text import WS_CLASS
 from ..operators import cleaning, formatting, limits, ordinal, registry, sections, tokens
-from ..sources import readers, sinks
+from ..sources import readers, sinks, stored
 from ..sources.tables import table
 from . import duck as D
 from . import fixtures as FX
-from .pipeline import observed_report, run_pipeline, run_pipeline_observed
+from . import lifecycle
+from .pipeline import marked_report, run_marked, run_pipeline
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -109,13 +110,9 @@ query("run_pipeline", _FLAGSHIP_SQL + f"SELECT doc_id, lang, text FROM r WHERE {
       "SELECT 3, 'regex_filter', count(*) FROM s3 UNION ALL SELECT 4, 'pii_redact', count(*) FROM s4 UNION ALL "
       "SELECT 5, 'language_filter', count(*) FROM s5")
 def q_cleaning_report(spark, sf):
-    # One pass: the cleaned dataset is written once (as the reference stores
-    # its cleaned file) and every stage's row count is observed on the way.
-    from ..session import scratch_path
-    out, observed = run_pipeline_observed(docs(spark, sf).select("doc_id", "lang", "text"), FLAGSHIP_NODES,
-                                          order_col="doc_id")
-    out.write.parquet(scratch_path(spark, "cleaned"))
-    return observed_report(spark, observed)
+    # Every row is written once with the node that removed it; the counts read that column.
+    marked = run_marked(docs(spark, sf).select("doc_id", "lang", "text"), FLAGSHIP_NODES, order_col="doc_id")
+    return marked_report(marked, FLAGSHIP_NODES)
 
 
 @query("dedup_exact", "SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY lang, text")
@@ -319,13 +316,56 @@ def q_read_csv(spark, sf):
     return readers.read_csv(spark, path).drop("ord")
 
 
-@query("convert_format", "SELECT count(*) AS row_count FROM documents")
-def q_convert_format(spark, sf):
+_CONVERT_INPUTS = ("csv", "jsonl", "json", "txt", "bin")
+
+
+def _convert_inputs(spark, sf) -> dict[str, str]:
+    """One upload of each format, written by Spark from the tables."""
     from ..session import scratch_path
-    path = scratch_path(spark, "docs-csv")
-    sinks.write_csv(docs(spark, sf, narrow=True).select("doc_id", "lang", "text"), path)
-    recs = readers.convert_format(spark, path, "csv")
-    return readers.conversion_stats(recs).select("row_count")
+    paths = {fmt: scratch_path(spark, f"convert-{fmt}") for fmt in _CONVERT_INPUTS}
+    d = docs(spark, sf).select("doc_id", "lang", "text")
+    line = F.to_json(F.struct("doc_id", "lang", "text"))
+    sinks.write_csv(d, paths["csv"])
+    d.select(line.alias("value")).write.text(paths["jsonl"])
+    d.select(F.concat(F.lit("["), line, F.lit(', {"doc_id": null, "text": "second"}, 5]')).alias("value")).write.text(paths["json"])
+    d.select("text").write.text(paths["txt"])
+    table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(paths["bin"])
+    return paths
+
+
+@query("convert_format", f"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS raw FROM documents)
+SELECT 'csv' AS format, CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents
+UNION ALL SELECT 'jsonl', CAST(doc_id AS VARCHAR), lang, text FROM documents
+UNION ALL SELECT 'json', CAST(doc_id AS VARCHAR), lang, text FROM documents
+UNION ALL SELECT 'json', NULL, NULL, 'second' FROM documents
+UNION ALL SELECT 'txt', NULL, NULL, {D.strip('raw')} FROM l WHERE {D.strip('raw')} <> ''
+UNION ALL SELECT 'bin', NULL, NULL, s_name || chr(10) FROM supplier""")
+def q_convert_format(spark, sf):
+    fields = {"doc_id": "string", "lang": "string", "text": "string"}
+    parts = [readers.records_as_columns(readers.convert_format(spark, path, fmt).select("record"), fields).select(F.lit(fmt).alias("format"), *fields)
+             for fmt, path in _convert_inputs(spark, sf).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("convert_schema", """SELECT * FROM (VALUES ('csv', 'doc_id', 'str'), ('csv', 'lang', 'str'), ('csv', 'text', 'str'),
+  ('jsonl', 'doc_id', 'int'), ('jsonl', 'lang', 'str'), ('jsonl', 'text', 'str'),
+  ('json', 'doc_id', 'int'), ('json', 'lang', 'str'), ('json', 'text', 'str'), ('txt', 'text', 'str'), ('bin', 'text', 'str')) AS t(format, key, type_name)""")
+def q_convert_schema(spark, sf):
+    parts = [readers.first_record_schema(readers.convert_format(spark, path, fmt)).select(F.lit(fmt).alias("format"), "key", "type_name")
+             for fmt, path in _convert_inputs(spark, sf).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("json_rejects", _JSON_LINES_SQL + """SELECT src, ord, line_no, s AS raw, CASE WHEN json_valid(s) THEN 'not_object' ELSE 'malformed' END AS reason
+FROM s WHERE s <> '' AND NOT (starts_with(s, '{') AND json_valid(s))""")
+def q_json_rejects(spark, sf):
+    return readers.json_rejects(_json_lines(spark, sf)).select("src", "ord", "line_no", "raw", "reason")
 
 
 @query("first_record_schema", """WITH f AS (SELECT to_json(struct_pack(doc_id := doc_id, lang := lang, n_chars := n_chars, text := text)) AS j
@@ -839,6 +879,65 @@ def q_preview(spark, sf):
     return ordinal.preview_page(cleaned, "doc_id", page=PREVIEW_PAGE, page_size=PREVIEW_SIZE)
 
 
+@query("preview_rows", f"""WITH o AS (SELECT doc_id, lang, text, row_number() OVER (ORDER BY doc_id) - 1 AS row_ord, count(*) OVER () AS total FROM documents)
+SELECT row_ord, doc_id, lang, text, total FROM o WHERE row_ord >= {(PREVIEW_PAGE + 1) * PREVIEW_SIZE} AND row_ord < {(PREVIEW_PAGE + 2) * PREVIEW_SIZE}""")
+def q_preview_rows(spark, sf):
+    # A page in the middle of a stored dataset: whole rows, from the files the page overlaps.
+    from ..session import scratch_path
+    path = scratch_path(spark, "preview-rows")
+    d = docs(spark, sf).select("doc_id", "lang", "text").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    stored.write_dataset(d.select(F.to_json(F.struct("doc_id", "lang", "text")).alias("line")), path)
+    page = stored.preview_page(spark, path, page=PREVIEW_PAGE + 2, page_size=PREVIEW_SIZE)
+    row = F.from_json("line", "doc_id bigint, lang string, text string")
+    return page.select("row_ord", row.alias("r"), "total").select("row_ord", "r.*", "total")
+
+
+# ================================================================ the flows: ingest, clean, format
+
+
+@query("ingest", _JSON_LINES_SQL + "SELECT s AS line FROM s WHERE starts_with(s, '{') AND json_valid(s)")
+def q_ingest(spark, sf):
+    # Untouched records are stored byte for byte.
+    from ..session import scratch_path
+    src, dest = scratch_path(spark, "upload"), scratch_path(spark, "ingested")
+    _json_lines(spark, sf).select(F.col("line").alias("value")).write.text(src)
+    lifecycle.ingest(spark, src, "jsonl", dest)
+    return readers.read_lines(spark, dest).select("line")
+
+
+@query("ingest_stats", _JSON_LINES_SQL + """SELECT count(*) FILTER (starts_with(s, '{') AND json_valid(s)) AS row_count,
+  count(*) FILTER (s <> '' AND NOT (starts_with(s, '{') AND json_valid(s))) AS rejected_lines FROM s""")
+def q_ingest_stats(spark, sf):
+    from ..session import scratch_path
+    src, dest = scratch_path(spark, "upload"), scratch_path(spark, "ingested")
+    _json_lines(spark, sf).select(F.col("line").alias("value")).write.text(src)
+    return lifecycle.ingest(spark, src, "jsonl", dest).select("row_count", "rejected_lines")
+
+
+def _stored_docs(spark, sf) -> str:
+    from ..session import scratch_path
+    src = scratch_path(spark, "stored-docs")
+    d = docs(spark, sf).select("doc_id", "lang", "text").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    sinks.write_jsonl(d, src)
+    return src
+
+
+@query("clean", _FLAGSHIP_SQL + f"SELECT doc_id, lang, text FROM r WHERE {D.ascii_ratio('text')} > 0.85")
+def q_clean(spark, sf):
+    from ..session import scratch_path
+    dest = scratch_path(spark, "cleaned-jsonl")
+    lifecycle.clean(spark, _stored_docs(spark, sf), FLAGSHIP_NODES, dest)
+    return readers.records_as_columns(readers.read_jsonl(spark, dest), {"doc_id": "bigint", "lang": "string", "text": "string"}).drop("ord")
+
+
+@query("format_dataset", """SELECT lang AS system, text AS "user", CAST(doc_id AS VARCHAR) AS assistant FROM documents WHERE text <> ''""")
+def q_format_dataset(spark, sf):
+    from ..session import scratch_path
+    dest = scratch_path(spark, "formatted")
+    lifecycle.format_dataset(spark, _stored_docs(spark, sf), dest, user_column="text", assistant_column="doc_id", system_column="lang")
+    return readers.records_as_columns(readers.read_jsonl(spark, dest), {"system": "string", "user": "string", "assistant": "string"}).drop("ord")
+
+
 # ================================================================ streaming
 # Inputs are written by Spark from the tables into the shared scratch folder
 # as several files; streams read them one file per micro-batch.

@@ -1,8 +1,7 @@
 """The dataset flows end to end: ingest, clean, format.
 
-Each flow is one Spark job writing its output dataset (JSONL, like the
-reference's stored files) plus a small statistics DataFrame computed in the
-same pass (``observe``), never by collecting records.
+Each flow writes its output dataset (JSONL, like the reference's stored files) and
+returns small statistics, counted from what is stored and never by collecting records.
 """
 
 from __future__ import annotations
@@ -10,66 +9,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fmt import py_type_name
 from ..operators import formatting, tokens
-from ..sources import readers, sinks
-from .pipeline import observed_report, run_pipeline_observed
+from ..sources import readers, sinks, stored
+from .pipeline import marked_report, run_marked
 
 
 def ingest(spark: SparkSession, path: str, source_format: str, dest: str) -> DataFrame:
     """Upload → JSONL at ``dest``; returns ``(row_count, schema_json, rejected_lines)``.
 
-    ``schema_json`` is ``{key: python type name}`` of the first record, as text;
-    ``rejected_lines`` counts JSON lines that yield no record (malformed,
-    scalar, ``NaN``) or CSV rows with cells beyond the header (kept, extras
-    left out), observed on the same pass.
+    Records are stored as they stood, rejects go to ``dest + ".rejects"`` as {reason, line}, by
+    one job; both are then counted from what is stored.  ``rejected_lines`` counts the rejects and
+    CSV rows with cells beyond the header (kept, under ``null``).  ``schema_json`` is
+    ``{key: python type name}`` of the first record, as text ('{}' without records).
     """
-    census = Observation("ingest_lines")
-    if source_format in ("jsonl", "json"):
-        lines = readers.read_lines(spark, path)
-        s = readers.py_strip(F.col("line"))
-        ok = F.try_parse_json(s).isNotNull() & (s.startswith("{") | s.startswith("["))
-        lines = lines.observe(census, F.count(F.when((s != "") & ~ok, 1)).alias("rejected"))
-        recs = readers.parse_json_lines(lines, flatten_arrays=True).select("ord", "record")
-    elif source_format == "csv":
-        rows = readers.read_csv(spark, path, flag_extra_cells=True)
-        rows = rows.observe(census, F.count(F.when(F.col("_extra_cells"), 1)).alias("rejected"))
-        cols = [c for c in rows.columns if c not in ("ord", "_extra_cells")]
-        recs = rows.select("ord", F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("record"))
-    else:
-        recs = readers.convert_format(spark, path, source_format)
-        census = None
-    stats = Observation("ingest")
-    first = F.min_by(F.col("record"), F.col("ord"))
-    observed = recs.observe(stats, F.count(F.lit(1)).alias("row_count"), first.alias("first"))
-    sinks.write_jsonl(observed.select("record"), dest)
-    got = stats.get
-    rejected = int(census.get["rejected"]) if census is not None else 0
-    first_json = None if got["first"] is None else got["first"].toJson()
-    row = spark.createDataFrame([(int(got["row_count"]), first_json, rejected)],
-                                "row_count bigint, first string, rejected_lines bigint")
-    kv = row.select("row_count", "rejected_lines",
-                    F.explode_outer(F.expr("try_cast(parse_json(first) AS map<string, variant>)")).alias("k", "v"))
-    return kv.groupBy("row_count", "rejected_lines").agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("k", py_type_name(F.schema_of_variant("v"))))))
-        .alias("schema_json"))
+    recs = readers.convert_records(spark, path, source_format)
+    stored.write_dataset(recs.select("raw", "reason"), dest, "raw", rejects=dest + ".rejects")
+    rejected = spark.read.schema("value string").text(dest + ".rejects").count()
+    if source_format == "csv":
+        extra = readers.read_csv(spark, path, flag_extra_cells=True).filter("_extra_cells")
+        rejected += extra.count()
+    kv = readers.first_record_schema(_first_file(recs)).agg(F.map_from_entries(F.collect_list(F.struct("key", "type_name"))).alias("m"))
+    return kv.select(F.lit(stored.total_rows(spark, dest)).cast("bigint").alias("row_count"),
+                     F.lit(rejected).cast("bigint").alias("rejected_lines"), F.to_json("m").alias("schema_json"))
+
+
+def _first_file(recs: DataFrame) -> DataFrame:
+    """The records of the first file that has any; only its name and ordinals reach the driver and the aggregate."""
+    good = recs.filter(F.col("reason").isNull()).select("ord", "record")
+    first = good.agg(F.min("ord.file").alias("file")).first()["file"]
+    return good.filter(F.col("ord.file") == F.lit(first)) if first is not None else good.limit(0)
 
 
 def clean(spark: SparkSession, path: str, nodes: list[dict], dest: str) -> DataFrame:
     """JSONL dataset → cleaned JSONL at ``dest``; returns the per-node row counts.
 
-    Records are typed by the fields the nodes touch (all as text) plus the
-    whole record, so unknown keys survive the pipeline unchanged.
+    Records are typed by the fields the nodes touch (all as text) plus the whole record, so
+    unknown keys survive.  Every record is written once with the node that removed it; the
+    stored dataset and the counts both read that.
     """
     recs = readers.read_jsonl(spark, path)
     fields = sorted({n.get("params", {}).get(k) for n in nodes for k in ("field", "key")
                      if n.get("params", {}).get(k)} | {"text"}
                     | {f for n in nodes for f in (n.get("params", {}).get("fields") or [])})
     typed = readers.records_as_columns(recs, {f: "string" for f in fields}, keep_record=True)
-    out, observed = run_pipeline_observed(typed, nodes, order_col="ord")
+    marked = run_marked(typed, nodes, order_col="ord")
     # A redaction rewrites string fields: put the new text back into the record.
-    sinks.write_jsonl(out.select(_patch_record("record", fields).alias("record")), dest)
-    return observed_report(spark, observed)
+    sinks.write_jsonl(marked.filter("dropped is null").select(_patch_record("record", fields).alias("record")), dest)
+    return marked_report(marked, nodes)
 
 
 def _as_variant(c):

@@ -62,12 +62,13 @@ def _unfence(df: DataFrame) -> DataFrame:
     return df.filter(F.col(_FENCE) >= 0).drop(_FENCE) if _FENCE in df.columns else df
 
 
-# Row filters that read one field (``field``, default ``text``) and nothing else.
-FIELD_FILTERS = {"length_filter", "regex_filter", "language_filter"}
+# Nodes that only drop rows by one field (``field``, default ``text``), by their predicate over the columns' names.
+ROW_FILTERS = {cleaning.length_filter: cleaning.length_keep, cleaning.regex_filter: cleaning.regex_keep, cleaning.language_filter: cleaning.language_keep}
 
 
-def _filter_field(node_type: str, params: dict) -> str | None:
-    return params.get("field", "text") if node_type in FIELD_FILTERS else None
+def _filter_field(fn: NodeFn, params: dict) -> str | None:
+    """The field such a node reads; a node registered anew under its name is another function and none of them."""
+    return params.get("field", "text") if fn in ROW_FILTERS else None
 
 
 def hoist_filters(steps: list[tuple[str, NodeFn, dict]]) -> list[tuple[str, NodeFn, dict]]:
@@ -84,14 +85,14 @@ def hoist_filters(steps: list[tuple[str, NodeFn, dict]]) -> list[tuple[str, Node
     i = 0
     while i < len(out):
         node_type, _fn, params = out[i]
-        if node_type != "dedup":
+        if node_type != "dedup" or NODE_REGISTRY["dedup"] is not cleaning.dedup:
             i += 1
             continue
         key = params.get("key")
         j = i + 1
         moved = []
         while j < len(out):
-            field = _filter_field(out[j][0], out[j][2])
+            field = _filter_field(out[j][1], out[j][2])
             if field is None or (key and field != key):
                 break
             moved.append(out[j])
@@ -144,12 +145,64 @@ def cleaning_report(df: DataFrame, nodes: list[dict], *, order_col: str = "ord")
     return reduce(DataFrame.unionByName, parts)
 
 
+def mark_pipeline(df: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> DataFrame:
+    """Every row of ``df`` with ``dropped``: the 1-based node that removed it, null where it stays.
+
+    Rows that stay have the values the pipeline gives them; of the others only the
+    ordinal is kept.  One plan: filters become marks, a dedup marks the rows that are not
+    the first of their identity among those still alive, any other node is run on
+    the rows alive and those it does not give back are marked.  ``order_col`` is unique.
+    """
+    out = df.withColumn("dropped", F.lit(None).cast("int"))
+    alive = F.col("dropped").isNull()
+    for i, node in enumerate(nodes, 1):
+        fn, params = _resolve(node)
+        data = [c for c in out.columns if c != "dropped"]
+        if fn in ROW_FILTERS:
+            keep = F.coalesce(ROW_FILTERS[fn](data, **params), F.lit(False))
+            out = out.withColumn("dropped", F.when(alive & ~keep, F.lit(i)).otherwise(F.col("dropped")))
+        elif fn is cleaning.pii_redact:
+            done = cleaning.redactions(out, **params)
+            out = out.withColumns({c: F.when(alive, x).otherwise(F.col(f"`{c}`")) for c, x in done.items()})
+        else:
+            living = out.filter(alive).drop("dropped")
+            if fn is cleaning.dedup:
+                firsts = cleaning.first_ordinals(living, params.get("key"), order_col).select(F.col("__ord").alias("__first"))
+                out = out.join(firsts, out[order_col] == F.col("__first"), "left")
+                out = out.withColumn("dropped", F.when(alive & F.col("__first").isNull(), F.lit(i)).otherwise(F.col("dropped"))).drop("__first")
+            else:
+                kept = fn(living, order_col=order_col, **params)
+                gone = living.select(order_col).join(kept.select(order_col), order_col, "left_anti").select(order_col, F.lit(i).alias("dropped"))
+                before = out.filter(~alive).select(order_col, "dropped")
+                out = (kept.withColumn("dropped", F.lit(None).cast("int")).unionByName(gone.unionByName(before), allowMissingColumns=True))
+    return out.select(order_col, *[F.when(alive, F.col(f"`{c}`")).alias(c) for c in out.columns if c not in (order_col, "dropped")], "dropped")
+
+
+def run_marked(df: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> DataFrame:
+    """``mark_pipeline`` written once under the shared folder: what stays and what is counted are the same rows, also after a lost task."""
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, "marked")
+    marked = mark_pipeline(df, nodes, order_col=order_col)
+    marked.write.parquet(path)
+    return df.sparkSession.read.schema(marked.schema).parquet(path)
+
+
+def marked_report(marked: DataFrame, nodes: list[dict]) -> DataFrame:
+    """Rows at the input and after each node, from the written result: one aggregate over its ``dropped`` column."""
+    names = ["input"] + [n.get("node_type", "") for n in nodes]
+    after = [F.count_if(F.col("dropped").isNull() | (F.col("dropped") > i)).alias(f"s{i}") for i in range(len(names))]
+    counts = marked.agg(*after)
+    stages = F.array(*[F.struct(F.lit(i).cast("bigint").alias("stage"), F.lit(n).alias("node_type"), F.col(f"s{i}").alias("rows")) for i, n in enumerate(names)])
+    return counts.select(F.explode(stages).alias("s")).select("s.*")
+
+
 def run_pipeline_observed(df: DataFrame, nodes: list[dict], *, order_col: str = "ord"
                           ) -> tuple[DataFrame, list[tuple[str, Observation]]]:
     """The pipeline with a row count observed after the input and after every node.
 
-    The counts are filled in by whatever single action runs the returned plan
-    (typically writing the cleaned dataset): one pass, no extra jobs.
+    The counts are filled in by whatever single action runs the returned plan: one
+    pass, but a stage that runs again counts again.  Counts that are kept come from
+    ``run_marked``.
     """
     steps = [(n.get("node_type", ""),) + _resolve(n) for n in nodes]
     observed: list[tuple[str, Observation]] = []

@@ -43,42 +43,66 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 # ---------------------------------------------------------------- JSON lines
 
 
-def parse_json_lines(lines: DataFrame, line_col: str = "line", *, flatten_arrays: bool = False) -> DataFrame:
-    """Lines to JSON-object records (``record`` VARIANT); everything else is dropped.
-
-    With ``flatten_arrays`` a line holding a JSON array contributes each of its
-    object elements as a record (``elem`` gives the element's position, 0 for
-    non-array lines).  Blank, malformed, scalar, ``NaN`` and duplicate-key lines
-    yield no record.
-
-    Parsing and dropping happen in one generator: each line becomes an array
-    of 0..n records that is exploded.  (A ``filter`` on the parsed value would
-    be pushed below the projection and parse every line twice.)
+def json_records(lines: DataFrame, line_col: str = "line", *, flatten_arrays: bool = False) -> DataFrame:
+    """Lines to ``(elem, record, raw, reason)``, records and rejects in one pass.
+
+    A record has a VARIANT and no reason; ``raw`` is its text as it stood (for an element
+    of an array, its JSON), so a record that nothing changes can be written byte for byte.
+    A reject has a reason and no record: ``malformed`` (no JSON, ``NaN``) or
+    ``not_object`` (a scalar, an array where arrays are not flattened, an array's element that is no
+    object).  Of repeated keys the last value counts.  Blank lines are neither.
+
+    Parsing and sorting out happen in one generator: each line becomes an array of 0..n
+    results that is exploded.  (A ``filter`` on the parsed value would be pushed below the
+    projection and parse every line twice.)
     """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     s = py_strip(F.col(line_col))
     others = [c for c in lines.columns if c != line_col]
     cell = F.array(F.struct(s.alias("s"), F.try_parse_json(s).alias("v")))
-    empty = F.array().cast("array<struct<elem:int,record:variant>>")
+    nothing = F.lit(None)
+
+    def result(elem, record, raw, reason):
+        return F.struct(elem.cast("int").alias("elem"), record.cast("variant").alias("record"), raw.cast("string").alias("raw"), reason.cast("string").alias("reason"))
 
-    def records(x):
-        single = F.array(F.struct(F.lit(0).alias("elem"), x["v"].alias("record")))
-        out = F.when(x["v"].isNull(), empty).when(x["s"].startswith("{"), single)
+    def results(x):
+        def single(record, reason):
+            return F.array(result(F.lit(0), record, x["s"], reason))
+
+        out = F.when(x["s"] == "", F.array().cast("array<struct<elem:int,record:variant,raw:string,reason:string>>"))
+        out = out.when(x["v"].isNull(), single(nothing, F.lit("malformed"))).when(x["s"].startswith("{"), single(x["v"], nothing))
         if flatten_arrays:
-            elems = F.transform(x["v"].cast("array<variant>"),
-                                lambda e, i: F.struct(i.alias("elem"), e.alias("record")))
-            objects = F.filter(elems, lambda t: F.schema_of_variant(t["record"]).startswith("OBJECT"))
-            out = out.when(x["s"].startswith("["), objects)
-        return out.otherwise(empty)
+            def element(e, i):
+                is_object = F.schema_of_variant(e).startswith("OBJECT")
+                return result(i, F.when(is_object, e), F.to_json(e), F.when(~is_object, F.lit("not_object")))
+
+            out = out.when(x["s"].startswith("["), F.transform(x["v"].cast("array<variant>"), element))
+        return out.otherwise(single(nothing, F.lit("not_object")))
+
+    exploded = lines.select(*others, F.explode(F.flatten(F.transform(cell, results))).alias("__r"))
+    return exploded.select(*others, "__r.elem", "__r.record", "__r.raw", "__r.reason")
 
-    recs = F.flatten(F.transform(cell, records))
-    exploded = lines.select(*others, F.explode(recs).alias("__r"))
-    cols = [*others, "__r.elem", "__r.record"] if flatten_arrays else [*others, "__r.record"]
-    return exploded.select(*cols)
+
+def parse_json_lines(lines: DataFrame, line_col: str = "line", *, flatten_arrays: bool = False) -> DataFrame:
+    """The records of ``json_records`` (``record`` VARIANT); rejects are left out.
+
+    With ``flatten_arrays`` a line holding a JSON array contributes each of its
+    object elements as a record (``elem`` gives the element's position, 0 for
+    non-array lines).
+    """
+    found = json_records(lines, line_col, flatten_arrays=flatten_arrays).filter(F.col("reason").isNull())
+    return found.drop("raw", "reason") if flatten_arrays else found.drop("elem", "raw", "reason")
+
+
+def json_rejects(lines: DataFrame, line_col: str = "line", *, flatten_arrays: bool = False) -> DataFrame:
+    """The rejects of ``json_records``: ``(elem, raw, reason)``."""
+    return json_records(lines, line_col, flatten_arrays=flatten_arrays).filter(F.col("reason").isNotNull()).drop("record")
 
 
 def json_line_stats(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Census of JSON lines in one aggregation: total, blank, object, array and
-    rejected (malformed, scalar, ``NaN``, duplicate-key) lines."""
+    rejected (malformed, scalar, ``NaN``) lines."""
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     s = py_strip(F.col(line_col))
     parsed = F.try_parse_json(s).isNotNull()
     blank = s == ""
@@ -121,8 +145,14 @@ def records_as_columns(records: DataFrame, fields: dict[str, str], record_col: s
                        keep_record: bool = False) -> DataFrame:
     """Project typed columns out of a VARIANT record (missing or mistyped → null)."""
     others = [c for c in records.columns if c != record_col or keep_record]
-    return records.select(*others, *[F.try_variant_get(F.col(record_col), f"$.{name}", typ).alias(name)
-                                     for name, typ in fields.items()])
+    return records.select(*[F.col(f"`{c}`") for c in others], *[F.try_variant_get(F.col(record_col), _field_path(name), typ).alias(name)
+                                                                for name, typ in fields.items()])
+
+
+def _field_path(name: str) -> str:
+    """The path of one top-level key, whatever characters it has."""
+    quote = '"' if "'" in name else "'"
+    return f"$[{quote}{name}{quote}]"
 
 
 def first_record_schema(records: DataFrame, order_col: str = "ord", record_col: str = "record") -> DataFrame:
@@ -229,25 +259,38 @@ def document_parser_for(filename: Column) -> Column:
     return F.try_element_at(m, suffix)
 
 
-def convert_format(spark: SparkSession, path: str | list[str], source_format: str) -> DataFrame:
-    """Dispatch on the upload format; returns ``(ord, record VARIANT)``.
+def convert_records(spark: SparkSession, path: str | list[str], source_format: str) -> DataFrame:
+    """Dispatch on the upload format; ``(ord, record VARIANT, raw, reason)``, records and rejects in one pass.
 
-    ``csv`` → header rows of strings; ``jsonl``/``json`` → objects with array
-    lines flattened; ``txt`` → ``{text}`` per non-blank line; anything else →
-    one record holding the whole file.
+    ``csv`` → header rows of strings, cells beyond the header under ``null`` as a list;
+    ``jsonl``/``json`` → objects with array lines flattened; ``txt`` → ``{text}`` per
+    non-blank line; anything else → one record holding the whole file.  ``raw`` is the
+    record's JSON text, of JSON lines as it stood.
     """
     if source_format == "csv":
-        df = read_csv(spark, path)
-        cols = [c for c in df.columns if c != "ord"]
-        return df.select("ord", F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("record"))
+        cols = _csv_header(spark, path)
+        recs = csv_records(read_lines(spark, path)).filter("block > 0 or pos > 0")
+        cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(cols)]
+        plain = F.to_json(F.struct(*cells))
+        extra = F.slice("cells", len(cols) + 1, F.size("cells"))
+        wide = F.to_json(F.struct(*[c for c, name in zip(cells, cols, strict=True) if name != "null"], extra.alias("null")))
+        raw = F.when(F.col("bad"), F.col("text")).when(F.size("cells") > len(cols), wide).otherwise(plain)
+        found = recs.select(F.struct("file", "block", "pos").alias("ord"), raw.alias("raw"), F.when(F.col("bad"), "malformed").alias("reason"))
+        return found.select("ord", F.when(F.col("reason").isNull(), F.try_parse_json("raw")).alias("record"), "raw", "reason")
     if source_format in ("jsonl", "json"):
-        return read_json_array_lines(spark, path).select("ord", "record")
+        found = json_records(read_lines(spark, path), flatten_arrays=True)
+        return found.select(F.struct("ord.file", "ord.block", "ord.pos", "elem").alias("ord"), "record", "raw", "reason")
     if source_format == "txt":
-        return read_txt_lines(spark, path).select("ord", F.to_variant_object(F.struct("text")).alias("record"))
-    whole = read_whole_text(spark, path)
-    return whole.select(F.struct(F.col("source").alias("file"), F.lit(0).cast("bigint").alias("block"),
-                                 F.lit(0).cast("bigint").alias("pos")).alias("ord"),
-                        F.to_variant_object(F.struct("text")).alias("record"))
+        texts = read_txt_lines(spark, path)
+    else:
+        texts = read_whole_text(spark, path, with_path=True).select(F.struct(F.col("path").alias("file"), F.lit(0).cast("bigint").alias("block"),
+                                                                             F.lit(0).cast("bigint").alias("pos")).alias("ord"), "text")
+    return texts.select("ord", F.to_variant_object(F.struct("text")).alias("record"), F.to_json(F.struct("text")).alias("raw"), F.lit(None).cast("string").alias("reason"))
+
+
+def convert_format(spark: SparkSession, path: str | list[str], source_format: str) -> DataFrame:
+    """The records of ``convert_records``: ``(ord, record VARIANT)``."""
+    return convert_records(spark, path, source_format).filter(F.col("reason").isNull()).select("ord", "record")
 
 
 def conversion_stats(records: DataFrame) -> DataFrame:
