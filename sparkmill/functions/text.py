@@ -7,6 +7,7 @@ inside whole-stage codegen; no Python runs per row.
 from __future__ import annotations
 
 import re
+from re import _constants, _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,41 +68,99 @@ WORD_DIFFERENCE = (r"[\p{M}[\p{Pc}&&[^_]]\p{No}\x{200C}\x{200D}[\p{So}&&\p{IsAlp
 def java_pattern(pattern: str, *, exact_words: bool = True) -> str:
     """Spell a Python ``re`` pattern (str semantics) for Java's engine.
 
-    ``\\s``/``\\S`` become the ``str.isspace`` set and ``\\Z`` end of input; named
-    groups ``(?P<n>...)``/``(?P=n)`` take Java's spelling.  With
-    ``exact_words`` the word escapes ``\\w \\W \\b \\B`` are written out as Python
-    defines them (lookarounds: slower); without, Java's own Unicode versions are
-    kept, which agree on every text free of ``WORD_DIFFERENCE`` characters.
+    Python's own parser reads the pattern, so what is no Python pattern raises
+    ``re.error`` when the plan is made; what Java's engine cannot say (a condition on a
+    group, ASCII mode) raises ``ValueError`` then.  With ``exact_words`` the word
+    escapes ``\\w \\W \\b \\B`` are written out as Python defines them
+    (lookarounds: slower); without, Java's own Unicode versions are kept, which agree on
+    every text free of ``WORD_DIFFERENCE`` characters.
     """
-    p = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
-    p = re.sub(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>", p)
-    out, i, depth, n = [], 0, 0, len(p)
-    while i < n:
-        ch = p[i]
-        if ch == "\\" and i + 1 < n:
-            nxt = p[i + 1]
-            table = dict(_INSIDE_ALWAYS if depth else _OUTSIDE_ALWAYS)
-            if exact_words:
-                table.update(_INSIDE_WORDS if depth else _OUTSIDE_WORDS)
-            out.append(table.get(nxt, ch + nxt))
-            i += 2
-            continue
-        if ch == "[":
-            out.append(ch)
-            i += 1
-            if depth == 0:  # a "]" right after "[" or "[^" is a literal
-                if i < n and p[i] == "^":
-                    out.append("^")
-                    i += 1
-                if i < n and p[i] == "]":
-                    out.append("\\]")
-                    i += 1
-            depth += 1
-            continue
-        if ch == "]" and depth:
-            depth -= 1
-        out.append(ch)
-        i += 1
+    tree = _parser.parse(pattern)
+    flags = tree.state.flags
+    if flags & (re.ASCII | re.LOCALE):
+        raise ValueError("patterns in ASCII or locale mode are not supported")
+    on = "".join(f for f, bit in _JAVA_FLAGS if flags & bit)
+    return (f"(?{on})" if on else "") + _print(tree, exact_words)
+
+
+_JAVA_FLAGS = (("i", re.IGNORECASE), ("m", re.MULTILINE), ("s", re.DOTALL))
+_REPEATS = {_constants.MAX_REPEAT: "", _constants.MIN_REPEAT: "?", _constants.POSSESSIVE_REPEAT: "+"}
+# The parser's codes are whole numbers that repeat from one kind of node to another: one table for each kind.
+_CATEGORIES = {_constants.CATEGORY_DIGIT: "d", _constants.CATEGORY_NOT_DIGIT: "D", _constants.CATEGORY_SPACE: "s",
+               _constants.CATEGORY_NOT_SPACE: "S", _constants.CATEGORY_WORD: "w", _constants.CATEGORY_NOT_WORD: "W"}
+_BOUNDARIES = {_constants.AT_BOUNDARY: "b", _constants.AT_NON_BOUNDARY: "B"}
+_ANCHORS = {_constants.AT_BEGINNING: "^", _constants.AT_BEGINNING_STRING: r"\A", _constants.AT_END: "$", _constants.AT_END_STRING: r"\z"}
+
+
+def _literal(code: int) -> str:
+    ch = chr(code)
+    return ch if ch.isascii() and (ch.isalnum() or ch in " _,:;@%'<>=!/~") else f"\\x{{{code:X}}}"
+
+
+def _escape(name: str, exact_words: bool, inside: bool) -> str:
+    table = dict(_INSIDE_ALWAYS if inside else _OUTSIDE_ALWAYS)
+    if exact_words:
+        table.update(_INSIDE_WORDS if inside else _OUTSIDE_WORDS)
+    return table.get(name, "\\" + name)
+
+
+def _set(items, exact_words: bool) -> str:
+    if len(items) == 1 and items[0][0] is _constants.CATEGORY:
+        return _escape(_CATEGORIES[items[0][1]], exact_words, False)
+    out = []
+    for kind, value in items:
+        if kind is _constants.NEGATE:
+            out.append("^")
+        elif kind is _constants.LITERAL:
+            out.append(f"\\x{{{value:X}}}")
+        elif kind is _constants.RANGE:
+            out.append(f"\\x{{{value[0]:X}}}-\\x{{{value[1]:X}}}")
+        else:
+            out.append(_escape(_CATEGORIES[value], exact_words, True))
+    return "[" + "".join(out) + "]"
+
+
+def _print(tree, exact_words: bool) -> str:
+    """The Java spelling of a parsed pattern, node by node."""
+    c, out = _constants, []
+    for kind, value in tree:
+        if kind is c.LITERAL:
+            out.append(_literal(value))
+        elif kind is c.NOT_LITERAL:
+            out.append(f"[^\\x{{{value:X}}}]")
+        elif kind is c.ANY:
+            out.append(".")
+        elif kind is c.IN:
+            out.append(_set(value, exact_words))
+        elif kind is c.BRANCH:
+            out.append("(?:" + "|".join(_print(x, exact_words) for x in value[1]) + ")")
+        elif kind is c.SUBPATTERN:
+            group, add, remove, inner = value
+            if (add | remove) & (re.ASCII | re.LOCALE):
+                raise ValueError("patterns in ASCII or locale mode are not supported")
+            on, off = ("".join(f for f, bit in _JAVA_FLAGS if x & bit) for x in (add, remove))
+            body = _print(inner, exact_words)
+            head = f"?{on}{'-' + off if off else ''}:"
+            out.append(f"({body})" if group is not None and head == "?:" else f"((?{on}{'-' + off if off else ''}:{body}))" if group is not None else f"({head}{body})")
+        elif kind in _REPEATS:
+            least, most, inner = value
+            times = f"{{{least},{'' if most is c.MAXREPEAT else int(most)}}}"
+            out.append(f"(?:{_print(inner, exact_words)}){times}{_REPEATS[kind]}")
+        elif kind is c.ATOMIC_GROUP:
+            out.append(f"(?>{_print(value, exact_words)})")
+        elif kind in (c.ASSERT, c.ASSERT_NOT):
+            direction, inner = value
+            out.append(f"(?{'<' if direction < 0 else ''}{'=' if kind is c.ASSERT else '!'}{_print(inner, exact_words)})")
+        elif kind is c.GROUPREF:
+            out.append(f"(?:\\{value})")
+        elif kind is c.FAILURE:
+            out.append("(?!)")
+        elif kind is c.AT and value in _ANCHORS:
+            out.append(_ANCHORS[value])
+        elif kind is c.AT and value in _BOUNDARIES:
+            out.append(_escape(_BOUNDARIES[value], exact_words, False))
+        else:
+            raise ValueError(f"Java's patterns have no {str(kind).lower()}")
     return "".join(out)
 
 

@@ -25,9 +25,9 @@ def instruction_format(df: DataFrame, *, user_column: str, assistant_column: str
     cols = set(df.columns)
 
     def pick(name: str | None):
-        return F.col(name).cast("string") if name and name in cols else F.lit(None).cast("string")
+        return F.col(f"`{name}`").cast("string") if name and name in cols else F.lit(None).cast("string")
 
-    out = df.select(*keep, pick(system_column).alias("system"), pick(user_column).alias("user"),
+    out = df.select(*[F.col(f"`{c}`") for c in keep], pick(system_column).alias("system"), pick(user_column).alias("user"),
                     pick(assistant_column).alias("assistant"))
     return out.filter((F.coalesce(F.length("user"), F.lit(0)) > 0) &
                       (F.coalesce(F.length("assistant"), F.lit(0)) > 0))

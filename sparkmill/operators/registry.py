@@ -169,9 +169,28 @@ def metrics_step_range(metrics: DataFrame, ranges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- state folds
 
 
+def open_fold(changes: DataFrame, *, key: str, ord_col: str, changes_col: str = "changes") -> DataFrame:
+    """``(key, field, value)``: the last value each field of an entity was given, null if it was set to null.
+
+    ``changes_col`` is a map of the fields a change gives; a field that is not in the map is left
+    as it is.  Any field may come up, none is named here.  One aggregate with
+    partial steps per (entity, field): a hot entity is folded before the shuffle.
+    """
+    given = changes.select(F.col(key), F.col(ord_col).alias("__ord"), F.explode(changes_col).alias("field", "__value"))
+    return given.groupBy(key, "field").agg(F.max_by("__value", "__ord").alias("value"))
+
+
+def pivot_fields(folded: DataFrame, schema: dict[str, str], *, key: str) -> DataFrame:
+    """One typed row for each entity of ``open_fold``; fields it was never given are null, fields outside ``schema`` left out."""
+    return folded.groupBy(key).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).cast(kind).alias(f) for f, kind in schema.items()])
+
+
+RUN_FIELDS = ("error_message", "current_step", "total_steps", "worker_id", "cost_credits", "gpu_seconds")
+
+
 def run_current_state(events: DataFrame, *, key: str = "run_id", ord_col: str = "ord", ts_col: str = "ts") -> DataFrame:
     """Fold status updates per run: the last status wins (a null status leaves it
-    unchanged), optional fields overwrite only when given, ``started_at`` is the
+    unchanged), the RUN_FIELDS that ``events`` has overwrite only when given, ``started_at`` is the
     first ``training`` update, ``finished_at`` the latest terminal one.
 
     One aggregate with partial steps: a hot run is folded map-side first.
@@ -181,9 +200,7 @@ def run_current_state(events: DataFrame, *, key: str = "run_id", ord_col: str =
 
     return events.groupBy(key).agg(
         last_given("status").alias("status"),
-        last_given("error_message").alias("error_message"),
-        last_given("current_step").alias("current_step"),
-        last_given("total_steps").alias("total_steps"),
+        *[last_given(c).alias(c) for c in RUN_FIELDS if c in events.columns],
         F.min(F.when(F.col("status") == "training", F.col(ts_col))).alias("started_at"),
         F.max(F.when(F.col("status").isin(*TERMINAL_RUN_STATUSES), F.col(ts_col))).alias("finished_at"),
         F.max(ts_col).alias("updated_at"))
@@ -192,7 +209,7 @@ def run_current_state(events: DataFrame, *, key: str = "run_id", ord_col: str =
 def dataset_current_state(updates: DataFrame, *, key: str = "dataset_id", ord_col: str = "ord",
                           ts_col: str = "ts") -> DataFrame:
     """Field-wise last write wins; a status update (``kind='status'``) always
-    overwrites ``error_message``, null included."""
+    overwrites ``error_message``, null included.  (``open_fold`` folds any field.)"""
     def last_given(c, also: Column | None = None):
         cond = F.col(c).isNotNull() if also is None else (F.col(c).isNotNull() | also)
         return F.max_by(F.col(c), F.when(cond, F.col(ord_col)))
@@ -236,23 +253,25 @@ def best_checkpoint(checkpoints: DataFrame) -> DataFrame:
             .withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn"))
 
 
+CHECKPOINT_FIELDS = ("step", "epoch", "val_loss", "is_best", "created_at")
+
+
 def run_detail(runs: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Each run with its checkpoints in step order, one row per checkpoint.
+    """Each run with its checkpoints in step order, one row per checkpoint, with the CHECKPOINT_FIELDS it has.
 
     A run without checkpoints keeps one row with null checkpoint columns (the
     empty list).  Rows, not a collected list: a run's checkpoints never have to
     fit in one value.  Written as inner join ∪ anti join rather than a left
     join: AQE can split a skewed partition on either side of an inner join,
     while a left join cannot split its right side (a run holding a third of
-    all checkpoints).
+    all checkpoints).  The anti join meets each run's key once.
     """
-    c = checkpoints.select(F.col("run_id").alias("__rid"), F.col("id").alias("checkpoint_id"),
-                           F.col("step").alias("checkpoint_step"))
+    fields = [c for c in CHECKPOINT_FIELDS if c in checkpoints.columns]
+    c = checkpoints.select(F.col("run_id").alias("__rid"), F.col("id").alias("checkpoint_id"), *[F.col(f).alias(f"checkpoint_{f}") for f in fields])
     with_ckpt = runs.join(c, runs["id"] == c["__rid"]).drop("__rid")
-    without = (runs.join(c.select("__rid"), runs["id"] == c["__rid"], "left_anti")
-               .withColumn("checkpoint_id", F.lit(None).cast(c.schema["checkpoint_id"].dataType))
-               .withColumn("checkpoint_step", F.lit(None).cast(c.schema["checkpoint_step"].dataType)))
-    return with_ckpt.unionByName(without)
+    have = checkpoints.select(F.col("run_id").alias("__rid")).distinct()
+    without = runs.join(have, runs["id"] == have["__rid"], "left_anti")
+    return with_ckpt.unionByName(without, allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- endpoints

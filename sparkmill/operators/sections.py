@@ -1,15 +1,17 @@
 """Document sectioning: page cleanup, paragraph chunks, heading sections, tables, pages.
 
 A document is one row, so every operator here works inside the row with
-higher-order array functions (``split``/``transform``/``filter``/``aggregate``
-/``slice``) and then explodes: a narrow transformation with no shuffle, and
-each step is linear in the document's length.
+higher-order array functions (``split``/``transform``/``filter``/``slice``) and then
+explodes: a narrow transformation with no shuffle, and each step is linear in the
+document's length.  (Chunk cuts depend on one another and are searched in Python.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,24 +49,32 @@ def _paragraphs(text: Column, separator: str) -> Column:
     return F.filter(F.transform(parts, lambda p: py_strip(p)), lambda p: p != "")
 
 
+def _cuts(lengths: np.ndarray, chunk_size: int) -> list[int]:
+    """Positions where a new chunk starts (the first chunk's left out): the next cut is searched in the running lengths."""
+    ends = np.cumsum(lengths)
+    out, at, n = [], 0, len(lengths)
+    while n:
+        before = int(ends[at - 1]) if at else 0
+        at = max(at + 1, int(np.searchsorted(ends, before + chunk_size, side="right")))
+        if at >= n:
+            break
+        out.append(at)
+    return out
+
+
 def chunk_boundaries(paras: Column, chunk_size: int) -> Column:
     """0-based paragraph positions where a new chunk starts (first chunk excluded).
 
     Greedy rule: a paragraph opens a new chunk when the current chunk is not
     empty and its length plus the paragraph's would exceed ``chunk_size``.
-    Separators do not count toward the limit.  A fold over the paragraphs.
+    Separators do not count toward the limit.  Only lengths leave the JVM; a cut costs
+    one binary search, so a document is linear in its paragraphs.
     """
-    init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("bigint").alias("len"),
-                    F.lit(0).alias("i"))
-
-    def step(acc, p):
-        n = F.length(p).cast("bigint")
-        cut = (acc["i"] > 0) & (acc["len"] + n > F.lit(chunk_size))
-        return F.struct(F.when(cut, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
-                        F.when(cut, n).otherwise(acc["len"] + n).alias("len"),
-                        (acc["i"] + 1).alias("i"))
+    @F.pandas_udf("array<int>")
+    def cuts(lengths: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else _cuts(np.asarray(x, np.int64), chunk_size) for x in lengths], dtype=object)
 
-    return F.aggregate(paras, init, step)["starts"]
+    return cuts(F.transform(paras, lambda p: F.length(p)))
 
 
 def paragraph_chunk(df: DataFrame, text_col: str = "text", *, chunk_size: int = 1000,
@@ -72,8 +82,9 @@ def paragraph_chunk(df: DataFrame, text_col: str = "text", *, chunk_size: int =
                     keep: list[str] | None = None) -> DataFrame:
     """Paragraph chunks ``(…keep, chunk, text, char_count)``; chunk index 0-based.
 
-    An oversized paragraph stays whole in its own chunk.  ``separator`` is a
-    Python ``re`` pattern (default: a blank line, possibly holding whitespace).
+    An oversized paragraph stays whole in its own chunk; a null text has no chunks.
+    ``separator`` is a Python ``re`` pattern (default: a blank line, possibly holding
+    whitespace).
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text_col]
     paras = _paragraphs(F.col(text_col), separator)
@@ -81,12 +92,19 @@ def paragraph_chunk(df: DataFrame, text_col: str = "text", *, chunk_size: int =
     n = F.size("__p")
     starts = F.concat(F.array(F.lit(0)), F.col("__b"))
     ends = F.concat(F.col("__b"), F.array(n))
-    chunks = F.when(n == 0, F.array().cast("array<string>")).otherwise(
+    chunks = F.when(F.coalesce(n, F.lit(0)) <= 0, F.array().cast("array<string>")).otherwise(
         F.transform(starts, lambda s, k: F.array_join(F.slice("__p", s + 1, F.get(ends, k) - s), joiner)))
     return (staged.select(*keep, F.posexplode(chunks).alias("chunk", "text"))
             .withColumn("char_count", F.length("text")))
 
 
+def parse_text(df: DataFrame, text_col: str = "text", source_col: str = "source", *, chunk_size: int = 1000) -> DataFrame:
+    """The records of parsed text documents: ``(text, source, metadata {chunk, char_count, format})`` of each chunk."""
+    chunks = paragraph_chunk(df, text_col, chunk_size=chunk_size, keep=[source_col])
+    return chunks.select("text", F.col(source_col).alias("source"), F.struct(
+        F.col("chunk").cast("bigint").alias("chunk"), F.col("char_count").cast("bigint").alias("char_count"), F.lit("text").alias("format")).alias("metadata"))
+
+
 # ---------------------------------------------------------------- heading sections
 
 

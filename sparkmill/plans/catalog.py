@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from ..functions.fmt import iso_timestamp, sha256_hex
-from ..functions.text import WS_CLASS
+from ..functions.text import WS_CLASS, py_search
 from ..operators import cleaning, formatting, limits, ordinal, registry, sections, tokens
 from ..sources import readers, sinks, stored
 from ..sources.tables import table
@@ -148,6 +148,16 @@ def q_regex_exclude(spark, sf):
     return cleaning.regex_filter(docs(spark, sf, narrow=True), pattern=EXCLUDE_PATTERN, mode="exclude").select("doc_id")
 
 
+# Python patterns that Java reads differently or not at all, each beside the same pattern as RE2 spells it.
+_DIALECT = {"bracket": (r"[^[]b", r"[^\[]b"), "up_to": (r" er{,2}s ", r" er{0,2}s "), "named": (r"(?P<first_word>lic)(?:en|ens)", r"(?:lic)(?:en|ens)"),
+            "both": (r"[&&|]\s", r"[&|]\s")}
+
+
+@query("regex_python_dialect", "SELECT doc_id, " + ", ".join(f"regexp_matches(text, {D.q(re2)}, 'i') AS {name}" for name, (_, re2) in _DIALECT.items()) + " FROM documents")
+def q_regex_dialect(spark, sf):
+    return docs(spark, sf, narrow=True).select("doc_id", *[py_search("text", py).alias(name) for name, (py, _) in _DIALECT.items()])
+
+
 @query("language_filter_en", f"SELECT doc_id, lang FROM documents WHERE {D.ascii_ratio('text')} > 0.85")
 def q_language_en(spark, sf):
     return cleaning.language_filter(docs(spark, sf, narrow=True), languages=["en"]).select("doc_id", "lang")
@@ -196,6 +206,15 @@ def q_chunk(spark, sf):
     return sections.paragraph_chunk(docs(spark, sf, narrow=True).select("doc_id", "text"), chunk_size=1000)
 
 
+_BLANK_LINE = "\n" + WS_CLASS + "*\n"
+
+
+@query("parse_text", f"SELECT x.text, d.source, x.chunk, x.char_count, 'text' AS format FROM ({_chunk_sql(_BLANK_LINE, 1000)}) x "
+                     "JOIN documents d ON d.doc_id = x.doc_id")
+def q_parse_text(spark, sf):
+    return sections.parse_text(docs(spark, sf, narrow=True)).select("text", "source", "metadata.*")
+
+
 @query("paragraph_chunk_lines", _chunk_sql("\n", 200))
 def q_chunk_lines(spark, sf):
     return sections.paragraph_chunk(docs(spark, sf, narrow=True).select("doc_id", "text"), chunk_size=200, separator="\n")
@@ -662,6 +681,43 @@ def q_dataset_state(spark, sf):
     return s.select("dataset_id", "status", "row_count", "error_message", F.unix_micros("updated_at").alias("updated_us"))
 
 
+# Changes of any field, null included: each event gives one or two fields of its user.
+_CHANGES_CTE = """c AS (
+  SELECT user_id, event_id, event_id % 5 AS m, 'w' || CAST(event_id % 7 AS VARCHAR) AS w, CAST(event_id % 100 AS VARCHAR) || '.25' AS cost,
+         CAST(event_id % 50 AS VARCHAR) AS secs, 'e' || CAST(event_id AS VARCHAR) AS e FROM events),
+given AS (
+  SELECT user_id, event_id, 'worker_id' AS field, CASE WHEN m = 0 THEN w END AS value FROM c WHERE m IN (0, 3)
+  UNION ALL SELECT user_id, event_id, 'cost_credits', cost FROM c WHERE m = 1
+  UNION ALL SELECT user_id, event_id, 'gpu_seconds', secs FROM c WHERE m = 2
+  UNION ALL SELECT user_id, event_id, 'error_message', CASE WHEN m = 3 THEN e END FROM c WHERE m IN (3, 4)),
+last AS (SELECT user_id, field, value FROM given QUALIFY row_number() OVER (PARTITION BY user_id, field ORDER BY event_id DESC) = 1)
+"""
+
+
+def _field_changes(spark, sf) -> DataFrame:
+    e, text = F.col("event_id"), lambda x: x.cast("string")
+    none = F.lit(None).cast("string")
+    changes = (F.when(e % 5 == 0, F.create_map(F.lit("worker_id"), F.concat(F.lit("w"), text(e % 7))))
+               .when(e % 5 == 1, F.create_map(F.lit("cost_credits"), F.concat(text(e % 100), F.lit(".25"))))
+               .when(e % 5 == 2, F.create_map(F.lit("gpu_seconds"), text(e % 50)))
+               .when(e % 5 == 3, F.create_map(F.lit("worker_id"), none, F.lit("error_message"), F.concat(F.lit("e"), text(e))))
+               .otherwise(F.create_map(F.lit("error_message"), none)))
+    return table(spark, sf, "events").select("user_id", "event_id", changes.alias("changes"))
+
+
+@query("open_field_fold", D.with_(_CHANGES_CTE) + "SELECT user_id, field, value FROM last")
+def q_open_fold(spark, sf):
+    return registry.open_fold(_field_changes(spark, sf), key="user_id", ord_col="event_id")
+
+
+@query("run_field_state", D.with_(_CHANGES_CTE) + """SELECT user_id, max(value) FILTER (field = 'worker_id') AS worker_id,
+  CAST(max(value) FILTER (field = 'cost_credits') AS DOUBLE) AS cost_credits, CAST(max(value) FILTER (field = 'gpu_seconds') AS BIGINT) AS gpu_seconds,
+  max(value) FILTER (field = 'error_message') AS error_message FROM last GROUP BY user_id""")
+def q_run_field_state(spark, sf):
+    folded = registry.open_fold(_field_changes(spark, sf), key="user_id", ord_col="event_id")
+    return registry.pivot_fields(folded, {"worker_id": "string", "cost_credits": "double", "gpu_seconds": "bigint", "error_message": "string"}, key="user_id")
+
+
 # ================================================================ checkpoints and listings
 
 
