@@ -251,12 +251,13 @@ def candidates(docs: DataFrame, most: int = 3, least: int = 10, share: int = 50,
     dictionary = parse(docs, most, lang, text)
     every = stage(count_phrases(dictionary, 1, None), "colloc-words")
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
-    levels, shorter = [every.filter(F.col("f") >= least)], None
-    for length in range(1, most + 1):
-        possible = hash_filter(hash_counts(dictionary, length, shorter).filter(F.col("f") >= least))
-        if length > 1:
-            levels.append(stage(count_phrases(dictionary, length, possible).filter(F.col("f") >= least), f"colloc-{length}"))
-        shorter = possible
+    levels = [every.filter(F.col("f") >= least)]
+    # the words that reach the least count, read as a dictionary of one-word chunks
+    words = levels[0].select("lang", F.col("phrase").alias("chunk"), F.lit(1).alias("own"), F.col("f").alias("n"))
+    shorter = hash_filter(hash_counts(words, 1, None))
+    for length in range(2, most + 1):
+        shorter = hash_filter(hash_counts(dictionary, length, shorter).filter(F.col("f") >= least))
+        levels.append(stage(count_phrases(dictionary, length, shorter).filter(F.col("f") >= least), f"colloc-{length}"))
     counts = levels[0]
     for level in levels[1:]:
         counts = counts.unionByName(level)
