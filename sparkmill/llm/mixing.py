@@ -91,6 +91,11 @@ def _coprime(n: int, start: int) -> int:
     return a
 
 
+def most_step(n: int) -> int:
+    """Steps below this (and a little above) times ``n`` blocks stay inside 64 bits."""
+    return max(2, min(2**31, (2**62) // max(n, 1)))
+
+
 def apportion(totals: list[tuple], block: int, max_epochs: int, seed: int, shards: int = SHARDS) -> list[dict]:
     """The plan of each source from its (name, words); ``totals`` by code point, null last."""
     sizes = [int(n) for _, n in totals]
@@ -106,7 +111,7 @@ def apportion(totals: list[tuple], block: int, max_epochs: int, seed: int, shard
         passes, rest = divmod(taken, n) if n else (0, 0)
         r = int(rng.integers(1, 2**31)), int(rng.integers(0, 2**31))
         out.append({"source": name, "source_size": sizes[i], "target": wanted[i], "blocks": n, "passes": passes, "rest": rest,
-                    "step": (a := _coprime(n, r[0])), "back": pow(a, -1, n) if n > 1 else 0, "shift": r[1] % max(n, 1),
+                    "step": (a := _coprime(n, r[0] % most_step(n))), "back": pow(a, -1, n) if n > 1 else 0, "shift": r[1] % max(n, 1),
                     "quotas": [q[i] for q in quotas]})
     return out
 
