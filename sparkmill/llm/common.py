@@ -35,6 +35,49 @@ def ship(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def lean(run):
+    """A function over batches for ``mapInArrow`` that leaves no memory behind in its worker.
+
+    Workers are reused by later stages.  Before the first batch, what a tokenizer has remembered
+    for its next task goes; after the last one, freed memory returns to the system.
+    """
+    def wrapped(batches):
+        import ctypes
+        import sys
+
+        import pyarrow as pa
+
+        tokenizer = sys.modules.get("sparkmill.llm.sentencepiece_viterbi")
+        if tokenizer is not None:
+            tokenizer.forget()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library: nothing to return
+                pass
+
+    return wrapped
+
+
+def lean_group(run):
+    """`lean` for a function of one pandas frame, as ``applyInPandas`` takes it."""
+    def wrapped(pdf):
+        import ctypes
+
+        try:
+            return run(pdf)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:
+                pass
+
+    return wrapped
+
+
 def join_by_key(left: DataFrame, right: DataFrame, key: str, n: str, spread: Column, total: int | None = None) -> DataFrame:
     """Left join of ``left`` with ``right`` (one row per non-null ``key``, staged), hot keys salted.
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import components, join_by_key, ship, stage
+from sparkmill.llm.common import components, join_by_key, lean, lean_group, ship, stage
 from sparkmill.llm.pfp import _BYTE, _M, _U, _batches, _entries, _keyed, _mix, _split
 
 WORDS, PERCENT = 4, 85
@@ -52,6 +52,8 @@ TAG = 5
 LEVELS = 64
 #: Bytes of text of which a task holds the shingles at a time.
 AT_ONCE = 1_000_000
+#: Rows of an Arrow batch looked at together.
+ROWS = 400
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -294,12 +296,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_PARTS, int(total // share) | 1)
 
+    def slices(batches):
+        """Arrow batches cut small: only so many texts are Python strings at a time."""
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                yield b.slice(k, ROWS)
+
     def batches_of(b):
         yield from _batches(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), AT_ONCE)
 
     def measure(batches):
         seen = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for b in batches:
+        for b in slices(batches):
             for ids, buf, starts in _batches(zip(range(b.num_rows), b.column(1).to_pylist(), strict=True), AT_ONCE):
                 doc, h = shingles(buf, starts, words)
                 n = np.bincount(doc, minlength=len(ids))
@@ -323,7 +331,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         top = np.uint64(0xFFFFFFFF)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(x, top).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["piece", "seen"])
 
-    measured = stage(base.mapInArrow(measure, "id bigint, n bigint, s1 bigint, s2 bigint, least bigint, piece bigint, seen binary"), "jaccard-sets")
+    measured = stage(base.mapInArrow(lean(measure), "id bigint, n bigint, s1 bigint, s2 bigint, least bigint, piece bigint, seen binary"), "jaccard-sets")
     sets = measured.filter("piece is null").select("id", "n", "s1", "s2", "least")
     pieces = measured.filter("piece is not null").select("piece", "seen").repartition(64, "piece").mapInArrow(add, "piece bigint, seen binary")
     seen = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -335,7 +343,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
     classes = stage(classes, "jaccard-classes")
 
     def sign(batches):
-        for b in batches:
+        for b in slices(batches):
             to, blob, low, high = [], [], [], []
             for ids, buf, starts in batches_of(b.filter(b.column(0).is_valid())):
                 doc, h = shingles(buf, starts, words)
@@ -361,8 +369,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         known = pdf[pdf["blob"].isna()]
         return pd.DataFrame({"a": np.r_[one, known["a"].astype(np.int64)], "b": np.r_[other, known["b"].astype(np.int64)]})
 
-    signed = base.mapInArrow(sign, "to bigint, blob binary, a bigint, b bigint")
-    near = signed.groupBy("to").applyInPandas(meet, "a bigint, b bigint")
+    signed = base.mapInArrow(lean(sign), "to bigint, blob binary, a bigint, b bigint")
+    near = signed.groupBy("to").applyInPandas(lean_group(meet), "a bigint, b bigint")
     groups = components(near)
     # members of a group: one document of each class
     members = groups.join(classes.select(F.col("first").alias("node"), "least"), "node").select(F.col("node").alias("id"), F.col("component").alias("grp"), "least")
@@ -381,7 +389,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.as_py().encode()) for t in b.column(1)], pa.binary())], ["id", "blob"])
 
-    pressed = base.filter("id is not null and text is not null").mapInArrow(press, "id bigint, blob binary")
+    pressed = base.filter("id is not null and text is not null").mapInArrow(lean(press), "id bigint, blob binary")
     stored = stage(pressed.join(placed, "id").select("id", "grp", "blk", "blocks", "wide", "blob"), "jaccard-blocks")
     kinds = "a bigint, b bigint"
 
@@ -398,7 +406,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
     shared = stored.withColumn("at", every)
     n_bins = max(1, int((members.count()) // 300))
     shared = shared.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(n_bins))).otherwise(-1 - F.pmod(F.xxhash64("grp", "at"), F.lit(1 << 40))))
-    found = stage(shared.groupBy("bin").applyInPandas(own_block, kinds), "jaccard-links")
+    found = stage(shared.groupBy("bin").applyInPandas(lean_group(own_block), kinds), "jaccard-links")
 
     large = stored.filter("blocks > 1").select("id", "grp", "blk").distinct()
     if not large.isEmpty():
@@ -421,7 +429,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
                     yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(5)), pa.array(sig.view(np.int64))], ["grp", "id", "blk", "component", "outside", "sig"])
 
         signed = rest.join(stored.filter("blocks > 1").select("id", "blob"), "id").select("grp", "id", "blk", "component", "outside", "blob")
-        signed = stage(signed.mapInArrow(prefixes, "grp bigint, id bigint, blk bigint, component bigint, outside boolean, sig bigint"), "jaccard-prefixes")
+        signed = stage(signed.mapInArrow(lean(prefixes), "grp bigint, id bigint, blk bigint, component bigint, outside boolean, sig bigint"), "jaccard-prefixes")
         # the blocks that hold a document of another component with the same signature
         met = signed.groupBy("grp", "sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_set("blk")).alias("blks"), F.count(F.lit(1)).alias("rows"))
         met = stage(met.filter("lo < hi").select(F.struct("grp", "sig").alias("key"), "blks", "rows"), "jaccard-met")
@@ -454,7 +462,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
                     out += [(names[part[x]], ids[y]) for x, y in pairs]
             return pd.DataFrame(out, columns=["a", "b"])
 
-        later = sent.groupBy("grp", "at", "chunk").applyInPandas(open_block, kinds)
+        later = sent.groupBy("grp", "at", "chunk").applyInPandas(lean_group(open_block), kinds)
         found = found.unionByName(stage(later, "jaccard-later"))
 
     # one id under several sets is one node: the class of each of its sets is tied to it, and its rows without words are answered alike

@@ -325,6 +325,11 @@ def _model(state: tuple) -> Model:
     return _MODELS[key]
 
 
+def forget() -> None:
+    """Free the worker's model with the words and pairs it remembers; the next task of the tokenizer builds it anew."""
+    _MODELS.clear()
+
+
 def _groups(texts):
     """Slices of about BATCH_CHARS characters."""
     at, chars = 0, 0
@@ -385,7 +390,8 @@ def token_rows(documents: DataFrame, path: str = MODEL) -> DataFrame:
     """The result of the tokens query: ids of each whole text, their number, and whether decoding gives the text back.
 
     The space mark itself decodes to a space, as in the public library.  A null
-    text has null ids and no tokens, and comes back as null.
+    text has null ids and no tokens, and comes back as null.  Rows are answered one by one,
+    also where ids repeat or are null; an empty table gives no rows.
     """
     ship(documents.sparkSession)
     m = load(path)
