@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import join_by_key, ship, stage
+from sparkmill.llm.common import join_by_key, lean, ship, stage
 
 RULES_VERSION = "1"
 # The rules, in the order kinds are listed.
@@ -58,8 +59,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULE
     """(versions with ``blob`` and ``spans``, new ledger).
 
     ``versions`` needs a ``text``; its other columns are kept (``blob`` and ``spans`` are
-    replaced).  A null text counts as empty and has no findings.  Pass the ledger
-    of the last run to scan unseen blobs only; a new rule version scans all anew.
+    replaced).  A null text counts as empty and has no findings; rows are answered one by
+    one, also where ids repeat or are null; an empty table gives no rows and no entries.
+    Pass the ledger of the last run to scan unseen blobs only; a new rule version
+    scans all anew.
     """
     spark = versions.sparkSession
     ship(spark)
@@ -68,11 +71,12 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULE
     blobs = versions.groupBy(text.alias("text")).agg(F.count(F.lit(1)).alias("n"))  # copies combine before the shuffle
     blobs = blobs.select(F.sha2(F.col("text").cast("binary"), 256).alias("blob"), "text", "n")
     if ledger is not None:
-        seen = ledger.filter(F.col("rules") == rules).select("blob", F.col("spans").alias("old"))
+        # a pair that a ledger holds more than once is one pair
+        seen = ledger.filter(F.col("rules") == rules).groupBy("blob").agg(F.any_value("spans").alias("old"))
         known = blobs.select("blob", "n").join(seen, "blob").select("blob", "n", F.col("old").alias("spans"))
         blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
     fresh = blobs.select("blob", "text", "n").mapInArrow(
-        _scan, "blob string, n bigint, spans array<struct<kind:string,start:int,end:int>>")
+        lean(_scan), "blob string, n bigint, spans array<struct<kind:string,start:int,end:int>>")
     fresh = stage(fresh, "secret-scans")
     found = fresh if ledger is None else fresh.unionByName(known)
     entries = fresh.select("blob", F.lit(rules).alias("rules"), "spans")
@@ -82,17 +86,25 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULE
     return out, entries if ledger is None else ledger.unionByName(entries)
 
 
+def redact_text(text: str, spans) -> str:
+    """``text`` with every span replaced by ``[kind]``; overlapping spans merge under the first one's kind."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at:s["start"]], "[", s["kind"], "]"]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
 def redact(text, spans):
-    """Column: ``text`` with every span replaced by ``[kind]``; spans of different kinds may overlap, then they merge."""
-    step = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]),
-                                                    F.lit("["), s["kind"], F.lit("]")).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, step).otherwise(text)
+    """Column: `redact_text` of rows with spans (sorted by start, as from `scan`); other texts, nulls too, as they are."""
+    found = F.size(spans) > 0
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, of: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else redact_text(t, s) for t, s in zip(texts, of, strict=True)], dtype=object)
+
+    return F.when(found, run(F.when(found, text), F.when(found, spans))).otherwise(text)
 
 
 def secret_digest(documents: DataFrame) -> DataFrame:
