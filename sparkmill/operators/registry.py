@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fmt import fixed4
+from ..functions.fmt import fixed4, iso_timestamp
+from .ordinal import dense_ordinal
 
 # Credits per GPU-hour by GPU type, and the price of an unknown type.
 GPU_CREDITS_PER_HOUR = {"T4": 5, "L4": 8, "A10G": 10, "A100_40GB": 20, "A100_80GB": 35}
@@ -55,7 +56,8 @@ def run_log_lines(metrics: DataFrame, *, keep: list[str] | None = None) -> DataF
     val = F.when(F.col("val_loss").isNotNull() & (F.col("val_loss") != 0),
                  F.concat(F.lit(", val_loss: "), fixed4("val_loss"))).otherwise(F.lit(""))
     msg = F.concat(F.lit("Step "), F.col("step").cast("string"), F.lit(" — loss: "), fixed4("loss"), val)
-    return metrics.filter(F.col("loss").isNotNull()).select(*keep, msg.alias("message"))
+    at = [iso_timestamp("recorded_at").alias("timestamp")] if "recorded_at" in metrics.columns and "timestamp" not in keep else []
+    return metrics.filter(F.col("loss").isNotNull()).select(*keep, msg.alias("message"), *at)
 
 
 def model_register(runs: DataFrame) -> DataFrame:
@@ -325,6 +327,23 @@ def verify_api_key(requests: DataFrame, api_keys: DataFrame) -> DataFrame:
     return j.select(hashed["request_id"], hashed["endpoint_id"], F.coalesce(F.col("__hit"), F.lit(False)).alias("valid"))
 
 
+def bearer_key(header: Column) -> Column:
+    """The key of an ``Authorization`` header: what follows ``Bearer ``, stripped; null where there is none."""
+    from ..functions.text import py_strip
+    key = py_strip(F.substring(header, 8, F.length(header)))
+    return F.when(header.startswith("Bearer ") & (key != ""), key)
+
+
+def verify_header(requests: DataFrame, api_keys: DataFrame) -> DataFrame:
+    """``(request_id, endpoint_id, verdict)`` by the requests' ``auth_header``: ``missing_header``, ``missing_key``, ``invalid`` or ``ok``."""
+    header = F.coalesce("auth_header", F.lit(""))
+    keyed = requests.withColumn("api_key", bearer_key(header))
+    known = verify_api_key(keyed, api_keys).select("request_id", "endpoint_id", "valid")
+    heads = requests.select("request_id", header.startswith("Bearer ").alias("__bearer"), bearer_key(header).isNotNull().alias("__key"))
+    verdict = F.when(~F.col("__bearer"), "missing_header").when(~F.col("__key"), "missing_key").when(F.col("valid"), "ok").otherwise("invalid")
+    return known.join(heads, "request_id").select("request_id", "endpoint_id", verdict.alias("verdict"))
+
+
 # ---------------------------------------------------------------- deletes and upserts
 
 
@@ -376,8 +395,13 @@ def page_by_group(df: DataFrame, group_col: str | None, *, ts: str = "created_at
         w = Window.orderBy(*order)
         top = df.orderBy(*order).limit(offset + limit)
         return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") > offset)
+    if limit is None:  # whole groups in order: positions in one order of all rows, less the group's first
+        key = F.struct(*[F.col(c) for c in (group_col, ts, id_col)])
+        placed = dense_ordinal(df.withColumn("__key", key), "__key", out="__at").drop("__key")
+        ends = placed.groupBy(F.col(group_col).alias("__g")).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+        ranked = placed.join(ends, F.col(group_col).eqNullSafe(F.col("__g")))
+        rank = F.col("__hi") - F.col("__at") if newest_first else F.col("__at") - F.col("__lo")
+        return ranked.withColumn("rank", rank + 1).filter(F.col("rank") > offset).drop("__g", "__lo", "__hi", "__at")
     w = Window.partitionBy(group_col).orderBy(*order)
     ranked = df.withColumn("rank", F.row_number().over(w))
-    if limit is None:  # the whole group in order (no page)
-        return ranked.filter(F.col("rank") > offset)
     return ranked.filter(F.col("rank") <= offset + limit).filter(F.col("rank") > offset)

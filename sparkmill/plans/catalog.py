@@ -16,7 +16,7 @@ from pyspark.sql.types import ByteType, IntegerType, ShortType
 from ..functions.fmt import iso_timestamp, sha256_hex
 from ..functions.text import WS_CLASS, py_search
 from ..operators import cleaning, formatting, limits, ordinal, registry, sections, tokens
-from ..sources import readers, sinks, stored
+from ..sources import readers, registry_store, sinks, stored
 from ..sources.tables import table
 from . import duck as D
 from . import fixtures as FX
@@ -427,6 +427,51 @@ def q_registry_scan(spark, sf):
     return FX.datasets(spark, sf).select("id", "project_id", "name", "original_filename", "file_size_bytes", "status")
 
 
+_LOOKUP = [1, 7, 320, 4000, 30001, 123456789]
+
+
+@query("registry_lookup", D.with_(D.DATASETS, D.RUNS, D.CHECKPOINTS, D.MODELS, D.ENDPOINTS, D.API_KEYS) + f"""SELECT 'datasets' AS entity, id, status AS detail FROM datasets_t WHERE id IN ({', '.join(map(str, _LOOKUP))})
+UNION ALL SELECT 'training_runs', id, gpu_type FROM runs_t WHERE id IN ({', '.join(map(str, _LOOKUP))})
+UNION ALL SELECT 'checkpoints', id, s3_path FROM ckpt_t WHERE id IN ({', '.join(map(str, _LOOKUP))})
+UNION ALL SELECT 'models', id, name FROM models_t WHERE id IN ({', '.join(map(str, _LOOKUP))})
+UNION ALL SELECT 'endpoints', id, status FROM endpoints_t WHERE id IN ({', '.join(map(str, _LOOKUP))})
+UNION ALL SELECT 'api_keys', endpoint_id, key_hash FROM api_keys_t WHERE endpoint_id IN ({', '.join(map(str, _LOOKUP))})""")
+def q_registry_lookup(spark, sf):
+    # Six whole tables are stored for lookups; each lookup reads the row groups of its ids.
+    from ..session import scratch_path
+    keys = FX.api_keys(spark, sf).withColumnRenamed("endpoint_id", "id")
+    out = None
+    for entity, df, detail in (("datasets", FX.datasets(spark, sf), "status"), ("training_runs", FX.training_runs(spark, sf), "gpu_type"),
+                               ("checkpoints", FX.checkpoints(spark, sf), "s3_path"), ("models", FX.models(spark, sf), "name"),
+                               ("endpoints", FX.endpoints(spark, sf), "status"), ("api_keys", keys, "key_hash")):
+        path = scratch_path(spark, f"registry-{entity}")
+        registry_store.write_table(df, path)
+        part = registry_store.lookup(spark, path, _LOOKUP).select(F.lit(entity).alias("entity"), "id", F.col(detail).alias("detail"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("list_runs_rows", D.with_(D.RUNS) + """SELECT CAST(project_id AS BIGINT) AS project_id, id, dataset_id, experiment_name, status, gpu_type, base_model, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank FROM runs_t) WHERE rank <= 20""")
+def q_list_runs_rows(spark, sf):
+    page = registry.page_by_group(FX.training_runs(spark, sf), "project_id", offset=0, limit=20)
+    return page.select("project_id", "id", "dataset_id", "experiment_name", "status", "gpu_type", "base_model", "rank")
+
+
+@query("list_models_rows", D.with_(D.MODELS) + """SELECT CAST(project_id AS BIGINT) AS project_id, id, run_id, name, base_model, epoch_us(created_at) AS created_us, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank FROM models_t) WHERE rank <= 50""")
+def q_list_models_rows(spark, sf):
+    page = registry.page_by_group(FX.models(spark, sf), "project_id", offset=0, limit=50)
+    return page.select("project_id", "id", "run_id", "name", "base_model", F.unix_micros("created_at").alias("created_us"), "rank")
+
+
+@query("run_detail_rows", D.with_(D.RUNS, D.CHECKPOINTS) + """SELECT r.id, r.status, c.id AS checkpoint_id, CAST(c.step AS BIGINT) AS checkpoint_step,
+  c.is_best AS checkpoint_is_best, epoch_us(c.created_at) AS checkpoint_us FROM runs_t r LEFT JOIN ckpt_t c ON c.run_id = r.id""")
+def q_run_detail_rows(spark, sf):
+    d = registry.run_detail(FX.training_runs(spark, sf).select("id", "status"), FX.checkpoints(spark, sf))
+    return d.select("id", "status", "checkpoint_id", "checkpoint_step", "checkpoint_is_best", F.unix_micros("checkpoint_created_at").alias("checkpoint_us"))
+
+
 # ================================================================ registry: projections and gates
 
 
@@ -555,6 +600,14 @@ def q_metric_range(spark, sf):
   CASE WHEN val_loss IS NOT NULL AND val_loss <> 0 THEN ', val_loss: ' || {D.fixed4('val_loss')} ELSE '' END AS message
 FROM metrics_t WHERE loss IS NOT NULL""")
 def q_log_lines(spark, sf):
+    return registry.run_log_lines(FX.run_metrics(spark, sf)).select("run_id", "step", "message")
+
+
+@query("run_log_rows", D.with_(D.METRICS) + f"""SELECT run_id, CAST(step AS BIGINT) AS step,
+  'Step ' || CAST(step AS VARCHAR) || ' — loss: ' || {D.fixed4('loss')} ||
+  CASE WHEN val_loss IS NOT NULL AND val_loss <> 0 THEN ', val_loss: ' || {D.fixed4('val_loss')} ELSE '' END AS message,
+  strftime(recorded_at, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM metrics_t WHERE loss IS NOT NULL""")
+def q_log_rows(spark, sf):
     return registry.run_log_lines(FX.run_metrics(spark, sf))
 
 
@@ -608,6 +661,21 @@ def q_verify(spark, sf):
     return registry.verify_api_key(req, FX.api_keys(spark, sf))
 
 
+@query("verify_header", D.with_(D.API_KEYS) + """, req AS (
+  SELECT s_suppkey AS request_id, s_suppkey AS endpoint_id,
+         CASE s_suppkey % 5 WHEN 0 THEN 'Basic ' || s_name WHEN 1 THEN 'Bearer   ' WHEN 2 THEN 'Bearer wrong' WHEN 3 THEN NULL ELSE 'Bearer  ' || s_name || ' ' END AS h
+  FROM supplier)
+SELECT r.request_id, r.endpoint_id, CASE WHEN h IS NULL OR NOT starts_with(h, 'Bearer ') THEN 'missing_header' WHEN trim(substr(h, 8)) = '' THEN 'missing_key'
+  WHEN EXISTS (SELECT 1 FROM api_keys_t k WHERE k.endpoint_id = r.endpoint_id AND k.key_hash = sha256(trim(substr(r.h, 8))) AND k.revoked_at IS NULL)
+  THEN 'ok' ELSE 'invalid' END AS verdict FROM req r""")
+def q_verify_header(spark, sf):
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    header = (F.when(k % 5 == 0, F.concat(F.lit("Basic "), name)).when(k % 5 == 1, "Bearer   ").when(k % 5 == 2, "Bearer wrong")
+              .when(k % 5 == 4, F.concat(F.lit("Bearer  "), name, F.lit(" "))))
+    req = table(spark, sf, "supplier").select(k.alias("request_id"), k.alias("endpoint_id"), header.alias("auth_header"))
+    return registry.verify_header(req, FX.api_keys(spark, sf))
+
+
 @query("run_detail", D.with_(D.RUNS, D.CHECKPOINTS) + """SELECT r.id, r.status, c.id AS checkpoint_id,
   CAST(c.step AS BIGINT) AS checkpoint_step FROM runs_t r LEFT JOIN ckpt_t c ON c.run_id = r.id""")
 def q_run_detail(spark, sf):
@@ -629,6 +697,37 @@ def q_cascade_metrics(spark, sf):
     return registry.cascade_delete(FX.run_metrics(spark, sf), deleted, fk="run_id").select("run_id", "step")
 
 
+@query("cascade_delete_endpoints", D.with_(D.MODELS, D.ENDPOINTS) + """SELECT e.id, e.model_id FROM endpoints_t e
+WHERE e.model_id NOT IN (SELECT id FROM models_t WHERE project_id = 3)""")
+def q_cascade_endpoints(spark, sf):
+    deleted = FX.models(spark, sf).filter("project_id = 3")
+    return registry.cascade_delete(FX.endpoints(spark, sf), deleted, fk="model_id").select("id", "model_id")
+
+
+@query("delete_restrict_models", D.with_(D.RUNS, D.MODELS) + """SELECT r.id FROM runs_t r
+WHERE r.status = 'completed' AND EXISTS (SELECT 1 FROM models_t m WHERE m.run_id = r.id)""")
+def q_restrict_models(spark, sf):
+    deleted = FX.training_runs(spark, sf).filter(F.col("status") == "completed")
+    return registry.delete_restrict(deleted, FX.models(spark, sf), fk="run_id").select("id")
+
+
+@query("status_check", D.with_(D.DATASETS, D.RUNS, D.ENDPOINTS) + """SELECT 'datasets' AS entity, id, status,
+  status IS NULL OR status IN ('uploading', 'processing', 'cleaning', 'ready', 'failed') AS allowed FROM datasets_t
+UNION ALL SELECT 'training_runs', id, status, status IS NULL OR status IN ('queued', 'provisioning', 'downloading', 'training', 'saving',
+  'paused', 'completed', 'failed', 'cancelled') FROM runs_t
+UNION ALL SELECT 'endpoints', id, status, status IS NULL OR status IN ('starting', 'running', 'stopping', 'stopped', 'failed') FROM endpoints_t
+UNION ALL SELECT 'orders', o_orderkey, o_orderstatus, false FROM orders""")
+def q_status_check(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    parts = [(FX.datasets(spark, sf), "datasets", registry.DATASET_STATUSES), (FX.training_runs(spark, sf), "training_runs", registry.RUN_STATUSES),
+             (FX.endpoints(spark, sf), "endpoints", registry.ENDPOINT_STATUSES), (orders, "orders", registry.RUN_STATUSES)]
+    out = None
+    for df, entity, allowed in parts:
+        part = df.select(F.lit(entity).alias("entity"), "id", "status", registry_store.status_allowed(F.col("status"), allowed).alias("allowed"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("delete_restrict", D.with_(D.RUNS, D.DATASETS) + """SELECT d.id FROM datasets_t d
 WHERE d.status = 'failed' AND EXISTS (SELECT 1 FROM runs_t r WHERE r.dataset_id = d.id)""")
 def q_restrict(spark, sf):
@@ -1098,14 +1197,18 @@ def q_rl_stream(spark, sf):
     return run_append(s, "rate-limit-out", conf=stream_limiter.QUERY_CONF).select("event_id", "verdict", "retry_after")
 
 
-@query("cleaning_stream", _FLAGSHIP_SQL + f"SELECT text FROM r WHERE {D.ascii_ratio('text')} > 0.85")
+@query("cleaning_stream", _FLAGSHIP_SQL + f"SELECT doc_id, text FROM r WHERE {D.ascii_ratio('text')} > 0.85")
 def q_cleaning_stream(spark, sf):
-    d = docs(spark, sf).select("doc_id", "lang", "text")
-    # Arrival order cannot change the output (copies share their text and the
-    # filters read only the text), so the input needs no ordering.
-    path = write_stream_files(d, "docs-stream", batches=5)
-    out = stream_cleaning.run_stream_pipeline(read_stream(spark, path, d.schema), FLAGSHIP_NODES, order_col="doc_id")
-    return run_append(out, "cleaning-stream-out").select("text")
+    # Copies arrive out of order (a document is late by up to 1,000 places); the smallest doc_id of each text stays all the same.
+    d = docs(spark, sf).select("doc_id", "lang", "text", F.timestamp_millis("doc_id").alias("ts"))
+    end = d.agg(F.max("ts").alias("ts")).filter("ts is not null").select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("lang"),
+                                                 F.lit("").alias("text"), (F.col("ts") + F.expr("interval 40000 days")).alias("ts"))
+    arrived = d.withColumn("at", F.col("doc_id") + F.pmod(F.xxhash64("doc_id"), F.lit(1000))).unionByName(
+        end.withColumn("at", F.lit((1 << 62) - 1).cast("bigint")))  # the last record moves the watermark behind all others
+    path = write_stream_files(arrived, "docs-stream", batches=5, order_col="at", in_order=True)
+    stream = read_stream(spark, path, arrived.schema).drop("at")
+    out = stream_cleaning.run_stream_pipeline(stream, FLAGSHIP_NODES, order_col="doc_id", event_time="ts", within="20000 days", lateness="10 seconds")
+    return run_append(out, "cleaning-stream-out", conf=stream_limiter.QUERY_CONF).select("doc_id", "text")
 
 
 # ================================================================ whole files and inventories

@@ -1,13 +1,11 @@
 """The cleaning pipeline on a stream.
 
 Filters, redaction and the language heuristic are stateless and run on the
-stream unchanged.  Dedup becomes stateful: ``dropDuplicates`` keeps the first
-arrival of each fingerprint across micro-batches (within one micro-batch the
-survivor is arbitrary; every copy carries the same text, so the output text is
-the same either way).  The state holds one entry per distinct key for the
-lifetime of the query: use a RocksDB state store for large key spaces, or
-``dropDuplicatesWithinWatermark`` when duplicates are known to arrive close in
-time.
+stream unchanged.  Dedup becomes stateful.  With event times the copy of the smallest
+ordinal wins in any order of arrival and state expires behind the watermark
+(``stream_first``); without them the first arrival of each fingerprint stays
+(``stream_dedup``; within one micro-batch the survivor is arbitrary) and its
+fingerprint is held as long as the query runs.
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
-from ..plans.pipeline import run_pipeline
+from ..plans.pipeline import _fence, run_pipeline
 
 
 def stream_identity(df: DataFrame, key: str | None, order_col: str = "ord"):
@@ -54,7 +52,37 @@ def stream_dedup(df: DataFrame, *, key: str | None = None, order_col: str = "ord
     return tagged.dropDuplicates(["__id"]).drop("__id")
 
 
-def run_stream_pipeline(stream: DataFrame, nodes: list[dict], *, order_col: str = "ord") -> DataFrame:
+def stream_first(df: DataFrame, *, key: str | None = None, order_col: str = "ord", event_time: str, within: str, **_kwargs) -> DataFrame:
+    """The copy of the smallest ordinal survives, whatever order copies arrive in.
+
+    Copies no further apart than ``within`` in event time are one run.  The state holds the
+    run's first record so far (smallest ordinal) and its time span; when the watermark has
+    passed the run's end by ``within`` the record is emitted and the state goes, so state is
+    bounded by the records of ``within`` and the lateness.  A copy after that
+    begins a new run.  The stream needs a watermark on ``event_time``.
+    """
+    cols = [c for c in df.columns]
+    tagged = df.withColumn("__id", stream_identity(df, key, order_col))
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.col(order_col))
+    return tagged.groupBy("__id", F.session_window(event_time, within)).agg(first.alias("__first")).select("__first.*")
+
+
+def run_stream_pipeline(stream: DataFrame, nodes: list[dict], *, order_col: str = "ord", event_time: str | None = None,
+                        within: str | None = None, lateness: str = "10 minutes") -> DataFrame:
     """The batch compiler (filter hoisting, single evaluation of redaction) with
-    the stateful dedup: filters hoisted before a dedup also shrink its state."""
-    return run_pipeline(stream, nodes, order_col=order_col, dedup=stream_dedup)
+    the stateful dedup: filters hoisted before a dedup also shrink its state.
+
+    With ``event_time`` and ``within`` a dedup keeps the first copy by ordinal
+    (``stream_first``): output equals the batch pipeline's for copies no further apart
+    than ``within`` that arrive within ``lateness``, one dedup node.  Without them the first arrival stays
+    and its fingerprint is kept as long as the query runs.
+    """
+    if event_time is None or within is None:
+        return run_pipeline(stream, nodes, order_col=order_col, dedup=stream_dedup)
+
+    def first(df, **params):
+        return stream_first(df, event_time=event_time, within=within, **params)
+
+    # Every record moves the watermark on, also one that a filter drops: the fence keeps filters above it.
+    timed = _fence(stream.withWatermark(event_time, lateness))
+    return run_pipeline(timed, nodes, order_col=order_col, dedup=first)

@@ -78,6 +78,18 @@ def test_stream_dedup_keyless_rows_use_full_row_identity(spark):
     assert got == [(None, "a"), (None, "b"), ("k", "x")]
 
 
+def test_first_copy_wins_in_any_order_and_state_expires(spark):
+    from sparkmill.streaming.cleaning import run_stream_pipeline
+    # (ord, text, second): copies arrive out of order; "a" comes again long after its run has ended; the last record ends all runs.
+    arrival = [(5, "a", 50), (2, "a", 20), (3, "x", 30), (9, "b", 90), (8, "b", 80), (1, "a", 10), (60, "a", 5000), (70, "z", 90_000)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(arrival)], "k long, ord long, text string, t long").withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000)).drop("t")
+    path = write_stream_files(df, "t-first", batches=8, order_col="k", in_order=True, files_per_batch=1)
+    stream = read_stream(spark, path, df.schema, files_per_trigger=1).drop("k")
+    nodes = [{"node_type": "dedup", "params": {"key": "text"}}, {"node_type": "regex_filter", "params": {"pattern": "[xz]", "mode": "exclude"}}]
+    out = run_stream_pipeline(stream, nodes, event_time="ts", within="100 seconds", lateness="100 seconds")
+    assert rows(run_append(out, "t-first-out", conf=limiter.QUERY_CONF), "ord", "text") == [(1, "a"), (8, "b"), (60, "a")]
+
+
 def test_stream_dedup_within_watermark(spark):
     from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
