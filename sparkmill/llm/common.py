@@ -27,7 +27,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED[id(out)] = (out, path)
+    return out
+
+
+#: Staged frames that a caller may drop, with their folders.
+_STAGED: dict[int, tuple[DataFrame, str]] = {}
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete the folders of staged ``frames`` whose readers have all been written out; other frames are left alone."""
+    for df in frames:
+        held, path = _STAGED.pop(id(df), (None, None))
+        if path is not None:
+            spark = held.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -117,13 +133,16 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).filter("n > 0")
         larger = join_by_key(both.filter("v > u"), m.select("u", F.least("u", "m").alias("m"), "n"), "u", "n", F.col("v"), total)
-        e = stage(larger.select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "cc")
+        before, e = e, stage(larger.select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "cc")
+        drop_staged(before)
+        large = e
         # small star: smaller neighbours and the node itself link to the smallest of them
         m = e.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
         joined = join_by_key(e, m, "hi", "n", F.col("lo"), total)  # no more edges than before
         e = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).filter("lo < hi").unionByName(
             m.select(F.col("m").alias("lo"), "hi")).distinct()
-        e = stage(e, "cc")
+        before, e = large, stage(e, "cc")
+        drop_staged(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if signature == now:
             break
