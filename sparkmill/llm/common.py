@@ -51,6 +51,21 @@ def ship(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def _trim() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass
+
+
 def lean(run):
     """A function over batches for ``mapInArrow`` that leaves no memory behind in its worker.
 
@@ -58,38 +73,32 @@ def lean(run):
     for its next task goes; after the last one, freed memory returns to the system.
     """
     def wrapped(batches):
-        import ctypes
         import sys
 
-        import pyarrow as pa
-
         tokenizer = sys.modules.get("sparkmill.llm.sentencepiece_viterbi")
-        if tokenizer is not None:
-            tokenizer.forget()
+        if tokenizer is not None and tokenizer.forget():
+            _trim()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # another C library: nothing to return
-                pass
+            _trim()
 
     return wrapped
 
 
 def lean_group(run):
-    """`lean` for a function of one pandas frame, as ``applyInPandas`` takes it."""
+    """`lean` for a function of one pandas frame, as ``applyInPandas`` takes it; memory is returned after large frames."""
     def wrapped(pdf):
-        import ctypes
+        import sys
 
+        tokenizer = sys.modules.get("sparkmill.llm.sentencepiece_viterbi")
+        if tokenizer is not None and tokenizer.forget():
+            _trim()
         try:
             return run(pdf)
         finally:
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:
-                pass
+            if len(pdf) > 100:
+                _trim()
 
     return wrapped
 

@@ -53,9 +53,9 @@ TAG = 5
 #: Sizes are told apart by 1 / LEVELS of their logarithm.
 LEVELS = 64
 #: Bytes of text of which a task holds the shingles at a time.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 #: Rows of an Arrow batch looked at together.
-ROWS = 400
+ROWS = 200
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 

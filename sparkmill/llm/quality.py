@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import ship, stage
+from sparkmill.llm.common import lean, ship, stage
 
 FEATURES = 256
 RIDGE = 1e-4
@@ -205,7 +205,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
             x = np.array([statistics(t.as_py()) for t in texts]).reshape(b.num_rows, len(STATISTICS))
             yield b.filter(pa.array(model.score(x) >= 0.5, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

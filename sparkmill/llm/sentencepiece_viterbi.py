@@ -52,6 +52,8 @@ class Model:
     types: list[int]
     dummy_prefix: bool
     known: dict = field(default_factory=dict)
+    #: Words remembered from batch to batch.
+    most: int = KEPT_WORDS
 
     def __post_init__(self):
         self.known = {p: i for i, p in enumerate(self.pieces) if self.types[i] in (_NORMAL, _USER)}
@@ -249,7 +251,7 @@ def encode_batch(model: Model, texts: list[str | None]) -> list[np.ndarray | Non
         t = (SPACE if model.dummy_prefix else "") + t.replace(" ", SPACE) if t else ""
         cut.append(_WORD.findall(t) if model.splits else [t] if t else [])
     kept = model.lattice_words
-    if len(kept) > KEPT_WORDS:
+    if len(kept) > model.most:
         kept.clear()
     by_length: dict[int, list[str]] = {}
     for w in {w for words in cut for w in words if w not in kept}:
@@ -325,9 +327,11 @@ def _model(state: tuple) -> Model:
     return _MODELS[key]
 
 
-def forget() -> None:
-    """Free the worker's model with the words and pairs it remembers; the next task of the tokenizer builds it anew."""
+def forget() -> bool:
+    """Free the worker's model with the words and pairs it remembers (whether there was one); the next task builds it anew."""
+    had = bool(_MODELS)
     _MODELS.clear()
+    return had
 
 
 def _groups(texts):
@@ -386,12 +390,13 @@ def decode(rows: DataFrame, path: str = MODEL, column: str = "ids", into: str =
     return rows.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in rows.dtypes) + f", `{into}` string")
 
 
-def token_rows(documents: DataFrame, path: str = MODEL) -> DataFrame:
+def token_rows(documents: DataFrame, path: str = MODEL, kept_words: int = KEPT_WORDS) -> DataFrame:
     """The result of the tokens query: ids of each whole text, their number, and whether decoding gives the text back.
 
     The space mark itself decodes to a space, as in the public library.  A null
     text has null ids and no tokens, and comes back as null.  Rows are answered one by one,
-    also where ids repeat or are null; an empty table gives no rows.
+    also where ids repeat or are null; an empty table gives no rows.  A worker remembers
+    ``kept_words`` words at most, which takes memory and saves time.
     """
     ship(documents.sparkSession)
     m = load(path)
@@ -401,6 +406,7 @@ def token_rows(documents: DataFrame, path: str = MODEL) -> DataFrame:
         model = None
         for b in batches:
             model = model or _model(state)
+            model.most = kept_words
             done = 0
             for texts in _groups(b.column(1).to_pylist()):
                 ids = encode_batch(model, texts)
