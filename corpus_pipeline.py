@@ -1,8 +1,11 @@
 """Corpus pipeline: quality, near duplicates, secrets, mixing, tokens, each a stage over `documents`.
 
 Every stage takes whole rows with the columns of documents and hands on the same
-columns (the last one: tokens).  Rows of null doc_id pass through all stages;
-empty tables give empty results.
+columns (the last one: tokens); other columns, of any name, are left aside by every
+stage.  Rows of null doc_id pass through all stages; empty tables give empty results.
+Equal rows are decided row by row: one of them stays among near duplicates, and each
+is scored, scanned, mixed and encoded on its own.  Ties go to the smallest doc_id, then
+to the first row.  Texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from sparkmill.llm.common import stage, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The stage on word shingles: five words, similarity 0.8 or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Words that a worker of the tokens stage remembers: workers of five stages share an executor.
+KEPT_WORDS = 100_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +75,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and whether the ids decode to the text, of each document."""
-    return sentencepiece_viterbi.token_rows(docs)
+    return sentencepiece_viterbi.token_rows(docs, kept_words=KEPT_WORDS)
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("secrets", drop_secrets), ("mixing", mix_sources), ("tokens", tokens)]
