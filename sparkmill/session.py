@@ -57,14 +57,16 @@ def get_session(master: str | None = None, app: str = "sparkmill", shuffle_parti
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage/scratch folder of this cluster.
 
-    Read from the session; only when it is unset (local runs, tests) do we
-    create and register a local one.
+    Read from the session; only when it is unset in local mode (one machine: tests, bench)
+    do we create and register a local one.  On a cluster an unset folder is an error.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: only the session setting is visible
         d = spark.conf.get("spark.checkpoint.dir", None)
-        return d or tempfile.mkdtemp(prefix="sparkmill-ckpt-")
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share") from None
+        return d
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -72,6 +74,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(d)
             d = sc.getCheckpointDir()
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="sparkmill-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
