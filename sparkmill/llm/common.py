@@ -87,18 +87,14 @@ def lean(run):
 
 
 def lean_group(run):
-    """`lean` for a function of one pandas frame, as ``applyInPandas`` takes it; memory is returned after large frames."""
+    """`lean` for a function of one pandas frame, as ``applyInPandas`` takes it; groups are small, so memory stays till the next `lean`."""
     def wrapped(pdf):
         import sys
 
         tokenizer = sys.modules.get("sparkmill.llm.sentencepiece_viterbi")
         if tokenizer is not None and tokenizer.forget():
             _trim()
-        try:
-            return run(pdf)
-        finally:
-            if len(pdf) > 100:
-                _trim()
+        return run(pdf)
 
     return wrapped
 

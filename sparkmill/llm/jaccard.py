@@ -40,8 +40,6 @@ WORDS, PERCENT = 4, 85
 BLOCK = 512
 #: Up to so many sets share a shingle before a matrix product is cheaper than their pairs.
 FEW = 24
-#: Candidate pairs of a block from which on overlaps are counted by one sparse product.
-MANY = 2000
 #: Counters of the sketch: 2 ** SKETCH_BITS of them at every size of the corpus
 #: (8 MB on the driver and in a worker), sent in pieces of PIECE.
 SKETCH_BITS, PIECE = 21, 1 << 14
@@ -53,9 +51,9 @@ TAG = 5
 #: Sizes are told apart by 1 / LEVELS of their logarithm.
 LEVELS = 64
 #: Bytes of text of which a task holds the shingles at a time.
-AT_ONCE = 500_000
+AT_ONCE = 1_000_000
 #: Rows of an Arrow batch looked at together.
-ROWS = 200
+ROWS = 400
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -243,28 +241,17 @@ def _joining(queries, query_of, members, member_of, seen: np.ndarray, percent: i
             x = root[x]
         return x
 
-    # pairs that a link allows: counted together by one sparse product where there are many, one by one where there are few
-    rows, cols = np.nonzero(near)
-    if len(rows) > MANY:
-        some, others = np.unique(rows), np.unique(cols)
-        inside = np.rint(_overlaps([queries[i] for i in some], [members[j] for j in others])).astype(np.int64)[np.searchsorted(some, rows), np.searchsorted(others, cols)]
-        linked = 100 * inside >= percent * (qn[rows] + mn[cols] - inside)
-        rows, cols = rows[linked], cols[linked]
-    else:
-        linked = None
     out = []
-    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
         a, b = find(query_of[i]), find(member_of[j])
         if a == b:
             continue
-        if linked is None:
-            small, large = sorted((queries[i], members[j]), key=len)
-            at = np.searchsorted(large, small)
-            inside = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            if 100 * inside < percent * (len(small) + len(large) - inside):
-                continue
-        root[max(a, b)] = min(a, b)
-        out.append((i, j))
+        small, large = sorted((queries[i], members[j]), key=len)
+        at = np.searchsorted(large, small)
+        inside = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+        if 100 * inside >= percent * (len(small) + len(large) - inside):
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
     return out
 
 
