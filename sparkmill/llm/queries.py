@@ -25,4 +25,4 @@ QUERIES = {
     "op13_parsed_collocations": lambda s, d: collocations.collocations(table(s, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {"op2_zip_warc": warc_zip.SQL, "op10_pivot_table": pivots.SQL}
+ORACLE: dict[str, str] = {"op2_zip_warc": warc_zip.SQL, "op10_pivot_table": pivots.SQL, "op13_parsed_collocations": collocations.SQL}
