@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
+#: Tasks that create the files of ``write_file_per_row``; a task creates a million at most (Spark's limit).
+FILE_TASKS = 96
+
 
 def derived_key(key: str, suffix: str = "") -> str:
     """``x.csv`` → ``x{suffix}.jsonl`` (text before the last dot, as the reference names outputs)."""
@@ -36,3 +39,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
      .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).option("lineSep", "\n").csv(path))
+
+
+def write_file_per_row(df: DataFrame, path: str, value_col: str = "value") -> None:
+    """Every row as a text file of its own, all in one folder.
+
+    The rows are spread first, since creating a file takes longer than the row: without
+    it small rows would all be in one task.  Each task moves its files to the folder itself (the
+    committer's second algorithm), where the driver would move them one by one.
+    """
+    spread = df.select(F.col(value_col).alias("value")).repartition(FILE_TASKS, F.xxhash64(value_col))
+    (spread.write.option("maxRecordsPerFile", 1).option("lineSep", "\n")
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path))
