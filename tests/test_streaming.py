@@ -131,3 +131,21 @@ def test_metric_rows_are_aggregated_once_and_messages_not_shuffled(spark, tmp_pa
     names = spark.createDataFrame([(one,), ("training:-5:metrics",), ("training:01:metrics",), ("training:1:metrics\n",), ("training::metrics",),
                                    ("training:9999999999999999999:metrics",), ("x",), (None,)], "channel string")
     assert [r[0] for r in names.select(metrics.run_of(F.col("channel"))).collect()] == [1, -5, *[None] * 6]
+
+
+def test_clients_of_a_bucket_are_judged_each_by_itself():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    client, us = rng.integers(0, 40, 3000) * 3, rng.integers(0, 2000, 3000)
+    order = np.lexsort((us, client))
+    client, us = client[order], us[order]
+    before = sorted({(int(c), int(t)) for c, t in zip(rng.integers(0, 150, 500), rng.integers(-300, 0, 500), strict=True)})
+    of, members = (np.array([m[k] for m in before], np.int64) for k in (0, 1))
+    prior, oldest, (who, times) = limiter.Limiter._tier(client, us, of, members, 250)
+    assert list(zip(who.tolist(), times.tolist(), strict=True)) == sorted({*before, *zip(client.tolist(), us.tolist(), strict=True)})
+    for k in range(0, 3000, 37):
+        same = client == client[k]
+        inside = sorted({t for c, t in before if c == client[k] and t > us[k] - 250} | {int(t) for t in us[same & (us > us[k] - 250) & (us <= us[k])]})
+        again = int(k > 0 and client[k - 1] == client[k] and us[k - 1] == us[k])
+        assert (prior[k], oldest[k]) == (len(inside) - 1 + again, inside[0])
