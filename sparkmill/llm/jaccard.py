@@ -11,7 +11,8 @@ cost time and never a link.  A group is stored in blocks with the union of the
 block's shingles.  A query document opens a block only if its overlap with the
 union reaches the share that a link needs; inside an opened block overlaps are
 counted for members that share a prefix shingle with the query, are near it in size
-and not yet connected with it.  Blocks hold whole families where these are small,
+and not yet connected with it.  A quarter of all hashes decides first which documents
+are sent at all: what two sets share there and all that lies outside bound their overlap.  Blocks hold whole families where these are small,
 and first meet the group's first block; then only documents outside the group's main
 component query other blocks, and of these the ones that hold a document of another
 component with a shingle of their prefix.
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import components, drop_staged, join_by_key, lean, lean_group, ship, stage
+from sparkmill.llm.common import components, drop_staged, join_by_key, lean, lean_group, ship, sifted, stage
 from sparkmill.llm.pfp import _BYTE, _M, _U, _batches, _entries, _keyed, _mix, _split
 
 WORDS, PERCENT = 4, 85
@@ -48,6 +49,8 @@ SHARE = 12_000_000
 LEAST_PARTS = 61
 #: Bytes of a signature that are sent beside its bucket: equal ones by chance make a group larger, no link is lost.
 TAG = 5
+#: Which documents open a block, and of which, is first bounded by one in SAMPLE of their shingles.
+SAMPLE = 4
 #: Sizes are told apart by 1 / LEVELS of their logarithm.
 LEVELS = 64
 #: Bytes of text of which a task holds the shingles at a time.
@@ -255,6 +258,34 @@ def _joining(queries, query_of, members, member_of, seen: np.ndarray, percent: i
     return out
 
 
+def _low(h: np.ndarray) -> np.ndarray:
+    """32 bits of the hashes in the lowest 1 / SAMPLE; ``h`` ascends."""
+    return np.unique((h[:np.searchsorted(h, _U(2 ** 64 // SAMPLE))] >> _U(30)).astype(np.uint32))
+
+
+def _hopeful(queries, qn, query_of, members, mn, member_of, percent: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each query, and each member, may link with a member, or query, of another component.
+
+    ``queries`` and ``members`` are samples (`_low`) of sets of ``qn`` and ``mn`` shingles.  Two sets
+    share what their samples share at most, and all that either one's sample leaves out (equal bits of
+    different hashes included); a pair that stays below the overlap of a link this way is none.
+    """
+    some, any_ = np.zeros(len(queries), bool), np.zeros(len(members), bool)
+    qu, mu = np.array([len(x) for x in queries]), np.array([len(x) for x in members])
+    union = np.unique(np.concatenate(members))
+    inside = np.array([int(np.isin(x, union, assume_unique=True).sum()) for x in queries])
+    opened = np.flatnonzero(100 * (inside + qn - qu) >= percent * qn)
+    for at in range(0, len(opened), block):
+        k = opened[at:at + block]
+        most = np.rint(_overlaps([queries[i] for i in k], members)).astype(np.int64) + np.minimum((qn - qu)[k][:, None], (mn - mu)[None])
+        near = (100 + percent) * most >= percent * (qn[k][:, None] + mn[None])
+        near &= 100 * np.minimum(qn[k][:, None], mn[None]) >= percent * np.maximum(qn[k][:, None], mn[None])
+        near &= query_of[k][:, None] != member_of[None]
+        some[k] |= near.any(axis=1)
+        any_ |= near.any(axis=0)
+    return some, any_
+
+
 def _measured(rows: int, *columns) -> pa.RecordBatch:
     types = [pa.int64()] * 6 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)],
@@ -383,13 +414,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
     wide = placed.filter("blocks > 1").groupBy("family").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > block // 2)
     placed = join_by_key(placed, stage(wide.withColumn("wide", F.lit(True)), "jaccard-wide"), "family", "rows", F.col("id"))
     placed = placed.withColumn("blk", F.pmod(F.when(F.col("wide"), F.xxhash64("id")).otherwise(F.xxhash64("least")), F.col("blocks"))).withColumn("wide", F.col("wide").isNotNull()).drop("family", "least")
+    placed = stage(placed, "jaccard-placed")
 
     def press(batches):
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.as_py().encode()) for t in b.column(1)], pa.binary())], ["id", "blob"])
 
-    pressed = base.filter("id is not null and text is not null").mapInArrow(lean(press), "id bigint, blob binary")
+    # only texts of groups of several sets are pressed and shuffled
+    pressed = sifted(base.filter("id is not null and text is not null"), placed.select("id"), "id").filter("_may").select("id", "text").mapInArrow(lean(press), "id bigint, blob binary")
     stored = stage(pressed.join(placed, "id").select("id", "grp", "blk", "blocks", "wide", "blob"), "jaccard-blocks")
     kinds = "a bigint, b bigint"
 
@@ -425,15 +458,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
                 for at, buf, starts in _batches(((i, z.decompress(x.as_py())) for i, x in enumerate(b.column(5))), AT_ONCE):
                     doc, h = shingles(buf, starts, words)
                     sig, d = signatures(doc, h, np.bincount(doc, minlength=len(at)), sketch.value, percent)
-                    rows = pa.array(at[d], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(5)), pa.array(sig.view(np.int64))], ["grp", "id", "blk", "component", "outside", "sig"])
+                    n = np.bincount(doc, minlength=len(at))
+                    low = [_low(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
+                    rows, names = pa.array(np.r_[at[d], at], pa.int64()), ["grp", "id", "blk", "component", "outside", "sig", "n", "low"]
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(5)), pa.array([*sig.view(np.int64).tolist(), *[None] * len(at)], pa.int64()),
+                                                      pa.array([None] * len(sig) + n.tolist(), pa.int64()), pa.array([None] * len(sig) + low, pa.binary())], names)
 
         signed = rest.join(stored.filter("blocks > 1").select("id", "blob"), "id").select("grp", "id", "blk", "component", "outside", "blob")
-        signed = stage(signed.mapInArrow(lean(prefixes), "grp bigint, id bigint, blk bigint, component bigint, outside boolean, sig bigint"), "jaccard-prefixes")
+        signed = stage(signed.mapInArrow(lean(prefixes), "grp bigint, id bigint, blk bigint, component bigint, outside boolean, sig bigint, n bigint, low binary"), "jaccard-prefixes")
+        prefixed, lows = signed, signed.filter("sig is null").select("id", "n", "low")
+        signed = prefixed.filter("sig is not null").drop("n", "low")
         # the blocks that hold a document of another component with the same signature
         met = signed.groupBy("grp", "sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_set("blk")).alias("blks"), F.count(F.lit(1)).alias("rows"))
         met = stage(met.filter("lo < hi").select(F.struct("grp", "sig").alias("key"), "blks", "rows"), "jaccard-met")
-        hits = join_by_key(signed.withColumn("key", F.struct("grp", "sig")), met, "key", "rows", F.col("id")).filter("blks is not null")
+        shared = sifted(signed.withColumn("key", F.struct("grp", "sig")), met, "key").filter("_may").drop("_may", "grp", "sig")
+        hits = join_by_key(shared, met, "key", "rows", F.col("id")).filter("blks is not null").withColumn("grp", F.col("key.grp"))
         hits = stage(hits.select("grp", "id", "blk", "component", "outside", "blks").distinct(), "jaccard-hits")
         asks = hits.filter("outside").withColumn("at", F.explode("blks")).filter("at <> blk").select("grp", "at", "id", "component").distinct()
         asks = stage(asks, "jaccard-asks")
@@ -442,7 +481,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
         sent = asks.join(chunks, ["grp", "at"]).select("id", "grp", "at", "component", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"))
         sent = sent.unionByName(hits.select("id", "grp", F.col("blk").alias("at"), "component").distinct().join(chunks, ["grp", "at"]).select("id", "grp", "at", "component", every.alias("chunk"), F.lit(False).alias("asks")))
-        sent = sent.join(stored.filter("blocks > 1").select("id", "blob"), "id")
+
+        def sift_block(pdf: pd.DataFrame) -> pd.DataFrame:
+            some, group = (x.drop_duplicates(["id", "low"]) for x in (pdf[pdf["asks"]], pdf[~pdf["asks"]]))
+            if len(group) and len(some):
+                of = [([np.frombuffer(b, np.uint32) for b in x["low"]], x["n"].to_numpy(), x["component"].to_numpy()) for x in (some, group)]
+                one, other = _hopeful(*of[0], *of[1], percent)
+                pdf = pd.concat([some[one], group[other]]).drop_duplicates(["id", "asks"])
+            else:
+                pdf = pdf[:0]
+            return pdf[["id", "grp", "at", "component", "chunk", "asks"]]
+
+        kept = "id bigint, grp bigint, at bigint, component bigint, chunk bigint, asks boolean"
+        sent = sent.join(lows, "id").groupBy("grp", "at", "chunk").applyInPandas(lean_group(sift_block), kept)
+        sent = stage(sent, "jaccard-sent")
+        texts = sifted(stored.filter("blocks > 1").select("id", "blob"), sent, "id").filter("_may").drop("_may")
 
         def open_block(pdf: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -462,10 +515,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
                     out += [(names[part[x]], ids[y]) for x, y in pairs]
             return pd.DataFrame(out, columns=["a", "b"])
 
-        later = sent.groupBy("grp", "at", "chunk").applyInPandas(lean_group(open_block), kinds)
+        later = sent.join(texts, "id").groupBy("grp", "at", "chunk").applyInPandas(lean_group(open_block), kinds)
         found = found.unionByName(stage(later, "jaccard-later"))
-        drop_staged(named, top, signed, met, hits, asks, chunks)
-    drop_staged(stored, members, counts)
+        drop_staged(named, top, prefixed, met, hits, asks, chunks, sent)
+    drop_staged(stored, members, counts, placed)
 
     # one id under several sets is one node: the class of each of its sets is tied to it, and its rows without words are answered alike
     filled = sets.filter("id is not null").select("id", "n", F.struct("n", "s1", "s2").alias("set"))

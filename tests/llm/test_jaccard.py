@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from sparkmill.llm import jaccard as J
+from sparkmill.llm.common import sifted
 
 
 def sets(rows, words=4):
@@ -177,3 +178,28 @@ def test_components_of_a_hub_are_joined_in_pieces(spark, monkeypatch):
     got = {tuple(r) for r in common.components(edges).collect()}
     assert got == {(k, 1) for k in [*range(1, 3002), 4000, 5000]} | {(6000, 6000), (7000, 6000)}
     assert max(pieces) >= 3000  # the hub's links went through the salted join
+
+
+def test_samples_send_what_may_link_and_little_else():
+    r = np.random.default_rng(5)
+    hashes = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+    shared = hashes(200)  # a passage of all documents, far below the similarity of a link
+    own = [hashes(500) for _ in range(24)]
+    sets = [np.unique(np.r_[shared, x]) for x in own]
+    near = [np.unique(np.r_[x[:len(x) - 30], hashes(10)]) for x in sets[:4]]  # 670 of 710 shared
+    far = [np.unique(np.r_[shared, hashes(500)]) for _ in range(20)]
+    q, m = sets, near + far
+    low = lambda some: [J._low(x) for x in some]
+    size = lambda some: np.array([len(x) for x in some])
+    one, other = J._hopeful(low(q), size(q), np.arange(24), low(m), size(m), np.arange(24, 48), 85, block=5)
+    assert np.flatnonzero(one).tolist() == [0, 1, 2, 3] and np.flatnonzero(other).tolist() == [0, 1, 2, 3]
+    one, other = J._hopeful(low(q), size(q), np.arange(24), low(m), size(m), np.r_[0:4, 24:44], 85)  # connected already
+    assert not one.any() and not other.any()
+
+
+def test_sieve_keeps_every_key_it_was_given(spark):
+    rows = spark.range(3000).selectExpr("if(id % 50 = 0, null, id) as k", "id as v").unionByName(spark.range(10).selectExpr("id as k", "-id as v"))
+    got = sifted(rows, spark.range(0, 3000, 30).selectExpr("id as k"), "k")
+    assert got.columns == ["k", "v", "_may"] and got.count() == 3010
+    assert got.filter("k % 30 = 0 and not _may").isEmpty() and got.filter("_may").count() < 250
+    assert sifted(rows, rows.filter("false"), "k").filter("_may").isEmpty()
