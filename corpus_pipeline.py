@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmill.llm import jaccard, mixing, quality, secrets, sentencepiece_viterbi
-from sparkmill.llm.common import stage, table
+from sparkmill.llm.common import sifted, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The stage on word shingles: five words, similarity 0.8 or more.
@@ -27,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents the classifier rejects (score below 0.5) go; without labels all stay."""
     docs = docs.select(COLUMNS)
     labels = table(spark, sf_dir, "labels")
-    known = docs.join(labels.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    known = sifted(docs, labels, "doc_id").filter("_may").drop("_may")  # training joins the labels themselves, to rows without texts
     stats = stage(quality.document_statistics(known), "pipeline-stats")
     return quality.accepted(docs, quality.train(stats, labels))
 

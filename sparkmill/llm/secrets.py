@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import join_by_key, lean, ship, stage
+from sparkmill.llm.common import join_by_key, lean, ship, sifted, stage
 
 RULES_VERSION = "1"
 # The rules, in the order kinds are listed.
@@ -81,8 +81,11 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULE
     found = fresh if ledger is None else fresh.unionByName(known)
     entries = fresh.select("blob", F.lit(rules).alias("rules"), "spans")
     hits = stage(found.filter(F.size("spans") > 0), "secret-hits")
-    out = join_by_key(rows, hits, "blob", "n", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != "blob"]))
-    out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
+    # rows that surely have no findings stay where they are
+    asked = sifted(rows, hits, "blob")
+    out = join_by_key(asked.filter("_may").drop("_may"), hits, "blob", "n", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != "blob"]))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    out = out.withColumn("spans", F.coalesce("spans", none)).unionByName(asked.filter("not _may").drop("_may").withColumn("spans", none))
     return out, entries if ledger is None else ledger.unionByName(entries)
 
 

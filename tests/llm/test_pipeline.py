@@ -81,3 +81,28 @@ def test_mixing_of_null_and_repeated_ids(spark):
             n = sum(v for (j, _, x), v in times.items() if (j, x) == (i, s)) / 100
             assert abs(n - target[s] / size[s]) < 0.25, (i, s, n)
     assert all(abs(words[s] - target[s]) < 0.15 * target[s] for s in "abcd")
+
+
+def test_training_texts_are_not_shuffled_for_their_labels(spark, tmp_path, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('some text ', id) as text", "'en' as lang", "'s' as source", "12L as n_chars")
+    spark.range(0, 400, 4).selectExpr("id as doc_id", "cast(id % 8 = 0 as int) as quality").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    measure = P.quality.document_statistics
+    monkeypatch.setattr(P.quality, "document_statistics", lambda d: seen.append(d) or measure(d))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for many labels
+    try:
+        P.keep_quality(spark, docs, str(tmp_path))
+        assert "SortMergeJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+        got = {r[0] for r in seen[0].select("doc_id").collect()}
+        assert got >= set(range(0, 400, 4)) and len(got) < 150
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_without_secrets_are_not_shuffled(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "if(id % 100 = 7, concat('password = abcdefghijkl', id), concat('text ', id % 50)) as text",
+                                       "'en' as lang", "'s' as source", "12L as n_chars")
+    got = P.drop_secrets(spark, docs, "")
+    assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert got.count() == 300 and rows[7] == rows[107] == rows[207] == "[assign]" and rows[8] == "text 8"
