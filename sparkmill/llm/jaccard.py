@@ -1,21 +1,24 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
 Documents are sets of word shingles.  Similar documents are first partitioned
-into groups: two sets that link share a shingle among the rarest of each (the
-prefix bound, exact for any one order of the shingles), and their sizes differ by
-the ratio of the threshold at most.  Documents that share such a shingle and are
+into groups: sets of near size are cut by hash into the same parts, more of them than
+two linking sets can differ in, so a link leaves parts equal; what stands in the rarer
+parts are a set's signatures, and two sets that link share one (exact for any one order
+of the parts).  A part holds about three shingles: texts that share single shingles, which
+all do more the larger the corpus, do not meet, and groups stay about as large as the
+families in them.  Documents that share a signature and are
 joined by a chain of sizes without a wider step form one group, so no link crosses
 groups.  Rarity comes from a sketch of fixed
 size that counts all shingles of all documents; it only orders, so its collisions
 cost time and never a link.  A group is stored in blocks with the union of the
 block's shingles.  A query document opens a block only if its overlap with the
 union reaches the share that a link needs; inside an opened block overlaps are
-counted for members that share a prefix shingle with the query, are near it in size
+counted for members that share a signature with the query, are near it in size
 and not yet connected with it.  A quarter of all hashes decides first which documents
 are sent at all: what two sets share there and all that lies outside bound their overlap.  Blocks hold whole families where these are small,
 and first meet the group's first block; then only documents outside the group's main
 component query other blocks, and of these the ones that hold a document of another
-component with a shingle of their prefix.
+component with one of their signatures.
 
 Texts travel compressed, and a task makes the shingles of what it got: a text takes
 less room than its set.  Equal sets are one class and are compared once.  No pairs inside a group are
@@ -45,7 +48,7 @@ FEW = 24
 #: (8 MB on the driver and in a worker), sent in pieces of PIECE.
 SKETCH_BITS, PIECE = 21, 1 << 14
 #: Bytes of the corpus for each bucket of signatures.
-SHARE = 12_000_000
+SHARE = 6_000_000
 LEAST_PARTS = 61
 #: Bytes of a signature that are sent beside its bucket: equal ones by chance make a group larger, no link is lost.
 TAG = 5
@@ -107,21 +110,69 @@ def _place(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def size_steps(largest: int, percent: int) -> np.ndarray:
+    """Smallest size of each step: linking sets are of one step or of two that follow each other."""
+    first = [1]
+    while first[-1] <= largest or len(first) < 3:
+        first.append(100 * first[-1] // percent + 1)
+    return np.array([*first, 100 * first[-1] // percent + 1])
+
+
 def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, seen: np.ndarray, percent: int):
-    """(signature, document): two linking sets share one at least.
+    """(signature, document), sorted by document: two linking sets share one at least.
 
     ``doc`` and ``h`` are sorted by both, ``n`` counts the shingles of each document.
-    All sets are sorted by one total order of the shingles, rarest first by the
-    counts ``seen`` and then by hash.  Linking sets share at least ``percent`` of the
-    larger one, so both have a shared shingle among their first
-    n - ceil(percent / 100 * n) + 1.  Any total order is exact; a rare-first order
-    leaves passages of many documents out of most prefixes.
+    Linking sets of a and b shingles differ in d = (a + b) * (100 - percent) / (100 + percent) at
+    most.  Within a step of sizes and the next one, all sets are cut by hash into the same m parts,
+    m > d, so at least m - d parts are equal; a signature is the whole content of a part.
+    Each set leaves out its m - d - 1 most common ones, d taken for itself and its largest possible
+    partner: of the equal parts the rarest stays in both.  A part is rarer by one
+    step for each shingle in it and for each halving of the least of its counts in ``seen``;
+    empty parts come last, ties go by part.  Any such order is exact: this one leaves out passages
+    of many documents and parts of a single shingle, which more and more texts share by chance.
     """
-    order = np.lexsort((seen[_place(h)], doc))  # stable: ties keep the order by hash
-    d = doc[order]
-    place = np.arange(len(d)) - (np.cumsum(n) - n)[d]
-    keep = place < n[d] + 1 - -(-n[d] * percent // 100)
-    return h[order[keep]], d[keep]
+    size = size_steps(int(n.max(initial=1)), percent)
+    own = np.searchsorted(size, np.maximum(n, 1), side="right") - 1
+    differ = lambda total: total * (100 - percent) // (100 + percent)
+    mixed, count = _mix(h), seen[_place(h)]
+    sigs, docs = [], []
+    for below in (0, 1):  # with sets of the own step and the next one; with those of the step before
+        low = np.maximum(own - below, 0)
+        top = size[low + 1] - 1
+        most = differ(n + (top if below else 100 * n // percent))
+        on = (n > 0) & ((own > 0) & (percent * n <= 100 * top) if below else True)
+        worst = differ(top + size[low + 2] - 1)
+        parts = np.where(worst > 0, 2 * worst + 2, 1)
+        use = on[doc]
+        d, x = doc[use], h[use]
+        if not len(d):
+            continue
+        part = (((x >> _U(32)) * parts[d].astype(_U)) >> _U(32)).astype(np.int64)  # ascends with the hash
+        heads = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(part) != 0)])
+        content, held = np.add.reduceat(mixed[use], heads), np.diff(np.r_[heads, len(d)])
+        digits, power = np.frexp(np.minimum.reduceat(count[use], heads) + 1.0)  # a logarithm without rounding: the same on every machine
+        rare = (8 * (power + 2 * digits + 16 - np.minimum(held, 16))).astype(np.int64)
+        d, part = d[heads], part[heads]
+        # a set that fills fewer parts than it needs also names empty ones, the first ones first
+        filled = np.bincount(d, minlength=len(n))
+        bare = np.flatnonzero(on & (filled <= most))
+        if len(bare):
+            ends = np.cumsum(filled)
+            gaps = [np.setdiff1d(np.arange(parts[i]), part[ends[i] - filled[i]:ends[i]]) for i in bare]
+            d, part = np.r_[d, np.repeat(bare, [len(g) for g in gaps])], np.r_[part, *gaps]
+            content, rare = np.r_[content, np.zeros(len(d) - len(content), _U)], np.r_[rare, np.full(len(d) - len(rare), 1 << 16)]
+            filled = np.bincount(d, minlength=len(n))
+        order = np.argsort(d << 20 | rare, kind="stable")
+        d = d[order]
+        keep = np.arange(len(d)) - (np.cumsum(filled) - filled)[d] <= most[d]
+        order, d = order[keep], d[keep]
+        sigs.append(_mix(content[order] * _M[3] + (low[d].astype(_U) << _U(40)) + part[order].astype(_U)))
+        docs.append(d)
+    if not docs:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    d = np.concatenate(docs)
+    order = np.argsort(d, kind="stable")
+    return np.concatenate(sigs)[order], d[order]
 
 
 def levels(n: np.ndarray) -> np.ndarray:
@@ -222,8 +273,8 @@ def _links(a: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def _joining(queries, query_of, members, member_of, seen: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Positions (query, member) of links that connect components, enough of them.
 
-    ``query_of`` and ``member_of`` name the components.  Candidates share a shingle
-    of their prefixes, are near in size and of different components; each is counted
+    ``query_of`` and ``member_of`` name the components.  Candidates share a
+    signature, are near in size and of different components; each is counted
     exactly unless links found so far connect the two.
     """
     def prefixes(sets):

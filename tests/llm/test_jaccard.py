@@ -88,6 +88,53 @@ def test_two_linking_sets_share_a_signature():
         assert set(sig[d == 0].tolist()) & set(sig[d == 1].tolist())
 
 
+def entries(sets, seen, percent=85):
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    return J.signatures(doc, np.concatenate(sets), np.array([len(x) for x in sets]), seen, percent)
+
+
+def test_sets_that_share_single_shingles_do_not_meet():
+    """Every set shares a tenth with the next one; a sketch that tells no shingle from another, as on a large corpus."""
+    r = np.random.default_rng(11)
+    pool = r.integers(1, 2**64, 40 * 270 + 30, dtype=np.uint64)
+    sets = [np.unique(pool[k * 270:k * 270 + 300]) for k in range(40)]
+    seen = np.full(1 << J.SKETCH_BITS, 60, np.uint32)
+    sig, d = entries(sets, seen)
+    assert len(np.unique(sig)) == len(sig)
+    near = np.unique(np.r_[sets[0][15:], r.integers(1, 2**64, 10, dtype=np.uint64)])  # a real link still meets
+    sig, d = entries([*sets, near], seen)
+    both = set(sig[d == 40].tolist())
+    assert [k for k in range(40) if both & set(sig[d == k].tolist())] == [0]
+
+
+def test_sets_that_share_a_common_passage_do_not_meet():
+    r = np.random.default_rng(12)
+    passage = r.integers(1, 2**64, 200, dtype=np.uint64)
+    sets = [np.unique(np.r_[passage, r.integers(1, 2**64, 300, dtype=np.uint64)]) for _ in range(30)]
+    seen = np.full(1 << J.SKETCH_BITS, 60, np.uint32)
+    seen[J._place(passage)] = 3000
+    sig, d = entries(sets, seen)
+    assert len(np.unique(sig)) == len(sig)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_linking_sets_of_any_size_share_a_signature(percent):
+    """Sets of a few shingles as well, whose shingles may all fall into few parts, and sets at the very threshold."""
+    r = np.random.default_rng(percent)
+    seen = r.integers(0, 3, 1 << J.SKETCH_BITS).astype(np.uint32)
+    linked = 0
+    for k in range(1500):
+        a = np.unique(r.integers(1, 2 ** (64 if k % 3 else 61), int(r.integers(1, 60)), dtype=np.uint64))
+        spare = len(a) * (100 - percent) // 100
+        gone = int(r.integers(0, spare + 1))
+        b = np.unique(np.r_[r.permutation(a)[gone:], r.integers(1, 2**64, int(r.integers(0, spare - gone + 1)), dtype=np.uint64)])
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            sig, d = entries([a, b], seen, percent)
+            linked += 1
+            assert set(sig[d == 0].tolist()) & set(sig[d == 1].tolist())
+    assert linked > 500
+
+
 def test_empty(spark):
     assert J.near_duplicates(frame(spark, [])).count() == 0
     assert [tuple(r) for r in J.near_duplicates(frame(spark, [(1, None)])).collect()] == [(1, 0, 1)]
